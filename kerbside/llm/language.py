@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbside.llm.text import slices
 from kerbside.ship import ship
 
 DIMS = 1 << 12
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             names, scores, rejected = model.predict(b.column(text).to_pylist())
             cols = [*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *(n for n, _ in extra)])

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from kerbside.llm.perfect_hash import PerfectHash
 from kerbside.llm.scratch import Scratch
-from kerbside.llm.text import U64, hash_bytes
+from kerbside.llm.text import U64, hash_bytes, slices
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -61,7 +61,7 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _lines_out(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             docs, keys = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = {k for k in line_keys(t, min_chars)[1] if k is not None}
@@ -211,7 +211,7 @@ def _cut(at_text: int, at_lines: int, min_chars: int):
     """Takes the listed lines out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept, n_lines, n_dropped = [], [], []
             for text, drop in zip(b.column(at_text).to_pylist(), b.column(at_lines).to_pylist(), strict=True):
                 if not drop:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.components import connected_components
 from kerbside.llm.scratch import Scratch
-from kerbside.llm.text import U64, mix64, window_hashes, words_of
+from kerbside.llm.text import U64, mix64, slices, window_hashes, words_of
 
 _RNG = np.random.default_rng(0xF0E57)
 PLACES = 96
@@ -66,7 +66,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 def _profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, key, sig = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, size)
@@ -96,9 +96,7 @@ def _orders(trees: int, depth: int):
     places = tree_orders(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 2000):
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, PLACES).astype(U64)
             own = sig[:, places]  # rows, trees, levels
             first = np.zeros(own.shape[:2], U64)
@@ -203,7 +201,7 @@ def _tiles(size: int, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
-        for b in batches:
+        for b in slices(batches):
             a, c = [], []
             keys = zip(*(b.column(k).to_pylist() for k in ("block", "x", "y")), strict=True)
             for k, i, t in zip(keys, b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):

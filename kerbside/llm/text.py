@@ -46,37 +46,56 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Words, and bytes, hashed at a time: the tables of powers stay small whatever the text.
+_WORDS_AT_A_TIME, _BYTES_AT_A_TIME = 20_000, 1 << 18
+
+
+def _spans(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums over the items joined by a space, inverse powers, and where items start and end."""
+    data = np.frombuffer(b" ".join(items), np.uint8)
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    ends = np.cumsum(lengths + 1) - 1  # one past the last byte of each item
+    power, inverse = _powers_to(len(data) + 1)
+    prefix = np.empty(len(data) + 1, U64)
+    prefix[0] = 0
+    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=prefix[1:])
+    return prefix, inverse, ends - lengths, ends
+
+
 def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     """64-bit hashes of every ``size`` consecutive words, in order (empty if there are fewer).
 
     The words are joined by one space, a polynomial prefix sum is taken over the
     bytes, and each window is a difference of two prefix sums brought to one
-    origin: linear in the text, whatever the window.
+    origin: linear in the text, whatever the window. Long texts go in overlapping pieces.
     """
-    if len(words) < size:
+    windows = len(words) - size + 1
+    if windows <= 0:
         return np.empty(0, U64)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1  # one past the last byte of each word
-    starts = ends - lengths
-    power, inverse = _powers_to(len(data) + 1)
-    prefix = np.empty(len(data) + 1, U64)
-    prefix[0] = 0
-    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=prefix[1:])
-    lo, hi = starts[: len(words) - size + 1], ends[size - 1 :]
-    return mix64((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64))
+    out = []
+    for at in range(0, windows, _WORDS_AT_A_TIME):
+        prefix, inverse, starts, ends = _spans(words[at : at + _WORDS_AT_A_TIME + size - 1])
+        lo, hi = starts[: len(starts) - size + 1], ends[size - 1 :]
+        out.append(mix64((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64)))
+    return np.concatenate(out)
 
 
 def hash_bytes(items: list[bytes]) -> np.ndarray:
     """64-bit hashes of byte strings."""
-    if not items:
-        return np.empty(0, U64)
-    data = np.frombuffer(b"\x00".join(items) + b"\x00", np.uint8)
-    lengths = np.fromiter(map(len, items), np.int64, len(items))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    power, inverse = _powers_to(len(data) + 1)
-    prefix = np.empty(len(data) + 1, U64)
-    prefix[0] = 0
-    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + lengths.astype(U64))
+    out, part, size = [np.empty(0, U64)], [], 0
+    for x in [*items, None]:
+        if part and (x is None or size + len(x) > _BYTES_AT_A_TIME):
+            prefix, inverse, lo, hi = _spans(part)
+            out.append(mix64((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64)))
+            part, size = [], 0
+        if x is not None:
+            part.append(x)
+            size += len(x) + 1
+    return np.concatenate(out)
+
+
+def slices(batches, rows: int = 500):
+    """The batches in slices of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

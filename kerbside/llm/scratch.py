@@ -34,7 +34,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)  # the operators' functions run in the executors' Python
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        base = shared_dir(spark)
+        self.root = f"{base if ':' in base else f'file://{base}'}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         jvm, path = spark.sparkContext._jvm, self.root
         conf = spark.sparkContext._jsc.hadoopConfiguration()

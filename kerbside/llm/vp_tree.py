@@ -69,7 +69,7 @@ class VPTree:
             for lo in range(0, len(at), 1 << 14):
                 a, o = at[lo : lo + (1 << 14)], of[lo : lo + (1 << 14)]
                 diff = queries[q[a]] - self.vectors[rows[o]]
-                exact[a, o] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                exact[a, o] = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])  # summed in order, as one would by hand
             hit = np.unique(at)
             d = np.concatenate([best_d[q[hit]], exact[hit]], axis=1)
             i = np.concatenate([best_i[q[hit]], np.where(np.isinf(exact[hit]), -1, self.ids[rows][None, :])], axis=1)

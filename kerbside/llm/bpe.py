@@ -14,6 +14,8 @@ text become their ids, as in the file's own library. Rows and other columns are
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -29,7 +31,7 @@ from kerbside.ship import ship
 #: The published pre-token pattern of this family of vocabularies. A fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space beside other white space: only then do pre-tokens depend on more than their own word.
-_RUN = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
+_RUN = re.compile(r" (?:(?<=\s\s)|\s)")
 #: Words, and pre-tokens, held at a time in each of two generations, so memory is bounded.
 HELD = 250_000
 
@@ -43,8 +45,17 @@ def byte_symbols() -> dict[str, int]:
     return out
 
 
+def words_with_spaces(text: str) -> list[str]:
+    """The text cut before each space, if all its spaces stand between two words; the pieces join to the text."""
+    pieces = text.replace(" ", "\x00 ").split("\x00")
+    if "\x00" in text:
+        first, *rest = text.split(" ")
+        pieces = [first, *[f" {w}" for w in rest]]
+    return pieces if pieces[0] else pieces[1:]
+
+
 class Held(dict):
-    """A table in two generations: when the young one is full it becomes the old one, and what is still asked for comes back."""
+    """A table in two generations: a full young one becomes the old one, from which what is still asked for is put back."""
 
     def __init__(self, most: int = HELD):
         super().__init__()
@@ -56,11 +67,6 @@ class Held(dict):
             self.clear()
         self[key] = value
 
-    def __missing__(self, key):
-        value = self.old[key]
-        self.put(key, value)
-        return value
-
 
 class ByteBPE:
     """A vocabulary with its merges; see the module's text."""
@@ -117,36 +123,33 @@ class ByteBPE:
         return [x for x in ids if x >= 0]
 
     def _pretoken(self, p: str) -> list[int]:
-        try:
-            return self._pretokens[p]
-        except KeyError:
-            ids = self.merge(p.encode("utf-8", "surrogatepass"))
+        ids = self._pretokens.get(p)
+        if ids is None:
+            ids = self._pretokens.old.get(p) or self.merge(p.encode("utf-8", "surrogatepass"))
             if len(p) <= 64:
                 self._pretokens.put(p, ids)
-            return ids
+        return ids
 
     def _plain(self, text: str) -> list[int]:
         return [i for p in self._split.findall(text) for i in self._pretoken(p)]
 
     def _word(self, word: str) -> bytes:
-        try:
-            return self._words[word]
-        except KeyError:
-            out = np.array(self._plain(word), "<u4").tobytes()
+        out = self._words.get(word)
+        if out is None:
+            out = self._words.old.get(word) or array("I", self._plain(word)).tobytes()
             if len(word) <= 64:
                 self._words.put(word, out)
-            return out
+        return out
 
     def _encode_plain(self, text: str) -> bytes:
         if _RUN.search(text):
-            return np.array(self._plain(text), "<u4").tobytes()
+            return array("I", self._plain(text)).tobytes()
         # no pre-token reaches over the start of a space that stands between two words
-        first, *rest = text.split(" ")
-        word, held = self._word, self._words
-        parts = [word(first)] if first else []
-        for w in rest:
-            w = " " + w
-            parts.append(held[w] if w in held else word(w))
+        pieces = words_with_spaces(text)
+        parts = list(map(self._words.get, pieces))
+        if None in parts:
+            word = self._word
+            parts = [word(w) if x is None else x for w, x in zip(pieces, parts, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str | None) -> bytes:

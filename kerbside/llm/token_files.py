@@ -29,13 +29,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm.bpe import _RUN, Held
+from kerbside.llm.bpe import _RUN, Held, words_with_spaces
 from kerbside.llm.text import slices
 from kerbside.ship import ship
 
 MANIFEST = "part int, path string, documents long, ids long"
 
 
+#: What is put between words that are encoded together.
+_CUT = "\n\n"
+#: Marks that often end a word; none is a letter, a number or white space.
+_MARKS = ".,;:!?$&%*#)"
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each word that is held.
 
@@ -54,41 +60,76 @@ class LibraryEncoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = Held(400_000)
+        cut = self.library.encode(_CUT, add_special_tokens=False).ids
+        self.cut = cut[0] if len(cut) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words that start with a space and hold no white space at their ends or side by side.
+
+        Two line ends between two such words are always a pre-token of their own, so the
+        library is asked for many words at once and the answer is cut at that id.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            ids = np.array(self.library.encode_batch_fast([_CUT.join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.cut)
+            ends = ((np.append(cuts, len(ids))) * ids.itemsize).tolist()
+            data, lo = ids.tobytes(), 0
+            for hi in ends:
+                out.append(data[lo:hi])
+                lo = hi + ids.itemsize
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        held = self.words
+        ask, made = [], []
+        for w in new:
+            if w in held.old:
+                held[w] = held.old[w]
+                continue
+            # marks after a letter or number are pre-tokens of their own
+            base = w.rstrip(_MARKS)
+            if base and base is not w and len(base) < len(w) and base[-1].isalnum():
+                tail = w[len(base) :]
+                made.append((w, base, tail))
+                ask += [base, tail]
+            else:
+                ask.append(w)
+        ask = [w for w in dict.fromkeys(ask) if w not in held]
+        plain = [w for w in ask if self.cut is not None and w[0] == " " and not w[-1].isspace() and _CUT not in w]
+        held.update(zip(plain, self._word_ids(plain), strict=True))
+        rest = [w for w in ask if w not in held]
+        held.update(zip(rest, self._ids(rest), strict=True))
+        for w, base, tail in made:
+            held[w] = held[base] + held[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[str]]] = []
         whole: list[int] = []
-        new: dict[str, None] = {}
-        words = self.words
+        seen: set[str] = set()
         for i, t in enumerate(texts):
             if not t:
                 continue
             if _RUN.search(t) or any(s in t for s in self.specials):
                 whole.append(i)
-                continue
-            pieces = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None
-            if pieces is None:
-                whole.append(i)
-                continue
-            split.append((i, pieces))
-            for p in pieces:
-                if p not in words:
-                    try:
-                        words[p]
-                    except KeyError:
-                        new[p] = None
-        fresh = dict(zip(new, self._ids(list(new)), strict=True)) if new else {}
+            else:
+                pieces = words_with_spaces(t)
+                seen.update(pieces)
+                split.append((i, pieces))
+        if len(self.words) > self.words.most:
+            self.words.old = dict(self.words)
+            self.words.clear()
+        self._learn(list(seen.difference(self.words)))
+        known = self.words.__getitem__
         for i, pieces in split:
-            out[i] = b"".join([fresh[p] if p in fresh else words[p] for p in pieces])
-        for p, ids in fresh.items():
-            if len(p) <= 64:
-                words.put(p, ids)
+            out[i] = b"".join(map(known, pieces))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         return out

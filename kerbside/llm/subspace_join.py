@@ -8,7 +8,7 @@ one block at least, so the union of the blocks' range joins holds every link;
 candidates are then verified by cosine in doubles on the original vectors.
 
 Vectors are sorted by the signs of their leading rotated coordinates and packed into
-tiles of ``tile`` rows with a bounding box. The range join of a block is first one of
+tiles of about ``tile`` rows (at most twice that) with a bounding box. The range join of a block is first one of
 boxes: tiles meet by an equal join on the cells that their boxes, widened by the block's
 radius, cover along the block's first coordinate, and are kept if the boxes come within the
 budget in the whole block. Then each surviving pair of tiles is one row for one task, whose
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kerbside.llm.components import connected_components
 from kerbside.llm.minhash import _forest
@@ -133,18 +134,21 @@ def _tiled(tile: int, least: float, block: int, seed: int):
         return [(ids[order], x[order])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n, own = [], 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x, at = b.column("vec_id").to_numpy(), matrix(b.column("embedding"), b.num_rows), 0
+            key, ids = b.column("tile").to_numpy(), b.column("vec_id").to_numpy()
+            x, at = matrix(b.column("embedding"), b.num_rows), 0
             while at < len(ids):
-                end = min(len(ids), at + tile - n)
-                parts.append((ids[at:end].copy(), x[at:end].copy()))
-                n, at = n + end - at, end
-                if n == tile:
+                if parts and (key[at] != own or n >= 2 * tile):
                     yield made(sorted_by_id(parts))
                     parts, n = [], 0
+                own = key[at]
+                same = int(np.searchsorted(key[at:], own, side="right")) + at
+                end = min(same, at + 2 * tile - n)
+                parts.append((ids[at:end].copy(), x[at:end].copy()))
+                n, at = n + end - at, end
         if parts:
             yield made(sorted_by_id(parts))
 
@@ -194,10 +198,19 @@ def near_duplicates(
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     good = usable(vectors)
     coded = scratch.table(good.mapInArrow(_coded(seed), "vec_id long, embedding array<double>, code long"), "coded")
-    files = max(1, -(-coded.count() // tile))
+    total = max(1, -(-coded.count() // tile))
+    # sorted by code over partitions; neighbouring partitions then make up the tiles, however many partitions there are
+    ranged = scratch.table(
+        coded.repartitionByRange(max(4 * total, parts), "code", "vec_id").withColumn("part", F.spark_partition_id()), "ranged"
+    )
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row a partition
+    group = sizes.select("part", F.floor(before / tile).alias("tile"))
     tiles = scratch.table(
-        coded.repartitionByRange(min(files, 4 * parts), "code", "vec_id")
-        .sortWithinPartitions("code", "vec_id")
+        ranged.join(F.broadcast(group), "part")  # one row a partition
+        .repartition(max(1, min(total, 4 * parts)), "tile")
+        .sortWithinPartitions("tile", "code", "vec_id")
+        .select("tile", "vec_id", "embedding")
         .mapInArrow(_tiled(tile, least, block, seed), TILE),
         "tiles",
     )

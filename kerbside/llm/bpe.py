@@ -32,6 +32,8 @@ from kerbside.ship import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space beside other white space: only then do pre-tokens depend on more than their own word.
 _RUN = re.compile(r" (?:(?<=\s\s)|\s)")
+#: A line end beside other white space.
+_LINE_RUN = re.compile(r"\n(?:(?<=\s\s)|\s)")
 #: Words, and pre-tokens, held at a time in each of two generations, so memory is bounded.
 HELD = 250_000
 
@@ -46,12 +48,16 @@ def byte_symbols() -> dict[str, int]:
 
 
 def words_with_spaces(text: str) -> list[str]:
-    """The text cut before each space, if all its spaces stand between two words; the pieces join to the text."""
-    pieces = text.replace(" ", "\x00 ").split("\x00")
+    """The text cut before each space, if all its spaces stand between two words; the pieces join to the text.
+
+    Line ends that stand between two words are pieces too: they are pre-tokens of their own.
+    """
     if "\x00" in text:
         first, *rest = text.split(" ")
-        pieces = [first, *[f" {w}" for w in rest]]
-    return pieces if pieces[0] else pieces[1:]
+        return [first, *[f" {w}" for w in rest]]
+    if not _LINE_RUN.search(text):
+        text = text.replace("\n", "\x00\n\x00")
+    return text.replace(" ", "\x00 ").split("\x00")
 
 
 class Held(dict):

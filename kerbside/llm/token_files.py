@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm.bpe import _RUN, Held, words_with_spaces
+from kerbside.llm.bpe import _LINE_RUN, _RUN, Held
 from kerbside.llm.text import slices
 from kerbside.ship import ship
 
@@ -37,7 +37,7 @@ MANIFEST = "part int, path string, documents long, ids long"
 
 
 #: What is put between words that are encoded together.
-_CUT = "\n\n"
+_CUT, _SPACED = "\n", " \n"
 #: Marks that often end a word; none is a letter, a number or white space.
 _MARKS = ".,;:!?$&%*#)"
 
@@ -45,9 +45,9 @@ _MARKS = ".,;:!?$&%*#)"
 class LibraryEncoder:
     """The tokenizers library, asked once for each word that is held.
 
-    In a text whose spaces all stand between two words, no pre-token of a byte-level
-    vocabulary reaches over the start of a space, so words are encoded on their own and
-    joined; any other text goes to the library whole.
+    In a text whose spaces and line ends all stand between two words, no pre-token of a
+    byte-level vocabulary reaches over the start of a space or over a line end, so words
+    are encoded on their own and joined; any other text goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -62,16 +62,17 @@ class LibraryEncoder:
         self.words = Held(400_000)
         cut = self.library.encode(_CUT, add_special_tokens=False).ids
         self.cut = cut[0] if len(cut) == 1 else None
+        self.line = np.array(cut, self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of words that start with a space and hold no white space at their ends or side by side.
+        """The ids of words that hold no line end, begin with one space or none, and do not end with white space.
 
-        Two line ends between two such words are always a pre-token of their own, so the
-        library is asked for many words at once and the answer is cut at that id.
+        A line end after such a word is always a pre-token of its own, whatever word
+        follows, so the library is asked for many at once and the answer is cut at that id.
         """
         out: list[bytes] = []
         for at in range(0, len(words), 4000):
@@ -86,50 +87,70 @@ class LibraryEncoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        held = self.words
-        ask, made = [], []
+        """Hold the ids of pieces: a word stands for itself after a space, a line end and a word for the two of them."""
+        held, old = self.words, self.words.old
+        ask: dict[str, None] = {}
+        made: list[tuple[str, str, str]] = []
+        ids: dict[str, bytes] = {}
+        skip = len(self.line)
         for w in new:
-            if w in held.old:
-                held[w] = held.old[w]
+            if w in old:
+                held[w] = old[w]
                 continue
+            line = w[:1] == _CUT
+            own = w[1:] if line else f" {w}"
             # marks after a letter or number are pre-tokens of their own
-            base = w.rstrip(_MARKS)
-            if base and base is not w and len(base) < len(w) and base[-1].isalnum():
-                tail = w[len(base) :]
-                made.append((w, base, tail))
-                ask += [base, tail]
+            base = own.rstrip(_MARKS)
+            if len(base) == len(own) or not base or not base[-1].isalnum():
+                base = own
+            tail = own[len(base) :]
+            made.append((w, base, tail))
+            ask[tail] = None
+            key = _CUT + base if line else base[1:]
+            if key in held:
+                ids[base] = held[key][skip:] if line else held[key]
             else:
-                ask.append(w)
-        ask = [w for w in dict.fromkeys(ask) if w not in held]
-        plain = [w for w in ask if self.cut is not None and w[0] == " " and not w[-1].isspace() and _CUT not in w]
-        held.update(zip(plain, self._word_ids(plain), strict=True))
-        rest = [w for w in ask if w not in held]
-        held.update(zip(rest, self._ids(rest), strict=True))
+                ask[base] = None
+        # printable: no white space but a space, and that can only stand first
+        plain = [w for w in ask if w.isprintable() and w[-1:] not in ("", " ")] if self.cut is not None else []
+        ids.update(zip(plain, self._word_ids(plain), strict=True))
+        rest = [w for w in ask if w not in ids]
+        ids.update(zip(rest, self._ids(rest), strict=True))
         for w, base, tail in made:
-            held[w] = held[base] + held[tail]
+            known = ids[base] + ids[tail] if tail else ids[base]
+            held[w] = self.line + known if w[:1] == _CUT else known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []
-        seen: set[str] = set()
+        new: set[str] = set()
+        held = self.words
+        if len(held) > held.most:
+            held.old = dict(held)
+            held.clear()
+        get, skip = held.get, len(self.line)
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if _RUN.search(t) or any(s in t for s in self.specials):
+            if _RUN.search(t) or _LINE_RUN.search(t) or any(s in t for s in self.specials):
                 whole.append(i)
+                continue
+            # the first word is asked for as if a line end stood before it
+            pieces = f"{_CUT}{t.replace(_CUT, _SPACED)}".split(" ")
+            parts = list(map(get, pieces))
+            if None in parts:
+                at = [k for k, x in enumerate(parts) if x is None]
+                new.update([pieces[k] for k in at])
+                open_.append((i, pieces, parts, at))
             else:
-                pieces = words_with_spaces(t)
-                seen.update(pieces)
-                split.append((i, pieces))
-        if len(self.words) > self.words.most:
-            self.words.old = dict(self.words)
-            self.words.clear()
-        self._learn(list(seen.difference(self.words)))
-        known = self.words.__getitem__
-        for i, pieces in split:
-            out[i] = b"".join(map(known, pieces))
+                out[i] = b"".join(parts)[skip:]
+        self._learn(list(new))
+        for i, pieces, parts, at in open_:
+            for k in at:
+                parts[k] = held[pieces[k]]
+            out[i] = b"".join(parts)[skip:]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         return out
@@ -165,13 +186,12 @@ def _writer(folder: str, path: str, end_id: int):
         def ids(out) -> None:
             for b in slices(batches):
                 docs.append(b.column(0).to_numpy().copy())
-                for x in encoder.encode(b.column(1).to_pylist()):
-                    out.write(x)
-                    out.write(end)
-                    lengths.append(len(x) // width + 1)
+                found = encoder.encode(b.column(1).to_pylist())
+                lengths.extend([len(x) // width + 1 for x in found])
+                out.write(b"".join([y for x in found for y in (x, end)]))
 
         name = f"{part:05d}"
-        final = _put(folder, f"{name}.bin", ids)
+        _put(folder, f"{name}.bin", ids)
         ends = np.cumsum(np.array([0, *lengths], "<i8"))
         d = np.concatenate(docs) if docs else np.empty(0, np.int64)
         head = np.array([len(d)], "<i8")
@@ -181,7 +201,6 @@ def _writer(folder: str, path: str, end_id: int):
                 [pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(d)]), pa.array([int(ends[-1])])],
                 ["part", "path", "documents", "ids"],
             )
-        del final
 
     return run
 
@@ -228,14 +247,14 @@ def _reader(kind: str):
                 if len(ids) != ends[-1] or len(ends) != n + 1:
                     raise ValueError(f"{path}: {len(ids)} ids, {len(ends)} offsets; the index says {ends[-1]} and {n + 1}")
                 for at in range(0, n, 1000):
-                    some = range(at, min(at + 1000, n))
+                    stop = min(at + 1000, n)
+                    some = ids[ends[at] : ends[stop]].astype("<u4")
+                    places = ((ends[at : stop + 1] - ends[at]) * 4).astype("<i8")
+                    flat = pa.LargeBinaryArray.from_buffers(
+                        pa.large_binary(), stop - at, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(some.tobytes())]
+                    )
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[at : at + 1000]),
-                            pa.array(ends[at : some.stop] + base),
-                            pa.array([ids[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in some], pa.binary()),
-                        ],
-                        ["doc_id", "start", "ids"],
+                        [pa.array(docs[at:stop]), pa.array(ends[at:stop] + base), flat.cast(pa.binary())], ["doc_id", "start", "ids"]
                     )
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,9 +159,9 @@ def category_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return t.toDF("before", *[f"to_{i}" for i in range(5)])
 
 
-def priority_topk(spark: SparkSession, d: str) -> DataFrame:
+def priority_topk(spark: SparkSession, d: str, count: int = 100) -> DataFrame:
     p = rounded(b.scored(spark, d), "percent")
-    return areas.priority(p, b.YEARS[1], 100).select("place", "road_id", "percent")
+    return areas.priority(p, b.YEARS[1], count).select("place", "road_id", "percent")
 
 
 def top_share_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +205,8 @@ QUERIES = {
         priority_topk, top_share_flags, top_share_per_group, supported_groups, city_rollup, weighted_means,
     )
 }
+#: The operator's own length.
+QUERIES["priority_top1000"] = partial(priority_topk, count=1000)
 
 _NAMES = [c for g in index.GROUPS.values() for c in g]
 _RANK = """r AS (SELECT o_orderkey, v, rank() OVER (ORDER BY v NULLS LAST) AS p, count(*) OVER (PARTITION BY v) AS t, count(v) OVER () AS n FROM x),
@@ -281,3 +285,4 @@ SELECT *, districts = 1 AS single_district FROM g""",
 SELECT district, year, round(sum(v * w) / sum(w) FILTER (v IS NOT NULL), 5) AS lst_mean,
   CASE WHEN count(*) = count(v) THEN round(sum(v * w) / sum(w), 5) END AS lst_strict FROM q GROUP BY 1, 2""",
 }
+SQL["priority_top1000"] = SQL["priority_topk"].replace("LIMIT 100", "LIMIT 1000")

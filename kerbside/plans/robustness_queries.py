@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from kerbside.plans import bindings as b
 from kerbside.plans.index_queries import rounded
 
 RUNS, SEED = 12, 42
+#: The operators' own sizes, for the queries whose names end in ``_500``.
+FULL_RUNS, FULL_MOVERS = 500, 500
 Y = b.YEARS[1]
 
 
@@ -39,10 +43,10 @@ def robustness_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "spearman", "overlap", "median_change", "moved_share")
 
 
-def rank_movers(spark: SparkSession, d: str) -> DataFrame:
+def rank_movers(spark: SparkSession, d: str, count: int = 50) -> DataFrame:
     p = b.component_panel(spark, d)
     in_year = lambda df: df.filter(F.col("year") == Y).select("road_id", F.round("score", 8).alias("score")).persist()
-    return robustness.biggest_movers(in_year(score(p)), in_year(score(p, robustness.PROFILES["equity_priority"])), count=50)
+    return robustness.biggest_movers(in_year(score(p)), in_year(score(p, robustness.PROFILES["equity_priority"])), count=count)
 
 
 def scenario_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -70,38 +74,38 @@ def shapley(spark: SparkSession, d: str) -> DataFrame:
     return rounded(robustness.shapley(b.component_panel(spark, d), b.YEARS), "total", "heat", "vegetation")
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    table = montecarlo.draw_table(spark, montecarlo.draws(RUNS, SEED))
+def _scores(spark: SparkSession, d: str, runs: int) -> DataFrame:
+    table = montecarlo.draw_table(spark, montecarlo.draws(runs, SEED))
     return montecarlo.scores(montecarlo.cube(b.component_panel(spark, d)), table)
 
 
-def mc_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_scores(spark, d).filter(F.col("year") == Y).drop("year"), "score")
+def mc_scores(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
+    return rounded(_scores(spark, d, runs).filter(F.col("year") == Y).drop("year"), "score")
 
 
-def mc_rank_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    u = montecarlo.road_uncertainty(montecarlo.run_ranks(_scores(spark, d), Y))
+def mc_rank_quantiles(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
+    u = montecarlo.road_uncertainty(montecarlo.run_ranks(_scores(spark, d, runs), Y))
     return rounded(u, "q05", "q50", "q95", "top10", "top20")
 
 
-def mc_area_ranks(spark: SparkSession, d: str) -> DataFrame:
+def mc_area_ranks(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
     areas = b.component_panel(spark, d).filter(F.col("year") == Y).select("road_id", F.col("neighbourhood").alias("area"))
-    out = montecarlo.area_uncertainty(_scores(spark, d), areas, Y)
+    out = montecarlo.area_uncertainty(_scores(spark, d, runs), areas, Y)
     return rounded(out, "median_rank", "p_first5", "p_first20")
 
 
-def mc_run_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.run_outputs(montecarlo.run_ranks(_scores(spark, d), Y)), "spearman", "overlap")
+def mc_run_outputs(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
+    return rounded(montecarlo.run_outputs(montecarlo.run_ranks(_scores(spark, d, runs), Y)), "spearman", "overlap")
 
 
-def mc_stable_top(spark: SparkSession, d: str) -> DataFrame:
-    ranks = montecarlo.run_ranks(_scores(spark, d), Y).persist()
+def mc_stable_top(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
+    ranks = montecarlo.run_ranks(_scores(spark, d, runs), Y).persist()
     return rounded(montecarlo.stable_top(ranks, montecarlo.road_uncertainty(ranks)), "share")
 
 
-def mc_default_check(spark: SparkSession, d: str) -> DataFrame:
+def mc_default_check(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
     """Run 0 against the published score."""
-    ours = _scores(spark, d).filter((F.col("run") == 0) & (F.col("year") == Y)).select("road_id", F.col("score").alias("run0"))
+    ours = _scores(spark, d, runs).filter((F.col("run") == 0) & (F.col("year") == Y)).select("road_id", F.col("score").alias("run0"))
     theirs = score(b.component_panel(spark, d)).filter(F.col("year") == Y).select("road_id", F.col("score").alias("published"))
     return rounded(ours.join(theirs, "road_id").agg(F.count("*").alias("n"), F.corr("run0", "published").alias("r")), "r")
 
@@ -123,6 +127,10 @@ QUERIES = {
     )
 }
 
+_FULL = (mc_scores, mc_rank_quantiles, mc_area_ranks, mc_run_outputs, mc_stable_top, mc_default_check)
+QUERIES |= {f"{f.__name__}_500": partial(f, runs=FULL_RUNS) for f in _FULL}
+QUERIES["rank_movers_500"] = partial(rank_movers, count=FULL_MOVERS)
+
 # ---- oracles ----
 
 _PARTS = [c for g in GROUPS.values() for c in g]
@@ -154,9 +162,9 @@ def _fixed_sql(hazard: str, trees: str, source: str, bounds: str = "gb") -> str:
 _GB = ", ".join(f"g_{g}gb" for g in b._GROUPS)
 
 
-def _draw_values() -> str:
+def _draw_values(runs: int = RUNS) -> str:
     rows = []
-    for r in montecarlo.draws(RUNS, SEED):
+    for r in montecarlo.draws(runs, SEED):
         cells = [str(r["run"]), f"'{r['normalization']}'", f"'{r['aggregation']}'", f"{r['floor']!r}::DOUBLE", f"'{r['excluded'] or 'none'}'"]
         cells += [f"{r[f'g_{g}']!r}::DOUBLE" for g in GROUPS] + [f"{r[f'w_{c}']!r}::DOUBLE" for c in _PARTS]
         rows.append("(" + ", ".join(cells) + ")")
@@ -290,3 +298,5 @@ SELECT count(*) AS top, count(*) FILTER (top10 >= 0.9) AS stable, round(count(*)
 FROM mc JOIN scored_p ON mc.road_id = scored_p.road_id AND mc.year = scored_p.year WHERE mc.run = 0 AND mc.year = {Y}""",
     "first_order_indices": _first_order_sql(),
 }
+SQL |= {f"{f.__name__}_500": SQL[f.__name__].replace(_draw_values(), _draw_values(FULL_RUNS)) for f in _FULL}
+SQL["rank_movers_500"] = SQL["rank_movers"].replace("LIMIT 50", f"LIMIT {FULL_MOVERS}")

@@ -118,17 +118,17 @@ def bucket5_labels(spark: SparkSession, d: str) -> DataFrame:
     return pct.select("o_orderkey", ranking.bucket5(F.round("rank_pct", 9)).alias("level"))
 
 
-def _area(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
-    t = areas.area_table(_stepped(spark, d), b.YEARS, by)
+def _area(spark: SparkSession, d: str, by: list[str], panel=_stepped) -> DataFrame:
+    t = areas.area_table(panel(spark, d), b.YEARS, by)
     return rounded(t, *[c for c, k in t.dtypes if k == "double"], digits=5)
 
 
-def area_table_nation(spark: SparkSession, d: str) -> DataFrame:
-    return _area(spark, d, ["neighbourhood", "district"])
+def area_table_nation(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:
+    return _area(spark, d, ["neighbourhood", "district"], panel)
 
 
-def area_table_region(spark: SparkSession, d: str) -> DataFrame:
-    return _area(spark, d, ["district"])
+def area_table_region(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:
+    return _area(spark, d, ["district"], panel)
 
 
 def _area_sql(by: str) -> str:
@@ -150,12 +150,12 @@ SELECT * EXCLUDE (m0, m1), round(m1 - m0, 5) AS hvi_change, CAST(row_number() OV
   roads >= 20 AS reliable FROM t"""
 
 
-def category_counts_full(spark: SparkSession, d: str) -> DataFrame:
-    return areas.category_counts(_stepped(spark, d))
+def category_counts_full(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:
+    return areas.category_counts(panel(spark, d))
 
 
-def category_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    t = areas.crosstab(_stepped(spark, d), b.YEARS)
+def category_crosstab(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:
+    t = areas.crosstab(panel(spark, d), b.YEARS)
     return t.toDF("before", *[f"to_{i}" for i in range(5)])
 
 
@@ -181,8 +181,8 @@ def supported_groups(spark: SparkSession, d: str) -> DataFrame:
     return areas.supported(p, "neighbourhood").select("road_id", "neighbourhood")
 
 
-def city_rollup(spark: SparkSession, d: str) -> DataFrame:
-    t = areas.area_table(_stepped(spark, d), b.YEARS, ["neighbourhood", "district"])
+def city_rollup(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:
+    t = areas.area_table(panel(spark, d), b.YEARS, ["neighbourhood", "district"])
     t = t.withColumn("label", F.concat("neighbourhood", F.lit(" ("), "district", F.lit(")"))).withColumn("city", F.col("district"))
     return areas.city_rollup(t, "city", b.YEARS)
 
@@ -205,6 +205,9 @@ QUERIES = {
         priority_topk, top_share_flags, top_share_per_group, supported_groups, city_rollup, weighted_means,
     )
 }
+#: The same over the natural breaks.
+_BY_CATEGORY = (area_table_nation, area_table_region, category_counts_full, category_crosstab, city_rollup)
+QUERIES |= {f"{f.__name__}_jenks": partial(f, panel=_categorised) for f in _BY_CATEGORY}
 #: The operator's own length.
 QUERIES["priority_top1000"] = partial(priority_topk, count=1000)
 
@@ -286,3 +289,6 @@ SELECT district, year, round(sum(v * w) / sum(w) FILTER (v IS NOT NULL), 5) AS l
   CASE WHEN count(*) = count(v) THEN round(sum(v * w) / sum(w), 5) END AS lst_strict FROM q GROUP BY 1, 2""",
 }
 SQL["priority_top1000"] = SQL["priority_topk"].replace("LIMIT 100", "LIMIT 1000")
+_LAST = "SELECT road_id, year, CASE"
+_JENKS_CAT = _JENKS_SQL.removeprefix("WITH ").replace(f")\n{_LAST}", "),\ncat AS (SELECT pct.*, CASE") + ")"
+SQL |= {f"{f.__name__}_jenks": SQL[f.__name__].replace(_STEPPED_SQL, _JENKS_CAT) for f in _BY_CATEGORY}

@@ -31,3 +31,17 @@ def test_monte_carlo_makes_the_operators_own_runs(spark):
         assert got[road]["top20"] == pytest.approx((np.array(pct) > 0.8).mean(), abs=0.01)
     steps = {round(r["top20"] * 500, 3) for r in got.values()}
     assert all(x == int(x) for x in steps) and any(round(x / 500 * 12, 6) % 1 for x in steps)
+
+
+def test_categories_are_those_of_the_natural_breaks(spark):
+    by_road = collections.defaultdict(dict)
+    for r in QUERIES["hvi_category"](spark, SMALL).collect():
+        by_road[r["road_id"]][r["year"]] = r["category"]
+    names = {r["ordinal"]: r["category"] for r in QUERIES["category_counts_full_jenks"](spark, SMALL).collect()}
+    counts = {r["category"]: r["roads"] for r in QUERIES["category_counts_full_jenks"](spark, SMALL).collect()}
+    want = collections.Counter(c for years in by_road.values() for c in years.values())
+    assert counts == {c: want[c] for c in names.values()}
+    assert counts != {r["category"]: r["roads"] for r in QUERIES["category_counts_full"](spark, SMALL).collect()}
+    moves = collections.Counter((years[1996], years[2000]) for years in by_road.values())
+    got = {r["before"]: r for r in QUERIES["category_crosstab_jenks"](spark, SMALL).collect()}
+    assert all(got[a][f"to_{i}"] == moves[a, c] for a in names.values() for i, c in names.items())

@@ -13,7 +13,9 @@ whose word sequence also starts anywhere else is removed.
    into blocks of ``(window + 1) // 2`` words, one of which lies whole in every window, and
    compiled into an Aho-Corasick automaton over exact words. All passages sent
    there stream through it; each hit is extended word by word, and what agrees on ``window``
-   words or more is an occurrence, so hashes decide nothing.
+   words or more is an occurrence, so hashes decide nothing. A window that lies in no
+   occurrence met its keeper only by equal hashes; such windows are compared
+   with each other by their exact words, so that a false match hides no real one.
 3. Remove. Occurrences are gathered by document and cut out.
 
 Shards grow in number with the corpus, at about ``shard_windows`` windows each. An
@@ -220,11 +222,12 @@ class Phrases:
             self.automaton.add_word(key, places)
         self.automaton.make_automaton()
 
-    def locate(self, first: int, words: list[bytes], own: bool) -> np.ndarray:
-        """Which words of a passage lie in an occurrence; marks the kept words it agrees with. ``own``: of the keeper itself."""
-        out = np.zeros(len(words), bool)
+    def locate(self, first: int, words: list[bytes], own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of a passage lie in an occurrence, and which windows lie whole in one; marks the kept words
+        it agrees with. ``own``: of the keeper itself."""
+        out, whole = np.zeros(len(words), bool), np.zeros(max(0, len(words) - self.window + 1), bool)
         if not self.automaton:
-            return out
+            return out, whole
         x = np.array([self.letters.get(w, 0) for w in words], np.int32)
         done: dict[tuple[int, int], int] = {}
         for end, places in self.automaton.iter(tuple(x.tolist())):
@@ -244,10 +247,11 @@ class Phrases:
                 done[s, at - start] = start + right - 1
                 if left + right >= self.window:
                     out[start - left : start + right] = True
+                    whole[start - left : start + right - self.window + 1] = True
                     self.covered[s][at - left : at + right] = True
-            if out.all() and all(c.all() for c in self.covered):
+            if out.all() and (own or whole.all()) and all(c.all() for c in self.covered):
                 break
-        return out
+        return out, whole
 
 
 def _stretches(mask: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
@@ -256,7 +260,8 @@ def _stretches(mask: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
 
 
 def _locate(window: int):
-    """Over rows sorted by (keeper, copy, later): the stretches of words that occurrences cover."""
+    """Over rows sorted by (keeper, copy, later): the stretches of words that occurrences cover, without ``words``; and
+    the windows that lie in none, with theirs. The keeper's own are all kept, so theirs have met all that is equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, phrases, rows = None, None, []
@@ -264,11 +269,12 @@ def _locate(window: int):
         def close() -> None:
             if phrases is not None:
                 for (base, _), mask in zip(phrases.passages, phrases.covered, strict=True):
-                    rows.extend((key[0], a, z) for a, z in _stretches(mask, base))
+                    rows.extend((key[0], a, z, None) for a, z in _stretches(mask, base))
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "lo", "hi"])
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "lo", "hi", "words"])
 
         names = ("keeper", "copy", "later", "doc_id", "first", "words")
         for b in slices(batches):
@@ -282,11 +288,12 @@ def _locate(window: int):
                     continue
                 if phrases.automaton is None:
                     phrases.compile()
-                mask = phrases.locate(first, words, doc == keeper)
+                mask, whole = phrases.locate(first, words, doc == keeper)
+                rows.extend((doc, a, z, None) for a, z in _stretches(mask, first))
                 if doc != keeper:
-                    rows.extend((doc, a, z) for a, z in _stretches(mask, first))
-                else:
-                    rows.extend((keeper, a, z) for a, z in _stretches(mask, first))
+                    for k in np.flatnonzero(~whole).tolist():
+                        some = b" ".join(words[k : k + window]).decode("utf-8", "surrogatepass")
+                        rows.append((doc, first + k, first + k + window, some))
             yield out()
             rows.clear()
         close()
@@ -352,13 +359,19 @@ def remove_repeats(
     )
     streams = dealt.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.greatest("copies", F.lit(1))).cast("int"))
     columns = ["keeper", "copy", "later", "doc_id", "first", "words"]
-    cuts = (
+    located = (
         kept.withColumn("later", F.lit(0))
         .select(*columns)
         .unionByName(streams.withColumn("later", F.lit(1)).select(*columns))
         .repartition(parts, "keeper", "copy")
         .sortWithinPartitions("keeper", "copy", "later")
-        .mapInArrow(_locate(window), "doc_id long, lo long, hi long")
+        .mapInArrow(_locate(window), "doc_id long, lo long, hi long, words string")
+    )
+    located = scratch.table(located, "located")
+    alone = located.filter("words is not null")
+    again = alone.groupBy("words").agg(F.count("*").alias("n")).filter("n > 1").select("words")
+    cuts = located.filter("words is null").drop("words").unionByName(
+        alone.join(again.hint("merge"), "words", "left_semi").drop("words")
     )
     by_doc = cuts.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     by_doc = by_doc.withColumnRenamed("doc_id", "of")

@@ -5,19 +5,20 @@ reaches ``threshold`` (0.75 by default, five words).
 
 1. A document becomes a set of 64-bit shingle hashes, a fingerprint of the set and a
    MinHash signature. Documents with equal sets are one class from here on.
-2. The forest: ``trees`` sorted orders of the classes, each by its own sequence of
-   signature places. Orders are range-partitioned and sorted by Spark, so they
+2. The forest: sorted orders of the classes, each by signature places that no other has. Orders are range-partitioned and sorted by Spark, so they
    spill and a hot region is cut between partitions. Neighbours in an order are
    candidates when their longest common prefix is at least the region's depth:
-   ``depth`` places, and one more in a region of more than ``dense`` rows.
+   ``depth`` places, and one more in a region of more than ``dense`` rows. There are
+   as many orders as find a pair at the threshold in dense regions as surely as ``trees`` do elsewhere.
 3. Candidates chain into blocks. In a block every pair of sets is compared
    exactly, by one matrix product of shingle incidences, in tiles of bounded size:
    a block beyond one tile is dealt over tiles, and each pair of tiles is a task's
    row group. Only a spanning forest of the links leaves a tile.
 4. Links are joined into components.
 
-A pair at the threshold is missed when no tree has it: ``(1 - 0.75**depth)**trees``,
-3e-7 with the defaults; links found are exact.
+A pair at the threshold is missed when no tree has it. The defaults grow 57 trees of 5 places,
+which are independent: ``(1 - 0.75**5)**57``, 2e-7, if all of its regions are dense, and
+``(1 - 0.75**4)**57``, 4e-10, if none is; links found are exact.
 
 Defined results: null texts and texts without words have an empty set and are
 linked with nothing; a text of fewer than five words has one shingle, its whole word
@@ -27,6 +28,8 @@ fingerprint); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +41,12 @@ from kerbside.llm.components import connected_components
 from kerbside.llm.scratch import Scratch
 from kerbside.llm.text import U64, mix64, slices, window_hashes, words_of
 
-_RNG = np.random.default_rng(0xF0E57)
-PLACES = 96
-_MULTIPLY = (_RNG.integers(0, 2**31, PLACES).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_XOR = _RNG.integers(0, 2**32, PLACES).astype(np.uint32)[:, None]
-DEEPEST = 6
+
+@functools.cache
+def _mixers(places: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(0xF0E57)
+    multiply = rng.integers(0, 2**31, places).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    return multiply[:, None], rng.integers(0, 2**32, places).astype(np.uint32)[:, None]
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -51,12 +55,13 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(window_hashes(words, min(size, len(words)))) if words else np.empty(0, U64)
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """``PLACES`` 16-bit values."""
+def signature(shingles: np.ndarray, places: int) -> bytes:
+    """``places`` 16-bit values."""
+    multiply, xor = _mixers(places)
     h = (shingles >> U64(32)).astype(np.uint32)[None, :]
-    least = np.full((PLACES, 1), 2**32 - 1, np.uint32)
-    for at in range(0, h.shape[1], 4096):
-        x = (h[:, at : at + 4096] ^ _XOR) * _MULTIPLY
+    least = np.full((places, 1), 2**32 - 1, np.uint32)
+    for at in range(0, h.shape[1], 1024):
+        x = (h[:, at : at + 1024] ^ xor) * multiply
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(least, x.min(axis=1, keepdims=True), out=least)
@@ -64,7 +69,7 @@ def signature(shingles: np.ndarray) -> bytes:
     return ((least[:, 0] * np.uint32(2654435761)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
-def _profiles(size: int):
+def _profiles(size: int, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, key, sig = [], [], []
@@ -73,7 +78,7 @@ def _profiles(size: int):
                 n.append(len(s))
                 both = np.array([s.sum(dtype=U64), mix64(s + U64(0x9E3779B97F4A7C15)).sum(dtype=U64)], U64)
                 key.append(both.tobytes() + len(s).to_bytes(8, "little") if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
+                sig.append(signature(s, places) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "sig"],
@@ -82,29 +87,28 @@ def _profiles(size: int):
     return run
 
 
-def tree_orders(trees: int) -> np.ndarray:
-    """The signature places each tree sorts by: fixed by the seed, spread evenly over the places."""
-    rng = np.random.default_rng(0x70E5)
-    rows: list[np.ndarray] = []
-    while len(rows) < trees:
-        deck = rng.permutation(PLACES)
-        rows += [deck[i : i + DEEPEST] for i in range(0, PLACES, DEEPEST)]
-    return np.stack(rows[:trees])
+def grown(trees: int, depth: int, threshold: int) -> int:
+    """How many trees miss a pair at the threshold at one place more no oftener than ``trees`` do at ``depth``."""
+    share = min(max(threshold, 1), 99) / 100
+    return max(trees, math.ceil(trees * math.log1p(-(share**depth)) / math.log1p(-(share ** (depth + 1)))))
+
+
+def tree_orders(trees: int, depth: int) -> np.ndarray:
+    """The signature places each tree sorts by: ``depth`` and one for dense regions, each of one tree only."""
+    return np.arange(trees * (depth + 1)).reshape(trees, depth + 1)
 
 
 def _orders(trees: int, depth: int):
-    places = tree_orders(trees)
+    places = tree_orders(trees, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2000):
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, PLACES).astype(U64)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(b.num_rows, -1).astype(U64)
             own = sig[:, places]  # rows, trees, levels
             first = np.zeros(own.shape[:2], U64)
             for i in range(depth):
                 first = (first << U64(16)) | own[:, :, i]
-            rest = np.zeros(own.shape[:2], U64)
-            for i in range(depth, DEEPEST):
-                rest = (rest << U64(16)) | own[:, :, i]
+            rest = own[:, :, depth]
             tree = np.broadcast_to(np.arange(trees, dtype=np.int32), first.shape)
             ids = np.repeat(b.column("doc_id").to_numpy(), trees)
             yield pa.RecordBatch.from_arrays(
@@ -115,10 +119,10 @@ def _orders(trees: int, depth: int):
     return run
 
 
-def _neighbours(dense: int, below: int):
+def _neighbours(dense: int):
     """Candidates between neighbours of the sorted orders, and each partition's first and last row.
 
-    ``below`` is the number of bits of ``rest`` below the level that dense regions must share too.
+    Dense regions must share ``rest`` too.
     The first and last rows (``edge`` true, ``a`` the row) let regions cut by partitions hang together.
     """
 
@@ -143,7 +147,7 @@ def _neighbours(dense: int, below: int):
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
             rows = np.diff(np.append(starts, len(t)))
             region = np.repeat(rows, rows)
-            deeper = (r[1:].view(U64) >> U64(below)) == (r[:-1].view(U64) >> U64(below))
+            deeper = r[1:] == r[:-1]
             near = same & ((region[1:] <= dense) | deeper)
             x, y = i[:-1][near], i[1:][near]
             yield out(False, t[1:][near], p[1:][near], np.minimum(x, y), np.maximum(x, y))
@@ -235,7 +239,8 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id``; ``threshold`` in hundredths."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    raw = texts.mapInArrow(_profiles(words), "doc_id long, n_shingles long, set_key binary, sig binary")
+    trees = grown(trees, depth, threshold)
+    raw = texts.mapInArrow(_profiles(words, trees * (depth + 1)), "doc_id long, n_shingles long, set_key binary, sig binary")
     one = raw.groupBy("doc_id").agg(F.min(F.struct("set_key", "n_shingles", "sig")).alias("x"))
     profiles = scratch.table(one.select("doc_id", "x.*"), "profiles")
     classes = scratch.table(
@@ -252,7 +257,7 @@ def near_duplicates(
         orders.repartitionByRange(max(parts, 2), "tree", "first", "rest", "id")
         .sortWithinPartitions("tree", "first", "rest", "id")
         .mapInArrow(
-            _neighbours(dense, 16 * (DEEPEST - depth - 1)), "edge boolean, tree int, first long, a long, b long"
+            _neighbours(dense), "edge boolean, tree int, first long, a long, b long"
         ),
         "neighbours",
     )

@@ -51,6 +51,12 @@ def draws(runs: int = 500, seed: int = 42, group_concentration: float = 8.0, com
     return out
 
 
+def factor_table(rows: Sequence[dict]) -> list[dict]:
+    """The decisions of each run as factors, without those that are the same in all runs."""
+    whole = [r | {"excluded": r["excluded"] or "none"} for r in rows]
+    return [{k: v for k, v in r.items() if k == "run" or len({x[k] for x in whole}) > 1} for r in whole]
+
+
 def draw_schema() -> str:
     """Groups ``hazard`` and ``exposure`` share names with components, so group weights are ``g_``."""
     groups = ", ".join(f"g_{g} double" for g in GROUPS)

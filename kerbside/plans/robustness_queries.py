@@ -15,6 +15,8 @@ from kerbside.plans.index_queries import rounded
 RUNS, SEED = 12, 42
 #: The operators' own sizes, for the queries whose names end in ``_500``.
 FULL_RUNS, FULL_MOVERS = 500, 500
+#: Bins of a continuous decision.
+BINS = 10
 Y = b.YEARS[1]
 
 
@@ -119,6 +121,25 @@ def first_order_indices(spark: SparkSession, d: str) -> DataFrame:
     return rounded(a.unionByName(c), "s")
 
 
+def _factors(runs: int) -> dict[str, int | None]:
+    """Each decision that differs between runs, and the bins of those with more values than bins, run 0 left out."""
+    rows = montecarlo.factor_table(montecarlo.draws(runs, SEED))
+    many = lambda f: not isinstance(rows[1][f], str) and len({r[f] for r in rows[1:]}) > BINS
+    return {f: BINS if many(f) else None for f in rows[0] if f != "run"}
+
+
+def mc_first_order_500(spark: SparkSession, d: str) -> DataFrame:
+    """Which decision drives the spread: first-order indices of the decisions against the run outputs."""
+    table = montecarlo.draw_table(spark, montecarlo.draws(FULL_RUNS, SEED)).fillna("none", ["excluded"])
+    found = mc_run_outputs(spark, d, FULL_RUNS).join(F.broadcast(table), "run")
+    runs = spark.createDataFrame(found.collect(), found.schema).coalesce(1)  # one row a run
+    out = None
+    for f, bins in _factors(FULL_RUNS).items():
+        one = correlation.first_order(runs, f, ["spearman", "overlap"], bins)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "s")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -129,6 +150,7 @@ QUERIES = {
 
 _FULL = (mc_scores, mc_rank_quantiles, mc_area_ranks, mc_run_outputs, mc_stable_top, mc_default_check)
 QUERIES |= {f"{f.__name__}_500": partial(f, runs=FULL_RUNS) for f in _FULL}
+QUERIES["mc_first_order_500"] = mc_first_order_500
 QUERIES["rank_movers_500"] = partial(rank_movers, count=FULL_MOVERS)
 
 # ---- oracles ----
@@ -300,3 +322,20 @@ FROM mc JOIN scored_p ON mc.road_id = scored_p.road_id AND mc.year = scored_p.ye
 }
 SQL |= {f"{f.__name__}_500": SQL[f.__name__].replace(_draw_values(), _draw_values(FULL_RUNS)) for f in _FULL}
 SQL["rank_movers_500"] = SQL["rank_movers"].replace("LIMIT 50", f"LIMIT {FULL_MOVERS}")
+
+
+def _decisions_sql() -> str:
+    parts = []
+    for f, bins in _factors(FULL_RUNS).items():
+        name = f"gw_{f.removeprefix('g_')}" if f.startswith("g_") else f
+        key = "(" + " + ".join(f"CASE WHEN {name} > (SELECT quantile_cont({name}, {i / bins}) FROM o) THEN 1 ELSE 0 END" for i in range(1, bins)) + ")" if bins else name
+        for y in ("spearman", "overlap"):
+            parts.append(
+                f"""SELECT '{f}' AS factor, '{y}' AS output, CASE WHEN max(v) = 0 THEN 0.0 ELSE sum(n * (m - a) * (m - a)) / max(v) END AS s FROM (
+  SELECT CAST({key} AS VARCHAR) AS k, count(*) AS n, avg({y}) AS m, (SELECT avg({y}) FROM o) AS a, (SELECT var_pop({y}) * count({y}) FROM o) AS v FROM o GROUP BY 1)"""
+            )
+    return f"""WITH outputs AS ({SQL['mc_run_outputs_500']}), {_draw_values(FULL_RUNS)}, o AS MATERIALIZED (SELECT * FROM outputs JOIN draws USING (run)),
+u AS ({' UNION ALL '.join(parts)}) SELECT factor, output, round(s, 6) AS s FROM u"""
+
+
+SQL["mc_first_order_500"] = _decisions_sql()

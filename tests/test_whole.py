@@ -45,3 +45,10 @@ def test_categories_are_those_of_the_natural_breaks(spark):
     moves = collections.Counter((years[1996], years[2000]) for years in by_road.values())
     got = {r["before"]: r for r in QUERIES["category_crosstab_jenks"](spark, SMALL).collect()}
     assert all(got[a][f"to_{i}"] == moves[a, c] for a in names.values() for i, c in names.items())
+
+
+def test_first_order_is_of_the_decisions():
+    rows = montecarlo.factor_table(montecarlo.draws(50))
+    assert {"normalization", "aggregation", "floor", "excluded", "g_hazard", "w_trees"} < set(rows[0])
+    assert "w_hazard" not in rows[0]  # the only member of its group: 1 in every run
+    assert "mc_first_order_500" in QUERIES

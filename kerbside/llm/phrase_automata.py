@@ -25,7 +25,7 @@ passages are dealt over them.
 
 Defined results: null and empty texts have no words; documents of fewer words than a
 window lose nothing; repeats within one document count; rows without an id are left out;
-of rows that share a ``doc_id`` each is compared with the other; words are
+rows that share a ``doc_id`` have keys of their own and are compared with each other; words are
 joined by one space in what is left. An empty table gives an empty result.
 """
 
@@ -190,8 +190,8 @@ def _passages(window: int):
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), pa.array(pieces, pa.list_(piece))],
-                ["doc_id", "n_words", "kept_sha256", "text", "pieces"],
+                [b.column("doc_id"), b.column("id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), pa.array(pieces, pa.list_(piece))],
+                ["doc_id", "id", "n_words", "kept_sha256", "text", "pieces"],
             )
 
     return run
@@ -320,6 +320,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _keyed(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``texts`` with ``row``, a key of each row's own: its ``doc_id`` where no other row has it."""
+    shared = scratch.table(texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
+    once = texts.withColumn("row", F.col("doc_id"))
+    if shared.isEmpty():
+        return once
+    once = once.join(shared.hint("merge"), "doc_id", "left_anti")
+    many = texts.join(shared.hint("merge"), "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id())
+    many = scratch.table(many, "shared-rows")
+    # above or below all ids; ids that leave no room on either side can't be told from keys
+    ends, most = texts.agg(F.min("doc_id"), F.max("doc_id")).first(), many.agg(F.max("row")).first()[0]
+    if ends[1] < 2**63 - 1 - most:
+        many = many.withColumn("row", F.lit(ends[1] + 1) + F.col("row"))
+    elif ends[0] > most - 2**63:
+        many = many.withColumn("row", F.lit(ends[0] - 1) - F.col("row"))
+    else:
+        raise ValueError("no keys are left for the rows that share an id")
+    return once.unionByName(many)
+
+
 def remove_repeats(
     docs: DataFrame,
     scratch: Scratch,
@@ -333,7 +353,8 @@ def remove_repeats(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(parts, math.ceil(size / 6 / shard_windows))
-    packed = texts.mapInArrow(_find(shards, window, anchor), "shard long, runs binary, hashes binary")
+    texts = _keyed(texts, scratch)
+    packed = texts.select("row", "text").mapInArrow(_find(shards, window, anchor), "shard long, runs binary, hashes binary")
     hits = (
         packed.repartition(shards, "shard")
         .sortWithinPartitions("shard")
@@ -341,10 +362,11 @@ def remove_repeats(
     )
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "keeper")).alias("hits"))
     by_doc = by_doc.withColumnRenamed("doc_id", "of")
-    joined = texts.join(by_doc.hint("merge"), texts["doc_id"] == by_doc["of"], "left").drop("of")
+    named = texts.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "doc_id")
+    joined = named.join(by_doc.hint("merge"), named["doc_id"] == by_doc["of"], "left").drop("of")
     piece = "pieces array<struct<keeper: long, first: long, words: string>>"
     found = scratch.table(
-        joined.mapInArrow(_passages(window), f"doc_id long, n_words long, kept_sha256 string, text string, {piece}"), "found"
+        joined.mapInArrow(_passages(window), f"doc_id long, id long, n_words long, kept_sha256 string, text string, {piece}"), "found"
     )
     pieces = found.filter("text is not null").select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
     copies = scratch.table(
@@ -375,13 +397,13 @@ def remove_repeats(
     )
     by_doc = cuts.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     by_doc = by_doc.withColumnRenamed("doc_id", "of")
-    open_ = found.filter("text is not null").select("doc_id", "n_words", "text")
+    open_ = found.filter("text is not null").select("doc_id", "id", "n_words", "text")
     changed = (
         open_.join(by_doc.hint("merge"), open_["doc_id"] == by_doc["of"], "left")
-        .drop("of")
+        .select(F.col("id").alias("doc_id"), "n_words", "text", "cuts")
         .mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     )
     same = found.filter("text is null").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")
+        F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")
     )
     return changed.unionByName(same)

@@ -46,3 +46,16 @@ def test_a_false_match_hides_no_repeat(spark, monkeypatch, settings):
     out = phrase_automata.remove_repeats(docs, Scratch(spark, "t"), window=8, anchor=2, **settings)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()}
     assert got == dict(enumerate(want)) and sum(w[1] for w in want) > 100
+
+
+def test_rows_that_share_an_id_are_compared(spark):
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+    twice, part = " ".join(words(40)), words(12)
+    ids = [7, 7, 3, 3, 5, 9, 9]
+    texts = [twice, twice, " ".join(words(5) + part), " ".join(words(30)), " ".join(part + words(9)), " ".join(words(30)), None]
+    want = sorted(zip(ids, brute([t or "" for t in texts], 8), strict=True))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    out = phrase_automata.remove_repeats(docs, Scratch(spark, "t"), window=8, anchor=2).collect()
+    assert sorted((r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out) == want
+    assert want[-3][1][1] == want[-4][1][1] == 40

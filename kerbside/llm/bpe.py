@@ -8,7 +8,12 @@ The vocabulary file is a parameter and is read where the work is done.
 
 Defined results: null and empty texts encode to no ids and decode to an empty text;
 ids need no padding or truncation; special strings of the vocabulary that occur in a
-text become their ids, as in the file's own library. Rows and other columns are kept.
+text become their ids, as in the file's own library. Rows and other columns are kept; a
+column that has the name asked for the result is replaced by it. Texts of any length are whole;
+an empty table gives no rows.
+
+Memory: a worker holds the vocabulary, and words already encoded as packed bytes up to
+``HELD_BYTES`` in each of two generations; texts are taken in slices bounded by bytes.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _RUN = re.compile(r" (?:(?<=\s\s)|\s)")
 #: A line end beside other white space.
 _LINE_RUN = re.compile(r"\n(?:(?<=\s\s)|\s)")
-#: Words, and pre-tokens, held at a time in each of two generations, so memory is bounded.
-HELD = 250_000
+#: Bytes of words and their ids held in each of two generations, and what Python takes for an entry besides.
+HELD_BYTES, ENTRY_BYTES = 20 << 20, 200
 
 
 def byte_symbols() -> dict[str, int]:
@@ -61,40 +66,57 @@ def words_with_spaces(text: str) -> list[str]:
 
 
 class Held(dict):
-    """A table in two generations: a full young one becomes the old one, from which what is still asked for is put back."""
+    """Texts with their packed ids in two generations: a full young one becomes the old one, from which what is
+    still asked for is put back. A generation is bounded in bytes."""
 
-    def __init__(self, most: int = HELD):
+    def __init__(self, most: int = HELD_BYTES):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size, self.old = most, 0, {}
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
+    def put(self, key: str, value: bytes) -> None:
+        if self.size >= self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
         self[key] = value
+        self.size += len(key) + len(value) + ENTRY_BYTES
 
 
-class ByteBPE:
-    """A vocabulary with its merges; see the module's text."""
+class Vocabulary:
+    """The byte strings of all ids: all that decoding needs."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self._read(json.load(f))
+
+    def _read(self, spec: dict) -> None:
         symbols = byte_symbols()
-        vocab: dict[str, int] = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of: dict[int, bytes] = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()}
+        self.bytes_of: dict[int, bytes] = {i: bytes(symbols[c] for c in s) for s, i in spec["model"]["vocab"].items()}
         self.bytes_of |= {i: s.encode() for s, i in self.specials.items()}
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; byte sequences that are no UTF-8 become U+FFFD."""
+        data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return data.decode("utf-8", "replace")
+
+
+class ByteBPE(Vocabulary):
+    """A vocabulary with its merges; see the module's text."""
+
+    def _read(self, spec: dict) -> None:
+        super()._read(spec)
+        vocab: dict[str, int] = spec["model"]["vocab"]
         self.first = [0] * 256
-        for c, b in symbols.items():
+        for c, b in byte_symbols().items():
             self.first[b] = vocab[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, tuple[int, int]] = {}  # by left << 32 | right: rank, and what the two become
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         self._split = regex.compile(PATTERN)
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self._words, self._pretokens = Held(), Held()
+        self._held = Held()
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -105,7 +127,7 @@ class ByteBPE:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = []
         for i in range(n - 1):
-            m = merges.get((ids[i], ids[i + 1]))
+            m = merges.get(ids[i] << 32 | ids[i + 1])
             if m:
                 queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
         heapify(queue)
@@ -118,44 +140,40 @@ class ByteBPE:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = merges.get((made, ids[k]))
+                m = merges.get(made << 32 | ids[k])
                 if m:
                     heappush(queue, (m[0], i, made, ids[k], m[1]))
             h = before[i]
             if h >= 0:
-                m = merges.get((ids[h], made))
+                m = merges.get(ids[h] << 32 | made)
                 if m:
                     heappush(queue, (m[0], h, ids[h], made, m[1]))
         return [x for x in ids if x >= 0]
 
-    def _pretoken(self, p: str) -> list[int]:
-        ids = self._pretokens.get(p)
-        if ids is None:
-            ids = self._pretokens.old.get(p) or self.merge(p.encode("utf-8", "surrogatepass"))
-            if len(p) <= 64:
-                self._pretokens.put(p, ids)
-        return ids
-
-    def _plain(self, text: str) -> list[int]:
-        return [i for p in self._split.findall(text) for i in self._pretoken(p)]
-
-    def _word(self, word: str) -> bytes:
-        out = self._words.get(word)
+    def _known(self, piece: str, pretoken: bool = False) -> bytes:
+        """The packed ids of a piece of text; short pieces are held."""
+        out = self._held.get(piece)
         if out is None:
-            out = self._words.old.get(word) or array("I", self._plain(word)).tobytes()
-            if len(word) <= 64:
-                self._words.put(word, out)
+            out = self._held.old.get(piece)
+            if out is None:
+                cut = [piece] if pretoken else self._split.findall(piece)
+                if len(cut) == 1:
+                    out = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
+                else:
+                    out = b"".join([self._known(p, True) for p in cut])
+            if len(piece) <= 64:
+                self._held.put(piece, out)
         return out
 
     def _encode_plain(self, text: str) -> bytes:
         if _RUN.search(text):
-            return array("I", self._plain(text)).tobytes()
+            return b"".join([self._known(p, True) for p in self._split.findall(text)])
         # no pre-token reaches over the start of a space that stands between two words
         pieces = words_with_spaces(text)
-        parts = list(map(self._words.get, pieces))
+        parts = list(map(self._held.get, pieces))
         if None in parts:
-            word = self._word
-            parts = [word(w) if x is None else x for w, x in zip(pieces, parts, strict=True)]
+            known = self._known
+            parts = [known(w) if x is None else x for w, x in zip(pieces, parts, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str | None) -> bytes:
@@ -173,47 +191,55 @@ class ByteBPE:
             out.append(self._encode_plain(text[at:] if at else text))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; byte sequences that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return data.decode("utf-8", "replace")
 
+_loaded: dict[tuple[type, str], Vocabulary] = {}
 
-_loaded: dict[str, ByteBPE] = {}
 
+def tokenizer(path: str, kind: type[Vocabulary] = ByteBPE) -> Vocabulary:
+    """One vocabulary per Python worker; one with merges also serves for decoding."""
+    if (ByteBPE, path) in _loaded:
+        return _loaded[ByteBPE, path]
+    if (kind, path) not in _loaded:
+        _loaded.clear()
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
-def tokenizer(path: str) -> ByteBPE:
-    """One vocabulary per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = ByteBPE(path)
-    return _loaded[path]
 
-
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` as a binary column of little-endian unsigned 32-bit integers."""
+def _mapped(docs: DataFrame, taken: str, made: list[tuple[str, T.DataType, pa.DataType]], work, keep: bool) -> DataFrame:
+    """``docs`` with the columns that ``work`` makes of the values of ``taken``, which stays if ``keep``."""
     ship(docs.sparkSession)
-    docs = docs.drop(ids)
-    at = docs.columns.index(text)
+    names = [n for n, _, _ in made]
+    docs = docs.select(*[c for c in docs.columns if c not in names or c == taken])
+    at = docs.columns.index(taken)
+    stay = [i for i, c in enumerate(docs.columns) if (i != at or keep) and c not in names]
+    fields = [docs.schema.fields[i] for i in stay] + [T.StructField(n, t) for n, t, _ in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
         for b in slices(batches):
-            out = pa.array([bpe.encode(t) for t in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, ids])
+            out = list(zip(*[work(x) for x in b.column(at).to_pylist()], strict=True))
+            columns = [pa.array(c, kind) for c, (_, _, kind) in zip(out, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), *columns], [f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the ids of ``text`` as a binary column of little-endian unsigned 32-bit integers."""
+    return _mapped(docs, text, [(ids, T.BinaryType(), pa.binary())], lambda t: (tokenizer(path).encode(t),), keep=True)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``tokens`` with the text that their ids spell."""
-    ship(tokens.sparkSession)
-    tokens = tokens.drop(text)
-    at = tokens.columns.index(ids)
+    """``tokens`` with the text that their ids spell; null ids spell an empty text."""
+    made = [(text, T.StringType(), pa.string())]
+    return _mapped(tokens, ids, made, lambda x: (tokenizer(path, Vocabulary).decode(x or b""),), keep=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass, with one Python worker a task: ``docs`` without ``text``, with its ids and what they spell."""
+
+    def work(t: str | None) -> tuple[bytes, str]:
         bpe = tokenizer(path)
-        for b in slices(batches):
-            out = pa.array([bpe.decode(x or b"") for x in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, text])
+        packed = bpe.encode(t)
+        return packed, bpe.decode(packed)
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())]))
+    return _mapped(docs, text, [(ids, T.BinaryType(), pa.binary()), (decoded, T.StringType(), pa.string())], work, keep=False)

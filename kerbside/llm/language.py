@@ -8,28 +8,31 @@ below what the language's own training rows reach (distance-based rejection).
 
 Defined results: a text that is null, empty or without a letter is ``und`` with
 score 0 and is rejected. Ties go to the first language in code-point order. With no
-labelled row there is no language to learn, and every text is ``und``. Rows and
-extra columns are kept.
+labelled row there is no language to learn, and every text is ``und``. A letter is
+what Unicode calls one: numbers such as U+00BD are none. Rows and extra columns are kept;
+columns that have the results' names are replaced, and ``names`` chooses other names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kerbside.llm.text import slices
 from kerbside.ship import ship
 
 DIMS = 1 << 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters become a space; the bytes of other characters stay.
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -108,13 +111,13 @@ def fit(
     """Fit on ``labelled(text, lang)``: at most ``per_language`` rows of each language, chosen by a hash.
 
     The bound makes the sample (and the driver's memory) independent of the
-    table; the rows are those with the smallest hash of their text, so a rerun
-    fits the same model. ``floor`` is ``slack`` times the lowest percentile of the
-    training rows' own cosines.
+    table; they are the texts with the smallest hashes, each once whatever its copies, so a rerun
+    fits the same model and a text that a third of all rows hold is one row of the sample.
+    ``floor`` is ``slack`` times the lowest percentile of the training rows' own cosines.
     """
     ship(labelled.sparkSession)
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    # a hash threshold passes about one and a half times the bound of each language, then a partial top-k cuts it exactly
+    # a hash threshold passes about one and a half times the bound of each language; copies of a text are then one row
     n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         none = np.zeros(0, int)
@@ -124,7 +127,9 @@ def fit(
     for lang, rows in n.items():
         cut = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / rows))).otherwise(cut)
     share = (F.col("h").bitwiseAND((1 << 30) - 1)).cast("double") / F.lit(float(1 << 30))
-    near = hashed.withColumn("cut", cut).filter(share <= F.col("cut")).select("text", "lang", "h")
+    near = hashed.withColumn("cut", cut).filter(share <= F.col("cut")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # the threshold bounds a language's rows
+    near = near.withColumn("place", place).filter(F.col("place") <= per_language)
 
     @F.pandas_udf(T.BinaryType())
     def features(texts):
@@ -152,17 +157,19 @@ def fit(
     return Model(languages, language, all_centres.astype(np.float32), idf.astype(np.float32), floor)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred, score, rejected``; the model's size is fixed by its parameters."""
-    extra = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
-    clash = {x for x, _ in extra} & set(docs.columns)
-    docs = docs.drop(*clash)
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")
+) -> DataFrame:
+    """``docs`` with language, score and rejection under ``names``; the model's size is fixed by its parameters."""
+    ship(docs.sparkSession)
+    extra = list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
+    docs = docs.drop(*(n for n in names if n != text))
     schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            names, scores, rejected = model.predict(b.column(text).to_pylist())
-            cols = [*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)]
+            langs, scores, rejected = model.predict(b.column(text).to_pylist())
+            cols = [*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *(n for n, _ in extra)])
 
     return docs.mapInArrow(run, schema)

@@ -18,7 +18,9 @@ are dropped everywhere but in the document with the largest ``doc_id``.
 4. Hits, the lines to drop, are gathered by document and taken out of the text.
 
 Defined results: a null or empty text is one empty line and stays an empty text.
-Rows that share a ``doc_id`` count as one document. Other columns are kept.
+Rows that share a ``doc_id`` count as one document; rows without an id keep all their lines.
+Other columns are kept; those named as the two counts (``counts``) are replaced. An empty table
+gives no rows; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 
 from kerbside.llm.perfect_hash import PerfectHash
 from kerbside.llm.scratch import Scratch
-from kerbside.llm.text import U64, hash_bytes, slices
+from kerbside.llm.text import U64, free, hash_bytes, slices
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -207,8 +209,8 @@ def lines_to_drop(
     return hits.unionByName(more).distinct()
 
 
-def _cut(at_text: int, at_lines: int, min_chars: int):
-    """Takes the listed lines out of each text."""
+def _cut(at_text: int, at_lines: int, min_chars: int, names: list[str]):
+    """Takes the listed lines out of each text; text and counts come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -234,26 +236,31 @@ def _cut(at_text: int, at_lines: int, min_chars: int):
                 n_dropped.append(len(out))
             cols = [c for i, c in enumerate(b.columns) if i not in (at_text, at_lines)]
             cols += [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            names = [n for i, n in enumerate(b.schema.names) if i not in (at_text, at_lines)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "_kept", "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def drop_common_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 20, min_docs: int = 3, **sizes) -> DataFrame:
-    """``docs`` with ``text`` shortened, and with ``_n_lines`` (before) and ``_n_dropped``."""
+def drop_common_lines(
+    docs: DataFrame,
+    scratch: Scratch,
+    min_chars: int = 20,
+    min_docs: int = 3,
+    counts: tuple[str, str] = ("_n_lines", "_n_dropped"),
+    **sizes,
+) -> DataFrame:
+    """``docs`` with ``text`` shortened, and with the numbers of lines before and of dropped lines under ``counts``."""
+    docs = docs.drop(*counts)
+    lines, of = free("lines", docs.columns), free("lines_of", docs.columns)
     gone = (
         lines_to_drop(docs, scratch, min_chars, min_docs, **sizes)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h", "f")).alias("_lines"))
-        .withColumnRenamed("doc_id", "_doc_id")
-    )
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left").drop("_doc_id")
-    fields = [f for f in joined.schema.fields if f.name not in ("text", "_lines")]
-    schema = T.StructType(
-        fields
-        + [T.StructField("_kept", T.StringType()), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]
+        .agg(F.collect_list(F.struct("h", "f")).alias(lines))
+        .withColumnRenamed("doc_id", of)
     )
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone[of], "left").drop(of)
+    fields = [f for f in joined.schema.fields if f.name not in ("text", lines)]
+    fields += [T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)]
     names = joined.columns
-    out = joined.mapInArrow(_cut(names.index("text"), names.index("_lines"), min_chars), schema)
-    return out.withColumnRenamed("_kept", "text").select(*docs.columns, "_n_lines", "_n_dropped")
+    cut = _cut(names.index("text"), names.index(lines), min_chars, [f.name for f in fields])
+    return joined.mapInArrow(cut, T.StructType(fields)).select(*docs.columns, *counts)

@@ -307,5 +307,5 @@ def near_duplicates(
 def keep_one(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
     """The documents that stay: one of each component, the smallest ``doc_id``; documents without an id stay."""
     parts = near_duplicates(docs, scratch, **settings)
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbside.llm.scratch import Scratch
+from kerbside.llm.text import free
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -162,11 +163,12 @@ def mix(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
 
     Rows that share a ``doc_id`` (or have none) share the largest decision among them.
     """
-    copies = decisions(docs, scratch, **settings).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.withColumnRenamed("doc_id", "_doc_id")
+    times, of, copy = (free(c, docs.columns) for c in ("copies", "copies_of", "copy"))
+    copies = decisions(docs, scratch, **settings).groupBy("doc_id").agg(F.max("copies").alias(times))
+    copies = copies.withColumnRenamed("doc_id", of)
     return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc_id"]))
-        .filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        docs.join(copies, docs["doc_id"].eqNullSafe(copies[of]))
+        .filter(F.col(times) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*docs.columns)
     )

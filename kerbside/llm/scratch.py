@@ -2,7 +2,7 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder
 that the cluster shares between driver and executors. The setting is read from
-the session; only where it is unset (tests on one machine) a folder is made.
+the session; only where it is unset and Spark runs in one process (tests) a folder is made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="kerbside-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

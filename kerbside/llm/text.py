@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _SEED = 0x5EED_0DD5
@@ -94,8 +96,25 @@ def hash_bytes(items: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def slices(batches, rows: int = 500):
-    """The batches in slices of at most ``rows`` rows, so that few texts are Python objects at a time."""
+def slices(batches, rows: int = 500, size: int = 4 << 20):
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of text, so that few texts are Python
+    objects at a time; a longer text is a slice of its own."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        weight = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                weight += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(weight), 0
+        while at < b.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = min(max(most, at + 1), at + rows)
+            yield b.slice(at, min(stop, b.num_rows) - at)
+            at = stop
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or the name with underscores before it that no column has (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,10 +1,11 @@
 """Token-ID output: flat files of unsigned integers with 64-bit document offsets.
 
-Documents are range-partitioned by ``doc_id`` and sorted, so that file ``i`` holds
-the ids of the ``i``-th range in ascending order. A file pair is
+Documents are range-partitioned by ``doc_id`` and sorted; a range is written in ascending
+order to files of about ``file_bytes`` each, and read back by ranges of bytes that the
+offsets name. A file pair is
 
-* ``NNNNN.bin``: the ids, little-endian, 16-bit if the vocabulary allows, else 32-bit;
-* ``NNNNN.idx``: 64-bit little-endian integers: the number of documents n, then n
+* ``NNNNN-NNNNN.bin`` (range, number): the ids, little-endian, 16-bit if the vocabulary allows, else 32-bit;
+* ``NNNNN-NNNNN.idx``: 64-bit little-endian integers: the number of documents n, then n
   ``doc_id`` values, then n + 1 offsets (in ids) of the documents within the file.
 
 A file's base, the number of ids in the files before it, is the prefix sum of the
@@ -29,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm.bpe import _LINE_RUN, _RUN, Held
+from kerbside.llm.bpe import _LINE_RUN, _RUN, ENTRY_BYTES, Held
 from kerbside.llm.text import slices
 from kerbside.ship import ship
 
-MANIFEST = "part int, path string, documents long, ids long"
+MANIFEST = "part int, number int, path string, documents long, ids long"
 
 
+#: Ids read back at a time.
+MOST_IDS = 1 << 20
 #: What is put between words that are encoded together.
 _CUT, _SPACED = "\n", " \n"
 #: Marks that often end a word; none is a letter, a number or white space.
@@ -59,7 +62,7 @@ class LibraryEncoder:
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = Held(400_000)
+        self.words = Held(80 << 20)
         cut = self.library.encode(_CUT, add_special_tokens=False).ids
         self.cut = cut[0] if len(cut) == 1 else None
         self.line = np.array(cut, self.kind).tobytes()
@@ -96,6 +99,7 @@ class LibraryEncoder:
         for w in new:
             if w in old:
                 held[w] = old[w]
+                held.size += len(w) + len(old[w]) + ENTRY_BYTES
                 continue
             line = w[:1] == _CUT
             own = w[1:] if line else f" {w}"
@@ -119,6 +123,7 @@ class LibraryEncoder:
         for w, base, tail in made:
             known = ids[base] + ids[tail] if tail else ids[base]
             held[w] = self.line + known if w[:1] == _CUT else known
+            held.size += len(w) + len(held[w]) + ENTRY_BYTES
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
@@ -127,9 +132,10 @@ class LibraryEncoder:
         whole: list[int] = []
         new: set[str] = set()
         held = self.words
-        if len(held) > held.most:
+        if held.size > held.most:
             held.old = dict(held)
             held.clear()
+            held.size = 0
         get, skip = held.get, len(self.line)
         for i, t in enumerate(texts):
             if not t:
@@ -176,37 +182,52 @@ def _put(folder: str, name: str, write) -> str:
     return final
 
 
-def _writer(folder: str, path: str, end_id: int):
+def _writer(folder: str, path: str, end_id: int, file_bytes: int):
+    """Sorted rows to files, one after another; a row for each file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(path), TaskContext.get().partitionId()
+        encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
-        docs, lengths = [], []
-
-        def ids(out) -> None:
-            for b in slices(batches):
-                docs.append(b.column(0).to_numpy().copy())
-                found = encoder.encode(b.column(1).to_pylist())
-                lengths.extend([len(x) // width + 1 for x in found])
-                out.write(b"".join([y for x in found for y in (x, end)]))
-
-        name = f"{part:05d}"
-        _put(folder, f"{name}.bin", ids)
-        ends = np.cumsum(np.array([0, *lengths], "<i8"))
-        d = np.concatenate(docs) if docs else np.empty(0, np.int64)
-        head = np.array([len(d)], "<i8")
-        _put(folder, f"{name}.idx", lambda out: [out.write(x.astype("<i8").tobytes()) for x in (head, d, ends)])
-        if len(d):
+        rows = slices(batches)
+        b = next(rows, None)
+        while b is not None:
+            docs, lengths = [], []
+
+            def ids(out) -> None:
+                nonlocal b
+                size = 0
+                while b is not None and size < file_bytes:
+                    docs.append(b.column(0).to_numpy().copy())  # noqa: B023
+                    found = encoder.encode(b.column(1).to_pylist())
+                    lengths.extend([len(x) // width + 1 for x in found])  # noqa: B023
+                    data = b"".join([y for x in found for y in (x, end)])
+                    out.write(data)
+                    size, b = size + len(data), next(rows, None)
+
+            name = f"{part:05d}-{number:05d}"
+            _put(folder, f"{name}.bin", ids)
+            ends, d = np.cumsum(np.array([0, *lengths], "<i8")), np.concatenate(docs)
+            index = [np.array([len(d)], "<i8").tobytes(), d.astype("<i8").tobytes(), ends.tobytes()]
+            _put(folder, f"{name}.idx", lambda out: out.write(b"".join(index)))  # noqa: B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(d)]), pa.array([int(ends[-1])])],
-                ["part", "path", "documents", "ids"],
-            )
+                [
+                    pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]),
+                    pa.array([len(d)]), pa.array([int(ends[-1])]),
+                ],
+                ["part", "number", "path", "documents", "ids"],
+            )
+            number += 1
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, files: int | None = None) -> DataFrame:
-    """Write ``docs(doc_id, text)`` below ``folder``; the manifest ``part, path, documents, ids, base``.
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, files: int | None = None, file_bytes: int = 1 << 30
+) -> DataFrame:
+    """Write ``docs(doc_id, text)`` below ``folder``; the manifest ``part, number, path, documents, ids, base``.
+
+    ``files`` ranges of ids are written side by side; a range's file is closed at ``file_bytes`` and the next begun.
 
     ``folder`` is a URI in a store that all executors reach. The call writes; what it returns is small.
     """
@@ -219,7 +240,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         .repartitionByRange(files, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    rows = sorted(dealt.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect(), key=lambda r: r["part"])
+    rows = sorted(dealt.mapInArrow(_writer(folder, tokenizer, end_id, file_bytes), MANIFEST).collect(), key=lambda r: (r["part"], r["number"]))
     base, out = 0, []
     for r in rows:
         out.append((*r, base))
@@ -227,35 +248,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     return spark.createDataFrame(out, MANIFEST + ", base long")
 
 
-def _open(path: str) -> pa.Buffer:
-    """A file's bytes: mapped where the store is a local folder, else read."""
+def _open(path: str) -> pa.NativeFile:
+    """A file to read ranges of: mapped where the store is a local folder."""
     store, base = fs.FileSystem.from_uri(path)
-    if isinstance(store, fs.LocalFileSystem):
-        return pa.memory_map(base).read_buffer()
-    with store.open_input_file(base) as f:
-        return f.read_buffer()
+    return pa.memory_map(base) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(base)
 
 
 def _reader(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
-                index = np.frombuffer(_open(f"{path}.idx"), "<i8")
-                n = int(index[0])
-                docs, ends = index[1 : n + 1], index[n + 1 :]
-                ids = np.frombuffer(_open(f"{path}.bin"), kind)
-                if len(ids) != ends[-1] or len(ends) != n + 1:
-                    raise ValueError(f"{path}: {len(ids)} ids, {len(ends)} offsets; the index says {ends[-1]} and {n + 1}")
-                for at in range(0, n, 1000):
-                    stop = min(at + 1000, n)
-                    some = ids[ends[at] : ends[stop]].astype("<u4")
-                    places = ((ends[at : stop + 1] - ends[at]) * 4).astype("<i8")
-                    flat = pa.LargeBinaryArray.from_buffers(
-                        pa.large_binary(), stop - at, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(some.tobytes())]
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[at:stop]), pa.array(ends[at:stop] + base), flat.cast(pa.binary())], ["doc_id", "start", "ids"]
-                    )
+                with _open(f"{path}.idx") as index_file, _open(f"{path}.bin") as id_file:
+                    index = np.frombuffer(index_file.read_buffer(), "<i8")
+                    n, width = int(index[0]), np.dtype(kind).itemsize
+                    docs, ends = index[1 : n + 1], index[n + 1 :]
+                    if len(ends) != n + 1 or id_file.size() != ends[-1] * width:
+                        raise ValueError(f"{path}: {id_file.size()} bytes, {len(ends)} offsets; the index says {ends[-1]} ids of {width}")
+                    at = 0
+                    while at < n:
+                        # about a million ids at a time, or one longer document
+                        stop = int(np.searchsorted(ends, ends[at] + MOST_IDS, side="right")) - 1
+                        stop = min(max(stop, at + 1), at + 1000, n)
+                        id_file.seek(int(ends[at]) * width)
+                        some = np.frombuffer(id_file.read_buffer(int(ends[stop] - ends[at]) * width), kind).astype("<u4")
+                        places = ((ends[at : stop + 1] - ends[at]) * 4).astype("<i4")
+                        flat = pa.BinaryArray.from_buffers(
+                            pa.binary(), stop - at, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(some.tobytes())]
+                        )
+                        starts = pa.array(ends[at:stop] + base)
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[at:stop]), starts, flat], ["doc_id", "start", "ids"])
+                        at = stop
 
     return run
 
@@ -264,5 +286,5 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, vocabulary: int)
     """``doc_id, start, ids`` of every document; ids as little-endian unsigned 32-bit integers."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     parts = max(1, manifest.count())
-    dealt = manifest.select("path", "base", "part").repartitionByRange(parts, "part").drop("part")
+    dealt = manifest.select("path", "base").repartitionByRange(parts, "path")
     return dealt.mapInArrow(_reader(kind), "doc_id long, start long, ids binary")

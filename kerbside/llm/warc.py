@@ -12,18 +12,22 @@ record, and a record is checked: version line, needed headers, block length agai
 A fault raises ``ValueError`` with the file and the place.
 
 Defined results: a null payload is an empty one; rows without an id are left out;
-repeated ids are records of their own (the smallest id of a payload stands once as
-response for each of its rows); an empty table gives no archive.
+rows that share an id are records of their own, each judged by its own payload (the smallest
+id of a payload stands once as response for each of its rows); an empty table gives no archive;
+other columns take no part.
+
+An archive is closed at ``file_bytes``, and the next one begun; reading streams frame by frame,
+so neither side holds more than a record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -133,33 +137,37 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=True, write_checksum=True)
 
 
-def _writer(folder: str, dictionary: bytes):
+def _writer(folder: str, dictionary: bytes, file_bytes: int):
+    """Rows to archives, one after another; a row for each archive. A repeated task leaves the same files."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, records = TaskContext.get().partitionId(), 0
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
+        part, number = TaskContext.get().partitionId(), 0
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        own, name = f"{base}/.{part:05d}-{uuid.uuid4().hex}", f"{part:05d}.warc.zst"
         compress = _compressor(dictionary)
-        with store.open_output_stream(own) as out:
-            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-            for b in itertools.chain([first], batches):
-                cols = (b.column(c) for c in ("page_id", "url", "payload", "refers_to"))
-                for page, url, payload, refers in zip(*cols, strict=True):
+        names = ("page_id", "url", "payload", "refers_to")
+        rows = (r for b in batches for r in zip(*(b.column(c) for c in names), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            store.create_dir(base, recursive=True)
+            name, records, size = f"{part:05d}-{number:05d}.warc.zst", 0, 0
+            own = f"{base}/.{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as out:
+                out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
+                while row is not None and size < file_bytes:
+                    page, url, payload, refers = row
                     text = (payload.as_py() or "").encode("utf-8", "surrogatepass")
-                    record = record_bytes(page.as_py(), url.as_py(), text, sha1_base32(text), refers.as_py())
-                    out.write(compress.compress(record))
-                    records += 1
-        store.move(own, f"{base}/{name}")  # a repeated task leaves the same file
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records])], ["path", "records"])
+                    frame = compress.compress(record_bytes(page.as_py(), url.as_py(), text, sha1_base32(text), refers.as_py()))
+                    out.write(frame)
+                    records, size, row = records + 1, size + len(frame), next(rows, None)
+            store.move(own, f"{base}/{name}")
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records])], ["path", "records"])
 
     return run
 
 
 def payload_roles(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
-    """``page_id, digest, refers_to``: which page each equal payload refers to; null for responses.
+    """``page_id, sha1, refers_to``, once for each id and payload: the page it refers to; null for responses.
 
     Only ids and digests are compared. Each digest's smallest page is aggregated (with
     map-side combine) and written, so the join of a digest that a third of all pages
@@ -174,51 +182,55 @@ def payload_roles(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> D
     )
     first = scratch.table(marks.groupBy("sha1").agg(F.min("page_id").alias("first")), "first")
     refers = F.when((F.col("bytes") >= least_bytes) & (F.col("first") != F.col("page_id")), F.col("first"))
-    return marks.join(first.hint("merge"), "sha1").select("page_id", refers.alias("refers_to")).distinct()
+    return marks.join(first.hint("merge"), "sha1").select("page_id", "sha1", refers.alias("refers_to")).distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least_bytes: int = 0, sample: int = 400) -> DataFrame:
+def write_archives(
+    pages: DataFrame, folder: str, scratch: Scratch, least_bytes: int = 0, sample: int = 400, file_bytes: int = 1 << 30
+) -> DataFrame:
     """Write ``pages(page_id, url, html)`` below ``folder`` (a URI that all executors reach); ``path, records``.
 
     The dictionary is trained on at most ``sample`` pages, those with the smallest hash.
     """
     spark = pages.sparkSession
-    roles = scratch.table(payload_roles(pages, scratch, least_bytes).withColumnRenamed("page_id", "id"), "roles")
+    roles = scratch.table(payload_roles(pages, scratch, least_bytes).toDF("id", "of", "refers_to"), "roles")
     # a hash threshold leaves about twice the sample, so no task sends its own top rows to the driver
     full = pages.filter("html is not null and page_id is not null").withColumn("h", F.xxhash64("page_id"))
     share = F.col("h").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     near = full.filter(share <= 2.0 * sample / max(1, full.count()))
     picked = near.orderBy("h", "page_id").limit(sample).select("html")
     dictionary = train_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in picked.collect()])
-    rows = pages.join(roles.hint("merge"), pages["page_id"] == roles["id"]).select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("payload"), "refers_to"
-    )
-    written = rows.mapInArrow(_writer(folder, dictionary), "path string, records long").collect()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1(F.coalesce("payload", F.lit("")).cast("binary")))
+    rows = rows.join(roles.hint("merge"), (rows["page_id"] == roles["id"]) & (rows["sha1"] == roles["of"]))
+    rows = rows.select("page_id", "url", "payload", "refers_to")
+    written = rows.mapInArrow(_writer(folder, dictionary, file_bytes), "path string, records long").collect()
     return spark.createDataFrame(sorted((r["path"], r["records"]) for r in written), "path string, records long")
 
 
-def frames(data: memoryview, where: str) -> Iterator[bytes]:
+def frames(source: BinaryIO, where: str, step: int = 1 << 16) -> Iterator[bytes]:
     """The decoded frames of an archive, one at a time, by the dictionary in its leading skippable frame."""
-    if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICTIONARY_MAGIC:
+    head = source.read(8)
+    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != DICTIONARY_MAGIC:
         raise ValueError(f"{where}: no leading skippable frame with a dictionary")
-    size = struct.unpack_from("<I", data, 4)[0]
-    at = 8 + size
-    if at > len(data):
+    size = struct.unpack("<I", head[4:])[0]
+    dictionary = source.read(size)
+    if len(dictionary) < size:
         raise ValueError(f"{where}: the dictionary is cut off")
-    dictionary = bytes(data[8:at])
     decode = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    while at < len(data):
-        if len(data) - at < 4 or struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
-            raise ValueError(f"{where}, byte {at}: no frame")
-        reader = decode.decompressobj()
-        parts, step = [], 1 << 16
+    rest = source.read(step)
+    while rest:
+        if len(rest) < 4:
+            rest += source.read(step)
+        if len(rest) < 4 or struct.unpack("<I", rest[:4])[0] != FRAME_MAGIC:
+            raise ValueError(f"{where}: no frame where one should begin")
+        reader, parts = decode.decompressobj(), []
         while not reader.eof:
-            if at >= len(data):
+            if not rest:
                 raise ValueError(f"{where}: the last frame is cut off")
-            some = data[at : at + step]
-            parts.append(reader.decompress(some))
-            at += len(some)
-        at -= len(reader.unused_data)
+            parts.append(reader.decompress(rest))
+            rest = b"" if reader.eof else source.read(step)
+        rest = reader.unused_data or source.read(step)
         yield b"".join(parts)
 
 
@@ -234,19 +246,16 @@ def _reader(with_payload: bool):
         for b in batches:
             for path, expected in zip(b.column("path").to_pylist(), b.column("records").to_pylist(), strict=True):
                 store, base = fs.FileSystem.from_uri(path)
-                if isinstance(store, fs.LocalFileSystem):
-                    data = memoryview(pa.memory_map(base).read_buffer())
-                else:
-                    data = memoryview(store.open_input_file(base).read_buffer())
-                rows, seen = [], 0
-                for i, frame in enumerate(frames(data, path)):
-                    *fields, payload = parse_record(frame, f"{path}, record {i}")
-                    text = payload.decode("utf-8", "surrogatepass") if with_payload and payload is not None else None
-                    rows.append((*fields, text))
-                    seen += 1
-                    if len(rows) == 500:
-                        yield batch(rows)
-                        rows = []
+                rows, seen, held = [], 0, 0
+                with store.open_input_stream(base, compression=None) as source:
+                    for i, frame in enumerate(frames(source, path)):
+                        *fields, payload = parse_record(frame, f"{path}, record {i}")
+                        text = payload.decode("utf-8", "surrogatepass") if with_payload and payload is not None else None
+                        rows.append((*fields, text))
+                        seen, held = seen + 1, held + len(text or "")
+                        if len(rows) == 500 or held > 4 << 20:
+                            yield batch(rows)
+                            rows, held = [], 0
                 if rows:
                     yield batch(rows)
                 if seen != expected:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -225,7 +226,7 @@ def test_warc_faults():
         with pytest.raises(ValueError):
             warc.parse_record(bad, "t")
     with pytest.raises(ValueError):
-        list(warc.frames(memoryview(b"\x28\xb5\x2f\xfd" * 4), "t"))
+        list(warc.frames(io.BytesIO(b"\x28\xb5\x2f\xfd" * 4), "t"))
 
 
 def water_levels(sizes, weights, cap):

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from kerbside.functions.order import nth_values, running
+from kerbside.scratch import Scratch
 
 #: The five-step labels.
 LEVELS = ("çok düşük", "düşük", "orta", "yüksek", "çok yüksek")
@@ -14,56 +16,34 @@ DISTANCES = ("çok yakın", "yakın", "orta", "uzak", "çok uzak")
 DENSITIES = ("çok seyrek", "seyrek", "orta", "yoğun", "çok yoğun")
 
 
-def rank_pct(df: DataFrame, column: str, out: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
-    """``df`` with the percentile rank (ties averaged) of ``column`` among its non-missing values.
+def rank_pct(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the percentile rank (ties averaged) of ``column`` among its non-missing values, within ``by`` if given.
 
-    Without ``by``, values are dealt into ranges cut at approximate quantiles; a value's
-    rank is its rank in its range plus the rows of the ranges below, which are one
-    row a range. Ties share a range, so the rank is exact.
+    Values are counted (with map-side combine, so a value that many rows have is one row), a running sum in
+    sorted order gives the rows below each, and ranks are joined back by value. No task sees all rows of
+    the table, of a group or of a value.
     """
-    if not by:
-        return rank_pcts(df, {column: out}, buckets)
-    x = F.col(column)
-    w = Window.partitionBy(*by)
-    place = F.rank().over(w.orderBy(x.asc_nulls_last()))
-    ties = F.count("*").over(Window.partitionBy(*by, column))
-    value = (place + (ties - 1) / 2) / F.count(x).over(w)
-    return df.withColumn(out, F.when(x.isNotNull(), value))
-
-
-def _below(x: Column):
-    return lambda edge: edge < x
-
-
-def rank_pcts(df: DataFrame, columns: Mapping[str, str], buckets: int = 64) -> DataFrame:
-    """``rank_pct`` of several columns (name to result): ranges and counts of all come from two aggregates."""
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    n = {c: f"_{i}" for i, c in enumerate(columns)}
-    edges = df.agg(*[F.percentile_approx(c, cuts, F.lit(1000)).alias(f"_edges{n[c]}") for c in columns])
-    ranges = {
-        f"_range{n[c]}": F.when(
-            F.col(c).isNotNull(), F.size(F.filter(f"_edges{n[c]}", _below(F.col(c))))
-        )
-        for c in columns
-    }
-    dealt = df.crossJoin(F.broadcast(edges)).withColumns(ranges)  # one row
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_range{n[c]}").alias("r")) for c in columns]))
-    counts = dealt.select(stacked.alias("s")).select("s.*").filter("r is not null").groupBy("c", "r").agg(F.count("*").alias("n"))
-    below = Window.partitionBy("c").orderBy("r")  # at most ``buckets`` rows a column
-    counts = counts.select(
-        "c", "r", (F.sum("n").over(below) - F.col("n")).alias("below"), F.sum("n").over(Window.partitionBy("c")).alias("all")
-    )
-    entry = F.struct(F.concat_ws(":", "c", "r"), F.struct("below", "all"))
-    table = counts.agg(F.map_from_entries(F.collect_list(entry)).alias("_counts"))
-    dealt = dealt.crossJoin(F.broadcast(table))  # one row
-    out = {}
-    for c, name in columns.items():
-        r = f"_range{n[c]}"
-        place = F.rank().over(Window.partitionBy(r).orderBy(c))
-        ties = F.count("*").over(Window.partitionBy(r, c))
-        own = F.element_at("_counts", F.concat_ws(":", F.lit(c), F.col(r)))
-        out[name] = F.when(F.col(c).isNotNull(), (own["below"] + place + (ties - 1) / 2) / own["all"])
-    return dealt.withColumns(out).select(*df.columns, *columns.values())
+    keys = [*by, column]
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    below = running(counts, keys, "_n", "_below", Scratch(df.sparkSession, "ranks"))
+    if by:
+        groups = below.groupBy(*by).agg(F.sum("_n").alias("_all"), F.min("_below").alias("_first"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+        below = below.join(groups.withColumnsRenamed({k: f"_{k}" for k in by}), same).drop(*[f"_{k}" for k in by])
+    else:
+        total = below.agg(F.sum("_n").alias("_all"), F.lit(0).alias("_first"))
+        below = below.crossJoin(F.broadcast(total))  # one row
+    place = F.col("_below") - F.col("_first") + (F.col("_n") + 1) / 2
+    ranks = below.select(*[F.col(k).alias(f"_of_{k}") for k in keys], (place / F.col("_all")).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by] + [F.col(column) == F.col(f"_of_{column}")]
+    return df.join(ranks, same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
+def rank_pcts(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """``rank_pct`` of several columns (name to result)."""
+    for column, out in columns.items():
+        df = rank_pct(df, column, out)
+    return df
 
 
 def bucket5(pct: Column, labels: Sequence[str] = LEVELS) -> Column:
@@ -77,14 +57,18 @@ def bucket5(pct: Column, labels: Sequence[str] = LEVELS) -> Column:
 def top_share(df: DataFrame, column: str, key: str, share: float, out: str) -> DataFrame:
     """``df`` with a flag for the ``ceil(n * share)`` largest values; ties to the smaller key.
 
-    The cut is found by a distributed sort and limit; only the last row kept is looked at.
+    The value at the cut, and among the rows that tie with it the key at the cut, are found by counting
+    (``order.nth_values``), so no task sees the rows kept.
     """
     n = df.filter(F.col(column).isNotNull()).count()
-    k = -(-int(round(n * share * 1e9)) // 10**9)
+    k = min(n, -(-int(round(n * share * 1e9)) // 10**9))
     if k <= 0:
         return df.withColumn(out, F.lit(False))
-    last = df.filter(F.col(column).isNotNull()).orderBy(F.desc(column), F.asc(key)).limit(k)
-    row = last.orderBy(F.asc(column), F.desc(key)).select(column, key).first()
-    v, at = F.lit(row[0]), F.lit(row[1])
-    flag = (F.col(column) > v) | ((F.col(column) == v) & (F.col(key) <= at))
+    v = F.lit(nth_values(df, {column: [n - k]})[column][0])
+    ties = df.filter(F.col(column) == v)
+    above, tied = df.agg(F.count(F.when(F.col(column) > v, 1)), F.count(F.when(F.col(column) == v, 1))).first()
+    flag = F.col(column) >= v
+    if above + tied > k:
+        last = F.lit(nth_values(ties, {key: [k - above - 1]})[key][0])
+        flag = (F.col(column) > v) | ((F.col(column) == v) & (F.col(key) <= last))
     return df.withColumn(out, F.coalesce(flag, F.lit(False)))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions.order import quantiles
+
 #: The quantiles of the robust bounds, and the floor of a group's score.
 ROBUST_QUANTILES = (0.02, 0.98)
 FLOOR = 0.05
@@ -28,31 +30,23 @@ def scale_between(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNull(), None).when(low.isNull() | high.isNull() | (low == high), F.lit(0.0)).otherwise(share)
 
 
-def robust_bounds(x: Column, quantiles: Sequence[float] = ROBUST_QUANTILES, exact: bool = True) -> Column:
-    """An aggregate: array of the two bounds, min and max if the quantiles are equal.
+def robust_bounds(df: DataFrame, columns: Sequence[str], quantiles_: Sequence[float] = ROBUST_QUANTILES) -> dict[str, tuple[float | None, float | None]]:
+    """The two bounds of each column over all rows: exact quantiles, or the ends if those are equal.
 
-    ``exact=False`` uses the mergeable sketch, whose state doesn't grow with the distinct values.
+    Eager: two numbers a column reach the driver (see ``order.quantiles``), so plans that use them need no join.
     """
-    q = [F.lit(v) for v in quantiles]
-    if exact:
-        p = F.percentile(x, F.array(*q))
-    else:
-        p = F.percentile_approx(x, F.array(*q), F.lit(100_000)).cast("array<double>")
-    ends = F.array(F.min(x).cast("double"), F.max(x).cast("double"))
-    return F.when(p[0] == p[1], ends).otherwise(p)
-
-
-def with_bounds(df: DataFrame, columns: Sequence[str], robust: bool = True, exact: bool = True) -> DataFrame:
-    """``df`` with ``<column>_lo`` and ``<column>_hi``: one aggregate over all rows, one row broadcast."""
-    aggregates = []
-    for c in columns:
-        if robust:
-            aggregates.append(robust_bounds(F.col(c), exact=exact).alias(c))
-        else:
-            aggregates.append(F.array(F.min(c).cast("double"), F.max(c).cast("double")).alias(c))
-    bounds = df.agg(*aggregates)
-    names = [F.col(c)[i].alias(f"{c}_{n}") for c in columns for i, n in enumerate(("lo", "hi"))]
-    return df.crossJoin(F.broadcast(bounds.select(*names)))  # one row
+    q = {c: (0.0, *quantiles_, 1.0) for c in columns}
+    return {c: (v[0], v[3]) if v[1] == v[2] else (v[1], v[2]) for c, v in quantiles(df, q).items()}
+
+
+def with_bounds(df: DataFrame, columns: Sequence[str], robust: bool = True) -> DataFrame:
+    """``df`` with ``<column>_lo`` and ``<column>_hi``, over all rows."""
+    ends = (("lo", 0), ("hi", 1))
+    if robust:
+        bounds = robust_bounds(df, columns)
+        return df.withColumns({f"{c}_{n}": F.lit(bounds[c][i]).cast("double") for c in columns for n, i in ends})
+    made = [f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    return df.crossJoin(F.broadcast(df.agg(*made)))  # one row
 
 
 def scaled(df: DataFrame, columns: Sequence[str], suffix: str = "_norm", robust: bool = True, invert: Sequence[str] = ()) -> DataFrame:

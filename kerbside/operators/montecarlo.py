@@ -1,32 +1,42 @@
 """Monte Carlo over the index's design decisions.
 
-Draws are made once on the driver (a seeded numpy generator, a few hundred rows); every
-road meets every draw by broadcast of that table, whose size is the number of
-runs. Scores of a run are rescaled by the run's own pooled bounds: one aggregate by run.
+Draws are made once on the driver (a seeded numpy generator, a few hundred rows). The panel is packed into blocks of
+some thousand rows with the components under each of the three scalings; a run's scores are a small matrix
+product over a block, so blocks meet all runs where they are, and what moves is one small array for each block and run.
+Scores of a run are rescaled by the run's own pooled bounds, which are exact (see ``packed``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbside.functions.ranking import rank_pct, rank_pcts
-from kerbside.functions.scaling import FLOOR, robust_bounds, scale_between, with_bounds
+from kerbside.functions.scaling import FLOOR, ROBUST_QUANTILES
 from kerbside.operators.index import GROUPS, RAW
+from kerbside.operators.packed import Block, array, blocks_of, pack, series_quantiles, with_ranks
+from kerbside.scratch import Scratch
 
 NORMALIZATIONS = ("robust", "minmax", "rank")
 AGGREGATIONS = ("geometric", "arithmetic")
 COMPONENTS = tuple(c for g in GROUPS.values() for c in g)
+_MEMBERS = {g: [COMPONENTS.index(c) for c in m] for g, m in GROUPS.items()}
 #: Most runs that are sent to all tasks.
 MOST_RUNS = 100_000
 
 
 def draws(runs: int = 500, seed: int = 42, group_concentration: float = 8.0, component_concentration: float = 4.0, floor=(0.01, 0.10), exclusion: float = 0.25) -> list[dict]:
-    """Decisions of each run; run 0 is the published index."""
+    """Decisions of each run; run 0 is the published index.
+
+    Fixed values: the order of the generator's calls, so that a seed names the same decisions everywhere. Of each run: group
+    weights, each group's component weights, whether and which component is left out, scaling, aggregation, floor.
+    """
     if runs > MOST_RUNS:
         raise ValueError(f"{runs} runs; at most {MOST_RUNS} are sent to all tasks")
     rng = np.random.default_rng(seed)
@@ -69,76 +79,166 @@ def draw_table(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], draw_schema())
 
 
-def cube(panel: DataFrame) -> DataFrame:
-    """``road_id, year, normalization`` and the components under each of the three scalings, pooled over years.
+BLOCK = "block long, n int, ids binary, years binary, x binary"
 
-    The robust scaling is the panel's own (component columns); the others start from raw columns.
-    """
-    raw = [RAW[c][0] for c in COMPONENTS]
-    keep = ["road_id", "year"]
-    robust = panel.select(*keep, F.lit("robust").alias("normalization"), *COMPONENTS)
-    both = with_bounds(panel.select(*keep, *raw), raw, robust=False)
-    turned = lambda c, x: 1 - x if RAW[c][1] else x
-    minmax = both.select(
-        *keep,
-        F.lit("minmax").alias("normalization"),
-        *[
-            F.when(F.col(f"{r}_lo") == F.col(f"{r}_hi"), F.lit(0.0))
-            .otherwise(turned(c, scale_between(F.col(r), F.col(f"{r}_lo"), F.col(f"{r}_hi"))))
-            .alias(c)
-            for c, r in zip(COMPONENTS, raw, strict=True)
-        ],
-    )
-    ranked = panel.select(*keep, *[(-F.col(r) if RAW[c][1] else F.col(r)).alias(f"_{c}") for c, r in zip(COMPONENTS, raw, strict=True)])
-    ranked = rank_pcts(ranked, {f"_{c}": c for c in COMPONENTS})
-    ranked = ranked.select(*keep, F.lit("rank").alias("normalization"), *COMPONENTS)
-    return robust.unionByName(minmax).unionByName(ranked)
 
+def cube(panel: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks of the panel with the components under each of the three scalings, pooled over years.
 
-def scores(cube_: DataFrame, draw: DataFrame) -> DataFrame:
-    """``run, road_id, year, score`` of every road, year and run."""
-    j = cube_.join(F.broadcast(draw), "normalization")  # at most MOST_RUNS rows
-
-    def member(c: str) -> Column:
-        return F.when(F.coalesce(F.col("excluded") == c, F.lit(False)), F.lit(0.0)).otherwise(F.col(f"w_{c}"))
-
-    raw = {}
-    for g, members in GROUPS.items():
-        total = sum((member(c) for c in members[1:]), member(members[0]))
-        raw[f"s_{g}"] = sum((member(c) * F.col(c) for c in members[1:]), member(members[0]) * F.col(members[0])) / total
-    j = j.withColumns(raw).select("run", "road_id", "year", "aggregation", "floor", *raw, *[f"g_{g}" for g in GROUPS])
-    bounds = j.groupBy("run").agg(*[robust_bounds(F.col(f"s_{g}")).alias(f"b_{g}") for g in GROUPS])
-    j = j.join(F.broadcast(bounds), "run")  # one row a run
-    scaled = {g: scale_between(F.col(f"s_{g}"), F.col(f"b_{g}")[0], F.col(f"b_{g}")[1]) for g in GROUPS}
-    weight = sum((F.col(f"g_{g}") for g in list(GROUPS)[1:]), F.col(f"g_{next(iter(GROUPS))}"))
-    logs = sum(F.col(f"g_{g}") * F.log(F.col("floor") + (1 - F.col("floor")) * x) for g, x in scaled.items())
-    plain = sum(F.col(f"g_{g}") * x for g, x in scaled.items())
-    score = F.when(F.col("aggregation") == "geometric", F.exp(logs / weight) * 100).otherwise(plain / weight * 100)
-    return j.select("run", "road_id", "year", score.alias("score"))
+    The robust scaling is the panel's own (component columns); the others start from raw columns, turned where less
+    is more risk. ``x`` has the components under robust, minmax and rank scaling side by side.
+    """
+    raw = [(-F.col(RAW[c][0]) if RAW[c][1] else F.col(RAW[c][0])).cast("double").alias(f"raw_{c}") for c in COMPONENTS]
+    kept = panel.select("road_id", "year", *COMPONENTS, *raw)
+    m = len(COMPONENTS)
+    ends = kept.agg(*[f(f"raw_{c}") for f in (F.min, F.max) for c in COMPONENTS]).first()
+    low, high = (np.array([np.nan if v is None else v for v in x]) for x in (ends[:m], ends[m:]))
+    packed = scratch.table(pack(kept, "road_id", [*COMPONENTS, *(f"raw_{c}" for c in COMPONENTS)]), "packed")
+
+    def finish(block: Block, ranks: np.ndarray) -> list[pa.Array]:
+        x = array(block, "x", columns=2 * m)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            # on turned raw columns a share runs the same way as the index
+            share = np.where(low == high, 0.0, (x[:, m:] - low) / (high - low))
+        whole = np.ascontiguousarray(np.concatenate([x[:, :m], share, ranks], axis=1))
+        values = [block["block"], block["n"], block["ids"], block["years"], whole.tobytes()]
+        return [pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+
+    return scratch.table(with_ranks(packed, lambda b: array(b, "x", columns=2 * m)[:, m:], finish, BLOCK, scratch), "cube")
+
+
+def group_scores(block: Block, draws_: Sequence[dict]) -> np.ndarray:
+    """Weighted means of each group's components: a row for each row of the block, groups of run 0, of run 1, and so on."""
+    x = array(block, "x", columns=len(NORMALIZATIONS) * len(COMPONENTS)).reshape(-1, len(NORMALIZATIONS), len(COMPONENTS))
+    out = np.empty((len(x), len(draws_), len(GROUPS)))
+    for n, name in enumerate(NORMALIZATIONS):
+        runs = [i for i, d in enumerate(draws_) if d["normalization"] == name]
+        w = np.array([[0.0 if d["excluded"] == c else d[f"w_{c}"] for c in COMPONENTS] for d in (draws_[i] for i in runs)]).reshape(-1, len(COMPONENTS))
+        for g, members in enumerate(_MEMBERS.values()):
+            total = x[:, n, members[0], None] * w[None, :, members[0]]
+            for k in members[1:]:
+                total = total + x[:, n, k, None] * w[None, :, k]
+            out[:, runs, g] = total / w[:, members].sum(axis=1)[None, :]
+    return out.reshape(len(x), -1)
+
+
+def run_scores(block: Block, draws_: Sequence[dict], bounds: np.ndarray) -> np.ndarray:
+    """The score of each row of a block in each run; ``bounds``: low and high of each run's groups."""
+    raw = group_scores(block, draws_).reshape(-1, len(draws_), len(GROUPS))
+    low, high = bounds[:, 0].reshape(len(draws_), -1), bounds[:, 1].reshape(len(draws_), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scaled = np.where(np.isnan(raw), np.nan, np.where(low == high, 0.0, np.clip((raw - low) / (high - low), 0.0, 1.0)))
+    weight = np.array([[d[f"g_{g}"] for g in GROUPS] for d in draws_])
+    floor = np.array([d["floor"] for d in draws_])[None, :]
+    total, logs, plain = weight[:, 0], 0.0, 0.0
+    for g in range(1, len(GROUPS)):
+        total = total + weight[:, g]
+    for g in range(len(GROUPS)):
+        logs = logs + weight[:, g] * np.log(floor + (1 - floor) * scaled[:, :, g])
+        plain = plain + weight[:, g] * scaled[:, :, g]
+    geometric = np.array([d["aggregation"] == "geometric" for d in draws_])
+    return np.where(geometric, np.exp(logs / total) * 100, plain / total * 100)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """All runs over a panel: the packed panel, the decisions, and each run's bounds (two numbers a run and group)."""
+
+    blocks: DataFrame
+    draws: list[dict]
+    bounds: np.ndarray
+    scratch: Scratch
+
+    def scores_of(self, year: int | None = None):
+        """The function that turns a block into its scores; rows of other years have none."""
+        draws_, bounds = self.draws, self.bounds
+
+        def matrix(block: Block) -> np.ndarray:
+            s = run_scores(block, draws_, bounds)
+            if year is not None:
+                s[array(block, "years", "<i4") != year] = np.nan
+            return s
+
+        return matrix
+
+
+def simulate(panel: DataFrame, draws_: Sequence[dict], scratch: Scratch) -> Runs:
+    """Every run over ``panel`` (``road_id, year``, component and raw columns)."""
+    draws_ = list(draws_)
+    blocks, series = cube(panel, scratch), len(draws_) * len(GROUPS)
+    q = series_quantiles(blocks, partial(group_scores, draws_=draws_), series, (0.0, *ROBUST_QUANTILES, 1.0))
+    bounds = np.where((q[:, 1] == q[:, 2])[:, None], q[:, [0, 3]], q[:, 1:3])
+    return Runs(blocks, draws_, bounds, scratch)
+
+
+def _numbers(runs: Runs) -> np.ndarray:
+    return np.array([d["run"] for d in runs.draws], np.int32)
+
+
+def scores(runs: Runs, year: int | None = None) -> DataFrame:
+    """``run, road_id, year, score`` of every road and run, in one year or all."""
+    matrix, numbers = runs.scores_of(), _numbers(runs)
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks_of(b):
+                s, ids, years = matrix(block), array(block, "ids", "<i8"), array(block, "years", "<i4")
+                keep = np.ones(len(ids), bool) if year is None else years == year
+                s, n = s[keep], int(keep.sum())
+                flat = s.ravel()
+                cols = [
+                    pa.array(np.tile(numbers, n)), pa.array(np.repeat(ids[keep], len(numbers))), pa.array(np.repeat(years[keep], len(numbers))),
+                    pa.array(flat, mask=np.isnan(flat)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["run", "road_id", "year", "score"])
+
+    return runs.blocks.mapInArrow(out, "run int, road_id long, year int, score double")
+
+
+def run_ranks(runs: Runs, year: int) -> DataFrame:
+    """``n int, ids binary, pct binary``: blocks of the roads of one year with their percentile rank in each run (a
+    matrix of roads by runs). Scores are rounded to 8 digits first, so that rounding doesn't break ties."""
+    matrix = runs.scores_of(year)
+
+    def finish(block: Block, ranks: np.ndarray) -> list[pa.Array]:
+        own = array(block, "years", "<i4") == year
+        values = [int(own.sum()), array(block, "ids", "<i8")[own].tobytes(), np.ascontiguousarray(ranks[own]).tobytes()]
+        return [pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+
+    return runs.scratch.table(
+        with_ranks(runs.blocks, lambda b: np.round(matrix(b), 8), finish, "n int, ids binary, pct binary", runs.scratch), "ranks"
+    )
 
 
-def run_ranks(scored: DataFrame, year: int) -> DataFrame:
-    """Percentile rank of each road within each run, in one year."""
-    one = scored.filter(F.col("year") == year).select("run", "road_id", F.round("score", 8).alias("score"))
-    return rank_pct(one, "score", "pct", by=["run"])
+def road_uncertainty(ranks: DataFrame, runs: Runs) -> DataFrame:
+    """Rank quantiles over runs, how often a road is in the top 10% and 20%, and its rank in run 0."""
+    m, first = len(runs.draws), int(np.flatnonzero(_numbers(runs) == 0)[0])
 
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks_of(b):
+                p = array(block, "pct", columns=m)
+                if not len(p):
+                    continue
+                some = ~np.isnan(p).all(axis=1)
+                p, ids = p[some], array(block, "ids", "<i8")[some]
+                n = (~np.isnan(p)).sum(axis=1)
+                q = np.nanquantile(p, (0.05, 0.5, 0.95), axis=1)
+                base = p[:, first]
+                cols = [pa.array(ids), *map(pa.array, q), pa.array((p > 0.9).sum(axis=1) / n), pa.array((p > 0.8).sum(axis=1) / n)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(base, mask=np.isnan(base))], ["road_id", "q05", "q50", "q95", "top10", "top20", "base"])
 
-def road_uncertainty(ranks: DataFrame) -> DataFrame:
-    """Rank quantiles over runs, and how often a road is in the top 10% and 20%."""
-    q = F.percentile("pct", F.array(*[F.lit(v) for v in (0.05, 0.5, 0.95)]))
-    return ranks.groupBy("road_id").agg(
-        q.alias("q"), F.avg((F.col("pct") > 0.9).cast("double")).alias("top10"), F.avg((F.col("pct") > 0.8).cast("double")).alias("top20")
-    ).select("road_id", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"), "top10", "top20")
+    return ranks.mapInArrow(out, "road_id long, q05 double, q50 double, q95 double, top10 double, top20 double, base double")
 
 
-def area_uncertainty(scored: DataFrame, areas: DataFrame, year: int, least: int = 20) -> DataFrame:
+def area_uncertainty(scored: DataFrame, areas: DataFrame, least: int = 20) -> DataFrame:
     """Distribution of each area's rank by mean score over runs, and how often it is in the first 5 and 20.
 
-    ``areas``: ``road_id, area``; areas of fewer than ``least`` roads are left out.
+    ``scored``: one year of ``scores``; ``areas``: ``road_id, area``; areas of fewer than ``least`` roads are left out.
     """
     big = areas.groupBy("area").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("area")
     named = areas.join(big, "area", "left_semi")
-    means = scored.filter(F.col("year") == year).join(named, "road_id").groupBy("run", "area").agg(F.round(F.avg("score"), 8).alias("mean"))
+    means = scored.join(named, "road_id").groupBy("run", "area").agg(F.round(F.avg("score"), 8).alias("mean"))
     ranked = means.withColumn("place", F.rank().over(Window.partitionBy("run").orderBy(F.desc("mean"))))
     return ranked.groupBy("area").agg(
         F.median("place").alias("median_rank"),
@@ -147,21 +247,34 @@ def area_uncertainty(scored: DataFrame, areas: DataFrame, year: int, least: int
     )
 
 
-def run_outputs(ranks: DataFrame, share: float = 0.1) -> DataFrame:
-    """Each run against run 0: Spearman of ranks and overlap of the top share."""
-    base = ranks.filter("run = 0").select("road_id", F.col("pct").alias("base"))
-    both = ranks.filter("run > 0").join(base, "road_id")
-    top = F.col("base") > 1 - share
-    hit = top & (F.col("pct") > 1 - share)
-    return both.groupBy("run").agg(
-        F.corr("base", "pct").alias("spearman"), (F.count(F.when(hit, 1)) / F.greatest(F.count(F.when(top, 1)), F.lit(1))).alias("overlap")
-    )
-
-
-def stable_top(ranks: DataFrame, uncertainty: DataFrame, share: float = 0.1, least: float = 0.9) -> DataFrame:
+def run_outputs(ranks: DataFrame, runs: Runs, share: float = 0.1) -> DataFrame:
+    """Each run against run 0: Spearman of ranks and overlap of the top share. A block sends one row of sums a run."""
+    m, numbers = len(runs.draws), _numbers(runs)
+    first = int(np.flatnonzero(numbers == 0)[0])
+    names = ("n", "b", "p", "bb", "pp", "bp", "top", "hit")
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks_of(batch):
+                p = array(block, "pct", columns=m)
+                b = p[:, first, None]
+                both = ~np.isnan(p) & ~np.isnan(b)
+                x, y = np.where(both, b - 0.5, 0.0), np.where(both, p - 0.5, 0.0)  # about the mean rank, against cancellation
+                top = both & (b > 1 - share)
+                sums = (both, x, y, x * x, y * y, x * y, top, top & (p > 1 - share))
+                cols = [pa.array(s.sum(axis=0).astype(np.float64)) for s in sums]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *cols], ["run", *names])
+
+    sent = ranks.filter("n > 0").mapInArrow(out, "run int, " + ", ".join(f"{n} double" for n in names))
+    t = sent.filter("run > 0").groupBy("run").agg(*[F.sum(n).alias(n) for n in names])
+    n, b, p, bb, pp, bp = (F.col(c) for c in names[:6])
+    spearman = (bp - b * p / n) / F.sqrt((bb - b * b / n) * (pp - p * p / n))
+    return t.select("run", spearman.alias("spearman"), (F.col("hit") / F.greatest(F.col("top"), F.lit(1.0))).alias("overlap"))
+
+
+def stable_top(uncertainty: DataFrame, share: float = 0.1, least: float = 0.9) -> DataFrame:
     """Of run 0's top share, how many stay there in at least ``least`` of the runs."""
-    base = ranks.filter("run = 0").filter(F.col("pct") > 1 - share).select("road_id")
-    j = base.join(uncertainty.select("road_id", "top10"), "road_id")
     stays = F.count(F.when(F.col("top10") >= least, 1))
-    return j.agg(F.count("*").alias("top"), stays.alias("stable"), (stays / F.greatest(F.count("*"), F.lit(1))).alias("share"))
-
+    return uncertainty.filter(F.col("base") > 1 - share).agg(
+        F.count("*").alias("top"), stays.alias("stable"), (stays / F.greatest(F.count("*"), F.lit(1))).alias("share")
+    )

@@ -47,9 +47,9 @@ def fixed_score(panel: DataFrame, bounds: DataFrame, weights: Mapping[str, float
 
 def group_bounds(panel: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Pooled robust bounds of each group's score."""
-    grouped = panel.select(*[c.alias(g) for g, c in group_columns(weights).items()])
-    row = grouped.agg(*[robust_bounds(F.col(g)).alias(g) for g in GROUPS])
-    return row.select(*[F.col(g)[i].alias(f"{e}_{g}") for g in GROUPS for i, e in enumerate(("lo", "hi"))])
+    bounds = robust_bounds(panel.select(*[c.alias(g) for g, c in group_columns(weights).items()]), list(GROUPS))
+    names = [f"{e}_{g} double" for g in GROUPS for e in ("lo", "hi")]
+    return panel.sparkSession.createDataFrame([tuple(v for g in GROUPS for v in bounds[g])], ", ".join(names))
 
 
 def agreement(base: DataFrame, other: DataFrame, key: str = "road_id", share: float = 0.1) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators.index import complete_case, components, percent_of_range, pooled_percent, score
+from kerbside.operators.index import GROUPS, complete_case, components, percent_of_range, pooled_percent, score
+from kerbside.scratch import Scratch
 
 YEARS = (1996, 2000)
 THREE = (1996, 1998, 2000)
@@ -152,15 +153,10 @@ def panel_sql(years=YEARS) -> str:
 panel AS (SELECT * FROM panel0 JOIN roads USING (road_id) WHERE {have})"""
 
 
-_held: dict[tuple[str, str, tuple[int, ...]], DataFrame] = {}
-
-
 def component_panel(spark: SparkSession, sf_dir: str, years=YEARS) -> DataFrame:
-    """The panel with components: bounds, scores and runs all read it, so it is kept (memory, then disk) once per table set."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(years))
-    if key not in _held:
-        _held[key] = components(panel(spark, sf_dir, years)).persist()
-    return _held[key]
+    """The panel with components. Each call writes its own: bounds, scores and runs of one query read it often."""
+    scratch = Scratch(spark, "panel")
+    return scratch.table(components(scratch.table(panel(spark, sf_dir, years), "raw")), "components")
 
 
 def _bounds_sql(column: str, source: str, name: str) -> str:
@@ -202,12 +198,7 @@ def components_sql(years=YEARS) -> str:
     return ",".join(parts)
 
 
-#: Members of each group, in order.
-_GROUPS = {
-    "hazard": ["hazard"],
-    "exposure": ["exposure", "built"],
-    "vulnerability": ["elderly", "children", "deprivation", "health", "green", "trees"],
-}
+_GROUPS = {g: list(members) for g, members in GROUPS.items()}
 
 
 def score_sql(weights: dict[str, float] | None = None, source: str = "comp", tag: str = "", floor: float = 0.05) -> str:

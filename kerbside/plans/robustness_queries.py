@@ -11,6 +11,7 @@ from kerbside.operators import correlation, montecarlo, robustness
 from kerbside.operators.index import GROUPS, RAW, score
 from kerbside.plans import bindings as b
 from kerbside.plans.index_queries import rounded
+from kerbside.scratch import Scratch
 
 RUNS, SEED = 12, 42
 #: The operators' own sizes, for the queries whose names end in ``_500``.
@@ -37,7 +38,8 @@ def profile_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def robustness_overlap(spark: SparkSession, d: str) -> DataFrame:
     p = b.component_panel(spark, d)
-    in_year = lambda df: df.filter(F.col("year") == Y).select("road_id", F.round("score", 8).alias("score")).persist()
+    scratch = Scratch(spark, "agreement")
+    in_year = lambda df: scratch.table(df.filter(F.col("year") == Y).select("road_id", F.round("score", 8).alias("score")), "scores")
     base, out = in_year(score(p)), None
     for name, w in robustness.PROFILES.items():
         one = robustness.agreement(base, in_year(score(p, w))).withColumn("profile", F.lit(name))
@@ -47,7 +49,8 @@ def robustness_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_movers(spark: SparkSession, d: str, count: int = 50) -> DataFrame:
     p = b.component_panel(spark, d)
-    in_year = lambda df: df.filter(F.col("year") == Y).select("road_id", F.round("score", 8).alias("score")).persist()
+    scratch = Scratch(spark, "movers")
+    in_year = lambda df: scratch.table(df.filter(F.col("year") == Y).select("road_id", F.round("score", 8).alias("score")), "scores")
     return robustness.biggest_movers(in_year(score(p)), in_year(score(p, robustness.PROFILES["equity_priority"])), count=count)
 
 
@@ -76,39 +79,43 @@ def shapley(spark: SparkSession, d: str) -> DataFrame:
     return rounded(robustness.shapley(b.component_panel(spark, d), b.YEARS), "total", "heat", "vegetation")
 
 
-def _scores(spark: SparkSession, d: str, runs: int) -> DataFrame:
-    table = montecarlo.draw_table(spark, montecarlo.draws(runs, SEED))
-    return montecarlo.scores(montecarlo.cube(b.component_panel(spark, d)), table)
+def _runs(spark: SparkSession, d: str, runs: int) -> montecarlo.Runs:
+    return montecarlo.simulate(b.component_panel(spark, d), montecarlo.draws(runs, SEED), Scratch(spark, "runs"))
 
 
 def mc_scores(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
-    return rounded(_scores(spark, d, runs).filter(F.col("year") == Y).drop("year"), "score")
+    return rounded(montecarlo.scores(_runs(spark, d, runs), Y).drop("year"), "score")
 
 
 def mc_rank_quantiles(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
-    u = montecarlo.road_uncertainty(montecarlo.run_ranks(_scores(spark, d, runs), Y))
+    all_ = _runs(spark, d, runs)
+    u = montecarlo.road_uncertainty(montecarlo.run_ranks(all_, Y), all_).drop("base")
     return rounded(u, "q05", "q50", "q95", "top10", "top20")
 
 
 def mc_area_ranks(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
-    areas = b.component_panel(spark, d).filter(F.col("year") == Y).select("road_id", F.col("neighbourhood").alias("area"))
-    out = montecarlo.area_uncertainty(_scores(spark, d, runs), areas, Y)
-    return rounded(out, "median_rank", "p_first5", "p_first20")
+    panel, scratch = b.component_panel(spark, d), Scratch(spark, "runs")
+    areas = panel.filter(F.col("year") == Y).select("road_id", F.col("neighbourhood").alias("area"))
+    all_ = montecarlo.simulate(panel, montecarlo.draws(runs, SEED), scratch)
+    return rounded(montecarlo.area_uncertainty(montecarlo.scores(all_, Y), areas), "median_rank", "p_first5", "p_first20")
 
 
 def mc_run_outputs(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
-    return rounded(montecarlo.run_outputs(montecarlo.run_ranks(_scores(spark, d, runs), Y)), "spearman", "overlap")
+    all_ = _runs(spark, d, runs)
+    return rounded(montecarlo.run_outputs(montecarlo.run_ranks(all_, Y), all_), "spearman", "overlap")
 
 
 def mc_stable_top(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
-    ranks = montecarlo.run_ranks(_scores(spark, d, runs), Y).persist()
-    return rounded(montecarlo.stable_top(ranks, montecarlo.road_uncertainty(ranks)), "share")
+    all_ = _runs(spark, d, runs)
+    return rounded(montecarlo.stable_top(montecarlo.road_uncertainty(montecarlo.run_ranks(all_, Y), all_)), "share")
 
 
 def mc_default_check(spark: SparkSession, d: str, runs: int = RUNS) -> DataFrame:
     """Run 0 against the published score."""
-    ours = _scores(spark, d, runs).filter((F.col("run") == 0) & (F.col("year") == Y)).select("road_id", F.col("score").alias("run0"))
-    theirs = score(b.component_panel(spark, d)).filter(F.col("year") == Y).select("road_id", F.col("score").alias("published"))
+    panel, scratch = b.component_panel(spark, d), Scratch(spark, "runs")
+    all_ = montecarlo.simulate(panel, montecarlo.draws(runs, SEED), scratch)
+    ours = montecarlo.scores(all_, Y).filter("run = 0").select("road_id", F.col("score").alias("run0"))
+    theirs = score(panel).filter(F.col("year") == Y).select("road_id", F.col("score").alias("published"))
     return rounded(ours.join(theirs, "road_id").agg(F.count("*").alias("n"), F.corr("run0", "published").alias("r")), "r")
 
 

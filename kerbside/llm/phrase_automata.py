@@ -3,25 +3,26 @@
 A window is ``window`` consecutive words of one document. Every word covered by a window
 whose word sequence also starts anywhere else is removed.
 
-1. Find. A window's anchor is the smallest hash among its ``anchor``-word sequences, so equal
-   windows have equal anchors at equal places. Consecutive windows with one anchor are a
-   run; runs go, packed into arrays, to shards by anchor. A shard compares only runs
-   whose anchor others have too, and answers with each repeated window's documents
-   and the smallest of them, which keeps the sequence's text for the others.
-2. Confirm and locate. A document's repeated windows merge into passages, and each
-   passage goes to the document that keeps it. There the kept passages are cut
-   into blocks of ``(window + 1) // 2`` words, one of which lies whole in every window, and
-   compiled into an Aho-Corasick automaton over exact words. All passages sent
-   there stream through it; each hit is extended word by word, and what agrees on ``window``
-   words or more is an occurrence, so hashes decide nothing. A window that lies in no
-   occurrence met its keeper only by equal hashes; such windows are compared
-   with each other by their exact words, so that a false match hides no real one.
-3. Remove. Occurrences are gathered by document and cut out.
-
-Shards grow in number with the corpus, at about ``shard_windows`` windows each. An
-automaton holds the passages of one keeping document; a document that keeps more
-than ``stream_words`` words for others has as many copies of its automaton, and the
-passages are dealt over them.
+1. Confirm. A window's anchor is the smallest hash among its ``anchor``-word sequences, so equal
+   windows have equal anchors at equal places. All documents are read; consecutive windows with
+   one anchor are a run, and runs go, packed into arrays, to shards by anchor. A shard compares only
+   runs whose anchor others have too, and answers with each repeated window's documents
+   and the smallest of them, which keeps the sequence's text for the others. Anchors
+   that very many runs have are dealt by window instead, so no shard grows with them.
+2. Compile. The kept passages are dealt into shards of about ``stream_words`` words of passages to
+   search. A shard's passages are cut into blocks of ``(window + 1) // 2`` words, one of which
+   lies whole in every window, and compiled into one Aho-Corasick automaton over exact words. A
+   passage that more text than that has to meet is in as many shards as it needs.
+3. Stream. The stretches of all documents that can hold an occurrence (those with a window that
+   step 1 saw twice; equal windows have equal hashes, so there are no others) stream through their
+   shard's automaton. Each hit is extended word by word, and what agrees on ``window`` words or more is
+   an occurrence, whichever document keeps it. A window that lies in none met its
+   keeper only by equal hashes; such windows are compared with each other by their exact
+   words, so a false match hides no real one.
+4. Remove. Occurrences are gathered by document and cut out.
+
+Every shard is bounded: of runs by ``shard_windows`` windows on average, of passages by ``stream_words``. What is
+sampled (rows, by a hash of their key) only says which anchors are dealt by window.
 
 Defined results: null and empty texts have no words; documents of fewer words than a
 window lose nothing; repeats within one document count; rows without an id are left out;
@@ -65,7 +66,39 @@ def runs_of(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, .
     return h[at[start]], start, at[start], n, (whole >> U64(32)).astype(np.uint32)
 
 
-def _find(shards: int, window: int, anchor: int):
+def _anchors(window: int, anchor: int):
+    """The anchor of every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(runs_of(words_of(t), window, anchor)[0].view(np.int64))], ["anchor"])
+
+    return run
+
+
+def _hot_anchors(texts: DataFrame, window: int, anchor: int, runs: float, most: int) -> np.ndarray:
+    """Anchors that more than about ``most`` runs have, sorted: at most ``2 * runs / most``, found in a sample of the rows."""
+    rate = min(1.0, 80 / most)
+    if runs < most:
+        return np.empty(0, U64)
+    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    counts = some.select("text").mapInArrow(_anchors(window, anchor), "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") >= max(1, int(most * rate / 2))).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in hot], np.int64).view(U64))
+
+
+def _single(head: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of hot anchors as runs of one window each, and which of the runs those are."""
+    n = np.where(np.isin(head["anchor"], hot), head["n"], 1)
+    out = np.repeat(head, n)
+    alone = np.repeat(np.isin(head["anchor"], hot), n)
+    out["start"] += (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32) * alone
+    out["n"][alone] = 1
+    return out, alone
+
+
+def _find(shards: int, window: int, anchor: int, hot: np.ndarray):
     """One row for each shard and slice of documents: the packed runs and their windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +114,15 @@ def _find(shards: int, window: int, anchor: int):
             if not heads:
                 continue
             head, h = np.concatenate(heads), np.concatenate(hashes)
-            shard = (mix64(head["anchor"]) % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            key = head["anchor"]
             first = np.cumsum(head["n"]) - head["n"]
+            if len(hot):
+                head, alone = _single(head, hot)
+                first = np.cumsum(head["n"]) - head["n"]
+                key = head["anchor"].copy()
+                key[alone] ^= mix64(h[first[alone]].astype(U64) + U64(1))
+            shard = (mix64(key) % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
             head, shard, first = head[order], shard[order], first[order]
             n = head["n"].astype(np.int64)
             h = h[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -198,23 +237,28 @@ def _passages(window: int):
 
 
 class Phrases:
-    """The automaton of one keeping document's passages."""
+    """The automaton of one shard's kept passages."""
 
     def __init__(self, window: int):
         self.window, self.block = window, (window + 1) // 2
         self.letters: dict[bytes, int] = {}
-        self.passages: list[tuple[int, np.ndarray]] = []
+        self.passages: list[tuple[int, int, np.ndarray]] = []  # keeping document, first word, words
         self.covered: list[np.ndarray] = []
+        self.of: dict[int, dict[int, int]] = {}  # by keeping document and first word
         self.automaton = None
 
-    def keep(self, first: int, words: list[bytes]) -> None:
+    def keep(self, keeper: int, first: int, words: list[bytes]) -> None:
+        own = self.of.setdefault(keeper, {})
+        if first in own:
+            return
+        own[first] = len(self.passages)
         letters = self.letters
-        self.passages.append((first, np.array([letters.setdefault(w, len(letters) + 1) for w in words], np.int32)))
+        self.passages.append((keeper, first, np.array([letters.setdefault(w, len(letters) + 1) for w in words], np.int32)))
         self.covered.append(np.zeros(len(words), bool))
 
     def compile(self) -> None:
         blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for s, (_, p) in enumerate(self.passages):
+        for s, (_, _, p) in enumerate(self.passages):
             for at in range(0, len(p) - self.block + 1, self.block):
                 blocks.setdefault(tuple(p[at : at + self.block].tolist()), []).append((s, at))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -222,20 +266,21 @@ class Phrases:
             self.automaton.add_word(key, places)
         self.automaton.make_automaton()
 
-    def locate(self, first: int, words: list[bytes], own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Which words of a passage lie in an occurrence, and which windows lie whole in one; marks the kept words
-        it agrees with. ``own``: of the keeper itself."""
+    def locate(self, doc: int, keeper: int, first: int, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of a stretch of ``doc`` lie in an occurrence, and which windows lie whole in one; marks the kept
+        words it agrees with. ``keeper`` is the document that step 1 named for it."""
         out, whole = np.zeros(len(words), bool), np.zeros(max(0, len(words) - self.window + 1), bool)
         if not self.automaton:
             return out, whole
         x = np.array([self.letters.get(w, 0) for w in words], np.int32)
         done: dict[tuple[int, int], int] = {}
+        kept = self.of.get(keeper, {}).values()
         for end, places in self.automaton.iter(tuple(x.tolist())):
             start = end - self.block + 1
             for s, at in places:
-                base, p = self.passages[s]
-                if own and base + at == first + start:
-                    continue  # the passage met itself
+                owner, base, p = self.passages[s]
+                if owner == doc and base + at == first + start:
+                    continue  # the stretch met itself
                 if done.get((s, at - start), -1) >= end:
                     continue
                 n = min(start, at)
@@ -249,7 +294,7 @@ class Phrases:
                     out[start - left : start + right] = True
                     whole[start - left : start + right - self.window + 1] = True
                     self.covered[s][at - left : at + right] = True
-            if out.all() and (own or whole.all()) and all(c.all() for c in self.covered):
+            if out.all() and (doc == keeper or whole.all()) and all(self.covered[s].all() for s in kept):
                 break
         return out, whole
 
@@ -260,7 +305,7 @@ def _stretches(mask: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
 
 
 def _locate(window: int):
-    """Over rows sorted by (keeper, copy, later): the stretches of words that occurrences cover, without ``words``; and
+    """Over rows sorted by (shard, later): the stretches of words that occurrences cover, without ``words``; and
     the windows that lie in none, with theirs. The keeper's own are all kept, so theirs have met all that is equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,27 +313,27 @@ def _locate(window: int):
 
         def close() -> None:
             if phrases is not None:
-                for (base, _), mask in zip(phrases.passages, phrases.covered, strict=True):
-                    rows.extend((key[0], a, z, None) for a, z in _stretches(mask, base))
+                for (owner, base, _), mask in zip(phrases.passages, phrases.covered, strict=True):
+                    rows.extend((owner, a, z, None) for a, z in _stretches(mask, base))
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "lo", "hi", "words"])
 
-        names = ("keeper", "copy", "later", "doc_id", "first", "words")
+        names = ("shard", "keeper", "later", "doc_id", "first", "words")
         for b in slices(batches):
-            for keeper, copy, later, doc, first, text in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if (keeper, copy) != key:
+            for shard, keeper, later, doc, first, text in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if shard != key:
                     close()
-                    key, phrases = (keeper, copy), Phrases(window)
+                    key, phrases = shard, Phrases(window)
                 words = text.encode("utf-8", "surrogatepass").split()
                 if not later:
-                    phrases.keep(first, words)
+                    phrases.keep(keeper, first, words)
                     continue
                 if phrases.automaton is None:
                     phrases.compile()
-                mask, whole = phrases.locate(first, words, doc == keeper)
+                mask, whole = phrases.locate(doc, keeper, first, words)
                 rows.extend((doc, a, z, None) for a, z in _stretches(mask, first))
                 if doc != keeper:
                     for k in np.flatnonzero(~whole).tolist():
@@ -346,7 +391,8 @@ def remove_repeats(
     window: int = 35,
     anchor: int = 12,
     shard_windows: int = 1_000_000,
-    stream_words: int = 1_000_000,
+    stream_words: int = 100_000,
+    hot_runs: int = 80_000,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept``; ``kept`` is null where nothing is removed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -354,7 +400,9 @@ def remove_repeats(
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(parts, math.ceil(size / 6 / shard_windows))
     texts = _keyed(texts, scratch)
-    packed = texts.select("row", "text").mapInArrow(_find(shards, window, anchor), "shard long, runs binary, hashes binary")
+    runs = 2 * size / 6 / (window - anchor + 2)  # a window's smallest of that many places changes twice in as many words
+    hot = _hot_anchors(texts, window, anchor, runs, max(hot_runs, math.ceil(runs / 1_000_000)))  # at most 2,000,000
+    packed = texts.select("row", "text").mapInArrow(_find(shards, window, anchor, hot), "shard long, runs binary, hashes binary")
     hits = (
         packed.repartition(shards, "shard")
         .sortWithinPartitions("shard")
@@ -369,24 +417,23 @@ def remove_repeats(
         joined.mapInArrow(_passages(window), f"doc_id long, id long, n_words long, kept_sha256 string, text string, {piece}"), "found"
     )
     pieces = found.filter("text is not null").select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
-    copies = scratch.table(
-        pieces.groupBy("keeper")
-        .agg(F.sum(F.octet_length("words")).alias("bytes"))
-        .select("keeper", F.ceil(F.col("bytes") / (6 * stream_words)).cast("int").alias("copies")),
-        "copies",
-    )
+    weighed = scratch.table(pieces.groupBy("keeper").agg(F.sum(F.octet_length("words")).alias("bytes")), "weighed")
+    total = weighed.agg(F.sum("bytes")).first()[0] or 0
+    automata = max(parts, math.ceil(total / (6 * stream_words)))
+    copies = weighed.select("keeper", F.ceil(F.col("bytes") / (6 * stream_words)).cast("int").alias("copies"))
     dealt = pieces.join(copies.hint("merge"), "keeper")
     kept = dealt.filter("doc_id = keeper").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))))
     )
-    streams = dealt.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.greatest("copies", F.lit(1))).cast("int"))
-    columns = ["keeper", "copy", "later", "doc_id", "first", "words"]
+    streams = dealt.withColumn("copy", F.pmod(F.xxhash64("doc_id", "first"), F.greatest("copies", F.lit(1))).cast("int"))
+    shard = F.pmod(F.xxhash64("keeper", "copy"), F.lit(automata)).alias("shard")
+    columns = [shard, "keeper", "later", "doc_id", "first", "words"]
     located = (
         kept.withColumn("later", F.lit(0))
         .select(*columns)
         .unionByName(streams.withColumn("later", F.lit(1)).select(*columns))
-        .repartition(parts, "keeper", "copy")
-        .sortWithinPartitions("keeper", "copy", "later")
+        .repartition(min(automata, 4 * parts), "shard")
+        .sortWithinPartitions("shard", "later")
         .mapInArrow(_locate(window), "doc_id long, lo long, hi long, words string")
     )
     located = scratch.table(located, "located")

@@ -117,7 +117,7 @@ def test_phrases(spark, texts):
                 gone[k : k + 35] = [True] * 35
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
-    for settings in ({}, {"stream_words": 20, "shard_windows": 50}):
+    for settings in ({}, {"stream_words": 20, "shard_windows": 50}, {"hot_runs": 2, "stream_words": 500}):
         out = phrase_automata.remove_repeats(corpus(spark, texts), Scratch(spark, "t"), **settings)
         assert by_doc(out, "n_words", "n_removed", "kept_sha256") == want
     assert sum(v[1] for v in want.values()) > 500
@@ -160,10 +160,12 @@ def test_subspace_join(spark):
     linked = [(a, b) for a, x in unit for b, y in unit if a != b and x @ y >= 0.9]
     root = brute_components(dict(rows), linked)
     n = collections.Counter(a for a, _ in linked)
-    for settings in ({}, {"tile": 8, "block": 5}):
+    for settings in ({}, {"tile_floats": 100, "block": 5}):
         out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in subspace_join.near_duplicates(df, Scratch(spark, "t"), **settings).collect()}
         assert out == {i: (n[i], root[i]) for i, _ in rows}
     assert len(linked) > 40
+    again = subspace_join.near_duplicates(df.union(df.filter("vec_id < 100")), Scratch(spark, "t"), tile_floats=200)
+    assert {r["vec_id"]: r["component_id"] for r in again.collect()} == root
     assert subspace_join.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 

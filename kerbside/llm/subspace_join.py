@@ -7,19 +7,20 @@ proportional to its dimensions. A pair within the distance is within the budget
 one block at least, so the union of the blocks' range joins holds every link;
 candidates are then verified by cosine in doubles on the original vectors.
 
-Vectors are sorted by the signs of their leading rotated coordinates and packed into
-tiles of about ``tile`` rows (at most twice that) with a bounding box. The range join of a block is first one of
-boxes: tiles meet by an equal join on the cells that their boxes, widened by the block's
-radius, cover along the block's first coordinate, and are kept if the boxes come within the
-budget in the whole block. Then each surviving pair of tiles is one row for one task, whose
-memory is bounded: squared distances block by block in one product each, the union
-of what passes, and the exact check. No pair of vectors leaves a task: a task sends each
-vector's number of links, and one edge for each pair of the tiles' own components
-that are linked. So a group of any size costs no skew and few rows.
+Vectors are ordered by a tree of half-spaces (fitted on a bounded sample, applied to all) and packed into
+tiles with a bounding box. The range join of a block is first one of boxes: tiles meet by an equal
+join on the cells that their boxes, widened by the block's radius, cover along the block's first coordinate,
+and are kept if the boxes come within the budget in the whole block. Each surviving pair of
+tiles is one row for one task, whose memory is bounded; there the same test of boxes is made for pairs of
+smaller pieces, and in what is left squared distances block by block in one product each, the union of
+what passes, and the exact check. No pair of vectors leaves a task: a task sends each vector's number
+of links, and one edge for each pair of the tiles' own components that are linked. So a
+group of any size costs no skew and few rows.
 
 Defined results: vectors that are no usable vector (``vectors.usable``) link with nothing
-and are components of their own; rows that share an id are one vector in the result and link
-with nothing through each other; empty tables give no rows.
+and are components of their own, and so do vectors of different lengths with each other; rows that
+share an id are one vector in the result, which counts a link for each row it meets, and link with
+nothing through each other; other columns take no part; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kerbside.llm.components import connected_components
-from kerbside.llm.minhash import _forest
 from kerbside.llm.scratch import Scratch
-from kerbside.llm.vectors import matrix, packed, unpacked, usable
+from kerbside.llm.vectors import grouped, packed, pieces, sampled_splits, unit, unpacked, usable
 
 #: Relative room for rounding in single precision; candidates are verified in doubles.
 ROOM = 1e-4
+#: Rows of the pieces of tiles that are compared at a time.
+PIECE = 1024
 
 
 def rotation(dims: int, seed: int = 29) -> np.ndarray:
@@ -47,37 +48,34 @@ def rotation(dims: int, seed: int = 29) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows at length 1; scaled first, so that squares neither overflow nor vanish."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def splits(dims: int, block: int) -> list[slice]:
     return [slice(at, min(at + block, dims)) for at in range(0, dims, block)]
 
 
-def candidates(a: np.ndarray, b: np.ndarray, least: float, block: int) -> np.ndarray:
-    """Pairs of rotated unit rows that are within the budget of at least one block."""
-    dims, budget = a.shape[1], 2 - 2 * least
-    out = np.zeros((len(a), len(b)), bool)
-    for s in splits(dims, block):
-        x, y = a[:, s].astype(np.float32), b[:, s].astype(np.float32)
-        lo, hi = np.maximum(x.min(0), y.min(0)), np.minimum(x.max(0), y.max(0))
-        share = budget * (s.stop - s.start) / dims
-        if (np.maximum(lo - hi, 0).astype(np.float64) ** 2).sum() > share * (1 + ROOM):
+def shares(dims: int, least: float, block: int) -> list[tuple[slice, float]]:
+    """Each block and its part of the squared distance, with room for rounding."""
+    budget = 2 - 2 * least
+    return [(s, budget * (s.stop - s.start) / dims * (1 + ROOM) + 1e-6) for s in splits(dims, block)]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, least: float, block: int) -> np.ndarray | None:
+    """Pairs of rotated unit rows that are within the budget of at least one block; None if the boxes rule all out."""
+    out = None
+    for s, share in shares(a.shape[1], least, block):
+        x, y = a[:, s], b[:, s]
+        gap = np.maximum(np.maximum(x.min(0) - y.max(0), y.min(0) - x.max(0)), 0)
+        if (gap.astype(np.float64) ** 2).sum() > share:
             continue
         d = x @ y.T
         d *= -2
         d += np.einsum("ij,ij->i", x, x)[:, None]
         d += np.einsum("ij,ij->i", y, y)[None, :]
-        out |= d <= share * (1 + ROOM) + 1e-6
+        out = d <= share if out is None else out | (d <= share)
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, block: int) -> np.ndarray:
-    """The pairs of unit rows whose cosine reaches ``least``."""
-    near = candidates(a @ turn, b @ turn, least, block)
+def verified(near: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Of candidate pairs of unit rows, those whose cosine reaches ``least``."""
     rows, cols = np.nonzero(near)
     if len(rows) > near.size // 16:
         return near & (a @ b.T >= least)
@@ -87,70 +85,76 @@ def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, block:
     return near
 
 
-def _code(x: np.ndarray, bits: int = 24) -> np.ndarray:
-    out = np.zeros(len(x), np.int64)
-    for i in range(min(bits, x.shape[1])):
-        out = out << 1 | (x[:, i] > 0)
-    return out
+class Tile:
+    """Unit rows, their rotation in single precision, and the ids; cut into pieces."""
 
+    def __init__(self, ids: np.ndarray, x: np.ndarray, seed: int):
+        self.ids, self.u = ids, unit(x)
+        self.spun = (self.u @ rotation(x.shape[1], seed)).astype(np.float32)
+        self.pieces = [slice(at, min(at + PIECE, len(ids))) for at in range(0, len(ids), PIECE)]
 
-def _coded(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = matrix(b.column("embedding"), b.num_rows)
-                code = _code(unit(x) @ rotation(x.shape[1], seed))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code)], [*b.schema.names, "code"])
 
-    return run
+def linked(a: Tile, b: Tile, least: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and rows of ``b`` that are linked, some pairs at a time; both ways if they are one tile."""
+    for p in a.pieces:
+        for q in b.pieces:
+            near = candidates(a.spun[p], b.spun[q], least, block)
+            if near is None:
+                continue
+            near &= a.ids[p][:, None] != b.ids[q][None, :]
+            i, j = np.nonzero(verified(near, a.u[p], b.u[q], least))
+            yield i + p.start, j + q.start
+
+
+def _different(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two columns of numbers below ``n``."""
+    key = np.unique(a * n + b)
+    return key // n, key % n
 
 
-TILE = "tile long, ids binary, vectors binary, component binary, links binary, low array<double>, high array<double>"
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each row's least known row of its component) after linking rows ``i`` with rows ``j``."""
+    i, j = label[i], label[j]
+    apart = i != j
+    i, j = _different(i[apart], j[apart], len(label))
+    root = np.arange(len(label))
+    while len(i):
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return root[label]
+
+
+TILE = "tile long, dims int, ids binary, vectors binary, component binary, links binary, low array<double>, high array<double>"
 
 
 def _tiled(tile: int, least: float, block: int, seed: int):
     """Sorted rows to tiles, each with its own links counted and its own components named."""
 
-    def made(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-        turn, u = rotation(x.shape[1], seed), unit(x)
-        same = linked(u, u, turn, least, block)
-        same &= ids[:, None] != ids[None, :]
-        component = ids.copy()
-        root, moved = _forest(ids, same)
-        component[np.searchsorted(ids, moved)] = root
-        spun = u @ turn
-        low, high = spun.min(axis=0), spun.max(axis=0)
-        values = [[int(ids[0])], [ids.tobytes()], [packed(x)], [component.tobytes()], [same.sum(axis=1).astype("<i8").tobytes()]]
-        kinds = [pa.int64()] + [pa.binary()] * 4
-        names = ["tile", "ids", "vectors", "component", "links"]
-        cols = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
-        cols += [pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64()))]
-        return pa.RecordBatch.from_arrays(cols, [*names, "low", "high"])
-
-    def sorted_by_id(parts):
-        ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+    def made(number: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        return [(ids[order], x[order])]
+        rank = np.empty(len(ids), np.int64)  # rows by id, so that a component's least row is its least id
+        rank[order] = np.arange(len(ids))
+        own = Tile(ids, x, seed)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j in linked(own, own, least, block):
+            links += np.bincount(i, minlength=len(ids))
+            label = _joined(label, rank[i], rank[j])
+        component = ids[order][label[rank]]
+        values = [[number], [x.shape[1]], [ids.tobytes()], [packed(x)], [component.tobytes()], [links.astype("<i8").tobytes()]]
+        kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 4
+        cols = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+        for edge in (own.spun.min(axis=0), own.spun.max(axis=0)):
+            cols.append(pa.array([edge.astype(np.float64).tolist()], pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays(cols, ["tile", "dims", "ids", "vectors", "component", "links", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n, own = [], 0, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, ids = b.column("tile").to_numpy(), b.column("vec_id").to_numpy()
-            x, at = matrix(b.column("embedding"), b.num_rows), 0
-            while at < len(ids):
-                if parts and (key[at] != own or n >= 2 * tile):
-                    yield made(sorted_by_id(parts))
-                    parts, n = [], 0
-                own = key[at]
-                same = int(np.searchsorted(key[at:], own, side="right")) + at
-                end = min(same, at + 2 * tile - n)
-                parts.append((ids[at:end].copy(), x[at:end].copy()))
-                n, at = n + end - at, end
-        if parts:
-            yield made(sorted_by_id(parts))
+        for number, ids, x in pieces(batches, 2 * tile):
+            yield made(number, ids, x)
 
     return run
 
@@ -161,18 +165,22 @@ def _pairs(least: float, block: int, seed: int):
             for r in range(b.num_rows):
                 v = {n: b.column(n)[r].as_py() for n in b.schema.names}
                 ids, other = np.frombuffer(v["ids"], "<i8"), np.frombuffer(v["other_ids"], "<i8")
-                x, y = unit(unpacked(v["vectors"], len(ids))), unit(unpacked(v["other_vectors"], len(other)))
-                both = linked(x, y, rotation(x.shape[1], seed), least, block)
-                both &= ids[:, None] != other[None, :]
-                i, j = np.nonzero(both)
-                if not len(i):
+                roots, root = np.unique(np.frombuffer(v["component"], "<i8"), return_inverse=True)
+                other_roots, other_root = np.unique(np.frombuffer(v["other_component"], "<i8"), return_inverse=True)
+                size = max(len(roots), len(other_roots))
+                x, y = Tile(ids, unpacked(v["vectors"], len(ids)), seed), Tile(other, unpacked(v["other_vectors"], len(other)), seed)
+                n, m, edges = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64), []
+                for i, j in linked(x, y, least, block):
+                    n += np.bincount(i, minlength=len(ids))
+                    m += np.bincount(j, minlength=len(other))
+                    edges.append(_different(root[i], other_root[j], size))
+                if not n.any():
                     continue
-                roots = np.frombuffer(v["component"], "<i8")[i], np.frombuffer(v["other_component"], "<i8")[j]
-                edges = np.unique(np.stack(roots), axis=1)
-                n, m = both.sum(axis=1), both.sum(axis=0)
-                a = np.concatenate([ids[n > 0], other[m > 0], edges[0]])
-                c = np.concatenate([n[n > 0], m[m > 0], np.zeros(edges.shape[1], np.int64)])
-                to = np.concatenate([ids[n > 0], other[m > 0], edges[1]])
+                edge = _different(*np.concatenate(edges, axis=1), size)
+                edge = roots[edge[0]], other_roots[edge[1]]
+                a = np.concatenate([ids[n > 0], other[m > 0], edge[0]])
+                c = np.concatenate([n[n > 0], m[m > 0], np.zeros(len(edge[0]), np.int64)])
+                to = np.concatenate([ids[n > 0], other[m > 0], edge[1]])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(to)], ["a", "n", "b"])
 
     return run
@@ -186,44 +194,28 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(root[some])], ["a", "n", "b"])
 
 
-def near_duplicates(
-    vectors: DataFrame,
-    scratch: Scratch,
-    least: float = 0.9,
-    block: int = 16,
-    tile: int = 2048,
-    seed: int = 29,
+def tiles_of(
+    vectors: DataFrame, scratch: Scratch, least: float, block: int, tile_floats: int, sample: int, seed: int
 ) -> DataFrame:
-    """``vec_id, n_links, component_id`` for every row of ``vectors(vec_id, embedding)`` with an id."""
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The tiles of all usable vectors: near ones together, about ``tile_floats`` components each."""
     good = usable(vectors)
-    coded = scratch.table(good.mapInArrow(_coded(seed), "vec_id long, embedding array<double>, code long"), "coded")
-    total = max(1, -(-coded.count() // tile))
-    # sorted by code over partitions; neighbouring partitions then make up the tiles, however many partitions there are
-    ranged = scratch.table(
-        coded.repartitionByRange(max(4 * total, parts), "code", "vec_id").withColumn("part", F.spark_partition_id()), "ranged"
-    )
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row a partition
-    group = sizes.select("part", F.floor(before / tile).alias("tile"))
-    tiles = scratch.table(
-        ranged.join(F.broadcast(group), "part")  # one row a partition
-        .repartition(max(1, min(total, 4 * parts)), "tile")
-        .sortWithinPartitions("tile", "code", "vec_id")
-        .select("tile", "vec_id", "embedding")
-        .mapInArrow(_tiled(tile, least, block, seed), TILE),
-        "tiles",
-    )
+    count, dims = good.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    tile = max(16, tile_floats // (dims or 1))
+    trees = sampled_splits(good, count, sample, unit)
+    dealt = grouped(good, scratch, trees, unit, count, tile)
+    return scratch.table(dealt.mapInArrow(_tiled(tile, least, block, seed), TILE), "tiles")
+
+
+def tile_pairs(tiles: DataFrame, least: float, block: int) -> DataFrame:
+    """``tile, other``: the pairs of tiles whose boxes come within the budget of at least one block."""
     share = (2 - 2 * least) * (1 + ROOM) + 1e-6
-    dims = F.size("low")
-    # along a block's first coordinate a pair within the budget is within its radius
-    radius = F.sqrt(F.lit(share) * F.least(F.lit(block), dims - F.col("start")) / dims)
-    boxes = tiles.select("tile", "low", "high")
+    budget = F.lit(share) * F.least(F.lit(block), F.col("dims") - F.col("start")) / F.col("dims")
     cells = (
-        boxes.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(dims - 1, F.lit(0)), F.lit(block))))
-        .withColumn("width", radius)
+        tiles.select("tile", "dims", "low", "high")
+        .withColumn("start", F.explode(F.sequence(F.lit(0), F.col("dims") - 1, F.lit(block))))
+        .withColumn("width", F.sqrt(budget))  # along one coordinate a pair within the budget is within its radius
         .select(
-            "tile", "low", "high", "start",
+            "tile", "dims", "low", "high", "start",
             F.explode(
                 F.sequence(
                     F.floor(F.col("low")[F.col("start")] / F.col("width")) - 1,
@@ -231,19 +223,32 @@ def near_duplicates(
                 )
             ).alias("cell"),
         )
-    )
+    )
     x, y = cells.alias("x"), cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns]).alias("y")
-    met = x.join(y, (F.col("start") == F.col("o_start")) & (F.col("cell") == F.col("o_cell")) & (F.col("tile") < F.col("o_tile")))
+    same = [F.col(c) == F.col(f"o_{c}") for c in ("dims", "start", "cell")]
+    met = x.join(y, same[0] & same[1] & same[2] & (F.col("tile") < F.col("o_tile")))
+    part = lambda c: F.slice(c, F.col("start") + 1, block)
     gap = F.zip_with(
-        F.zip_with(F.slice("low", F.col("start") + 1, block), F.slice("o_high", F.col("start") + 1, block), lambda p, q: p - q),
-        F.zip_with(F.slice("o_low", F.col("start") + 1, block), F.slice("high", F.col("start") + 1, block), lambda p, q: p - q),
+        F.zip_with(part("low"), part("o_high"), lambda p, q: p - q),
+        F.zip_with(part("o_low"), part("high"), lambda p, q: p - q),
         lambda p, q: F.greatest(p, q, F.lit(0.0)),
     )
     apart = F.aggregate(gap, F.lit(0.0), lambda acc, g: acc + g * g)
-    budget = F.lit(share) * F.least(F.lit(block), dims - F.col("start")) / dims
-    close = scratch.table(
-        met.filter(apart <= budget).select("tile", F.col("o_tile").alias("other")).distinct(), "tile-pairs"
-    )
+    return met.filter(apart <= budget).select("tile", F.col("o_tile").alias("other")).distinct()
+
+
+def near_duplicates(
+    vectors: DataFrame,
+    scratch: Scratch,
+    least: float = 0.9,
+    block: int = 16,
+    tile_floats: int = 1 << 19,
+    sample: int = 2048,
+    seed: int = 29,
+) -> DataFrame:
+    """``vec_id, n_links, component_id`` for every row of ``vectors(vec_id, embedding)`` with an id."""
+    tiles = tiles_of(vectors, scratch, least, block, tile_floats, sample, seed)
+    close = scratch.table(tile_pairs(tiles, least, block), "tile-pairs")
     body = tiles.select("tile", "ids", "vectors", "component")
     facing = tiles.select(F.col("tile").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("ids", "vectors", "component")])
     pairs = close.join(body.hint("merge"), "tile").join(facing.hint("merge"), "other")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import importlib.util
 import inspect
+import json
+import os
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from types import ModuleType
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: What an adapter must offer, and how many arguments each function takes.
 REQUIRED = {"fetch_population_data": 1, "build_neighbourhood_layer": 3}
 _ID, _YEAR, _DAY = re.compile(r"[a-z0-9_]+"), re.compile(r"(19|20)\d{2}"), re.compile(r"(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
@@ -56,6 +62,40 @@ def city(raw: Mapping[str, object]) -> City:
     return City(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items() if k in City.__dataclass_fields__})
 
 
+def load_city(path: str) -> City:
+    """A city's settings from a YAML (or JSON) file; ``ValueError`` lists every fault."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        raw = json.loads(text)
+    else:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    if not isinstance(raw, Mapping):
+        raise ValueError(f"{path}: no mapping")
+    return city(raw)
+
+
+def load_cities(folder: str) -> dict[str, City]:
+    """Every city of a folder by its id; a file must be named after its city."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        stem, kind = os.path.splitext(name)
+        if kind in (".yaml", ".yml", ".json"):
+            one = load_city(os.path.join(folder, name))
+            if one.city_id != stem or one.city_id in out:
+                raise ValueError(f"{name}: holds city {one.city_id}")
+            out[stem] = one
+    return out
+
+
+def in_season(day: Column, first: str, last: str) -> Column:
+    """Whether a date's month and day lie between two ``MM-DD``, ends included; a season may reach over the new year."""
+    at = F.date_format(day, "MM-dd")
+    return at.between(first, last) if first <= last else (at >= first) | (at <= last)
+
+
 def valid_year(year: object) -> bool:
     return bool(_YEAR.fullmatch(str(year)))
 
@@ -74,3 +114,40 @@ def adapter_faults(module: ModuleType | object) -> list[str]:
         if not (least <= n <= len(positional) or any(x.kind is x.VAR_POSITIONAL for x in p)):
             out.append(f"{name}: takes {least} to {len(positional)} arguments, {n} are given")
     return out
+
+
+def load_adapter(path: str) -> ModuleType:
+    """A city's adapter from its file; ``ValueError`` lists every function it lacks. Its functions return DataFrames."""
+    spec = importlib.util.spec_from_file_location(f"adapter_{os.path.splitext(os.path.basename(path))[0]}", path)
+    if spec is None or spec.loader is None:
+        raise ValueError(f"{path}: no module")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if found := adapter_faults(module):
+        raise ValueError("; ".join(found))
+    return module
+
+
+def csv_resource(package: Mapping[str, object]) -> str:
+    """The address of the first CSV resource of an open-data package description; ``ValueError`` without one."""
+    if not package.get("success"):
+        raise ValueError("the package description is no success")
+    for r in package["result"].get("resources", []):  # type: ignore[index, union-attr]
+        if str(r.get("format", "")).strip().upper() == "CSV" and r.get("url"):
+            return str(r["url"])
+    raise ValueError("the package has no CSV resource")
+
+
+def replaced_together(fetched: Mapping[str, DataFrame], valid: Callable[[str, DataFrame], str], put: Callable[[str, DataFrame], None]) -> None:
+    """Put every fetched table in place only if each is valid (``valid`` names a fault, or nothing): all or none."""
+    faults_ = [f"{n}: {why}" for n, df in fetched.items() if (why := valid(n, df))]
+    if faults_:
+        raise ValueError("; ".join(faults_))
+    for n, df in fetched.items():
+        put(n, df)
+
+
+def registry(cities: Mapping[str, Mapping[str, object]], published: Mapping[str, object] = {}) -> dict[str, int]:
+    """How many cities are known, valid, faulty and published."""
+    bad = sum(bool(faults(c)) for c in cities.values())
+    return {"cities": len(cities), "valid": len(cities) - bad, "faulty": bad, "published": sum(c in published for c in cities)}

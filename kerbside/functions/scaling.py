@@ -86,3 +86,23 @@ def right_closed(x: Column, edges: Sequence[Column | float], labels: Sequence[st
     for top, label in zip(col[1:], labels, strict=True):
         out = out.when(x <= top, F.lit(label))
     return out
+
+
+def coerced_scale(df: DataFrame, column: str, out: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Min-max scaling of what can be read as a number, clipped to 0..1, on given ends or the column's own.
+
+    Without ends, or with equal ones, every row is 0, those without a number too; else those stay missing.
+    """
+    x = clean(F.col(column).try_cast("double") if df.schema[column].dataType.typeName() == "string" else F.col(column))
+    ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    lo, hi = (F.col(c) if v is None else F.lit(float(v)) for c, v in (("_lo", low), ("_hi", high)))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / F.nullif(hi - lo, F.lit(0.0))))
+    value = F.when(lo.isNull() | hi.isNull() | (lo == hi), F.lit(0.0)).when(x.isNotNull(), share)
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, value).drop("_lo", "_hi")  # one row
+
+
+def without_constants(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``df`` without the columns that have one distinct value at most (missing doesn't count), but for ``keep``."""
+    tested = [c for c in df.columns if c not in keep]
+    row = df.agg(*[(F.coalesce(F.min(c) != F.max(c), F.lit(False))).alias(c) for c in tested]).first()
+    return df.select(*[c for c in df.columns if c in keep or row[c]])

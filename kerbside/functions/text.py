@@ -60,3 +60,42 @@ def split_label(label: Column) -> tuple[Column, Column]:
     """Name and district of a long label."""
     pattern = r"^(.*) \((.*)\)$"
     return F.regexp_extract(label, pattern, 1), F.regexp_extract(label, pattern, 2)
+
+
+#: What stands for a missing label, number, and distance.
+UNKNOWN, NO_DATA, NO_MAP_DATA = "Bilinmiyor", "Veri yok", "OSM verisi yok"
+
+
+def or_unknown(label: Column) -> Column:
+    """A label, or what stands for a missing one."""
+    return F.coalesce(label, F.lit(UNKNOWN))
+
+
+def whole(x: Column) -> Column:
+    """A number rounded half-even to a whole one, as text."""
+    return F.bround(x, 0).cast("bigint").cast("string")
+
+
+def percent_text(x: Column) -> Column:
+    """``%42``; a missing number says so."""
+    return F.when(x.isNull(), F.lit(NO_DATA)).otherwise(F.concat(F.lit("%"), whole(x)))
+
+
+def degrees_text(x: Column, digits: int = 1) -> Column:
+    """``41.3°C``; a missing number says so."""
+    return F.when(x.isNull(), F.lit(NO_DATA)).otherwise(F.concat(F.format_string(f"%.{digits}f", F.bround(x, digits)), F.lit("°C")))
+
+
+def metres_text(x: Column) -> Column:
+    """``1,234 m``; a missing distance says so."""
+    return F.when(x.isNull(), F.lit(NO_MAP_DATA)).otherwise(F.concat(F.format_number(F.bround(x, 0), 0), F.lit(" m")))
+
+
+def explanation(*pieces: tuple[str, Column]) -> Column:
+    """``title: text`` pieces joined by line breaks of a page; texts are escaped, a missing one is empty."""
+    return F.concat_ws("<br>", *[F.concat(F.lit(f"{title}: "), escape_html(x)) for title, x in pieces])
+
+
+def region_of(url: Column, country: str = "turkey") -> Column:
+    """The region's name in a map extract's address of a country; empty without one."""
+    return F.regexp_extract(url, f"{country}/(.+?)-latest", 1)

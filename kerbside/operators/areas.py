@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbside.functions.text import normalise_name
 from kerbside.operators.index import CATEGORIES, HIGH
 
 #: Fixed value: the fewest roads a reliable mean needs.
@@ -109,3 +110,28 @@ def supported(df: DataFrame, by: str, least: int = SUPPORT) -> DataFrame:
     """The rows of groups with at least ``least`` rows; counts are aggregated, then joined."""
     big = df.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(by)
     return df.join(big, by, "left_semi")
+
+
+def age_shares(bands: DataFrame, by: str, age: str, people: str, old: int = 65, young: int = 15) -> DataFrame:
+    """Per group: the shares of people from ``old`` on and below ``young``, by their band's first age."""
+    n, a = F.col(people), F.col(age)
+    sums = bands.groupBy(by).agg(
+        F.sum(n).cast("double").alias("_all"), F.sum(F.when(a >= old, n)).cast("double").alias("_old"), F.sum(F.when(a < young, n)).cast("double").alias("_young")
+    )
+    return sums.select(by, (F.col("_old") / F.col("_all")).alias("old_share"), (F.col("_young") / F.col("_all")).alias("young_share"))
+
+
+def joined_by_names(left: DataFrame, right: DataFrame, names: Sequence[tuple[str, str]], columns: Sequence[str]) -> DataFrame:
+    """``left`` with ``columns`` of the row of ``right`` that has the same normalised names, all of ``names`` (ours, theirs)."""
+    keys = [f"_key_{i}" for i in range(len(names))]
+    ours = left.withColumns({k: normalise_name(F.col(a)) for k, (a, _) in zip(keys, names, strict=True)})
+    theirs = right.select(*[normalise_name(F.col(b)).alias(k) for k, (_, b) in zip(keys, names, strict=True)], *columns)
+    return ours.join(theirs, keys, "left").drop(*keys)
+
+
+def dense_core(areas: DataFrame, size: str, most: float, least: int = 5, fallback: int = 8, key: str = "area") -> DataFrame:
+    """The areas smaller than ``most``; where those are fewer than ``least``, the ``fallback`` smallest (ties to the smaller key)."""
+    small = areas.filter(F.col(size) < most)
+    if small.limit(least).count() >= least:
+        return small
+    return areas.filter(F.col(size).isNotNull()).orderBy(size, key).limit(fallback)

@@ -105,3 +105,10 @@ def percent_of_range(panel: DataFrame, column: str = "score", out: str = "percen
     share = 100 * (F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     value = F.when(F.col("_lo") == F.col("_hi"), F.when(F.col(column).isNotNull(), F.lit(0.0))).otherwise(share)
     return panel.crossJoin(F.broadcast(ends)).withColumn(out, value).drop("_lo", "_hi")  # one row
+
+
+def year_change(panel: DataFrame, value: str, years: Sequence[int], out: str = "delta", digits: int = 1, key: str = "road_id") -> DataFrame:
+    """``key`` and the rounded change of ``value`` from the first to the last year; missing where a year is."""
+    at = lambda y: F.max(F.when(F.col("year") == y, F.col(value)))
+    wide = panel.groupBy(key).agg(at(years[0]).alias("_before"), at(years[-1]).alias("_after"))
+    return wide.select(key, F.round(F.col("_after") - F.col("_before"), digits).alias(out))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators.geometry import segments
+from kerbside.operators.spatial import edge_join, within
+
 #: Thermal scale and offset, Kelvin; night scale; reflectance scale and offset; the QA bits that reject.
 THERMAL = (0.00341802, 149.0)
 KELVIN = 273.15
@@ -107,6 +110,62 @@ def zonal(boxes: DataFrame, pixels: DataFrame, key: str, value: str) -> DataFram
     return boxes.select(key).join(got, key, "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
+def zonal_shapes(shapes: DataFrame, pixels: DataFrame, key: str, value: str, size: float) -> DataFrame:
+    """Mean, sum and count of the valid pixels whose centre (``x, y``) lies in each polygon (``rings``); count 0 is missing.
+
+    ``size``: side of the cells that polygons and pixels meet by.
+    """
+    held = within(pixels.select("x", "y", value).filter(F.col(value).isNotNull()), shapes.select(key, "rings"), [key], size)
+    return _statistics(shapes, held, key, value)
+
+
+def zonal_buffers(lines: DataFrame, pixels: DataFrame, key: str, value: str, radius: float, path: str = "path") -> DataFrame:
+    """The same for the pixels whose centre lies within ``radius`` of each path."""
+    edges = lines.select(key, F.explode(segments(F.array(path), closed=False)).alias("e"))
+    edges = edges.select(key, *[F.col(f"e.{end}.{c}").alias(f"{end}{c}") for end in "pq" for c in "xy"])
+    cells = pixels.select("x", "y", value).filter(F.col(value).isNotNull()).withColumn("_id", F.struct("x", "y"))
+    held = edge_join(cells, edges, radius, [key]).dropDuplicates([key, "_id"])
+    return _statistics(lines, held, key, value)
+
+
+def _statistics(zones: DataFrame, held: DataFrame, key: str, value: str) -> DataFrame:
+    got = held.groupBy(key).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.count(value).alias("cells"))
+    return zones.select(key).join(got, key, "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+
+
+def rasterized(units: DataFrame, pixels: DataFrame, unit: str, order: str, size: float) -> DataFrame:
+    """``pixels`` (``row, col, x, y``) with the ``unit`` of the polygon that holds their centre; of several the last by ``order``."""
+    held = within(pixels.select("row", "col", "x", "y"), units, [unit, order], size)
+    marked = held.groupBy("row", "col").agg(F.max_by(unit, order).alias(unit))
+    return pixels.join(marked, ["row", "col"], "left")
+
+
+def resampled(pixels: DataFrame, places: DataFrame, value: str, bilinear: bool = False) -> DataFrame:
+    """``places`` (with fractional ``r, c`` on the pixels' lattice, whole numbers at centres) with the value there.
+
+    The nearest pixel's value, or the mean of the valid ones of the four around by closeness; missing without any.
+    """
+    source = pixels.select("row", "col", F.col(value).alias("_v"))
+    if not bilinear:
+        at = places.withColumns({"row": F.floor(F.col("r") + 0.5).cast("int"), "col": F.floor(F.col("c") + 0.5).cast("int")})
+        return at.join(source, ["row", "col"], "left").withColumn(value, F.col("_v")).drop("row", "col", "_v")
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    own = places.select("*", step.alias("_s"))
+    fr, fc = F.col("r") - F.floor("r"), F.col("c") - F.floor("c")
+    weight = lambda f, s: F.when(F.col(s) == 1, f).otherwise(1 - f)
+    near = own.withColumns(
+        {"row": (F.floor("r") + F.col("_s.i")).cast("int"), "col": (F.floor("c") + F.col("_s.j")).cast("int"), "_w": weight(fr, "_s.i") * weight(fc, "_s.j")}
+    )
+    seen = near.join(source, ["row", "col"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_w")))
+    mean = F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0))
+    return seen.groupBy(*places.columns).agg(mean.alias(value))
+
+
+def masked_by(value: Column, other: Column, digits: int = 1) -> Column:
+    """``value`` rounded half-even, only where ``other`` is there."""
+    return F.when(other.isNotNull(), F.bround(value, digits))
+
+
 def calibrate(cells: DataFrame, units: DataFrame, unit: str, value: str, official: str) -> DataFrame:
     """Cells scaled so that each unit's sum is its official total; 0 if the unit's sum is 0; missing outside units."""
     sums = cells.filter(F.col(unit).isNotNull()).groupBy(unit).agg(F.sum(value).alias("_sum"))

@@ -12,6 +12,7 @@ from kerbside.functions.scaling import combine, group_score, robust_bounds, scal
 from kerbside.operators.areas import year_of
 from kerbside.operators.correlation import top_overlap
 from kerbside.operators.index import GROUPS, group_columns, group_weight
+from kerbside.scratch import Scratch
 
 #: The weight profiles.
 PROFILES: dict[str, dict[str, float]] = {
@@ -123,3 +124,41 @@ def shapley(panel: DataFrame, years: Sequence[int]) -> DataFrame:
     total = F.col("s11") - F.col("s00")
     heat = ((F.col("s10") - F.col("s00")) + (F.col("s11") - F.col("s01"))) / 2
     return out.select("road_id", total.alias("total"), heat.alias("heat"), (total - heat).alias("vegetation"))
+
+
+def buffer_sensitivity(scores: Mapping[int, DataFrame], types: DataFrame, key: str = "road_id", share: float = 0.1, least: int = 30) -> tuple[DataFrame, DataFrame]:
+    """How the ranking moves with the width of the buffers that surfaces are sampled in.
+
+    ``scores``: by width, ``key, score`` of one year; ``types``: ``key, highway``. Ranks are taken for each width and
+    compared, over roads that have all, with those of the narrowest. Returns a row for each other width, and for the widest
+    a row for each road type of at least ``least`` roads.
+    """
+    widths = sorted(scores)
+    table = None
+    for w in widths:
+        one = rank_pct(scores[w].select(key, F.col("score").alias("s")), "s", f"r{w}").select(key, f"r{w}")
+        table = one if table is None else table.join(one, key)
+    table = Scratch(types.sparkSession, "buffers").table(table.dropna(), "ranks")
+    a, first, rows = F.col(f"r{widths[0]}"), widths[0], None
+    for w in widths[1:]:
+        b = F.col(f"r{w}")
+        top, moved = a > 1 - share, F.abs(b - a)
+        one = table.agg(
+            F.lit(w).alias("buffer_m"),
+            F.lit(first).alias("reference_m"),
+            F.count("*").alias("roads"),
+            F.corr(a, b).alias("spearman"),
+            (F.count(F.when(top & (b > 1 - share), 1)) / F.greatest(F.count(F.when(top, 1)), F.lit(1))).alias("overlap"),
+            (F.median(moved) * 100).alias("median_change"),
+            F.avg((moved > 0.2).cast("double")).alias("moved_share"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    change = (F.col(f"r{widths[-1]}") - a) * 100
+    by_type = (
+        table.join(types.select(key, "highway"), key)
+        .filter(F.col("highway").isNotNull())
+        .groupBy("highway")
+        .agg(F.count("*").alias("roads"), F.avg(change).alias("mean_change"), F.median(F.abs(change)).alias("median_change"))
+        .filter(F.col("roads") >= least)
+    )
+    return rows, by_type

@@ -1,19 +1,26 @@
 """Spatial joins over plain coordinates, by cells.
 
 Points carry ``x`` and ``y`` in one metric projection. Every join first meets by an equal join
-on square cells, then applies the exact predicate. Polygons are arrays of rings, rings
-arrays of ``struct<x, y>``; containment counts edge crossings over all rings, so holes
-and several parts work.
+on square cells, then applies the exact predicate. Shapes are arrays of rings or paths (see ``geometry``);
+containment counts edge crossings over all rings, so holes and several parts work. Rows with a missing coordinate
+are near nothing and in nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows is sent to all tasks by the nearest search's last step.
+from kerbside.operators.geometry import bounds, inside, line_length, polygon_area, ring_area, segment_distance, segments
+from kerbside.scratch import Scratch
+
+__all__ = ["inside", "line_length", "ring_area"]
+
+#: Most rows of a side that is sent to all tasks.
 SMALL = 10_000
 
 
@@ -48,92 +55,106 @@ def radius_count(left: DataFrame, right: DataFrame, key: str, radius: float, out
     return left.join(found, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, target: str, start: float, rings: int = 6) -> DataFrame:
-    """``key, target, d``: the nearest of ``right`` for each row of ``left``; equal distances go to the smaller target.
+def _edges(shapes: DataFrame, columns: Sequence[str], closed: bool, rings: str = "rings") -> DataFrame:
+    """A row for each straight piece of each shape: ``px, py, qx, qy`` and ``columns``."""
+    e = shapes.select(*columns, F.explode(segments(F.col(rings), closed)).alias("e"))
+    return e.select(*columns, *[F.col(f"e.{end}.{c}").alias(f"{end}{c}") for end in "pq" for c in "xy"])
+
+
+def edge_join(points: DataFrame, edges: DataFrame, radius: float, columns: Sequence[str]) -> DataFrame:
+    """Points with the pieces within ``radius`` (inclusive) and their distance ``d``; ``columns`` of the pieces.
+
+    A piece is dealt to the cells of its widened box, a point has one cell.
+    """
+    size = max(2 * radius, 1e-9)
+    ends = lambda c: (F.least(f"p{c}", f"q{c}") - radius, F.greatest(f"p{c}", f"q{c}") + radius)
+    spans = [F.sequence(cell(lo, size), cell(hi, size)) for lo, hi in (ends("x"), ends("y"))]
+    grid = F.flatten(F.transform(spans[0], lambda a: F.transform(spans[1], lambda c: F.struct(a.alias("cx"), c.alias("cy")))))
+    dealt = edges.select(*columns, "px", "py", "qx", "qy", F.explode(grid).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
+    at = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
+    d = segment_distance(*[F.col(c) for c in ("x", "y", "px", "py", "qx", "qy")])
+    return at.join(dealt, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius).drop("cx", "cy", "px", "py", "qx", "qy")
+
+
+def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, start: float | None, scratch: Scratch) -> DataFrame:
+    """A ring search: within ``start``, then twice that for rows still open, and so on; a hit within the radius is final.
 
-    A ring search: within ``start``, then twice that for rows still open, and so on; a
-    hit within the radius is final. Rows beyond the last ring meet the targets directly,
-    by broadcast while the targets are at most ``SMALL`` rows, else by as many more rings
-    as it takes. With no target the result is empty (missing, not 0).
+    The last radius reaches over both sides' whole extent, so the search ends.
     """
-    places = right.select("x", "y", target)
-    spread = places.agg(
-        F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
-    ).first()
-    if not spread["n"]:
-        return left.select(key, F.lit(None).cast(right.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("d")).limit(0)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(key).agg(F.min(F.struct("d", target)).alias("m")).select(key, f"m.{target}", "m.d")
-
-    if spread["n"] <= SMALL:
-        b = places.select(F.col("x").alias("_x"), F.col("y").alias("_y"), target)
-        d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-        return best(left.select(key, "x", "y").crossJoin(F.broadcast(b)).withColumn("d", d))  # at most SMALL rows
-    open_, radius, found = left.select(key, "x", "y"), start, None
-    for _ in range(rings):
-        got = best(radius_join(open_, places, radius, [target])).persist()
+    edges = scratch.table(edges, "edges")
+    ends = [(F.min(f"{e}{c}"), F.max(f"{e}{c}")) for c in "xy" for e in "pq"]
+    n, *box = edges.agg(F.count("*"), *[x for pair in ends for x in pair]).first()
+    open_ = scratch.table(points.select(key, "x", "y").filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "open")
+    own = open_.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    kinds = f"{edges.schema[target].dataType.simpleString()}"
+    if not n or own[0] is None:
+        return open_.select(key, F.lit(None).cast(kinds).alias(target), F.lit(None).cast("double").alias("d")).limit(0)
+    width = max(own[1], box[1], box[3]) - min(own[0], box[0], box[2])
+    height = max(own[3], box[5], box[7]) - min(own[2], box[4], box[6])
+    most = math.hypot(width, height) * 1.001 + 1e-9
+    radius = min(most, start or math.sqrt(max(width * height, most * most / n) / n))
+    found = None
+    while True:
+        pairs = edge_join(open_, edges, radius, [target])
+        got = pairs.groupBy(key).agg(F.min(F.struct("d", target)).alias("m")).select(key, f"m.{target}", "m.d")
+        got = scratch.table(got, "found")
         found = got if found is None else found.unionByName(got)
-        open_ = open_.join(got.select(key), key, "left_anti")
-        radius *= 2
-    while not open_.isEmpty():
-        got = best(radius_join(open_, places, radius, [target])).persist()
-        found = found.unionByName(got)
-        open_ = open_.join(got.select(key), key, "left_anti")
-        radius *= 4
-    return found
-
-
-def inside(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd containment of a point in a polygon's rings (closed or not)."""
-
-    def crossings(ring: Column) -> Column:
-        n = F.size(ring)
-        edges = F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(ring[i].alias("p"), ring[(i + 1) % n].alias("q")),
-        )
-
-        def hit(e: Column) -> Column:
-            p, q = e["p"], e["q"]
-            spans = (p["y"] > y) != (q["y"] > y)
-            at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
-            return spans & (x < at)
-
-        return F.size(F.filter(edges, hit))
-
-    return F.aggregate(rings, F.lit(0), lambda acc, r: acc + crossings(r)) % 2 == 1
-
-
-def with_box(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """``x0, x1, y0, y1`` of each polygon."""
-    points = F.flatten(F.col(rings))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return polygons.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
-
-
-def ring_area(ring: Column) -> Column:
-    """Area by the shoelace sum."""
-    n = F.size(ring)
-    terms = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: ring[i]["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * ring[i]["y"],
-    )
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
+        open_ = scratch.table(open_.join(got.select(key), key, "left_anti"), "open")
+        if radius >= most or open_.isEmpty():
+            return found
+        radius = min(most, 2 * radius)
 
 
-def line_length(points: Column) -> Column:
-    steps = F.zip_with(
-        F.slice(points, 1, F.size(points) - 1),
-        F.slice(points, 2, F.size(points) - 1),
-        lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]),
-    )
-    return F.when(F.size(points) < 2, F.lit(0.0)).otherwise(F.aggregate(steps, F.lit(0.0), lambda a, s: a + s))
+def nearest(left: DataFrame, right: DataFrame, key: str, target: str, start: float | None = None) -> DataFrame:
+    """``key, target, d``: the nearest of ``right`` for each row of ``left``; equal distances go to the smaller target.
+
+    ``start``: the first radius looked at, by default what the targets' density suggests. Rows or targets with a missing
+    coordinate take no part. With no target the result is empty (missing, not 0).
+    """
+    places = right.select(target, *[F.col(c).alias(f"{e}{c}") for e in "pq" for c in "xy"]).dropna(subset=["px", "py"])
+    return _nearest_edge(left, places, key, target, start, Scratch(left.sparkSession, "nearest"))
+
+
+def nearest_shape(points: DataFrame, shapes: DataFrame, key: str, target: str, closed: bool, start: float | None = None, size: float | None = None) -> DataFrame:
+    """``key, target, d``: the nearest shape (``rings``) of each point by its boundary; 0 inside a polygon (``closed``).
+
+    Equal distances go to the smaller target. ``size``: cells of the containment join, by default four radii.
+    """
+    scratch = Scratch(points.sparkSession, "nearest")
+    edges = _edges(shapes, [target], closed)
+    if not closed:
+        return _nearest_edge(points, edges, key, target, start, scratch)
+    step = size or (4 * start if start else 1000.0)
+    hits = within(points.select(key, "x", "y"), shapes, [target], step).groupBy(key).agg(F.min(target).alias(target))
+    hits = scratch.table(hits.withColumn("d", F.lit(0.0)), "inside")
+    rest = points.join(hits.select(key), key, "left_anti")
+    return hits.unionByName(_nearest_edge(rest, edges, key, target, start, scratch))
+
+
+def nearest_by_class(points: DataFrame, targets: DataFrame, key: str, target: str, of: str, classes: Sequence, start: float | None = None) -> DataFrame:
+    """``key`` and a distance ``d_<class>`` to the nearest target of each class; missing where a class has none."""
+    out = points.select(key)
+    for c in classes:
+        one = nearest(points, targets.filter(F.col(of) == F.lit(c)), key, target, start).select(key, F.col("d").alias(f"d_{c}"))
+        out = out.join(one, key, "left")
+    return out
+
+
+def buffer_count(lines: DataFrame, points: DataFrame, key: str, radius: float, out: str, path: str = "path") -> DataFrame:
+    """``lines`` with the number of points within ``radius`` of each path (inclusive); 0 if none.
+
+    Points are first counted by place; a place near several pieces of a path counts once.
+    """
+    places = points.groupBy("x", "y").agg(F.count("*").alias("_n")).filter("x is not null and y is not null")
+    edges = _edges(lines.select(key, F.array(path).alias("rings")), [key], closed=False)
+    near = edge_join(places, edges, radius, [key]).select(key, "x", "y", "_n").distinct()
+    found = near.groupBy(key).agg(F.sum("_n").alias(out))
+    return lines.join(found, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def within(points: DataFrame, polygons: DataFrame, poly_columns: Sequence[str], size: float) -> DataFrame:
     """Each point with each polygon that holds it (inner)."""
-    boxed = with_box(polygons)
+    boxed = polygons.withColumns(bounds(F.col("rings")))
     xs = F.sequence(cell(F.col("x0"), size), cell(F.col("x1"), size))
     ys = F.sequence(cell(F.col("y0"), size), cell(F.col("y1"), size))
     grid = F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda c: F.struct(a.alias("cx"), c.alias("cy")))))
@@ -145,7 +166,7 @@ def within(points: DataFrame, polygons: DataFrame, poly_columns: Sequence[str],
 
 def smallest_polygon(points: DataFrame, polygons: DataFrame, key: str, poly: str, size: float) -> DataFrame:
     """Every point once: the smallest polygon that holds it (ties to the smaller id), missing if none does."""
-    sized = polygons.withColumn("_area", F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, r: a + r))
+    sized = polygons.withColumn("_area", polygon_area(F.col("rings")))
     found = within(points.select(key, "x", "y"), sized, [poly, "_area"], size).groupBy(key).agg(
         F.min(F.struct("_area", poly)).alias("m")
     )
@@ -201,26 +222,98 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 
 
-#: The WGS84 ellipsoid, and the projection's scale and false easting.
-_A, _F, _K0, _E0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+#: The WGS84 ellipsoid, and the projection's scale, false easting and the south's false northing.
+_A, _F, _K0, _E0, _N0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10_000_000.0
 
 
-def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
-    """Easting and northing (northern hemisphere) by the sixth-order series; sub-millimetre within a zone."""
-    e2 = _F * (2 - _F)
+def _series() -> tuple[float, float, tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
+    """Third flattening, rectifying radius, and the series of the projection, its inverse and latitude."""
     n = _F / (2 - _F)
-    big_a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (
-        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16,
-        13 * n**2 / 48 - 3 * n**3 / 5,
-        61 * n**3 / 240,
-    )
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    forth = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    return n, radius, forth, back, latitude
+
+
+def to_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing by the series to third order; a millimetre within a zone."""
+    _, radius, forth, _, _ = _series()
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    e = e2**0.5
+    e = (_F * (2 - _F)) ** 0.5
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
+    for j, a in enumerate(forth, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return _E0 + _K0 * big_a * east, _K0 * big_a * north
+    return _E0 + _K0 * radius * east, (_N0 if south else 0.0) + _K0 * radius * north
+
+
+def from_utm(east: Column, north: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of a projected point."""
+    _, radius, _, back, latitude = _series()
+    xi, eta = (north - (_N0 if south else 0.0)) / (_K0 * radius), (east - _E0) / (_K0 * radius)
+    x, y = xi, eta
+    for j, b in enumerate(back, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for j, d in enumerate(latitude, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183), F.degrees(phi)
+
+
+# ---- dissolving ----
+
+
+def _stitched(edges: pd.DataFrame) -> list[list[dict[str, float]]]:
+    """Rings out of the pieces of one outline, in any order."""
+    at: dict[tuple[float, float], list[int]] = {}
+    ends = [((r.ax, r.ay), (r.bx, r.by)) for r in edges.itertuples()]
+    for i, (a, b) in enumerate(ends):
+        at.setdefault(a, []).append(i)
+        at.setdefault(b, []).append(i)
+    used, rings = [False] * len(ends), []
+    for i, (first, place) in enumerate(ends):
+        if used[i]:
+            continue
+        used[i], path, seen = True, [first], {first: 0}
+        while True:
+            if place in seen:  # a loop: cut it off, so that no ring meets itself
+                rings.append([{"x": x, "y": y} for x, y in path[seen[place] :]])
+                for p in path[seen[place] + 1 :]:
+                    del seen[p]
+                del path[seen[place] + 1 :]
+            else:
+                seen[place] = len(path)
+                path.append(place)
+            step = next((j for j in at[place] if not used[j]), None)
+            if step is None:
+                break
+            used[step] = True
+            place = ends[step][1] if ends[step][0] == place else ends[step][0]
+    return rings
+
+
+def dissolve(polygons: DataFrame, by: str, sums: Sequence[str] = (), firsts: Sequence[str] = ()) -> DataFrame:
+    """One shape for each value of ``by``, with sums and smallest values (``firsts``) of columns: borders within a group are gone.
+
+    Polygons must not overlap and neighbours must share their corners. A piece that a group has twice is inside it; such
+    pieces are counted away by Spark, and only a group's outline meets in one task, to be joined to rings.
+    """
+    aggregates = [F.sum(c).alias(c) for c in sums] + [F.min(c).alias(c) for c in firsts]
+    rows = polygons.groupBy(by).agg(F.count("*").alias("parts"), *aggregates)
+    e = _edges(polygons, [by], closed=True).filter((F.col("px") != F.col("qx")) | (F.col("py") != F.col("qy")))
+    turned = (F.col("px") > F.col("qx")) | ((F.col("px") == F.col("qx")) & (F.col("py") > F.col("qy")))
+    names = {"ax": ("px", "qx"), "ay": ("py", "qy"), "bx": ("qx", "px"), "by": ("qy", "py")}
+    e = e.select(by, *[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(n) for n, (p, q) in names.items()])
+    outline = e.groupBy(by, *names).agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+    kind = polygons.schema[by].dataType.simpleString()
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "rings": [_stitched(pdf)]})
+
+    shapes = outline.groupBy(by).applyInPandas(join, f"{by} {kind}, rings array<array<struct<x: double, y: double>>>")
+    return rows.join(shapes, by, "left")

@@ -83,3 +83,24 @@ def trend(yearly_means: DataFrame, value: str, year: str = "year") -> DataFrame:
     """Slope of a value by year, from two years on."""
     return yearly_means.agg(F.when(F.count(value) >= 2, F.regr_slope(value, year)).alias("slope"))
 
+
+def weather_corrected(panel: DataFrame, value: str, betas: Sequence[float], year: str = "year") -> DataFrame:
+    """Per year: the mean of ``value`` less each share of the year's anomaly (``mean_0`` and so on), and the median.
+
+    A year's anomaly is its mean less the mean of all years' means.
+    """
+    base = panel.groupBy(year).agg(F.avg(value).alias("_mean"))
+    normal = base.agg(F.avg("_mean").alias("_normal"))
+    anomaly = base.crossJoin(F.broadcast(normal)).select(year, (F.col("_mean") - F.col("_normal")).alias("_anomaly"))  # a row a year
+    less = [F.avg(F.col(value) - b * F.col("_anomaly")).alias(f"mean_{i}") for i, b in enumerate(betas)]
+    return panel.join(F.broadcast(anomaly), year).groupBy(year).agg(*less, F.median(value).alias("median"))
+
+
+def station_days(observed: DataFrame, station: str, day: str, order: Sequence[str], medians: Sequence[str], firsts: Sequence[str], largest: Sequence[str]) -> DataFrame:
+    """One row a station and day: medians, first values by ``order``, and maxima of columns."""
+    first = F.struct(*order)
+    return observed.groupBy(station, day).agg(
+        *[F.median(c).alias(f"median_{c}") for c in medians],
+        *[F.min_by(c, first).alias(f"first_{c}") for c in firsts],
+        *[F.max(c).alias(f"largest_{c}") for c in largest],
+    )

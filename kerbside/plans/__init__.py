@@ -1,8 +1,17 @@
 """The query catalogue: each query with its DataFrame plan and its oracle in SQL."""
 
-from kerbside.plans import index_queries, raster_queries, robustness_queries, spatial_queries, text_queries, time_queries
+from kerbside.plans import (
+    geometry_queries,
+    index_queries,
+    raster_queries,
+    robustness_queries,
+    source_queries,
+    spatial_queries,
+    text_queries,
+    time_queries,
+)
 
-_MODULES = (index_queries, time_queries, text_queries, raster_queries, spatial_queries, robustness_queries)
+_MODULES = (index_queries, time_queries, text_queries, raster_queries, spatial_queries, robustness_queries, geometry_queries, source_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

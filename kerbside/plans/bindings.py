@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators.index import GROUPS, complete_case, components, percent_of_range, pooled_percent, score
+from kerbside.operators.index import GROUPS, RAW, YEARLY, complete_case, components, percent_of_range, pooled_percent, score
 from kerbside.scratch import Scratch
 
 YEARS = (1996, 2000)
@@ -173,15 +173,8 @@ def scale_sql(x: str, bounds: str) -> str:
     )
 
 
-_COMPONENTS = {
-    "exposure": "population_density",
-    "built": "building_density",
-    "elderly": "elderly_share",
-    "children": "child_share",
-    "deprivation": "development_score",
-    "health": "health_distance_m",
-    "green": "green_distance_m",
-}
+#: Raw column of each component that is scaled once a road.
+_COMPONENTS = {c: RAW[c][0] for c in (*GROUPS["exposure"], *GROUPS["vulnerability"]) if c not in YEARLY}
 
 
 def components_sql(years=YEARS) -> str:
@@ -191,7 +184,7 @@ def components_sql(years=YEARS) -> str:
     parts += [_bounds_sql(raw, "per_road", f"b_{c}") for c, raw in _COMPONENTS.items()]
     columns = [f"{scale_sql('risk_score', 'b_hazard')} AS hazard", f"1 - {scale_sql('ndvi', 'b_trees')} AS trees"]
     for c, raw in _COMPONENTS.items():
-        minus = "1 - " if c == "deprivation" else ""
+        minus = "1 - " if RAW[c][1] else ""
         columns.append(f"{minus}{scale_sql(raw, f'b_{c}')} AS {c}")
     names = ", ".join(["b_hazard", "b_trees", *[f"b_{c}" for c in _COMPONENTS]])
     parts.append(f"\ncomp AS (SELECT panel.*, {', '.join(columns)} FROM panel, {names})")

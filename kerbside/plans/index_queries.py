@@ -26,11 +26,7 @@ def pooled_minmax_risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_delta_class(spark: SparkSession, d: str) -> DataFrame:
-    p = b.complete(spark, d)
-    wide = p.groupBy("road_id").agg(
-        F.max(areas.year_of("risk_score", b.YEARS[0])).alias("before"), F.max(areas.year_of("risk_score", b.YEARS[1])).alias("after")
-    )
-    wide = wide.withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    wide = index.year_change(b.complete(spark, d), "risk_score", b.YEARS)
     return wide.select("road_id", "delta", scaling.right_closed(F.col("delta"), index.CHANGE_EDGES, index.CHANGES).alias("change"))
 
 

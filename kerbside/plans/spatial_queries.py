@@ -33,11 +33,8 @@ def nearest_facility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_by_class(spark: SparkSession, d: str) -> DataFrame:
-    s, c = _suppliers(spark, d), _customers(spark, d)
-    out = None
-    for k in range(4):
-        one = spatial.nearest(c, s.filter(F.col("class") == k), "c_custkey", "s_suppkey", 50.0).select("c_custkey", F.col("d").alias(f"d{k}"))
-        out = one if out is None else out.join(one, "c_custkey", "left")
+    out = spatial.nearest_by_class(_customers(spark, d), _suppliers(spark, d), "c_custkey", "s_suppkey", "class", range(4), 50.0)
+    out = out.withColumnsRenamed({f"d_{k}": f"d{k}" for k in range(4)})
     return rounded(out, "d0", "d1", "d2", "d3")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions import text
-from kerbside.operators import quality
+from kerbside.operators import areas, quality
 from kerbside.plans import bindings as b
+from kerbside.plans.index_queries import rounded
 
 
 def normalised_name_join(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +58,9 @@ def html_escape(spark: SparkSession, d: str) -> DataFrame:
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
     size = F.when(F.col("p_size") <= 10, "çok yakın").when(F.col("p_size") <= 30, "orta").otherwise("uzak")
-    metres = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.format_number(F.floor("p_retailprice"), 0), F.lit(" m"))).otherwise(F.lit("OSM verisi yok"))
-    pieces = [
-        F.concat(F.lit("Tür: "), text.escape_html(F.col("p_type"))),
-        F.concat(F.lit("Mesafe: "), size),
-        F.concat(F.lit("Eczane: "), metres),
-    ]
-    return b.table(spark, d, "part").select("p_partkey", F.concat_ws("<br>", *pieces).alias("explanation"))
+    metres = text.metres_text(F.when(F.col("p_partkey") % 7 != 0, F.floor("p_retailprice").cast("double")))
+    out = text.explanation(("Tür", F.col("p_type")), ("Mesafe", size), ("Eczane", metres))
+    return b.table(spark, d, "part").select("p_partkey", out.alias("explanation"))
 
 
 def explanation_text(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +91,7 @@ def amenity_classes(spark: SparkSession, d: str) -> DataFrame:
 def age_bands(spark: SparkSession, d: str) -> DataFrame:
     band = F.when(F.col("p_size") % 9 == 0, "toplam").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 4).cast("string")))
     p = b.table(spark, d, "part").select("p_brand", text.starting_age(band).alias("age"), F.col("p_retailprice").cast("decimal(18,2)").alias("n"))
-    out = p.groupBy("p_brand").agg(
-        F.sum("n").cast("double").alias("total"),
-        F.sum(F.when(F.col("age") >= 40, F.col("n"))).cast("double").alias("old"),
-        F.sum(F.when(F.col("age") < 15, F.col("n"))).cast("double").alias("young"),
-    )
-    return out.select("p_brand", F.round(F.col("old") / F.col("total"), 6).alias("old_share"), F.round(F.col("young") / F.col("total"), 6).alias("young_share"))
+    return rounded(areas.age_shares(p, "p_brand", "age", "n", old=40, young=15), "old_share", "young_share")
 
 
 def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:

@@ -43,12 +43,8 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def station_day_collapse(spark: SparkSession, d: str) -> DataFrame:
-    out = _daily(spark, d).groupBy("station", "day").agg(
-        F.median("value").alias("median_value"),
-        F.min_by("value", F.struct("ts", "event_id")).alias("first_value"),
-        F.max("value").alias("largest"),
-        F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"),
-    )
+    out = temporal.station_days(_daily(spark, d), "station", "day", ["ts", "event_id"], ["value"], ["value", "event_type"], ["value"])
+    out = out.withColumnsRenamed({"largest_value": "largest", "first_event_type": "first_type"})
     return rounded(out, "median_value", "first_value", "largest")
 
 
@@ -77,15 +73,7 @@ def calendar_window_normal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weather_correction(spark: SparkSession, d: str) -> DataFrame:
-    p = b.complete(spark, d, b.THREE)
-    base = p.groupBy("year").agg(F.avg("lst").alias("mean"))
-    normal = base.agg(F.avg("mean").alias("normal"))
-    anomaly = base.crossJoin(F.broadcast(normal)).select("year", (F.col("mean") - F.col("normal")).alias("anomaly"))  # a row a year
-    fixed = p.join(F.broadcast(anomaly), "year")
-    out = fixed.groupBy("year").agg(
-        *[F.avg(F.col("lst") - beta * F.col("anomaly")).alias(f"mean_{i}") for i, beta in enumerate((0.0, 0.5, 1.0))],
-        F.median("lst").alias("median"),
-    )
+    out = temporal.weather_corrected(b.complete(spark, d, b.THREE), "lst", (0.0, 0.5, 1.0))
     return rounded(out, "mean_0", "mean_1", "mean_2", "median", digits=4)
 
 

@@ -94,59 +94,92 @@ def daily_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def area_tables(spark: SparkSession, pattern: str) -> DataFrame:
-    """Every city's area table, with ``city`` from its path; cities may lack columns."""
-    return spark.read.option("mergeSchema", True).csv(pattern, header=True, inferSchema=True).withColumn(
-        "city", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)_[^/_]+\.csv$", 1)
-    )
+    """Every city's area table, with ``city`` from its path; columns that a city lacks are missing for it.
+
+    Columns are matched by name: files are grouped by their header, each group is one scan, and the groups are united.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path")
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    heads = lines.filter("at = 0").groupBy("path").agg(F.first("value").alias("head")).collect()  # one row a file, the line it starts with
+    known = {r["path"]: r["head"] for r in heads}
+    by_head: dict[str, list[str]] = {}
+    for r in files.collect():
+        if r["path"] in known:
+            by_head.setdefault(known[r["path"]], []).append(r["path"])
+    out = None
+    for paths in by_head.values():
+        one = spark.read.csv(sorted(paths), header=True, inferSchema=True)
+        one = one.withColumn("city", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)_[^/_]+\.csv$", 1))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(pattern)
+    return out
+
+
+_GEOMETRY = "struct<type: string, coordinates: string>"
 
 
 def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """GeoJSON lines or collections as rows: ``properties`` (a schema), and the geometry's type and rings.
 
-    Points and lines are one ring; polygons have their rings, several polygons all of them.
+    Points and lines are one ring; polygons have their rings, several polygons all of them. Files of one feature a
+    line are split over tasks; a collection is one JSON document and so one task a file.
     """
-    ship(spark)
     schema = T._parse_datatype_string(properties)
-    out = T.StructType([*schema.fields, T.StructField("kind", T.StringType()), T.StructField("rings", T.ArrayType(T.ArrayType(POINT)))])
+    texts = ", ".join(f"`{f.name}`: string" for f in schema.fields)
+    feature = f"struct<type: string, properties: struct<{texts}>, geometry: {_GEOMETRY}>"
+    head = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
+    kind = head and spark.createDataFrame([(head[0],)], "v string").select(F.get_json_object("v", "$.type")).first()[0]
+    if kind == "Feature":
+        f = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(F.from_json("value", feature).alias("f"))
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        f = raw.select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
+    text = F.col("f.geometry.coordinates")
+    place = lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))
+    paths = lambda depth: F.from_json(text, "array<" * depth + "double" + ">" * depth)
+    path_of = lambda ring: F.transform(ring, place)
+    at = F.col("f.geometry.type")
+    rings = (
+        F.when(at == "Point", F.array(F.array(place(paths(1)))))
+        .when(at.isin("LineString", "MultiPoint"), F.array(path_of(paths(2))))
+        .when(at.isin("Polygon", "MultiLineString"), F.transform(paths(3), path_of))
+        .when(at == "MultiPolygon", F.transform(F.flatten(paths(4)), path_of))
+    )
+    cast = [F.expr(f"try_cast(f.properties.`{x.name}` AS {x.dataType.simpleString()})").alias(x.name) for x in schema.fields]
+    return without_nan(f.select(*cast, at.alias("kind"), rings.alias("rings")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
 
-        arrow = [pa.field(f.name, pa.string()) for f in schema.fields]
-        for b in batches:
-            rows = []
-            for data in b.column("content").to_pylist():
-                for line in _documents(data):
-                    rows += line.get("features", [line]) if line.get("type") == "FeatureCollection" else [line]
-            cols = [pa.array([None if (v := r["properties"].get(f.name)) is None else v if isinstance(v, str) else json.dumps(v) for r in rows], pa.string()) for f in arrow]
-            kinds = [r["geometry"]["type"] if r.get("geometry") else None for r in rows]
-            rings = [_rings(r["geometry"]) if r.get("geometry") else None for r in rows]
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(kinds, pa.string()), pa.array(rings, pa.list_(pa.list_(point)))], [*(f.name for f in arrow), "kind", "rings"]
-            )
-
-    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], *out.fields[-2:]])
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, text)
-    cast = [F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields]
-    return without_nan(raw.select(*cast, "kind", "rings"))
+def layer(spark: SparkSession, path: str, box: Sequence[float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """A map layer written by ``sinks.write_layer``: shapes whose box meets ``box`` (west, south, east, north).
+
+    Box and columns reach the Parquet scan: files and row groups whose statistics rule the box out aren't read.
+    """
+    df = spark.read.parquet(path)
+    if box is not None:
+        df = df.filter((F.col("x0") <= box[2]) & (F.col("x1") >= box[0]) & (F.col("y0") <= box[3]) & (F.col("y1") >= box[1]))
+    return df if columns is None else df.select(*columns, "kind", "rings")
+
+
+#: Tags of green areas.
+GREEN_LEISURE = ("park", "garden", "nature_reserve")
+GREEN_LANDUSE = ("forest", "grass", "meadow", "recreation_ground")
 
 
-def _documents(data: bytes) -> Iterator[dict]:
-    import json
+def of_types(df: DataFrame, column: str, types: Sequence[str]) -> DataFrame:
+    """Rows of the named road types; those without one are left out."""
+    return df.filter(F.col(column).isNotNull() & F.col(column).isin(*types))
 
-    text = data.decode("utf-8")
-    try:
-        yield json.loads(text)
-    except json.JSONDecodeError:
-        yield from (json.loads(x) for x in text.splitlines() if x.strip())
 
+def is_green(leisure: Column, landuse: Column, rings: Column | None = None) -> Column:
+    """Either tag names a green area, and the shape isn't empty."""
+    tagged = F.coalesce(leisure.isin(*GREEN_LEISURE), F.lit(False)) | F.coalesce(landuse.isin(*GREEN_LANDUSE), F.lit(False))
+    return tagged if rings is None else tagged & rings.isNotNull() & (F.size(F.flatten(rings)) > 0)
 
-def _rings(g: dict) -> list[list[dict[str, float]]]:
-    c, kind = g["coordinates"], g["type"]
-    depth = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}[kind]
-    rings = [[c]] if depth == 0 else [c] if depth == 1 else c if depth == 2 else [r for p in c for r in p]
-    return [[{"x": float(p[0]), "y": float(p[1])} for p in r] for r in rings]
+
+def administrative(df: DataFrame, level: str) -> DataFrame:
+    """Shapes of one administrative level."""
+    return df.filter((F.col("admin_level") == level) & (F.col("boundary") == "administrative"))
 
 
 def ascii_grids(spark: SparkSession, path: str) -> DataFrame:
@@ -182,3 +215,51 @@ def ascii_grids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(
         run, "raster string, row int, col int, x double, y double, value double"
     )
+
+
+def geopackage(spark: SparkSession, path: str, layer_: str, properties: str) -> DataFrame:
+    """A layer of GeoPackage files: ``properties`` (a schema) and ``rings`` (a polygon's rings, or a line's path).
+
+    The format is one database a file, so a file is one task.
+    """
+    ship(spark)
+    schema = T._parse_datatype_string(properties)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sqlite3
+
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        for b in batches:
+            for data in b.column("content").to_pylist():
+                con = sqlite3.connect(":memory:")
+                con.deserialize(data)
+                quoted = ", ".join(f'"{n}"' for n in names)
+                rows = con.execute(f'SELECT geom{", " if names else ""}{quoted} FROM "{layer_}" ORDER BY fid')
+                while some := rows.fetchmany(1000):
+                    cols = [pa.array([None if r[i + 1] is None else str(r[i + 1]) for r in some], pa.string()) for i in range(len(names))]
+                    shapes = pa.array([None if r[0] is None else _wkb_rings(r[0]) for r in some], pa.list_(pa.list_(point)))
+                    yield pa.RecordBatch.from_arrays([*cols, shapes], [*names, "rings"])
+                con.close()
+
+    text = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("rings", T.ArrayType(T.ArrayType(POINT)))])
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, text)
+    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields], "rings")
+
+
+def _wkb_rings(blob: bytes) -> list[list[dict[str, float]]]:
+    """Rings or path of a GeoPackage geometry without an envelope."""
+    at = 8 + 1
+    kind = int.from_bytes(blob[at : at + 4], "little")
+    at += 4
+    count = 1
+    if kind == 3:
+        count = int.from_bytes(blob[at : at + 4], "little")
+        at += 4
+    rings = []
+    for _ in range(count):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        xy = np.frombuffer(blob, "<f8", 2 * n, at + 4).reshape(-1, 2)
+        rings.append([{"x": float(x), "y": float(y)} for x, y in xy])
+        at += 4 + 16 * n
+    return rings

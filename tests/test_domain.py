@@ -29,10 +29,10 @@ def test_scale_keeps_missing_and_clips(spark):
 
 def test_robust_bounds_ignore_an_outlier_and_fall_back(spark):
     long = spark.createDataFrame([(float(i),) for i in range(99)] + [(100000.0,)], "x double")
-    lo, hi = long.agg(scaling.robust_bounds(F.col("x")).alias("r")).first()["r"]
+    lo, hi = scaling.robust_bounds(long, ["x"])["x"]
     assert (lo, hi) == pytest.approx(tuple(np.quantile([*range(99), 100000], [0.02, 0.98])))
     flat = spark.createDataFrame([(0.1,)] * 99 + [(0.3,)], "x double")
-    assert flat.agg(scaling.robust_bounds(F.col("x")).alias("r")).first()["r"] == [0.1, 0.3]
+    assert scaling.robust_bounds(flat, ["x"])["x"] == (0.1, 0.3)
 
 
 def test_combine_punishes_one_weak_group(spark):
@@ -97,16 +97,18 @@ def test_asof_tolerance_is_inclusive_and_first_wins(spark):
     assert {r["s"]: r["v"] for r in out.collect()} == {"a": 1.0, "b": None, "c": 3.0}
 
 
-def test_nearest_rings_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "SMALL", 5)
+def test_nearest_rings_match_brute_force(spark):
     rng = np.random.default_rng(3)
     a, b = rng.uniform(0, 1000, (40, 2)), rng.uniform(0, 1000, (30, 2))
     left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], "k int, x double, y double")
     right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)], "t int, x double, y double")
-    got = {r["k"]: (r["t"], r["d"]) for r in spatial.nearest(left, right, "k", "t", 5.0, rings=3).collect()}
+    got = {r["k"]: (r["t"], r["d"]) for r in spatial.nearest(left, right, "k", "t", 5.0).collect()}
     d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
     assert {k: t for k, (t, _) in got.items()} == dict(enumerate(d.argmin(1).tolist()))
     assert spatial.nearest(left, right.limit(0), "k", "t", 5.0).count() == 0
+    holes = left.unionByName(spark.createDataFrame([(99, None, 1.0), (98, 5.0, None)], left.schema))
+    blank = right.unionByName(spark.createDataFrame([(97, None, None)], right.schema))
+    assert {r["k"]: r["t"] for r in spatial.nearest(holes, blank, "k", "t").collect()} == {k: t for k, (t, _) in got.items()}
 
 
 def test_polygon_with_hole_and_smallest(spark):
@@ -116,6 +118,10 @@ def test_polygon_with_hole_and_smallest(spark):
     points = spark.createDataFrame([(1, 5.0, 5.0), (2, 2.0, 2.0), (3, 8.0, 8.0), (4, 20.0, 2.0)], "k int, x double, y double")
     got = {r["k"]: r["poly"] for r in spatial.smallest_polygon(points, polys, "k", "poly", 4.0).collect()}
     assert got == {1: None, 2: 2, 3: 1, 4: None}
+    frame = [(1, [ring(0.0, 0.0, 10.0, 10.0), ring(0.5, 0.5, 9.5, 9.5)]), (2, [ring(-1.0, -1.0, 5.0, 5.0)])]  # 19 of 100, and 36
+    frame = spark.createDataFrame(frame, "poly int, rings array<array<struct<x: double, y: double>>>")
+    edge = spark.createDataFrame([(1, 0.25, 0.25)], "k int, x double, y double")
+    assert spatial.smallest_polygon(edge, frame, "k", "poly", 4.0).first()["poly"] == 1
     assert spatial.coverage(points, polys, "k", 4.0).first()[0] == 0.5
 
 

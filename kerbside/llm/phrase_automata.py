@@ -9,8 +9,8 @@ whose word sequence also starts anywhere else is removed.
    runs whose anchor others have too, and answers with each repeated window's documents
    and the smallest of them, which keeps the sequence's text for the others. Anchors
    that very many runs have are dealt by window instead, so no shard grows with them.
-2. Compile. The kept passages are dealt into shards of about ``stream_words`` words of passages to
-   search. A shard's passages are cut into blocks of ``(window + 1) // 2`` words, one of which
+2. Compile. The kept passages are dealt into shards of at most about ``stream_words`` words of passages to
+   search, fewer where that leaves tasks idle. A shard's passages are cut into blocks of ``(window + 1) // 2`` words, one of which
    lies whole in every window, and compiled into one Aho-Corasick automaton over exact words. A
    passage that more text than that has to meet is in as many shards as it needs.
 3. Stream. The stretches of all documents that can hold an occurrence (those with a window that
@@ -417,10 +417,16 @@ def remove_repeats(
         joined.mapInArrow(_passages(window), f"doc_id long, id long, n_words long, kept_sha256 string, text string, {piece}"), "found"
     )
     pieces = found.filter("text is not null").select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
-    weighed = scratch.table(pieces.groupBy("keeper").agg(F.sum(F.octet_length("words")).alias("bytes")), "weighed")
+    size_of = F.octet_length("words")
+    weighed = scratch.table(
+        pieces.groupBy("keeper").agg(F.sum(size_of).alias("bytes"), F.sum(F.when(F.col("doc_id") == F.col("keeper"), size_of)).alias("kept")), "weighed"
+    )
     total = weighed.agg(F.sum("bytes")).first()[0] or 0
-    automata = max(parts, math.ceil(total / (6 * stream_words)))
-    copies = weighed.select("keeper", F.ceil(F.col("bytes") / (6 * stream_words)).cast("int").alias("copies"))
+    # shards a few times as many as tasks, so that what one passage has to meet is spread; its own words are copied to each
+    share = min(6 * stream_words, max(1, total // (2 * parts)))
+    automata = max(parts, math.ceil(total / share))
+    need = F.ceil(F.col("bytes") / F.greatest(F.lit(share), 4 * F.coalesce("kept", F.lit(0))))
+    copies = weighed.select("keeper", need.cast("int").alias("copies"))
     dealt = pieces.join(copies.hint("merge"), "keeper")
     kept = dealt.filter("doc_id = keeper").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))))

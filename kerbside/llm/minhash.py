@@ -10,10 +10,12 @@ reaches ``threshold`` (0.75 by default, five words).
    candidates when their longest common prefix is at least the region's depth:
    ``depth`` places, and one more in a region of more than ``dense`` rows. There are
    as many orders as find a pair at the threshold in dense regions as surely as ``trees`` do elsewhere.
-3. Candidates chain into blocks. In a block every pair of sets is compared
-   exactly, by one matrix product of shingle incidences, in tiles of bounded size:
-   a block beyond one tile is dealt over tiles, and each pair of tiles is a task's
-   row group. Only a spanning forest of the links leaves a tile.
+3. Candidates chain into blocks, and every link inside a block counts. Sets are compared
+   exactly, by one matrix product of shingle incidences, in tiles of bounded size. A block beyond one tile is
+   dealt over tiles, each with the same few of the block's documents beside its own: in a group of near
+   copies that joins all tiles, and the work is linear. Only documents that this leaves outside
+   their block's largest part are then compared with all others of the block, tile by tile. Only a
+   spanning forest of the links leaves a tile.
 4. Links are joined into components.
 
 A pair at the threshold is missed when no tree has it. The defaults grow 57 trees of 5 places,
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kerbside.llm.components import connected_components
 from kerbside.llm.scratch import Scratch
@@ -133,27 +136,37 @@ def _neighbours(dense: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        # rows held back: an open region of at most ``dense`` rows, or the last row of a larger one
+        held, larger, last = None, False, None
         for b in batches:
             if not b.num_rows:
                 continue
-            t, p, r, i = (b.column(c).to_numpy() for c in ("tree", "first", "rest", "id"))
+            rows = [b.column(c).to_numpy() for c in ("tree", "first", "rest", "id")]
             if last is None:
-                yield out(True, t[:1], p[:1], i[:1], i[:1])
+                yield out(True, *(x[:1] for x in (rows[0], rows[1], rows[3], rows[3])))
             else:
-                t, p, r, i = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (t, p, r, i), strict=True))
-            last = (t[-1], p[-1], r[-1], i[-1])
-            same = (t[1:] == t[:-1]) & (p[1:] == p[:-1])
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            rows = np.diff(np.append(starts, len(t)))
-            region = np.repeat(rows, rows)
-            deeper = r[1:] == r[:-1]
-            near = same & ((region[1:] <= dense) | deeper)
-            x, y = i[:-1][near], i[1:][near]
-            yield out(False, t[1:][near], p[1:][near], np.minimum(x, y), np.maximum(x, y))
+                rows = [np.concatenate([x, y]).astype(y.dtype) for x, y in zip(held, rows, strict=True)]
+            last = [x[-1:] for x in rows]
+            pairs, held, larger = close(rows, larger, False)
+            yield pairs
         if last is not None:
-            t, p, _, i = (np.array([x]) for x in last)
-            yield out(True, t.astype(np.int32), p, i, i)
+            yield close(held, larger, True)[0]
+            yield out(True, *(last[i] for i in (0, 1, 3, 3)))
+
+    def close(rows: list[np.ndarray], larger: bool, end: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
+        """Candidates of the regions that end here; the rows to hold back, and whether their region is a larger one."""
+        t, p, r, i = rows
+        same = (t[1:] == t[:-1]) & (p[1:] == p[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        n = np.diff(np.append(starts, len(t)))
+        many = n > dense
+        many[0] |= larger
+        keep = int(starts[-1]) if not end and not many[-1] else len(t) - 1
+        near = same & (~np.repeat(many, n)[1:] | (r[1:] == r[:-1]))
+        near[keep:] = False  # an open region's rows come again
+        x, y = i[:-1][near], i[1:][near]
+        pairs = out(False, t[1:][near], p[1:][near], np.minimum(x, y), np.maximum(x, y))
+        return pairs, [v[keep:].copy() for v in rows], bool(many[-1])
 
     return run
 
@@ -225,6 +238,37 @@ def _tiles(size: int, threshold: int):
     return run
 
 
+def _block_links(dealt: DataFrame, compared, pivots: int, scratch: Scratch) -> DataFrame:
+    """Links that join each block's documents (``id, block, tile, tiles``) as all of its links would.
+
+    First each tile by itself, with ``pivots`` documents of its block. Two documents of one part need no further look;
+    so what is left is every document outside its block's largest part against all documents of the block.
+    """
+    zero, every = F.lit(0).cast("long"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    single = dealt.filter("tiles = 1").select("id", "block", zero.alias("x"), zero.alias("y"))
+    many = scratch.table(dealt.filter("tiles > 1"), "many")
+    if many.isEmpty():
+        return compared(single)
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("id"), "id"))
+    chosen = many.withColumn("place", place).filter(F.col("place") <= pivots).select("id", "block", every("tiles").alias("x"))
+    own = many.select("id", "block", F.col("tile").alias("x")).unionByName(chosen).distinct()
+    first = scratch.table(compared(single.unionByName(own.withColumn("y", F.col("x")))), "tile-links")
+    parts = connected_components(first, scratch).toDF("id", "part")
+    named = scratch.table(many.join(parts.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+    sizes = named.groupBy("block", "part").agg(F.count("*").alias("n"), F.first("tiles").alias("tiles"))
+    largest = sizes.groupBy("block").agg(
+        F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.first("tiles").alias("of")
+    )
+    left = F.ceil((F.col("all") - F.col("most")) * F.col("of") / F.col("all")).cast("long")
+    open_ = largest.filter("most < all").select("block", "largest", left.alias("rests"))
+    both = scratch.table(named.join(open_, "block"), "open")
+    rest = both.filter("part <> largest").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("rests")))
+    rows = rest.select("id", "block", "x", every("tiles").alias("y")).unionByName(
+        both.select("id", "block", every("rests").alias("x"), F.col("tile").alias("y"))
+    )
+    return first.unionByName(compared(rows.distinct()))
+
+
 def near_duplicates(
     docs: DataFrame,
     scratch: Scratch,
@@ -233,8 +277,9 @@ def near_duplicates(
     trees: int = 40,
     depth: int = 4,
     dense: int = 64,
-    tile_docs: int = 512,
-    tile_shingles: int = 1_000_000,
+    tile_docs: int = 256,
+    tile_shingles: int = 500_000,
+    pivots: int = 16,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``; ``threshold`` in hundredths."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -279,17 +324,17 @@ def near_duplicates(
         "tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(F.lit(0))
     )
     dealt = scratch.table(dealt.select("id", "block", "tile", "tiles"), "dealt")
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    rows = (
-        texts.join(dealt.hint("merge"), texts["doc_id"] == dealt["id"])
-        .select("id", "text", "block", "tile", others.alias("other"))
-        .select("id", "text", "block", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    )
-    links = (
-        rows.repartition(parts, "block", "x", "y")
-        .sortWithinPartitions("block", "x", "y")
-        .mapInArrow(_tiles(words, threshold), "a long, b long")
-    )
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Links among the documents of each (block, x, y)."""
+        of = texts.join(rows.hint("merge"), texts["doc_id"] == rows["id"]).select("id", "text", "block", "x", "y")
+        return (
+            of.repartition(parts, "block", "x", "y")
+            .sortWithinPartitions("block", "x", "y")
+            .mapInArrow(_tiles(words, threshold), "a long, b long")
+        )
+
+    links = _block_links(dealt, compared, pivots, scratch)
     labels = connected_components(links, scratch)
     named = scratch.table(
         classes.select("set_key", "doc_id")

@@ -7,8 +7,8 @@ weight among the others, until none is above. Documents are then repeated whole
 
 Defined results: null texts have size 0; null sources are one source, last in
 order; an empty table gives an empty mix; a source of size 0 has target 0 and its
-documents are taken once per whole repetition of size 0 (nothing). Repeated
-``doc_id`` rows are separate rows that get one decision. Extra columns are kept by ``mix``.
+documents are taken once per whole repetition of size 0 (nothing). Rows that share a
+``doc_id`` are separate rows, each with a decision of its own. Other columns, whatever their names, are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -97,6 +97,7 @@ def decisions(
     max_epochs: int = 3,
     seed: int = 17,
     bucket: int = 256,
+    hot_rows: int = 1024,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
 
@@ -106,7 +107,8 @@ def decisions(
     what the fraction still owes is above a seeded uniform share of its size:
     small documents make up for what large ones left, so a source's words stay
     near its target while every document can be drawn. ``copies`` is whole plus
-    drawn repetitions, ``taken`` is ``copies * size``.
+    drawn repetitions, ``taken`` is ``copies * size``. Rows of an id that more than ``hot_rows`` rows share (or that
+    have none) are numbered instead, and the fraction takes every so many of those that are alike.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     targets = scratch.table(source_targets(sized, weights, max_epochs, scratch), "targets")
@@ -120,13 +122,17 @@ def decisions(
         F.ceil(F.col("n_docs") / bucket).alias("buckets"),
     )
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    dealt = (
-        sized.join(by, sized["source"].eqNullSafe(by["of"]))
+    counts = sized.groupBy(F.col("doc_id").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    hot = scratch.table(counts, "hot-ids")
+    shared = hot.agg(F.sum("n")).first()[0] or 0
+    few = sized.join(hot, sized["doc_id"].eqNullSafe(hot["hot"]), "left_anti") if shared else sized
+    marked = lambda rows: (
+        rows.join(by, rows["source"].eqNullSafe(by["of"]))
         .drop("of")
         .withColumn("key", key)
-        .withColumn("bucket", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("buckets"))
         .withColumn("u", F.conv(F.substring("key", 9, 8), 16, 10).cast("double") / F.lit(2.0**32))
     )
+    dealt = marked(few).withColumn("bucket", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("buckets"))
     rows = F.sort_array(
         F.collect_list(F.struct((-F.col("size")).alias("largest"), "key", "doc_id", "size", "u"))
     )
@@ -147,7 +153,7 @@ def decisions(
         .select("source", *per_source, F.explode(F.arrays_zip("rows", "extra")).alias("x"))
     )
     copies = (F.col("whole") + F.col("x.extra")).cast("long")
-    return drawn.select(
+    out = drawn.select(
         F.col("x.rows.doc_id").alias("doc_id"),
         "source",
         F.col("x.rows.size").alias("size"),
@@ -156,6 +162,30 @@ def decisions(
         copies.alias("copies"),
         (copies * F.col("x.rows.size")).alias("taken"),
     )
+    if not shared:
+        return out
+    many = marked(sized.join(hot, sized["doc_id"].eqNullSafe(hot["hot"]), "left_semi"))
+    return out.unionByName(_numbered(many, shared, scratch).select(*out.columns))
+
+
+def _numbered(rows: DataFrame, count: int, scratch: Scratch, most: int = 100_000) -> DataFrame:
+    """Decisions of rows that may be alike: equal ones are numbered, and the n-th is drawn when n fractions pass a whole number.
+
+    They are numbered in parts of about ``most`` rows, each after the rows of the parts before it. Which
+    part a row is in doesn't matter: the numbers, and so the decisions of equal rows, are the same.
+    """
+    alike = ["source", "doc_id", "size"]
+    parts = max(8, -(-count // most))
+    held = scratch.table(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts))), "shared")
+    sums = held.groupBy(*alike, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*alike).orderBy("part")) - F.col("n")  # ``parts`` rows a group
+    base = sums.select(*[F.col(c).alias(f"of_{c}") for c in (*alike, "part")], before.alias("base"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*alike, "part")]
+    place = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("key"))
+    numbered = held.withColumn("place", place).join(base, same).withColumn("number", F.col("base") + F.col("place"))
+    passed = lambda n: F.floor(n * F.col("fraction") + F.col("u"))
+    copies = (F.col("whole") + passed(F.col("number")) - passed(F.col("number") - 1)).cast("long")
+    return numbered.withColumn("copies", copies).withColumn("taken", copies * F.col("size"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:

@@ -230,3 +230,21 @@ def test_rows_without_an_id(spark):
     out = line_dedup.drop_common_lines(docs, Scratch(spark, "t"))
     assert out.filter("doc_id is null").agg(F.sum("_n_dropped")).first()[0] == 0
     assert mixing.decisions(docs, Scratch(spark, "t")).count() == docs.count()
+
+
+def test_a_hot_id_is_split(spark):
+    """A third of all rows share one id, some have none: sources stay near their targets, and reruns agree."""
+    rows = [(7 if i % 3 == 0 else None if i % 7 == 0 else i, " ".join(["w"] * (1 + i % 5)), "abc"[i % 2 + (i % 11 == 0)]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for n in (2, 5):
+        out = mixing.decisions(docs.repartition(n), Scratch(spark, "t"), hot_rows=100).collect()
+        assert len(out) == 3000 and all(0 <= r["taken"] <= 3 * r["size"] for r in out)
+        runs.append(sorted((r["doc_id"] or -1, r["source"], r["size"], r["taken"]) for r in out))
+    assert runs[0] == runs[1]
+    took, target = collections.Counter(), {}
+    for r in out:
+        took[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(took[s] - t) <= 0.02 * t + 20 for s, t in target.items())
+    assert mixing.mix(docs, Scratch(spark, "t"), hot_rows=100).columns == docs.columns

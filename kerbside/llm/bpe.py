@@ -40,7 +40,7 @@ _RUN = re.compile(r" (?:(?<=\s\s)|\s)")
 #: A line end beside other white space.
 _LINE_RUN = re.compile(r"\n(?:(?<=\s\s)|\s)")
 #: Bytes of words and their ids held in each of two generations, and what Python takes for an entry besides.
-HELD_BYTES, ENTRY_BYTES = 20 << 20, 200
+HELD_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
 def byte_symbols() -> dict[str, int]:
@@ -150,30 +150,38 @@ class ByteBPE(Vocabulary):
                     heappush(queue, (m[0], h, ids[h], made, m[1]))
         return [x for x in ids if x >= 0]
 
-    def _known(self, piece: str, pretoken: bool = False) -> bytes:
-        """The packed ids of a piece of text; short pieces are held."""
-        out = self._held.get(piece)
+    def _pretoken(self, p: str) -> bytes:
+        """The packed ids of one pre-token; short ones are held."""
+        out = self._held.get(p)
         if out is None:
-            out = self._held.old.get(piece)
+            out = self._held.old.get(p)
             if out is None:
-                cut = [piece] if pretoken else self._split.findall(piece)
-                if len(cut) == 1:
-                    out = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
-                else:
-                    out = b"".join([self._known(p, True) for p in cut])
-            if len(piece) <= 64:
-                self._held.put(piece, out)
+                out = array("I", self.merge(p.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(p) <= 64:
+                self._held.put(p, out)
+        return out
+
+    def _word(self, word: str) -> bytes:
+        """The packed ids of a word that isn't among those held last."""
+        out = self._held.old.get(word)
+        if out is None:
+            cut = self._split.findall(word)
+            if len(cut) == 1:
+                return self._pretoken(word)
+            out = b"".join(map(self._pretoken, cut))
+        if len(word) <= 64:
+            self._held.put(word, out)
         return out
 
     def _encode_plain(self, text: str) -> bytes:
         if _RUN.search(text):
-            return b"".join([self._known(p, True) for p in self._split.findall(text)])
+            return b"".join(map(self._pretoken, self._split.findall(text)))
         # no pre-token reaches over the start of a space that stands between two words
         pieces = words_with_spaces(text)
         parts = list(map(self._held.get, pieces))
         if None in parts:
-            known = self._known
-            parts = [known(w) if x is None else x for w, x in zip(pieces, parts, strict=True)]
+            word = self._word
+            parts = [word(w) if x is None else x for w, x in zip(pieces, parts, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str | None) -> bytes:

@@ -16,7 +16,7 @@ from kerbside.plans.geometry_queries import _diamonds
 from kerbside.plans.index_queries import rounded
 from kerbside.plans.raster_queries import _PIXELS, _pixels
 from kerbside.scratch import Scratch
-from kerbside.sources import geotiff, readers, sinks
+from kerbside.sources import geotiff, osm, readers, sinks
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -180,6 +180,20 @@ def src_ascii_grid(spark: SparkSession, d: str) -> DataFrame:
     return readers.ascii_grids(spark, path).filter("value is not null").select("row", "col", F.col("value").cast("long").alias("value"))
 
 
+def src_osm_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of nations in a map extract: three nodes and a way each; those that meet a box."""
+    rows = b.table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 lines of a fixture
+    found = []
+    for k, name in sorted(tuple(r) for r in rows):
+        places = [(k * 1.5, k * 2.0), (k * 1.5 + 3, k * 2.0), (k * 1.5 + 3, k * 2.0 + 4)]
+        found += [("node", 10 * k + i + 1, x, y, {}, None, None, None) for i, (x, y) in enumerate(places)]
+        found.append(("way", k + 1, None, None, {"highway": "primary" if k % 3 else "track", "name": name}, [10 * k + 1, 10 * k + 2, 10 * k + 3], None, None))
+    path = f"{_folder(spark, 'osm')}/a.osm.pbf"
+    sinks.write_bytes(spark, path, osm.encode(found))
+    out = readers.of_types(osm.lines(osm.elements(spark, path), ["highway", "name"], (5.0, 5.0, 30.0, 40.0)), "highway", ["primary"])
+    return rounded(out.select("id", "highway", "name", geometry.line_length(F.col("rings")[0]).alias("length")), "length")
+
+
 def snk_publish(spark: SparkSession, d: str) -> DataFrame:
     """Published twice; the second is what is read, after a fault between the renames as well."""
     path = f"{_folder(spark, 'publish')}/t"
@@ -314,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_districts, src_development, src_observations, src_stations, src_weather, src_scenes, src_area_tables, src_feature_lines, src_feature_collection,
-        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_ascii_grid, snk_publish, snk_cached_stage, snk_map_layers,
+        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_ascii_grid, src_osm_lines, snk_publish, snk_cached_stage, snk_map_layers,
         snk_city_stats, snk_package, tidy_columns, column_descriptions, snk_manifest, five_quantiles, composite_name_join, coerced_scale, without_constants,
         tag_filters, formatted_texts, dense_core, registry_counts,
     )
@@ -347,6 +361,8 @@ SQL = {
     "src_night_composite": f"""WITH {_PIXELS}, v AS (SELECT row, col, CASE WHEN (row + col) % (i + 2) <> 0 THEN nir // i * 0.02::DOUBLE - 273.15::DOUBLE END AS v FROM px, range(1, 3) t(i))
 SELECT row, col, round(avg(v), 4) AS value FROM v GROUP BY 1, 2 HAVING count(v) > 0""",
     "src_ascii_grid": f"WITH {_PIXELS} SELECT row, col, CAST(red AS BIGINT) AS value FROM px",
+    "src_osm_lines": """SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'primary' AS highway, n_name AS name, CAST(7.0 AS DOUBLE) AS length FROM nation
+  WHERE n_nationkey % 3 <> 0 AND n_nationkey * 1.5 <= 30 AND n_nationkey * 1.5 + 3 >= 5 AND n_nationkey * 2 <= 40 AND n_nationkey * 2 + 4 >= 5""",
     "snk_publish": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5",
     "snk_cached_stage": "SELECT count(*) AS n, 2 AS built FROM nation",
     "snk_map_layers": """SELECT c_custkey AS road_id, CAST(c_nationkey % 2 + 2020 AS INT) AS year, c_mktsegment AS category,

@@ -116,7 +116,8 @@ def bucket5_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _area(spark: SparkSession, d: str, by: list[str], panel=_stepped) -> DataFrame:
     t = areas.area_table(panel(spark, d), b.YEARS, by)
-    return rounded(t, *[c for c, k in t.dtypes if k == "double"], digits=5)
+    means = [c for c, k in t.dtypes if k == "double"]
+    return rounded(rounded(t, *means, digits=9), *means, digits=5)  # a half stays a half whatever the order of the sum
 
 
 def area_table_nation(spark: SparkSession, d: str, panel=_stepped) -> DataFrame:

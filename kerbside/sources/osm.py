@@ -26,7 +26,7 @@ from kerbside.ship import ship
 ELEMENTS = "kind string, id long, lon double, lat double, tags map<string, string>, refs array<long>, roles array<string>, members array<string>"
 #: The format's member kinds, and the unit of coordinates.
 _MEMBERS = ("node", "way", "relation")
-_NANO = 1e-9
+NANO = 1e9
 
 
 def _varints(data: bytes) -> np.ndarray:
@@ -91,9 +91,9 @@ def elements_of(block: bytes) -> list[tuple]:
     """The elements of one unpacked block, as rows of ``ELEMENTS``."""
     m = _message(block)
     strings = [bytes(s).decode("utf-8", "replace") for s in _message(_first(m, 1, b"")).get(1, [])]
-    unit = _first(m, 17, 100) * _NANO
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    lat0, lon0 = signed(_first(m, 19, 0)) * _NANO, signed(_first(m, 20, 0)) * _NANO
+    unit, lat0, lon0 = _first(m, 17, 100), signed(_first(m, 19, 0)), signed(_first(m, 20, 0))
+    degrees = lambda start, v: (start + unit * v) / NANO
     text = lambda places: [strings[i] for i in places]
     rows: list[tuple] = []
 
@@ -106,10 +106,10 @@ def elements_of(block: bytes) -> list[tuple]:
         for raw in g.get(1, []):
             e = _message(raw)
             number = lambda f: int(_signed(np.array([e[f][0]], np.uint64))[0])  # noqa: B023, E731
-            rows.append(("node", number(1), lon0 + unit * number(9), lat0 + unit * number(8), tags(e), None, None, None))
+            rows.append(("node", number(1), degrees(lon0, number(9)), degrees(lat0, number(8)), tags(e), None, None, None))
         for raw in g.get(2, []):
             e = _message(raw)
-            ids, lat, lon = _deltas(e, 1), lat0 + unit * _deltas(e, 8), lon0 + unit * _deltas(e, 9)
+            ids, lat, lon = _deltas(e, 1), degrees(lat0, _deltas(e, 8)), degrees(lon0, _deltas(e, 9))
             own: list[list] = [[] for _ in ids]
             at, pairs = 0, _varints(bytes(_first(e, 10, b""))).tolist()
             k = 0
@@ -266,7 +266,7 @@ def encode(rows: Sequence[tuple]) -> bytes:
     body = b""
     if nodes:
         tags = [v for r in nodes for v in [*[place(x) for pair in dict(r[4]).items() for x in pair], 0]]
-        unit = lambda v: round(v / (100 * _NANO))
+        unit = lambda v: round(v * NANO / 100)
         dense = _part(1, deltas([r[1] for r in nodes])) + _part(8, deltas([unit(r[3]) for r in nodes])) + _part(9, deltas([unit(r[2]) for r in nodes]))
         body += _part(2, dense + _part(10, packed(tags)))
     for kind, number, _, _, tags, refs, roles, members in rows:

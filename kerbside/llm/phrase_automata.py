@@ -7,8 +7,9 @@ whose word sequence also starts anywhere else is removed.
    windows have equal anchors at equal places. All documents are read; consecutive windows with
    one anchor are a run, and runs go, packed into arrays, to shards by anchor. A shard compares only
    runs whose anchor others have too, and answers with each repeated window's documents
-   and the smallest of them, which keeps the sequence's text for the others. Anchors
-   that very many runs have are dealt by window instead, so no shard grows with them.
+   and the smallest of them, which keeps the sequence's text for the others. Windows of anchors
+   that very many runs have are dealt evenly instead and judged by one aggregate (with map-side combine)
+   and a join that the adaptive planner splits, so no task has to see all of them.
 2. Compile. The kept passages are dealt into shards of at most about ``stream_words`` words of passages to
    search, fewer where that leaves tasks idle. A shard's passages are cut into blocks of ``(window + 1) // 2`` words, one of which
    lies whole in every window, and compiled into one Aho-Corasick automaton over exact words. A
@@ -22,7 +23,7 @@ whose word sequence also starts anywhere else is removed.
 4. Remove. Occurrences are gathered by document and cut out.
 
 Every shard is bounded: of runs by ``shard_windows`` windows on average, of passages by ``stream_words``. What is
-sampled (rows, by a hash of their key) only says which anchors are dealt by window.
+sampled (rows, by a hash of their key) only says which anchors are dealt evenly.
 
 Defined results: null and empty texts have no words; documents of fewer words than a
 window lose nothing; repeats within one document count; rows without an id are left out;
@@ -98,6 +99,11 @@ def _single(head: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, alone
 
 
+def window_keys(anchor: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Windows are equal if anchor, its place in the window, and hash are: one 64-bit key of the three."""
+    return (mix64(anchor + place.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFFFFFF00000000)) | h.astype(U64)
+
+
 def _find(shards: int, window: int, anchor: int, hot: np.ndarray):
     """One row for each shard and slice of documents: the packed runs and their windows' hashes."""
 
@@ -120,12 +126,14 @@ def _find(shards: int, window: int, anchor: int, hot: np.ndarray):
                 head, alone = _single(head, hot)
                 first = np.cumsum(head["n"]) - head["n"]
                 key = head["anchor"].copy()
-                key[alone] ^= mix64(h[first[alone]].astype(U64) + U64(1))
+                key[alone] = head["doc"][alone].astype(U64) * U64(0x9E3779B97F4A7C15) + head["start"][alone].astype(U64)
             shard = (mix64(key) % U64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             head, shard, first = head[order], shard[order], first[order]
             n = head["n"].astype(np.int64)
             h = h[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            if len(hot):
+                head["n"][alone[order]] = 0  # one window, which the shard doesn't judge
             cuts = np.flatnonzero(np.diff(shard)) + 1
             lo, hi = np.concatenate([[0], cuts]), np.append(cuts, len(shard))
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -155,9 +163,7 @@ def repeated(head: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     h = h[first[run] + step]
     place = (head["at"] - head["start"]).astype(np.int64)[run] - step
-    # windows are equal if anchor, its place in the window, and hash are
-    key = mix64(head["anchor"][run] + place.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFFFFFF00000000)
-    key |= h.astype(U64)
+    key = window_keys(head["anchor"][run], place, h)
     doc = head["doc"][run]
     order = np.lexsort((doc, key))
     sorted_key = key[order]
@@ -181,12 +187,21 @@ def repeated(head: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by shard."""
+    """Over rows sorted by shard: repeated windows with their keeper, and the windows of hot anchors with a key, unjudged."""
 
     def made(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         head = np.concatenate([np.frombuffer(r, RUN) for r, _ in parts])
         h = np.concatenate([np.frombuffer(x, "<u4") for _, x in parts])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in repeated(head, h)], ["doc_id", "first", "last", "keeper"])
+        size = np.maximum(head["n"], 1).astype(np.int64)
+        alone = head["n"] == 0
+        one = head[alone]
+        own = window_keys(one["anchor"], (one["at"] - one["start"]).astype(np.int64), h[(np.cumsum(size) - size)[alone]])
+        doc, first, last, keeper = repeated(head[~alone], h[np.repeat(~alone, size)])
+        at = one["start"].astype(np.int64)
+        cols = [np.concatenate(x) for x in ((doc, one["doc"]), (first, at), (last, at), (keeper, one["doc"]), (np.zeros(len(doc), np.int64), own.view(np.int64)))]
+        open_ = np.arange(len(cols[0])) >= len(doc)
+        named = [pa.array(c) for c in cols[:3]] + [pa.array(cols[3], mask=open_), pa.array(cols[4], mask=~open_)]
+        return pa.RecordBatch.from_arrays(named, ["doc_id", "first", "last", "keeper", "key"])
 
     shard, parts = None, []
     for b in batches:
@@ -406,8 +421,14 @@ def remove_repeats(
     hits = (
         packed.repartition(shards, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_answer, "doc_id long, first long, last long, keeper long")
+        .mapInArrow(_answer, "doc_id long, first long, last long, keeper long, key long")
     )
+    if len(hot):
+        hits = scratch.table(hits, "hits")
+        seen = hits.filter("keeper is null").select("doc_id", "first", "last", "key")
+        many = seen.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("key", "keeper")
+        judged = seen.join(scratch.table(many, "hot-windows").hint("merge"), "key").select("doc_id", "first", "last", "keeper")
+        hits = hits.filter("keeper is not null").drop("key").unionByName(judged)
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "keeper")).alias("hits"))
     by_doc = by_doc.withColumnRenamed("doc_id", "of")
     named = texts.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -79,6 +80,51 @@ fold(source, b, k, doc_id, size, source_size, target, whole, extra, owed) AS (
   FROM fold JOIN q ON q.source IS NOT DISTINCT FROM fold.source AND q.b = fold.b AND q.k = fold.k + 1)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((whole + extra) * size AS BIGINT) AS taken FROM fold"""
 
+_OP11 = rf"""WITH b AS (SELECT item_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_PLAIN}') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' ')) END) AS w FROM b),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_PLAIN}') AS ws FROM documents),
+pos AS (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM iw)),
+hit AS (SELECT r, i, k, w FROM (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS w FROM pos) WHERE w IN (SELECT w FROM iw)),
+n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+h AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM (SELECT DISTINCT r, w FROM hit) JOIN iw USING (w) WHERE item_id IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN h USING (r)"""
+
+_OP12 = rf"""WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM t),
+bits AS (SELECT c, 0 AS i, 4294967295::BIGINT AS x FROM ids UNION ALL
+  SELECT c, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END FROM (SELECT c, i,
+    CASE WHEN i % 8 = 0 THEN xor(x, ascii(substr(CAST(c AS VARCHAR), i // 8 + 1, 1))::BIGINT) ELSE x END AS y FROM bits WHERE i < 8 * len(CAST(c AS VARCHAR)))),
+hd AS (SELECT c, xor(arg_max(x, i), 4294967295) % 4 AS h FROM bits GROUP BY 1),
+r AS (SELECT hd.c, 0 AS own, t.i, role, text FROM hd JOIN t ON t.c = hd.c - hd.c % 20 AND t.i <= h UNION ALL
+  SELECT c, 1, i, role, text FROM hd JOIN t USING (c) WHERE i > h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, role, text FROM r),
+p AS (SELECT c, d, text, list(sha256(len(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d) AS k FROM q
+  UNION ALL SELECT c, 0, '', CAST([] AS VARCHAR[]) FROM ids),
+m AS (SELECT c, max(d) AS n FROM p GROUP BY 1),
+v AS (SELECT d, k, min(p.c) AS id, count(*) AS n, any_value(len(regexp_extract_all(text, '{_WORD}'))) AS words,
+  sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (m.n = d), '')) AS ends FROM p JOIN m ON m.c = p.c GROUP BY 1, 2),
+e AS (SELECT v.*, (SELECT count(*) FROM v x WHERE x.d = v.d + 1 AND x.k[1:x.d - 1] = v.k) AS kids FROM v),
+u AS (SELECT d, k[1:j] AS k, j, n, words, kids FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM e)),
+s AS (SELECT k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * words) AS saved FROM u GROUP BY 1)
+SELECT e.id AS conv_id, e.d AS depth, up.id AS parent_conv_id, e.n AS n_convs, e.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256 FROM e JOIN s ON s.k = e.k LEFT JOIN v up ON up.d = e.d - 1 AND up.k = e.k[1:e.d - 1]"""
+
+_OP13 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS g FROM documents),
+u AS (SELECT *, list_filter(regexp_extract_all(text, '[^
+]*
+|[^
+]+'), lambda x: x <> '') AS us,
+  list_transform(range(0, 4), lambda i: CAST('0x' || substr(g, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, len(us) AS n, least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS lo, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS hi,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, array_to_string(us[1:lo], '') AS p, array_to_string(us[lo + 1:hi], '') AS m, array_to_string(us[hi + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM x"""
+
 SQL = {
     "op1_subspace_join": _OP1,
     "op3_line_dedup": _OP3,
@@ -87,4 +133,7 @@ SQL = {
     "op8_phrase_automata": _OP8,
     "op9_warc": _OP9,
     "op10_mixing": _OP10,
+    "op11_decontamination": _OP11,
+    "op12_prefix_trie": _OP12,
+    "op13_fill_in_middle": _OP13,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, language, line_dedup, minhash, mixing, phrase_automata, subspace_join, token_files, vp_tree, warc
+from kerbside.llm import (
+    bpe,
+    conversation_trie,
+    decontaminate,
+    fill_in_middle,
+    language,
+    line_dedup,
+    minhash,
+    mixing,
+    phrase_automata,
+    subspace_join,
+    token_files,
+    vp_tree,
+    warc,
+)
 from kerbside.llm.scratch import Scratch
 
 
@@ -103,6 +117,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    out = decontaminate.contamination(docs, items, Scratch(spark, "op11"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fill_in_middle.transform(docs, rate=100, spm=50, seed=7)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subspace_join": op1_subspace_join,
     "op2_bpe": op2_bpe,
@@ -114,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_automata": op8_phrase_automata,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

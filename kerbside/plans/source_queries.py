@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside import config
 from kerbside.functions import scaling, text
-from kerbside.operators import areas, geometry
+from kerbside.operators import areas, blocks, geometry
 from kerbside.plans import bindings as b
 from kerbside.plans.geometry_queries import _diamonds
 from kerbside.plans.index_queries import rounded
@@ -138,36 +138,46 @@ def src_geopackage(spark: SparkSession, d: str) -> DataFrame:
     return _measured(out.withColumn("kind", F.lit("Polygon")))
 
 
-def _written_grid(spark: SparkSession, d: str, column: str, kind: str, nodata: float | None) -> str:
-    """The pixel table as one band of 50 columns: (0, 1000) at the left top, pixels 2 wide and 1 high."""
-    rows = _pixels(spark, d).select("row", "col", column).toPandas()  # one fixture file
-    v = np.full((int(rows["row"].max()) + 1, 50), np.nan if nodata is not None else 0.0)
-    v[rows["row"], rows["col"]] = rows[column]
-    path = f"{_folder(spark, 'band')}/band.tif"
-    sinks.write_bytes(spark, path, geotiff.encode(v.astype(kind), 0.0, 1000.0, 2.0, 1.0, nodata))
-    return path
+def _written_band(spark: SparkSession, d: str, column: Column, kind: str, nodata: float, name: str = "band", into: str | None = None, packing: str = "lzw") -> str:
+    """The pixel table as tiles of one band of 50 columns, written by Spark's tasks: (0, 1000) at the left top, pixels 2 wide and 1 high."""
+    rows = _pixels(spark, d).select("row", "col", column.cast("double").alias("value"))
+    grid = blocks.Grid(0.0, 1000.0, 2.0, 1.0, 50, rows.agg(F.max("row")).first()[0] + 1)
+    scratch = Scratch(spark, "band")
+    folder = into or scratch.path("tiles")
+    geotiff.write_tiles(blocks.packed(rows, grid, raster=F.lit(name), size=32), folder, scratch, tile=128, kind=kind, nodata=nodata, packing=packing, inner=16)
+    return folder
+
+
+def _place(x: str = "x", y: str = "y") -> list[Column]:
+    """Row and column on the whole band of a place on it."""
+    return [F.floor((1000.0 - F.col(y)) / 1.0).cast("int").alias("row"), F.floor(F.col(x) / 2.0).cast("int").alias("col")]
 
 
 def src_geotiff_window(spark: SparkSession, d: str) -> DataFrame:
-    path = _written_grid(spark, d, "value", "f8", -9999.0)
-    return geotiff.pixels(spark, path, (11.0, 900.0, 60.5, 997.0)).filter("value is not null").select("row", "col", "x", "y", "value")
+    path = _written_band(spark, d, F.col("value"), "f8", -9999.0)
+    return geotiff.pixels(spark, path, (11.0, 900.0, 60.5, 997.0)).filter("value is not null").select(*_place(), "x", "y", "value")
 
 
 def src_population_grid(spark: SparkSession, d: str) -> DataFrame:
-    path = _written_grid(spark, d, "value", "f4", -1.0)
+    path = _written_band(spark, d, F.col("value"), "f4", -1.0, packing="deflate")
     out = geotiff.population_grid(spark, path, (20.0, 990.0, 40.0, 995.0), margin=2.0)
     return rounded(out.agg(F.count("value").alias("cells"), F.sum(F.round("value", 2)).alias("people")), "people", digits=2)
 
 
 def src_night_composite(spark: SparkSession, d: str) -> DataFrame:
-    root = _folder(spark, "night")
-    rows = _pixels(spark, d).select("row", "col", "nir").toPandas()  # two fixture files
+    root = f"{_folder(spark, 'night')}/tiles"
     for i in (1, 2):
-        v = np.zeros((int(rows["row"].max()) + 1, 50), "u2")
-        v[rows["row"], rows["col"]] = np.where((rows["row"] + rows["col"]) % (i + 2) == 0, 0, rows["nir"] // i)
-        sinks.write_bytes(spark, f"{root}/c{i}.tif", geotiff.encode(v, 0.0, 1000.0, 2.0, 1.0))
-    out = geotiff.night_composite(spark, f"{root}/*.tif")
-    return rounded(out.filter("value is not null").select("row", "col", "value"), "value", digits=4)
+        raw = F.when((F.col("row") + F.col("col")) % (i + 2) != 0, F.floor(F.col("nir") / i)).otherwise(0)
+        _written_band(spark, d, raw, "u2", 0, name=f"c{i}", into=root, packing="none" if i == 1 else "lzw")
+    out = geotiff.night_composite(spark, root)
+    return rounded(out.filter("value is not null").select(*_place(), "value"), "value", digits=4)
+
+
+def src_band_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a band by their edges, from the headers alone: the comparisons are made when the scan is planned."""
+    path = _written_band(spark, d, F.col("value"), "f4", -1.0)
+    some = geotiff.blocks(spark, path, values=False).filter("right > 20 and left < 70 and bottom < 980 and top > 700")
+    return some.select(*_place("left", "top"), "height", "width", "dx", "dy")
 
 
 def src_ascii_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +338,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_districts, src_development, src_observations, src_stations, src_weather, src_scenes, src_area_tables, src_feature_lines, src_feature_collection,
-        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_ascii_grid, src_osm_lines, snk_publish, snk_cached_stage, snk_map_layers,
+        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_band_blocks, src_ascii_grid, src_osm_lines, snk_publish, snk_cached_stage, snk_map_layers,
         snk_city_stats, snk_package, tidy_columns, column_descriptions, snk_manifest, five_quantiles, composite_name_join, coerced_scale, without_constants,
         tag_filters, formatted_texts, dense_core, registry_counts,
     )
@@ -360,6 +370,9 @@ SQL = {
     "src_population_grid": f"WITH {_PIXELS} SELECT count(*) AS cells, round(sum(round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2)), 2) AS people FROM px WHERE col BETWEEN 9 AND 20 AND row BETWEEN 3 AND 11",
     "src_night_composite": f"""WITH {_PIXELS}, v AS (SELECT row, col, CASE WHEN (row + col) % (i + 2) <> 0 THEN nir // i * 0.02::DOUBLE - 273.15::DOUBLE END AS v FROM px, range(1, 3) t(i))
 SELECT row, col, round(avg(v), 4) AS value FROM v GROUP BY 1, 2 HAVING count(v) > 0""",
+    "src_band_blocks": f"""WITH {_PIXELS}, n AS (SELECT max(row) + 1 AS h FROM px), b AS (SELECT CAST(i * 16 AS INT) AS row, CAST(j * 16 AS INT) AS col, h FROM n, range(0, 4) c(j), range(0, 100000) r(i) WHERE i * 16 < h)
+SELECT row, col, CAST(least(16, h - row) AS INT) AS height, CAST(least(16, 50 - col) AS INT) AS width, 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy FROM b
+WHERE 2 * least(col + 16, 50) > 20 AND 2 * col < 70 AND 1000 - least(row + 16, h) < 980 AND 1000 - row > 700""",
     "src_ascii_grid": f"WITH {_PIXELS} SELECT row, col, CAST(red AS BIGINT) AS value FROM px",
     "src_osm_lines": """SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'primary' AS highway, n_name AS name, CAST(7.0 AS DOUBLE) AS length FROM nation
   WHERE n_nationkey % 3 <> 0 AND n_nationkey * 1.5 <= 30 AND n_nationkey * 1.5 + 3 >= 5 AND n_nationkey * 2 <= 40 AND n_nationkey * 2 + 4 >= 5""",

@@ -27,18 +27,20 @@ from pyspark.sql.window import Window
 
 from kerbside.llm.scratch import Scratch
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, in texts that may have capitals: all of ASCII but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a shingle that is held as it is; a longer one is held as its SHA-256.
 _HELD = 200
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def _split(text: Column) -> Column:
+    """Words of a text; splitting between them takes a fraction of the time of matching each."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(_lower(text), F.lit(WORD), F.lit(0))
+    return _split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
 
 
 def _text_key(text: Column) -> Column:
@@ -168,7 +170,7 @@ def contamination(
     held = hits.select("key", "window").distinct().join(members, "window").select("key", "item_id").distinct()
     named = held.groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
     found = scratch.table(covered.join(named, "key", "left"), "found")
-    n_words = F.regexp_count(_lower(F.col("text")), F.lit(WORD))
+    n_words = F.size(_split(F.coalesce("text", F.lit(""))))
     rows = docs.select("doc_id", _text_key(F.col("text")).alias("key"), n_words.cast("long").alias("n_words"))
     return rows.join(found, "key", "left").select(
         "doc_id",

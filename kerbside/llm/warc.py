@@ -13,7 +13,7 @@ A fault raises ``ValueError`` with the file and the place.
 
 Defined results: a null payload is an empty one; rows without an id are left out;
 rows that share an id are records of their own, each judged by its own payload (the smallest
-id of a payload stands once as response for each of its rows); an empty table gives no archive;
+id of a payload stands once as response for each of its rows), and each has a record id of its own; an empty table gives no archive;
 other columns take no part.
 
 An archive is closed at ``file_bytes``, and the next one begun; reading streams frame by frame,
@@ -46,11 +46,12 @@ _END = b"\r\n\r\n"
 _DATE = b"2000-01-01T00:00:00Z"  # records carry no crawl time of their own; a fixed date keeps reruns equal
 
 
-def _id(page_id: int) -> bytes:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>".encode()
+def _id(page_id: int, digest: str, copy: str = "") -> bytes:
+    """Of the record of a page with a payload; ``copy`` tells rows apart that are alike in both."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}:{digest}{copy}')}>".encode()
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: str = "") -> bytes:
     """One record, uncompressed."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d%b" % (len(payload), _END)
     block = http + payload if refers_to is None else http
@@ -58,7 +59,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, ref
     head = [
         VERSION,
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-        b"WARC-Record-ID: " + _id(page_id),
+        b"WARC-Record-ID: " + _id(page_id, digest, copy),
         b"WARC-Date: " + _DATE,
         b"WARC-Target-URI: " + uri,
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
@@ -67,7 +68,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, ref
     if refers_to is not None:
         head += [
             b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            b"WARC-Refers-To: " + _id(refers_to),
+            b"WARC-Refers-To: " + _id(refers_to, digest),
             b"X-Refers-To-Page-Id: %d" % refers_to,
         ]
     head += [b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]
@@ -113,7 +114,7 @@ def parse_record(data: bytes, where: str) -> tuple[int, str | None, int, str, st
         if len(block) != body:
             raise ValueError(f"{where}: a revisit with a payload")
         refers, payload = int(head[b"x-refers-to-page-id"]), None
-        if head[b"warc-refers-to"] != _id(refers):
+        if head[b"warc-refers-to"] != _id(refers, digest):
             raise ValueError(f"{where}: WARC-Refers-To is not the id of page {refers}")
     elif kind == "response":
         refers, payload = None, block[body:]
@@ -146,7 +147,7 @@ def _writer(folder: str, dictionary: bytes, file_bytes: int):
         compress = _compressor(dictionary)
         names = ("page_id", "url", "payload", "refers_to")
         rows = (r for b in batches for r in zip(*(b.column(c) for c in names), strict=True))
-        row = next(rows, None)
+        row, last, copy = next(rows, None), None, 0
         while row is not None:
             store.create_dir(base, recursive=True)
             name, records, size = f"{part:05d}-{number:05d}.warc.zst", 0, 0
@@ -156,7 +157,11 @@ def _writer(folder: str, dictionary: bytes, file_bytes: int):
                 while row is not None and size < file_bytes:
                     page, url, payload, refers = row
                     text = (payload.as_py() or "").encode("utf-8", "surrogatepass")
-                    frame = compress.compress(record_bytes(page.as_py(), url.as_py(), text, sha1_base32(text), refers.as_py()))
+                    digest = sha1_base32(text)
+                    # rows of one page and payload arrive one after another; the first has the id that revisits name
+                    copy = copy + 1 if (page.as_py(), digest) == last else 0
+                    last = (page.as_py(), digest)
+                    frame = compress.compress(record_bytes(*last[:1], url.as_py(), text, digest, refers.as_py(), f":{part}:{copy}" if copy else ""))
                     out.write(frame)
                     records, size, row = records + 1, size + len(frame), next(rows, None)
             store.move(own, f"{base}/{name}")

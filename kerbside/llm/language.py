@@ -107,27 +107,30 @@ def fit(
     rounds: int = 8,
     slack: float = 0.25,
     seed: int = 7,
+    most_rows: int = 20_000,
 ) -> Model:
     """Fit on ``labelled(text, lang)``: at most ``per_language`` rows of each language, chosen by a hash.
 
     The bound makes the sample (and the driver's memory) independent of the
     table; they are the texts with the smallest hashes, each once whatever its copies, so a rerun
     fits the same model and a text that a third of all rows hold is one row of the sample.
+    The sample has ``most_rows`` texts at most: with many languages each gives fewer, and should there be more languages
+    than that, those with the most rows are learned.
     ``floor`` is ``slack`` times the lowest percentile of the training rows' own cosines.
     """
     ship(labelled.sparkSession)
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
     # a hash threshold passes about one and a half times the bound of each language; copies of a text are then one row
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()
+    if not counted:
         none = np.zeros(0, int)
         return Model([], none, np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
+    per_language = max(1, min(per_language, most_rows // len(counted)))
+    cuts = [(r["lang"], min(1.0, max(1.5 * per_language, per_language + 8) / r["n"])) for r in counted]
+    cut = labelled.sparkSession.createDataFrame(cuts, "lang string, cut double")  # at most ``most_rows`` rows
     hashed = usable.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    cut = F.lit(None).cast("double")
-    for lang, rows in n.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / rows))).otherwise(cut)
     share = (F.col("h").bitwiseAND((1 << 30) - 1)).cast("double") / F.lit(float(1 << 30))
-    near = hashed.withColumn("cut", cut).filter(share <= F.col("cut")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    near = hashed.join(F.broadcast(cut), "lang").filter(share <= F.col("cut")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # the threshold bounds a language's rows
     near = near.withColumn("place", place).filter(F.col("place") <= per_language)
 
@@ -138,12 +141,8 @@ def fit(
     rows = near.select("lang", "h", features("text").alias("counts")).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in rows})
-    counts, own = [], []
-    for j, lang in enumerate(languages):
-        some = [_unpack(r["counts"]) for r in rows if r["lang"] == lang][:per_language]
-        counts += some
-        own += [j] * len(some)
-    c, own = np.stack(counts), np.array(own)
+    number = {lang: j for j, lang in enumerate(languages)}
+    c, own = np.stack([_unpack(r["counts"]) for r in rows]), np.array([number[r["lang"]] for r in rows])
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1
     model = Model(languages, own, c, idf, np.zeros(len(languages)))
     v = model.vectors(c)

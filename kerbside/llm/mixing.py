@@ -98,8 +98,9 @@ def decisions(
     seed: int = 17,
     bucket: int = 256,
     hot_rows: int = 1024,
+    row: str | None = None,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``, and its column ``row`` (long) if that is given.
 
     The fractional repetition is drawn in buckets of about ``bucket`` documents
     of one source (a hash of ``doc_id`` deals a source of any size over as many
@@ -110,7 +111,8 @@ def decisions(
     drawn repetitions, ``taken`` is ``copies * size``. Rows of an id that more than ``hot_rows`` rows share (or that
     have none) are numbered instead, and the fraction takes every so many of those that are alike.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    own = F.lit(0).cast("long") if row is None else F.col(row).cast("long")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), own.alias("row"))
     targets = scratch.table(source_targets(sized, weights, max_epochs, scratch), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     by = targets.select(
@@ -134,7 +136,7 @@ def decisions(
     )
     dealt = marked(few).withColumn("bucket", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("buckets"))
     rows = F.sort_array(
-        F.collect_list(F.struct((-F.col("size")).alias("largest"), "key", "doc_id", "size", "u"))
+        F.collect_list(F.struct((-F.col("size")).alias("largest"), "key", "doc_id", "size", "u", "row"))
     )
 
     def draw(acc: Column, x: Column) -> Column:
@@ -161,11 +163,13 @@ def decisions(
         "target",
         copies.alias("copies"),
         (copies * F.col("x.rows.size")).alias("taken"),
+        F.col("x.rows.row").alias("row"),
     )
+    named = (lambda x: x.drop("row")) if row is None else (lambda x: x.withColumnRenamed("row", row))
     if not shared:
-        return out
+        return named(out)
     many = marked(sized.join(hot, sized["doc_id"].eqNullSafe(hot["hot"]), "left_semi"))
-    return out.unionByName(_numbered(many, shared, scratch).select(*out.columns))
+    return named(out.unionByName(_numbered(many, shared, scratch).select(*out.columns)))
 
 
 def _numbered(rows: DataFrame, count: int, scratch: Scratch, most: int = 100_000) -> DataFrame:
@@ -191,14 +195,15 @@ def _numbered(rows: DataFrame, count: int, scratch: Scratch, most: int = 100_000
 def mix(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; columns unchanged.
 
-    Rows that share a ``doc_id`` (or have none) share the largest decision among them.
+    Rows get numbers (``docs`` is written with them), so that those that share a ``doc_id``, or have none, are taken
+    each by its own decision. Which of such rows are taken, if they are of one source and size, may differ between runs.
     """
-    times, of, copy = (free(c, docs.columns) for c in ("copies", "copies_of", "copy"))
-    copies = decisions(docs, scratch, **settings).groupBy("doc_id").agg(F.max("copies").alias(times))
-    copies = copies.withColumnRenamed("doc_id", of)
+    times, row, of, copy = (free(c, docs.columns) for c in ("copies", "row", "row_of", "copy"))
+    own = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = decisions(own, scratch, row=row, **settings).filter("copies > 0")
+    copies = copies.select(F.col(row).alias(of), F.col("copies").alias(times))
     return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies[of]))
-        .filter(F.col(times) > 0)
+        own.join(copies, own[row] == copies[of])
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*docs.columns)
     )

@@ -24,8 +24,9 @@ which are independent: ``(1 - 0.75**5)**57``, 2e-7, if all of its regions are de
 
 Defined results: null texts and texts without words have an empty set and are
 linked with nothing; a text of fewer than five words has one shingle, its whole word
-sequence; rows that share a ``doc_id`` are judged by one of them (the smallest set
-fingerprint); an empty table gives an empty result.
+sequence; rows that share a ``doc_id`` are judged each by its own text, and each is a row of the result; rows without
+an id link others too, and their component is the smallest id it has (null if it has none); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,15 +77,15 @@ def _profiles(size: int, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, key, sig = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingle_set(t, size)
                 n.append(len(s))
                 both = np.array([s.sum(dtype=U64), mix64(s + U64(0x9E3779B97F4A7C15)).sum(dtype=U64)], U64)
                 key.append(both.tobytes() + len(s).to_bytes(8, "little") if len(s) else None)
                 sig.append(signature(s, places) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "sig"],
             )
 
     return run
@@ -113,7 +114,7 @@ def _orders(trees: int, depth: int):
                 first = (first << U64(16)) | own[:, :, i]
             rest = own[:, :, depth]
             tree = np.broadcast_to(np.arange(trees, dtype=np.int32), first.shape)
-            ids = np.repeat(b.column("doc_id").to_numpy(), trees)
+            ids = np.repeat(b.column("id").to_numpy(), trees)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tree.ravel()), pa.array(first.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), pa.array(ids)],
                 ["tree", "first", "rest", "id"],
@@ -269,7 +270,16 @@ def _block_links(dealt: DataFrame, compared, pivots: int, scratch: Scratch) -> D
     return first.unionByName(compared(rows.distinct()))
 
 
-def near_duplicates(
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; ``settings`` are those of ``components_of_rows``."""
+    return components_of_rows(docs, scratch, **settings).drop("text_key")
+
+
+def components_of_rows(
     docs: DataFrame,
     scratch: Scratch,
     words: int = 5,
@@ -281,21 +291,25 @@ def near_duplicates(
     tile_shingles: int = 500_000,
     pivots: int = 16,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id``; ``threshold`` in hundredths."""
+    """``doc_id, text_key, n_shingles, component_id`` of every row; ``threshold`` in hundredths.
+
+    A row is known by its id and a hash of its text.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), "text")
     trees = grown(trees, depth, threshold)
-    raw = texts.mapInArrow(_profiles(words, trees * (depth + 1)), "doc_id long, n_shingles long, set_key binary, sig binary")
-    one = raw.groupBy("doc_id").agg(F.min(F.struct("set_key", "n_shingles", "sig")).alias("x"))
-    profiles = scratch.table(one.select("doc_id", "x.*"), "profiles")
-    classes = scratch.table(
-        profiles.filter("set_key is not null")
-        .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"))
-        .select("set_key", "x.*"),
-        "classes",
+    raw = texts.mapInArrow(
+        _profiles(words, trees * (depth + 1)), "doc_id long, text_key long, n_shingles long, set_key binary, sig binary"
     )
-    orders = classes.select("doc_id", "sig").mapInArrow(
+    profiles = scratch.table(raw, "profiles")
+    # a class is known by a number; its text is that of the row with the smallest id
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "sig", "n_shingles")
+    classes = profiles.filter("set_key is not null").groupBy("set_key").agg(F.min(first).alias("x"))
+    classes = classes.select("set_key", "x.doc_id", "x.text_key", "x.sig", "x.n_shingles")
+    classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    if not profiles.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "text_key"])  # a class has one row to compare
+    orders = classes.select("id", "sig").mapInArrow(
         _orders(trees, depth), "tree int, first long, rest long, id long"
     )
     found = scratch.table(
@@ -312,7 +326,7 @@ def near_duplicates(
     )
     blocks = connected_components(candidates.distinct(), scratch).toDF("id", "block")
     blocks = scratch.table(
-        blocks.join(classes.select(F.col("doc_id").alias("id"), "n_shingles"), "id"), "blocks"
+        blocks.join(classes.select("id", "n_shingles"), "id"), "blocks"
     )
     sizes = scratch.table(
         blocks.groupBy("block")
@@ -327,7 +341,9 @@ def near_duplicates(
 
     def compared(rows: DataFrame) -> DataFrame:
         """Links among the documents of each (block, x, y)."""
-        of = texts.join(rows.hint("merge"), texts["doc_id"] == rows["id"]).select("id", "text", "block", "x", "y")
+        own = rows.join(classes.select("id", F.col("doc_id").alias("of"), F.col("text_key").alias("key")).hint("merge"), "id")
+        same = texts["doc_id"].eqNullSafe(own["of"]) & (texts["text_key"] == own["key"])
+        of = texts.join(own.hint("merge"), same).select("id", "text", "block", "x", "y")
         return (
             of.repartition(parts, "block", "x", "y")
             .sortWithinPartitions("block", "x", "y")
@@ -335,22 +351,24 @@ def near_duplicates(
         )
 
     links = _block_links(dealt, compared, pivots, scratch)
-    labels = connected_components(links, scratch)
-    named = scratch.table(
-        classes.select("set_key", "doc_id")
-        .join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-        .select("set_key", F.coalesce("component", "doc_id").alias("component_id")),
-        "named",
-    )
+    labels = connected_components(links, scratch).toDF("id", "component")
+    linked = scratch.table(classes.select("id", "set_key", "doc_id").join(labels.hint("merge"), "id", "left"), "linked")
+    linked = linked.withColumn("component", F.coalesce("component", "id"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.table(linked.join(least.hint("merge"), "component").select("set_key", "component_id"), "named")
     return (
-        profiles.select("doc_id", "n_shingles", "set_key")
+        profiles.select("doc_id", "text_key", "n_shingles", "set_key")
         .join(named.hint("merge"), "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
-    """The documents that stay: one of each component, the smallest ``doc_id``; documents without an id stay."""
-    parts = near_duplicates(docs, scratch, **settings)
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    """The documents that stay: of each component those with its smallest ``doc_id``; rows without an id stay.
+
+    A row is judged by its own text: of rows that share an id, those go whose text another, smaller id has too.
+    """
+    parts = components_of_rows(docs, scratch, **settings)
+    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"), "text_key").distinct()
+    same = (docs["doc_id"].cast("long") == gone["gone"]) & (_text_key(docs["text"]) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")

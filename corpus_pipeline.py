@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest ``doc_id``.
 
     Null texts and texts without words are in no group and stay, as do rows without an id; rows that share
-    the kept ``doc_id`` all stay. An empty table stays empty.
+    a ``doc_id`` are judged each by its own text. An empty table stays empty.
     """
     return minhash.keep_one(docs, Scratch(spark, "near"))
 
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken more than once is as many rows.
 
     Null sources are one source. Null and empty texts have no size and are taken as often as the whole
-    repetitions of their source. Rows that share a ``doc_id`` get one decision. An empty table stays empty.
+    repetitions of their source. Rows that share a ``doc_id`` get decisions of their own. An empty table stays empty.
     """
     return mixing.mix(docs, Scratch(spark, "mix"))
 

@@ -90,6 +90,13 @@ def hvi_category(spark: SparkSession, d: str) -> DataFrame:
     return _categorised(spark, d).select("road_id", "year", "category")
 
 
+def hvi_category_fine(spark: SparkSession, d: str) -> DataFrame:
+    """The same categories by the search from coarse to fine, which any number of distinct values goes through."""
+    p = b.scored(spark, d)
+    breaks = jenks.natural_breaks(p, "percent", most_distinct=0, cells=256)
+    return p.withColumn("category", jenks.classify(F.col("percent"), breaks, index.CATEGORIES)).select("road_id", "year", "category")
+
+
 #: Fixed thresholds for the queries after the breaks, so that their oracles need no natural breaks.
 _EDGES = [20.0, 40.0, 60.0, 80.0]
 
@@ -197,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_complete_case, pooled_minmax_risk, year_delta_class, robust_scale, robust_scale_degenerate, inverted_component,
-        informative_components, components_norm, group_scores, combine_groups, hvi_score, hvi_percent, hvi_category,
+        informative_components, components_norm, group_scores, combine_groups, hvi_score, hvi_percent, hvi_category, hvi_category_fine,
         percentile_rank, bucket5_labels, area_table_nation, area_table_region, category_counts_full, category_crosstab,
         priority_topk, top_share_flags, top_share_per_group, supported_groups, city_rollup, weighted_means,
     )
@@ -255,6 +262,7 @@ SELECT s_suppkey, round(1 - {b.scale_sql('s_acctbal', 'z')}, 6) AS s_acctbal_nor
     "hvi_score": f"WITH {b.components_sql()},{b.score_sql()} SELECT road_id, year, round(score, 6) AS score FROM scored",
     "hvi_percent": f"WITH {b.scored_sql()} SELECT road_id, year, round(percent, 6) AS percent FROM pct",
     "hvi_category": _JENKS_SQL,
+    "hvi_category_fine": _JENKS_SQL,
     "percentile_rank": f"WITH x AS (SELECT o_orderkey, round(o_totalprice, -3) AS v FROM orders), {_RANK} SELECT o_orderkey, rank_pct FROM k",
     "bucket5_labels": f"""WITH x AS (SELECT o_orderkey, nullif(round(o_totalprice, -3), 1000) AS v FROM orders), {_RANK}
 SELECT o_orderkey, CASE WHEN rank_pct IS NULL THEN NULL WHEN rank_pct <= 0.2 THEN 'çok düşük' WHEN rank_pct <= 0.4 THEN 'düşük'

@@ -7,6 +7,8 @@ order and direction: a ring inside an odd number of others is a hole, so several
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -77,6 +79,11 @@ def ring_area(ring: Column) -> Column:
     return F.abs(_sums(ring)["a"]) / 2
 
 
+def signed_area(rings: Column) -> Column:
+    """The sum of all rings' areas, those that run with the clock negative: the area of a shape whose holes run the other way."""
+    return F.aggregate(rings, F.lit(0.0), lambda acc, r: acc + _sums(r)["a"]) / 2
+
+
 def _weighed(rings: Column) -> Column:
     """Of each ring: its area, negative for holes, and its own centroid."""
 
@@ -126,65 +133,178 @@ def bounds(rings: Column) -> dict[str, Column]:
     return {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
 
 
-def _capsules_area(path: np.ndarray, radius: float, strips: int) -> float:
-    """Area within ``radius`` of a path, by horizontal strips: in a strip each piece covers one interval, and the
-    union of intervals is exact."""
-    p, q = (path[:-1], path[1:]) if len(path) > 1 else (path, path)
-    d = q - p
-    length = np.hypot(d[:, 0], d[:, 1])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        normal = np.where(length[:, None] > 0, np.stack([-d[:, 1], d[:, 0]], axis=1) / length[:, None], 0.0) * radius
-    corners = np.stack([p + normal, q + normal, q - normal, p - normal])
-    # where the outline turns a strip ends, so that within strips widths change smoothly
-    turns = np.concatenate([path[:, 1] - radius, path[:, 1] + radius, path[:, 1], corners[:, :, 1].ravel()])
-    ends = np.unique(np.concatenate([np.linspace(turns.min(), turns.max(), strips + 1), turns]))
-    height, y = np.diff(ends), (ends[1:] + ends[:-1]) / 2
-    y, strips = y[:, None], len(y)
-    low, high = np.full((strips, len(p)), np.inf), np.full((strips, len(p)), -np.inf)
-    for end in (p, q):
-        half = np.sqrt(np.maximum(radius**2 - (y - end[None, :, 1]) ** 2, 0))
-        near = np.abs(y - end[None, :, 1]) <= radius
-        low = np.where(near, np.minimum(low, end[None, :, 0] - half), low)
-        high = np.where(near, np.maximum(high, end[None, :, 0] + half), high)
+# ---- buffers ----
+
+
+@dataclass(frozen=True)
+class _Boundary:
+    """The outline of all places within a radius of a path, in pieces, the inside to their left: arcs (centre, from angle, to
+    angle) and straight sides (from, to)."""
+
+    arcs: np.ndarray
+    sides: np.ndarray
+    radius: float
+
+    def area(self) -> float:
+        """By Green's theorem."""
+        cx, cy, a, b = self.arcs.T
+        r = self.radius
+        turned = r * r * (b - a) + r * (cx * (np.sin(b) - np.sin(a)) - cy * (np.cos(b) - np.cos(a)))
+        x1, y1, x2, y2 = self.sides.T
+        return float((turned.sum() + (x1 * y2 - x2 * y1).sum()) / 2)
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a row's intervals (``a`` to ``b``) leave of it: row, from, to."""
+    order = np.argsort(a, axis=1)
+    a, b = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
+    reach = np.maximum.accumulate(np.concatenate([low[:, None], b], axis=1), axis=1)
+    until = np.concatenate([a, high[:, None]], axis=1)
+    row, col = np.nonzero(until - reach > 1e-12 * np.maximum(1.0, high[:, None] - low[:, None]))
+    return row, reach[row, col], until[row, col]
+
+
+def _reached(marks: list[np.ndarray], low: np.ndarray, high: np.ndarray, at, p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of elements (rows) and pieces: the parts between ``marks`` whose middle (``at`` gives its place) is nearer than ``least`` to the piece."""
+    shape = marks[0].shape
+    lo, hi = (np.broadcast_to(v[:, None], shape) for v in (low, high))
+    full = np.stack([lo, *(np.clip(np.where(np.isnan(m), lo, m), lo, hi) for m in marks), hi], axis=2)
+    full.sort(axis=2)
+    a, b = full[..., :-1], full[..., 1:]
+    x, y = at((a + b) / 2)
+    d = (q - p)[None, :, None]
+    t = np.clip(((x - p[None, :, None, 0]) * d[..., 0] + (y - p[None, :, None, 1]) * d[..., 1]) / np.maximum((d * d).sum(axis=3), 1e-300), 0, 1)
+    near = np.hypot(x - p[None, :, None, 0] - t * d[..., 0], y - p[None, :, None, 1] - t * d[..., 1]) < least
+    flat = (len(low), -1)
+    return np.where(near, a, low[:, None, None]).reshape(flat), np.where(near, b, low[:, None, None]).reshape(flat)
+
+
+def _boundary(path: np.ndarray, radius: float, cells: int = 200_000) -> _Boundary:
+    """The outline of a path's buffer: circles about its corners and sides along its pieces, less what any piece is nearer to
+    than the radius. Each is cut where it meets a piece's own outline; a few are cut at a time, with what lies near them."""
+    r, tiny = radius, 1e-9 * radius
+    ends = np.stack([path[:-1], path[1:]], axis=1) if len(path) > 1 else np.stack([path, path], axis=1)
+    turned = (ends[:, 0, 0] > ends[:, 1, 0]) | ((ends[:, 0, 0] == ends[:, 1, 0]) & (ends[:, 0, 1] > ends[:, 1, 1]))
+    ends = np.unique(np.where(turned[:, None, None], ends[:, ::-1], ends), axis=0)  # a piece there and back is one
+    long = (ends[:, 0] != ends[:, 1]).any(axis=1)
+    ends = ends[long] if long.any() else ends[:1]
+    p, q = ends[:, 0], ends[:, 1]
+    length = np.hypot(*(q - p).T)
+    u = (q - p) / np.where(length > 0, length, 1.0)[:, None]
+    n = np.stack([-u[:, 1], u[:, 0]], axis=1)
+    corners = np.unique(ends.reshape(-1, 2), axis=0)
+    if length.max() > 0:  # sides, the inside to their left
+        a, b, out = np.concatenate([q + r * n, p - r * n]), np.concatenate([p + r * n, q - r * n]), np.concatenate([n, -n])
+    else:
+        a = b = out = np.zeros((0, 2))
+    low, high = np.minimum(p, q) - 2 * r, np.maximum(p, q) + 2 * r
+    step = max(1, min(24, cells // (9 * len(p))))
+    arcs, sides = [], []
     with np.errstate(invalid="ignore", divide="ignore"):
-        for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
-            t = (y - a[None, :, 1]) / (b - a)[None, :, 1]
-            on = (t >= 0) & (t <= 1)
-            x = a[None, :, 0] + t * (b - a)[None, :, 0]
-            low, high = np.where(on, np.minimum(low, x), low), np.where(on, np.maximum(high, x), high)
-    order = np.argsort(low, axis=1)
-    low, high = np.take_along_axis(low, order, 1), np.take_along_axis(high, order, 1)
-    reach = np.maximum.accumulate(np.where(np.isfinite(high), high, -np.inf), axis=1)
-    before = np.concatenate([np.full((strips, 1), -np.inf), reach[:, :-1]], axis=1)
-    with np.errstate(invalid="ignore"):
-        own = np.where(np.isfinite(low), np.maximum(high - np.maximum(low, before), 0), 0)
-    return float((np.nansum(own, axis=1) * height).sum())
-
-
-def with_buffer_area(lines: DataFrame, points: str, radius: float, out: str, strips: int = 512) -> DataFrame:
-    """``lines`` with the area within ``radius`` of each path: overlaps of its own pieces count once, ends are round.
-
-    Numeric, to about 1 in 10,000: no built-in function knows the union of shapes.
+        for at in range(0, len(corners), step):
+            c = corners[at : at + step]
+            near = ((low <= c.max(axis=0)) & (high >= c.min(axis=0))).all(axis=1)
+            pp, qq, uu, nn = p[near], q[near], u[near], n[near]
+            marks = []
+            for e in (pp, qq):
+                to = e[None] - c[:, None]
+                d = np.hypot(to[..., 0], to[..., 1])
+                half = np.where((d > 0) & (d < 2 * r), np.arccos(np.minimum(d / (2 * r), 1)), np.nan)
+                aim = np.arctan2(to[..., 1], to[..., 0])
+                marks += [aim - half, aim + half]
+            h, lean = ((c[:, None] - pp) * nn).sum(axis=2), np.arctan2(uu[:, 1], uu[:, 0])
+            for side in (r, -r):
+                sine = (side - h) / r
+                turn = np.arcsin(np.where(np.abs(sine) < 1 + 1e-9, np.clip(sine, -1, 1), np.nan))
+                marks += [turn + lean, np.pi - turn + lean]
+            marks = [(m + np.pi) % (2 * np.pi) - np.pi for m in marks]
+            whole = np.full(len(c), np.pi)
+            place = lambda t, c=c: (c[:, None, None, 0] + r * np.cos(t), c[:, None, None, 1] + r * np.sin(t))
+            i, lo, hi = _gaps(-whole, whole, *_reached(marks, -whole, whole, place, pp, qq, r - tiny))
+            arcs.append(np.column_stack([c[i], lo, hi]))
+        for at in range(0, len(a), step):
+            a1, b1, o1 = a[at : at + step], b[at : at + step], out[at : at + step]
+            box = np.minimum(a1, b1).min(axis=0), np.maximum(a1, b1).max(axis=0)
+            near = ((low <= box[1]) & (high >= box[0])).all(axis=1)
+            pp, qq, nn = p[near], q[near], n[near]
+            full = np.hypot(*(b1 - a1).T)
+            w = (b1 - a1) / full[:, None]
+            marks = []
+            for e in (pp, qq):
+                to = e[None] - a1[:, None]
+                along, off = (to * w[:, None]).sum(axis=2), to[..., 0] * w[:, None, 1] - to[..., 1] * w[:, None, 0]
+                reach = np.sqrt(np.where(np.abs(off) < r * (1 + 1e-9), np.maximum(r * r - off * off, 0), np.nan))
+                marks += [along - reach, along + reach]
+            turn, from_ = (w[:, None] * nn).sum(axis=2), ((a1[:, None] - pp) * nn).sum(axis=2)
+            marks += [np.where(turn == 0, np.nan, (side - from_) / turn) for side in (r, -r)]
+            place = lambda t, a1=a1, w=w: (a1[:, None, None, 0] + t * w[:, None, None, 0], a1[:, None, None, 1] + t * w[:, None, None, 1])
+            none = np.zeros(len(a1))
+            cut = _reached(marks, none, full, place, pp, qq, r - tiny)
+            # where another side lies on this one, what both have counts once: the earlier's
+            others = np.flatnonzero(((np.minimum(a, b) <= box[1] + tiny) & (np.maximum(a, b) >= box[0] - tiny)).all(axis=1))
+            same = ((o1[:, None] * out[others]).sum(axis=2) > 1 - 1e-12) & (np.abs(((a[others][None] - a1[:, None]) * o1[:, None]).sum(axis=2)) < tiny)
+            same &= others[None] < (at + np.arange(len(a1)))[:, None]
+            twice = [np.clip(np.where(same, ((x[others][None] - a1[:, None]) * w[:, None]).sum(axis=2), 0.0), 0.0, full[:, None]) for x in (a, b)]
+            i, lo, hi = _gaps(none, full, np.concatenate([cut[0], np.minimum(*twice)], axis=1), np.concatenate([cut[1], np.maximum(*twice)], axis=1))
+            sides.append(np.column_stack([a1[i] + lo[:, None] * w[i], a1[i] + hi[:, None] * w[i]]))
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros((0, 4))
+    return _Boundary(join(arcs), join(sides), r)
+
+
+def _outline(edge: _Boundary, quarter: int) -> list[list[dict[str, float]]]:
+    """Rings of an outline, arcs as ``quarter`` steps a right angle. Where parts end they meet others' starts."""
+    r, parts = edge.radius, []
+    for cx, cy, a, b in edge.arcs:
+        t = np.linspace(a, b, max(2, math.ceil((b - a) / (math.pi / 2) * quarter) + 1))
+        parts.append(np.column_stack([cx + r * np.cos(t), cy + r * np.sin(t)]))
+    parts += [np.array([[x1, y1], [x2, y2]]) for x1, y1, x2, y2 in edge.sides]
+    if not parts:
+        return []
+    starts = np.array([x[0] for x in parts])
+    left, rings = set(range(len(parts))), []
+    while left:
+        first = i = min(left)
+        ring: list[np.ndarray] = []
+        while i in left:
+            left.discard(i)
+            ring.append(parts[i][:-1])
+            i = int(np.hypot(*(starts - parts[i][-1]).T).argmin()) if len(left) else first
+        rings.append([{"x": float(x), "y": float(y)} for x, y in np.concatenate(ring)])
+    return rings
+
+
+def _each_boundary(paths: pd.Series, radius: float) -> Iterator[tuple[_Boundary, np.ndarray] | None]:
+    for x in paths:
+        if x is None or not len(x) or any(p is None or p["x"] is None or p["y"] is None for p in x):
+            yield None
+            continue
+        path = np.array([(p["x"], p["y"]) for p in x], float)
+        yield _boundary(path - path[0], radius), path[0]
+
+
+def with_buffer_area(lines: DataFrame, points: str, radius: float, out: str) -> DataFrame:
+    """``lines`` with the area within ``radius`` of each path: what several of its pieces reach counts once, ends are round.
+
+    Exact but for rounding, whatever the path: hairpins, crossings, loops (with the hole they leave), repeated points. A path
+    of one point has a circle's area; missing and empty paths, and those with a missing coordinate, have none.
     """
 
     @F.pandas_udf("double")
     def area(paths: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or not len(x) else _capsules_area(np.array([(p["x"], p["y"]) for p in x]), radius, strips) for x in paths], dtype="float64")
+        return pd.Series([None if e is None else e[0].area() for e in _each_boundary(paths, radius)], dtype="float64")
 
     return lines.withColumn(out, area(F.col(points)))
 
 
-def simple_buffer_area(points: Column, radius: float) -> Column:
-    """The same in closed form for a path whose pieces are longer than its bends need and which comes near itself nowhere
-    else: the strips, the sectors outside each bend, less what overlaps inside it, and two round ends."""
-    pieces = segments(F.array(points), closed=False)
-    turn = F.zip_with(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda a, b: F.abs(F.atan2(
-            (a["q"]["x"] - a["p"]["x"]) * (b["q"]["y"] - b["p"]["y"]) - (a["q"]["y"] - a["p"]["y"]) * (b["q"]["x"] - b["p"]["x"]),
-            (a["q"]["x"] - a["p"]["x"]) * (b["q"]["x"] - b["p"]["x"]) + (a["q"]["y"] - a["p"]["y"]) * (b["q"]["y"] - b["p"]["y"]),
-        )),
-    )
-    bends = F.aggregate(turn, F.lit(0.0), lambda acc, t: acc + (t / 2 - F.tan(t / 2)) * radius * radius)
-    return 2 * radius * line_length(points) + math.pi * radius * radius + bends
+def with_buffer(lines: DataFrame, points: str, radius: float, out: str, quarter: int = 16) -> DataFrame:
+    """``lines`` with the outline of each path's buffer: rings, holes among them, arcs as ``quarter`` steps a right angle."""
+
+    @F.pandas_udf("array<array<struct<x: double, y: double>>>")
+    def rings(paths: pd.Series) -> pd.Series:
+        made = []
+        for e in _each_boundary(paths, radius):
+            moved = lambda ring, e=e: [{"x": p["x"] + e[1][0], "y": p["y"] + e[1][1]} for p in ring]
+            made.append(None if e is None else [moved(ring) for ring in _outline(e[0], quarter)])
+        return pd.Series(made, dtype=object)
+
+    return lines.withColumn(out, rings(F.col(points)))

@@ -35,6 +35,27 @@ def cells_around(x: Column, y: Column, reach: float, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda c: F.struct(a.alias("cx"), c.alias("cy")))))
 
 
+def cells_along(px: Column, py: Column, qx: Column, qy: Column, size: float, reach: float = 0.0) -> Column:
+    """The cells that places within ``reach`` of a straight piece can be in, as an array of (cx, cy).
+
+    A column of cells at a time: in it the piece spans a part of its height, widened by the reach. Their number grows with
+    the piece's length, not with its box.
+    """
+    turned = px > qx
+    ax, ay, bx, by = (F.when(turned, b).otherwise(a) for a, b in ((px, qx), (py, qy), (qx, px), (qy, py)))
+    slope = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
+
+    def column(i: Column) -> Column:
+        lo, hi = F.greatest(ax, i * size - reach), F.least(bx, (i + 1) * size + reach)
+        # the piece's heights over this column (all of them where it is upright)
+        within = lambda y: F.greatest(F.least(ay, by), F.least(F.greatest(ay, by), y))
+        y0, y1 = (F.when(slope.isNull(), y).otherwise(within(ay + slope * (x - ax))) for x, y in ((lo, ay), (hi, by)))
+        ys = F.sequence(cell(F.least(y0, y1) - reach, size), cell(F.greatest(y0, y1) + reach, size))
+        return F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(ax - reach, size), cell(bx + reach, size)), column))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, right_columns: Sequence[str]) -> DataFrame:
     """Pairs within ``radius`` (inclusive), with their distance ``d``."""
     size = max(radius, 1e-9)
@@ -64,12 +85,10 @@ def _edges(shapes: DataFrame, columns: Sequence[str], closed: bool, rings: str =
 def edge_join(points: DataFrame, edges: DataFrame, radius: float, columns: Sequence[str]) -> DataFrame:
     """Points with the pieces within ``radius`` (inclusive) and their distance ``d``; ``columns`` of the pieces.
 
-    A piece is dealt to the cells of its widened box, a point has one cell.
+    A piece is dealt to the cells along it, a point has one cell.
     """
     size = max(2 * radius, 1e-9)
-    ends = lambda c: (F.least(f"p{c}", f"q{c}") - radius, F.greatest(f"p{c}", f"q{c}") + radius)
-    spans = [F.sequence(cell(lo, size), cell(hi, size)) for lo, hi in (ends("x"), ends("y"))]
-    grid = F.flatten(F.transform(spans[0], lambda a: F.transform(spans[1], lambda c: F.struct(a.alias("cx"), c.alias("cy")))))
+    grid = cells_along(*[F.col(c) for c in ("px", "py", "qx", "qy")], size, radius)
     dealt = edges.select(*columns, "px", "py", "qx", "qy", F.explode(grid).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
     at = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     d = segment_distance(*[F.col(c) for c in ("x", "y", "px", "py", "qx", "qy")])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators import geometry, raster, robustness, spatial
+from kerbside.operators import dissolve, geometry, raster, robustness, spatial
 from kerbside.plans import bindings as b
 from kerbside.plans.index_queries import rounded
 from kerbside.plans.raster_queries import _PIXELS, _pixels
@@ -59,8 +59,26 @@ def line_distance(spark: SparkSession, d: str) -> DataFrame:
 def buffer_density(spark: SparkSession, d: str) -> DataFrame:
     """Places within 35.5 of a line, and per area of that buffer."""
     out = spatial.buffer_count(_bent(spark, d), _customers(spark, d), "n_nationkey", 35.5, "near")
-    density = F.col("near") / geometry.simple_buffer_area(F.col("path"), 35.5) * 1000
-    return rounded(out.select("n_nationkey", "near", density.alias("density")), "density")
+    out = geometry.with_buffer_area(out, "path", 35.5, "area")
+    return rounded(out.select("n_nationkey", "near", (F.col("near") / F.col("area") * 1000).alias("density")), "density")
+
+
+def _tangled(spark: SparkSession, d: str) -> DataFrame:
+    """``s_suppkey, path``: there and back, a cross drawn in one go, and a square that closes on itself."""
+    k = F.col("s_suppkey")
+    x, y, n = (k * 67 % 900).cast("double"), (k * 113 % 900).cast("double"), 100 + (k % 50).cast("double")
+    hairpin = F.array(_point(x, y), _point(x + n, y), _point(x + n / 4, y), _point(x + n / 2, y), _point(x, y))
+    cross = F.array(_point(x, y), _point(x + n, y), _point(x + n / 2, y), _point(x + n / 2, y + n / 2), _point(x + n / 2, y - n / 2))
+    square = F.array(_point(x, y), _point(x + n, y), _point(x + n, y + n), _point(x, y + n), _point(x, y))
+    return b.table(spark, d, "supplier").select("s_suppkey", F.when(k % 3 == 0, hairpin).when(k % 3 == 1, cross).otherwise(square).alias("path"))
+
+
+def buffer_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Areas within 10 of paths that come near themselves, exactly and by their outlines."""
+    out = geometry.with_buffer(geometry.with_buffer_area(_tangled(spark, d), "path", 10.0, "area"), "path", 10.0, "rings")
+    own = geometry.polygon_area(F.col("rings"))
+    near = F.abs(own / F.col("area") - 1) < 0.002  # arcs are cut short
+    return rounded(out.select("s_suppkey", "area", F.size("rings").alias("n_rings"), near.alias("outline_agrees")), "area", digits=5)
 
 
 _AREA = 2 * 35.5 * 140 + math.pi * 35.5**2 + (math.pi / 4 - math.tan(math.pi / 4)) * 35.5**2
@@ -104,8 +122,18 @@ def dissolved_outline(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("col").cast("double"), F.col("row").cast("double")
     square = F.array(_point(x, y), _point(x + 1, y), _point(x + 1, y + 1), _point(x, y + 1))
     p = p.select("p_brand", F.array(square).alias("rings"), F.col("red").alias("n"))
-    shapes = spatial.dissolve(p, "p_brand", sums=["n"])
-    return rounded(shapes.select("p_brand", "parts", "n", geometry.polygon_area(F.col("rings")).alias("area")), "area", digits=4)
+    shapes = dissolve.union(p, "p_brand", sums=["n"])
+    return rounded(shapes.select("p_brand", "parts", "n", geometry.signed_area(F.col("rings")).alias("area")), "area", digits=4)
+
+
+def dissolved_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Squares of one brand's parts that reach half over their neighbours, every fifth one twice, as one shape a brand."""
+    p = _pixels(spark, d).join(b.table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    square = F.array(_point(x, y), _point(x, y + 1.5), _point(x + 1.5, y + 1.5), _point(x + 1.5, y))
+    p = p.select("p_partkey", "p_brand", F.array(square).alias("rings"))
+    shapes = dissolve.union(p.unionByName(p.filter("p_partkey % 5 = 0")), "p_brand")
+    return rounded(shapes.select("p_brand", "parts", geometry.signed_area(F.col("rings")).alias("area")), "area", digits=4)
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +226,7 @@ _WIDTHS = (
 QUERIES = {
     f.__name__: f
     for f in (
-        boundary_distance, line_distance, buffer_density, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, holed_measures,
+        boundary_distance, line_distance, buffer_density, buffer_areas, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, dissolved_overlaps, holed_measures,
         smallest_holed_polygon, utm_round_trip, resampled_nearest, resampled_bilinear, masked_density, buffer_sensitivity, buffer_sensitivity_types,
     )
 }
@@ -207,12 +235,18 @@ SQL = {
     "boundary_distance": f"WITH {_C}, {_DIAMONDS} SELECT c_custkey, round(min(dist), 6) AS d FROM ds GROUP BY 1",
     "line_distance": f"WITH {_C}, {_BENT} SELECT c_custkey, round(min(dist), 6) AS d FROM bd GROUP BY 1",
     "buffer_density": f"WITH {_C}, {_BENT} SELECT n_nationkey, count(*) FILTER (dist <= 35.5) AS near, round(count(*) FILTER (dist <= 35.5) / {_AREA!r}::DOUBLE * 1000, 6) AS density FROM bd GROUP BY 1",
+    "buffer_areas": """WITH p AS (SELECT s_suppkey, 100 + s_suppkey % 50 AS n FROM supplier)
+SELECT s_suppkey, round(CASE s_suppkey % 3 WHEN 0 THEN 20 * n + pi() * 100 WHEN 1 THEN 2 * (20 * n + pi() * 100) - 400 ELSE 4 * 20 * n + pi() * 100 - 400 END, 5) AS area,
+  CASE s_suppkey % 3 WHEN 2 THEN 2 ELSE 1 END AS n_rings, true AS outline_agrees FROM p""",
     "zonal_polygon_mean": f"WITH {_PIXELS}, {_SMALL} SELECT n_nationkey, round(avg(value), 4) AS mean, round(sum(value), 4) AS total, count(value) AS cells FROM nation LEFT JOIN inside USING (n_nationkey) GROUP BY 1",
     "zonal_buffer_mean": f"""WITH {_PIXELS}, ln AS (SELECT n_nationkey, n_nationkey * 7 % 50 AS bx, n_nationkey * 11 % 40 AS b_y FROM nation)
 SELECT n_nationkey, round(avg(value), 4) AS mean, round(sum(value), 4) AS total, count(value) AS cells FROM ln LEFT JOIN px ON least(
   sqrt((col + 0.5 - greatest(bx, least(bx + 4, col + 0.5))) ** 2 + (row + 0.5 - b_y) ** 2), sqrt((col + 0.5 - bx - 4) ** 2 + (row + 0.5 - greatest(b_y, least(b_y + 3, row + 0.5))) ** 2)) <= 1.3 GROUP BY 1""",
     "rasterized_units": f"WITH {_PIXELS}, {_SMALL}, m AS (SELECT p_partkey, arg_max(n_nationkey, place) AS n_nationkey FROM inside GROUP BY 1) SELECT p_partkey, n_nationkey FROM px LEFT JOIN m USING (p_partkey)",
     "dissolved_outline": f"WITH {_PIXELS} SELECT p_brand, count(*) AS parts, CAST(sum(red) AS BIGINT) AS n, CAST(count(*) AS DOUBLE) AS area FROM px JOIN part USING (p_partkey) GROUP BY 1",
+    "dissolved_overlaps": f"""WITH {_PIXELS}, h AS (SELECT DISTINCT p_brand, 2 * row + i AS r, 2 * col + j AS c FROM px JOIN part USING (p_partkey), range(0, 3) a(i), range(0, 3) b(j)),
+n AS (SELECT p_brand, count(*) + count(*) FILTER (p_partkey % 5 = 0) AS parts FROM part GROUP BY 1)
+SELECT p_brand, any_value(parts) AS parts, round(count(*) / 4.0, 4) AS area FROM h JOIN n USING (p_brand) GROUP BY 1""",
     "holed_measures": f"""WITH {_FRAMES} SELECT n_nationkey, round(outer_area - hole_area, 4) AS area,
   round((outer_area * (x0 + x1) / 2 - hole_area * (hx0 + hx1) / 2) / (outer_area - hole_area), 4) AS cx,
   round((outer_area * (y0 + y1) / 2 - hole_area * (hy0 + 30)) / (outer_area - hole_area), 4) AS cy FROM fr""",

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions.order import running
+from kerbside.scratch import Scratch
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
@@ -61,6 +64,23 @@ def compressed(df: DataFrame, key: str, text: str, separator: str = "<br>") -> t
     return tokens, dictionary
 
 
+def compressed_in_order(df: DataFrame, key: str, text: str, separator: str = "<br>") -> tuple[DataFrame, DataFrame]:
+    """``(tokens, dictionary)`` with dense numbers from 0 in the order in which pieces are first seen, rows by ``key``.
+
+    A piece's place is the smallest (key, position) it has; places are range-partitioned and counted up, so no task sees
+    all pieces, and no hash stands for a piece: the texts come back exactly.
+    """
+    scratch = Scratch(df.sparkSession, "pieces")
+    pieces = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, f"\\Q{separator}\\E")).alias("pos", "piece"))
+    pieces = scratch.table(pieces, "pieces")
+    first = pieces.groupBy("piece").agg(F.min(F.struct(key, "pos")).alias("at")).select("piece", f"at.{key}", "at.pos", F.lit(1).alias("one"))
+    numbers = running(first, [key, "pos", "piece"], "one", "token", scratch)
+    dictionary = scratch.table(numbers.select("piece", F.col("token").cast("long").alias("token")), "dictionary")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    tokens = pieces.join(dictionary, "piece").groupBy(key).agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"))
+    return tokens, dictionary
+
+
 def expanded(tokens: DataFrame, dictionary: DataFrame, key: str, text: str, separator: str = "<br>") -> DataFrame:
     """The texts again."""
     pieces = tokens.select(key, F.posexplode("tokens").alias("pos", "token")).join(dictionary, "token")

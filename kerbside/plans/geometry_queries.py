@@ -7,11 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators import dissolve, geometry, raster, robustness, spatial
+from kerbside.operators import blocks, dissolve, geometry, raster, robustness, scanlines, spatial
 from kerbside.plans import bindings as b
 from kerbside.plans.index_queries import rounded
 from kerbside.plans.raster_queries import _PIXELS, _pixels
 from kerbside.plans.spatial_queries import _C, _customers
+from kerbside.scratch import Scratch
 
 
 def _point(x, y):
@@ -116,6 +117,55 @@ def rasterized_units(spark: SparkSession, d: str) -> DataFrame:
     return raster.rasterized(_small_diamonds(spark, d), pixels, "n_nationkey", "place", 8.0).select("p_partkey", "n_nationkey")
 
 
+def _mirrored(spark: SparkSession, d: str) -> DataFrame:
+    """The small diamonds on a lattice whose rows run down from 1000."""
+    flip = lambda p: _point(p["x"], 1000.0 - p["y"])
+    return _small_diamonds(spark, d).withColumn("rings", F.transform("rings", lambda r: F.transform(r, flip)))
+
+
+def _lattice(pixels: DataFrame) -> blocks.Grid:
+    return blocks.Grid(0.0, 1000.0, 1.0, 1.0, 50, pixels.agg(F.max("row")).first()[0] + 1)
+
+
+def zonal_scanlines(spark: SparkSession, d: str) -> DataFrame:
+    """``zonal_polygon_mean`` by intervals of rows and running sums."""
+    p = _pixels(spark, d)
+    out = scanlines.zonal(_mirrored(spark, d), p, "n_nationkey", "value", _lattice(p), size=16)
+    return rounded(out, "mean", "total", digits=4)
+
+
+def rasterized_scanlines(spark: SparkSession, d: str) -> DataFrame:
+    """``rasterized_units`` by intervals of rows."""
+    p = _pixels(spark, d)
+    marked = scanlines.rasterized(_mirrored(spark, d), _lattice(p), "n_nationkey", "place")
+    return p.join(marked, ["row", "col"], "left").select("p_partkey", "n_nationkey")
+
+
+_RADII = (1.3, 2.2, 3.4)
+
+
+def _hooks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = (k * 7 % 47).cast("double"), (k * 11 % 40).cast("double")
+    return b.table(spark, d, "supplier").select("s_suppkey", F.array(_point(x, y), _point(x + 4, y), _point(x + 4, y + 3)).alias("path"), "s_nationkey")
+
+
+def nested_buffer_means(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels within three radii of each line, met once."""
+    out = scanlines.nested_buffers(_hooks(spark, d), _centres(spark, d), "s_suppkey", "value", _RADII)
+    return rounded(out, *[f"mean_{i}" for i in range(len(_RADII))], digits=4)
+
+
+def buffer_sensitivity_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """How the ranking of lines by what is around them moves with the width of the buffer that is sampled."""
+    lines = _hooks(spark, d)
+    means = scanlines.nested_buffers(lines, _centres(spark, d), "s_suppkey", "value", _RADII)
+    means = Scratch(spark, "widths").table(means, "means")
+    scores = {10 * (i + 1): means.select(F.col("s_suppkey").alias("road_id"), F.round(f"mean_{i}", 6).alias("score")) for i in range(len(_RADII))}
+    types = lines.select(F.col("s_suppkey").alias("road_id"), F.col("s_nationkey").cast("string").alias("highway"))
+    return rounded(robustness.buffer_sensitivity(scores, types)[0], "spearman", "overlap", "median_change", "moved_share")
+
+
 def dissolved_outline(spark: SparkSession, d: str) -> DataFrame:
     """Unit squares of one brand's parts as one shape a brand: area, centre and sum by its outline."""
     p = _pixels(spark, d).join(b.table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
@@ -223,10 +273,21 @@ _WIDTHS = (
 )
 
 
+_HOOKS = """hk AS (SELECT s_suppkey, s_suppkey * 7 % 47 AS bx, s_suppkey * 11 % 40 AS b_y FROM supplier),
+hd AS (SELECT s_suppkey, value, least(sqrt((col + 0.5 - greatest(bx, least(bx + 4, col + 0.5))) ** 2 + (row + 0.5 - b_y) ** 2),
+  sqrt((col + 0.5 - bx - 4) ** 2 + (row + 0.5 - greatest(b_y, least(b_y + 3, row + 0.5))) ** 2)) AS dist
+  FROM hk LEFT JOIN px ON col + 0.5 BETWEEN bx - 4 AND bx + 8 AND row + 0.5 BETWEEN b_y - 4 AND b_y + 7)"""
+_RANKED = ", ".join(
+    f"""n{i} AS (SELECT s_suppkey, CASE WHEN s IS NOT NULL THEN (rank() OVER (ORDER BY s NULLS LAST) + (count(*) OVER (PARTITION BY s) - 1) / 2.0) / count(s) OVER () END AS r{i}
+  FROM (SELECT s_suppkey, round(avg(value) FILTER (dist <= {r}), 6) AS s FROM hd GROUP BY 1))"""
+    for i, r in enumerate(_RADII)
+)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        boundary_distance, line_distance, buffer_density, buffer_areas, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, dissolved_overlaps, holed_measures,
+        boundary_distance, line_distance, buffer_density, buffer_areas, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, dissolved_overlaps, zonal_scanlines, rasterized_scanlines, nested_buffer_means, buffer_sensitivity_sampled, holed_measures,
         smallest_holed_polygon, utm_round_trip, resampled_nearest, resampled_bilinear, masked_density, buffer_sensitivity, buffer_sensitivity_types,
     )
 }
@@ -242,6 +303,16 @@ SELECT s_suppkey, round(CASE s_suppkey % 3 WHEN 0 THEN 20 * n + pi() * 100 WHEN
     "zonal_buffer_mean": f"""WITH {_PIXELS}, ln AS (SELECT n_nationkey, n_nationkey * 7 % 50 AS bx, n_nationkey * 11 % 40 AS b_y FROM nation)
 SELECT n_nationkey, round(avg(value), 4) AS mean, round(sum(value), 4) AS total, count(value) AS cells FROM ln LEFT JOIN px ON least(
   sqrt((col + 0.5 - greatest(bx, least(bx + 4, col + 0.5))) ** 2 + (row + 0.5 - b_y) ** 2), sqrt((col + 0.5 - bx - 4) ** 2 + (row + 0.5 - greatest(b_y, least(b_y + 3, row + 0.5))) ** 2)) <= 1.3 GROUP BY 1""",
+    "nested_buffer_means": f"WITH {_PIXELS}, {_HOOKS} SELECT s_suppkey, "
+    + ", ".join(f"round(avg(value) FILTER (dist <= {r}), 4) AS mean_{i}, count(value) FILTER (dist <= {r}) AS cells_{i}" for i, r in enumerate(_RADII))
+    + " FROM hd GROUP BY 1",
+    "buffer_sensitivity_sampled": f"WITH {_PIXELS}, {_HOOKS}, {_RANKED}, t AS (SELECT * FROM n0 JOIN n1 USING (s_suppkey) JOIN n2 USING (s_suppkey) WHERE r0 IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"""SELECT {10 * (i + 1)} AS buffer_m, 10 AS reference_m, count(*) AS roads, round(corr(r0, r{i}), 6) AS spearman,
+  round(count(*) FILTER (r0 > 0.9 AND r{i} > 0.9) * 1.0 / greatest(count(*) FILTER (r0 > 0.9), 1), 6) AS overlap,
+  round(median(abs(r{i} - r0)) * 100, 6) AS median_change, round(avg(CASE WHEN abs(r{i} - r0) > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS moved_share FROM t"""
+        for i in (1, 2)
+    ),
     "rasterized_units": f"WITH {_PIXELS}, {_SMALL}, m AS (SELECT p_partkey, arg_max(n_nationkey, place) AS n_nationkey FROM inside GROUP BY 1) SELECT p_partkey, n_nationkey FROM px LEFT JOIN m USING (p_partkey)",
     "dissolved_outline": f"WITH {_PIXELS} SELECT p_brand, count(*) AS parts, CAST(sum(red) AS BIGINT) AS n, CAST(count(*) AS DOUBLE) AS area FROM px JOIN part USING (p_partkey) GROUP BY 1",
     "dissolved_overlaps": f"""WITH {_PIXELS}, h AS (SELECT DISTINCT p_brand, 2 * row + i AS r, 2 * col + j AS c FROM px JOIN part USING (p_partkey), range(0, 3) a(i), range(0, 3) b(j)),
@@ -268,3 +339,4 @@ SELECT s_suppkey, round(sum(value * w) / nullif(sum(w) FILTER (value IS NOT NULL
     "buffer_sensitivity_types": f"""WITH {_WIDTHS} SELECT c_mktsegment AS highway, count(*) AS roads, round(avg((r50 - r10) * 100), 6) AS mean_change, round(median(abs((r50 - r10) * 100)), 6) AS median_change
   FROM t JOIN customer USING (c_custkey) GROUP BY 1 HAVING count(*) >= 5""",
 }
+SQL |= {"zonal_scanlines": SQL["zonal_polygon_mean"], "rasterized_scanlines": SQL["rasterized_units"]}

@@ -67,6 +67,17 @@ def explanation_text(spark: SparkSession, d: str) -> DataFrame:
     return _explained(spark, d)
 
 
+def dictionary_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of explanations with their numbers, in the order in which they are first seen."""
+    return quality.compressed_in_order(_explained(spark, d), "p_partkey", "explanation")[1]
+
+
+def dictionary_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Explanations that went through numbers in order of first appearance and back."""
+    tokens, dictionary = quality.compressed_in_order(_explained(spark, d), "p_partkey", "explanation")
+    return quality.expanded(tokens, dictionary, "p_partkey", "explanation")
+
+
 def dictionary_compress(spark: SparkSession, d: str) -> DataFrame:
     tokens, dictionary = quality.compressed(_explained(spark, d), "p_partkey", "explanation")
     return quality.expanded(tokens, dictionary, "p_partkey", "explanation")
@@ -124,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalised_name_join, missing_keys, shared_keys, alias_single_centre, hstore_tags, json_props, slug, html_escape, explanation_text,
-        dictionary_compress, label_extract, amenity_classes, age_bands, dedupe_keys, quality_violations, zero_density_share, union_missing_columns,
+        dictionary_compress, dictionary_in_order, dictionary_first_seen, label_extract, amenity_classes, age_bands, dedupe_keys, quality_violations, zero_density_share, union_missing_columns,
     )
 }
 
@@ -144,6 +155,10 @@ r AS (SELECT {_NORM.format(x='n_name')} AS key, n_regionkey AS region FROM natio
     "html_escape": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '&lt;a href=&quot;x&quot;&gt;&#x27;' || replace(p_name, '&', '&amp;') || '&#x27; &amp; co&lt;/a&gt;' END AS escaped FROM part""",
     "explanation_text": _EXPLAIN,
     "dictionary_compress": _EXPLAIN,
+    "dictionary_first_seen": _EXPLAIN,
+    "dictionary_in_order": f"""WITH x AS ({_EXPLAIN}), s AS (SELECT p_partkey, string_split(explanation, '<br>') AS ps FROM x WHERE explanation IS NOT NULL),
+e AS (SELECT p_partkey, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM s), f AS (SELECT piece, min((p_partkey, pos)) AS place FROM e GROUP BY 1)
+SELECT piece, row_number() OVER (ORDER BY place, piece) - 1 AS token FROM f""",
     "label_extract": "SELECT n_nationkey, n_name || ' (' || r_name || ')' AS label, n_name AS name, r_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey",
     "amenity_classes": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'hospital' WHEN 2 THEN 'pharmacy' ELSE CASE p_partkey % 3 WHEN 0 THEN 'doctors' WHEN 1 THEN 'clinic' END END AS class FROM part""",
     "age_bands": """WITH p AS (SELECT p_brand, CASE WHEN p_size % 9 <> 0 THEN p_size END AS age, CAST(p_retailprice AS DECIMAL(18,2)) AS n FROM part)

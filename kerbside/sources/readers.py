@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -247,19 +248,48 @@ def geopackage(spark: SparkSession, path: str, layer_: str, properties: str) ->
     return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields], "rings")
 
 
+#: Bytes of a GeoPackage geometry's envelope by its kind.
+_ENVELOPES = (0, 32, 48, 48, 64)
+
+
 def _wkb_rings(blob: bytes) -> list[list[dict[str, float]]]:
-    """Rings or path of a GeoPackage geometry without an envelope."""
-    at = 8 + 1
-    kind = int.from_bytes(blob[at : at + 4], "little")
-    at += 4
-    count = 1
-    if kind == 3:
-        count = int.from_bytes(blob[at : at + 4], "little")
+    """Rings, paths or points (a path of one) of a GeoPackage geometry, those of all its parts. What isn't known is refused."""
+    if blob[:2] != b"GP" or len(blob) < 8:
+        raise ValueError("no GeoPackage geometry")
+    flags = blob[3]
+    kind = flags >> 1 & 7
+    if kind >= len(_ENVELOPES) or flags >> 5 & 1:
+        raise ValueError(f"a GeoPackage geometry with flags {flags}")
+    rings: list[list[dict[str, float]]] = []
+
+    def part(at: int) -> int:
+        order = {0: ">", 1: "<"}[blob[at]]
+        (code,) = struct.unpack_from(f"{order}I", blob, at + 1)
+        at += 5
+        shape, dims = code % 1000, {0: 2, 1: 3, 2: 3, 3: 4}.get(code // 1000)
+        if dims is None or shape not in (1, 2, 3, 4, 5, 6, 7):
+            raise ValueError(f"a geometry of type {code}")
+        if shape == 1:
+            x, y = struct.unpack_from(f"{order}2d", blob, at)
+            if x == x:  # an empty point has none
+                rings.append([{"x": x, "y": y}])
+            return at + 8 * dims
+        (n,) = struct.unpack_from(f"{order}I", blob, at)
         at += 4
-    rings = []
-    for _ in range(count):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        xy = np.frombuffer(blob, "<f8", 2 * n, at + 4).reshape(-1, 2)
-        rings.append([{"x": float(x), "y": float(y)} for x, y in xy])
-        at += 4 + 16 * n
+        if shape > 3:
+            for _ in range(n):
+                at = part(at)
+            return at
+        for _ in range(n if shape == 3 else 1):
+            if shape == 3:
+                (n,) = struct.unpack_from(f"{order}I", blob, at)
+                at += 4
+            xy = np.frombuffer(blob, f"{order}f8", dims * n, at).reshape(-1, dims)[:, :2]
+            if n:
+                rings.append([{"x": float(x), "y": float(y)} for x, y in xy])
+            at += 8 * dims * n
+        return at
+
+    if not flags >> 4 & 1:
+        part(8 + _ENVELOPES[kind])
     return rings

@@ -262,13 +262,34 @@ def html_report(spark: SparkSession, path: str, title: str, tables: Mapping[str,
     write_text(spark, path, "\n".join(out))
 
 
+def _parts(rings: Sequence[Sequence[Mapping[str, float]]]) -> list[list[Sequence[Mapping[str, float]]]]:
+    """Rings by part: an outer ring, and the holes right inside it."""
+
+    def holds(ring, x: float, y: float) -> bool:
+        odd = False
+        for p, q in zip(ring, [*ring[1:], ring[0]], strict=True):
+            if (p["y"] > y) != (q["y"] > y) and x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]:
+                odd = not odd
+        return odd
+
+    middle = [((r[0]["x"] + r[1]["x"]) / 2, (r[0]["y"] + r[1]["y"]) / 2) if len(r) > 1 else (r[0]["x"], r[0]["y"]) for r in rings]
+    around = [[j for j in range(len(rings)) if j != i and holds(rings[j], *middle[i])] for i in range(len(rings))]
+    out = {i: [rings[i]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, outer in enumerate(around):
+        if len(outer) % 2:  # a hole is in the ring around it that most others are around
+            out[max((j for j in outer if j in out), key=lambda j: len(around[j]))].append(rings[i])
+    return list(out.values())
+
+
 def _wkb(rings: Sequence[Sequence[Mapping[str, float]]], polygon: bool) -> bytes:
-    """Well-known binary of a polygon or of a line, little-endian."""
+    """Well-known binary of a polygon or of a line, or of several, little-endian."""
     line = lambda r: struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in r)
-    if not polygon:
-        return b"\x01" + struct.pack("<I", 2) + line(rings[0])
-    closed = [[*r, r[0]] if (r[0]["x"], r[0]["y"]) != (r[-1]["x"], r[-1]["y"]) else r for r in rings]
-    return b"\x01" + struct.pack("<II", 3, len(closed)) + b"".join(map(line, closed))
+    closed = lambda r: [*r, r[0]] if (r[0]["x"], r[0]["y"]) != (r[-1]["x"], r[-1]["y"]) else r
+    if polygon:
+        parts = [b"\x01" + struct.pack("<II", 3, len(part)) + b"".join(line(closed(r)) for r in part) for part in _parts(rings)]
+    else:
+        parts = [b"\x01" + struct.pack("<I", 2) + line(r) for r in rings]
+    return parts[0] if len(parts) == 1 else b"\x01" + struct.pack("<II", 6 if polygon else 5, len(parts)) + b"".join(parts)
 
 
 def geopackage(spark: SparkSession, path: str, layers: Mapping[str, DataFrame], srs: int = 4326, most_rows: int = 1_000_000) -> None:

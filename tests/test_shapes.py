@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import dissolve, geometry, spatial
+from kerbside.operators import blocks, dissolve, geometry, scanlines, spatial
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 
@@ -91,3 +91,99 @@ def test_cells_grow_with_length(spark):
     long = spark.createDataFrame([(0.0, 0.0, 30_000.0, 30_000.0)], "px double, py double, qx double, qy double")
     n = long.select(F.size(spatial.cells_along(*[F.col(c) for c in ("px", "py", "qx", "qy")], 10.0, 5.0)).alias("n")).first()["n"]
     assert n < 20_000  # its box has nine million
+
+
+def test_zones_by_scanlines(spark):
+    """Shapes with holes, spikes and parts off the grid, against a test of each pixel's centre."""
+    rng = random.Random(8)
+    grid = blocks.Grid(100.0, 50.0, 2.0, 1.0, 37, 29)
+    shapes = []
+    for k in range(30):
+        cx, cy = rng.uniform(90, 180), rng.uniform(15, 55)
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 9)))
+        star = lambda s: ring(*[(cx + s * rng.uniform(2, 30) * math.cos(t), cy + s * rng.uniform(2, 20) * math.sin(t)) for t in turns])  # noqa: B023, E731
+        shapes.append((k, [star(1.0), star(0.3)] if k % 3 else [star(1.0)]))
+    shapes += [(30, [box(0, 0, 10, 10)]), (31, [box(0, -500, 900, 900)]), (32, [ring((110, 30), (120, 30), (130, 30))])]
+    pixels = [(r, c, None if rng.random() < 0.2 else rng.uniform(0, 9)) for r in range(29) for c in range(37)]
+    df = spark.createDataFrame(shapes, f"k int, rings {RINGS}")
+    values = spark.createDataFrame(pixels, "row int, col int, v double").repartition(3)
+    x, y = np.meshgrid(100 + 2 * (np.arange(37) + 0.5), 50 - (np.arange(29) + 0.5))
+    held = {k: covered([rings], x, y) for k, rings in shapes}
+    for size in (5, 256):
+        got = {r["k"]: r for r in scanlines.zonal(df, values, "k", "v", grid, size).collect()}
+        for k, inside in held.items():
+            some = [v for r, c, v in pixels if v is not None and inside[r, c]]
+            assert got[k]["cells"] == len(some) and got[k]["mean"] == (pytest.approx(sum(some) / len(some)) if some else None)
+            assert got[k]["total"] == (pytest.approx(sum(some)) if some else None)
+    marked = {(r["row"], r["col"]): r["k"] for r in scanlines.rasterized(df.withColumn("o", -F.col("k")), grid, "k", "o").collect()}
+    want = {(r, c): min(k for k in held if held[k][r, c]) for r in range(29) for c in range(37) if any(h[r, c] for h in held.values())}
+    assert marked == want
+
+
+def test_nested_buffers(spark):
+    rng = random.Random(9)
+    lines = [(k, ring(*[(rng.uniform(0, 30), rng.uniform(0, 30)) for _ in range(rng.randint(1, 4))])) for k in range(12)] + [(99, ring((500, 500), (501, 500)))]
+    places = [(c + 0.5, r + 0.5, None if rng.random() < 0.1 else rng.random()) for r in range(30) for c in range(30)]
+    df = spark.createDataFrame(lines, "k int, path array<struct<x: double, y: double>>")
+    got = {r["k"]: r for r in scanlines.nested_buffers(df, spark.createDataFrame(places, "x double, y double, v double"), "k", "v", (4.0, 1.0, 2.5)).collect()}
+
+    def far(p, path):
+        ends = [((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(path, path[1:])]
+        out = math.inf
+        for (ax, ay), (bx, by) in ends:
+            d = (bx - ax) ** 2 + (by - ay) ** 2
+            t = max(0.0, min(1.0, ((p[0] - ax) * (bx - ax) + (p[1] - ay) * (by - ay)) / d)) if d else 0.0
+            out = min(out, math.hypot(p[0] - ax - t * (bx - ax), p[1] - ay - t * (by - ay)))
+        return out
+
+    for k, path in lines:
+        for i, radius in enumerate((4.0, 1.0, 2.5)):
+            some = [v for x, y, v in places if v is not None and far((x, y), path) <= radius]
+            assert got[k][f"cells_{i}"] == len(some) and got[k][f"mean_{i}"] == (pytest.approx(sum(some) / len(some)) if some else None)
+
+
+def test_geometries_of_other_writers(spark):
+    """Envelopes, both byte orders, heights and measures, many parts; what isn't known is refused."""
+    import struct
+
+    from kerbside.sources import readers, sinks
+
+    def head(flags, extra=b""):
+        return b"GP\x00" + bytes([flags]) + struct.pack("<i", 4326) + extra
+
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    want = [ring(*square)]
+    body = lambda o, code, dims: struct.pack(f"{o}BIII"[:1] + "BIII", o == "<", code, 1, 4) + b"".join(struct.pack(f"{o}{dims}d", *p, *[9.0] * (dims - 2)) for p in square)
+    for order in "<>":
+        for code, dims in ((3, 2), (1003, 3), (2003, 3), (3003, 4)):
+            assert readers._wkb_rings(head(1) + body(order, code, dims)) == want
+    assert readers._wkb_rings(head(1 | 1 << 1, struct.pack("<4d", 0, 4, 0, 4)) + body("<", 3, 2)) == want
+    assert readers._wkb_rings(head(1 | 4 << 1, bytes(64)) + body("<", 3, 2)) == want
+    many = struct.pack("<BII", 1, 6, 2) + body("<", 3, 2) + body(">", 3, 2)
+    assert readers._wkb_rings(head(1) + many) == want * 2
+    assert readers._wkb_rings(head(1) + struct.pack("<BIdd", 1, 1, 5.0, 6.0)) == [ring((5, 6))]
+    assert readers._wkb_rings(head(1 | 1 << 4) + struct.pack("<BII", 1, 3, 0)) == []
+    for bad in (b"XX" + bytes(20), head(1 | 5 << 1), head(1) + struct.pack("<BII", 1, 10, 1)):
+        with pytest.raises(ValueError):
+            readers._wkb_rings(bad)
+    # parts with holes, an island in a hole, and two lines, there and back
+    shape = [box(0, 0, 9, 9), box(1, 1, 5, 5), box(2, 2, 3, 3), box(20, 0, 24, 4), box(21, 1, 22, 2)]
+    assert [len(p) for p in sinks._parts(shape)] == [2, 1, 2]
+    rows = [(1, "Polygon", shape), (2, "LineString", [ring((0, 0), (1, 1)), ring((5, 5), (6, 6), (7, 5))]), (3, "Polygon", [box(0, 0, 1, 1)])]
+    df = spark.createDataFrame(rows, f"k long, kind string, rings {RINGS}")
+    path = f"{__import__('tempfile').mkdtemp()}/a.gpkg"
+    sinks.geopackage(spark, f"file://{path}", {"t": df})
+    back = {r["k"]: r for r in readers.geopackage(spark, f"file://{path}", "t", "k bigint").withColumn("a", geometry.polygon_area(F.col("rings"))).collect()}
+    assert back[1]["a"] == pytest.approx(81 - 16 + 1 + 16 - 1) and len(back[1]["rings"]) == 5 and [len(r) for r in back[2]["rings"]] == [2, 3]
+
+
+def test_numbers_in_order_of_appearance(spark):
+    from kerbside.operators import quality
+
+    rows = [(3, "b<br>a<br>b"), (1, "c"), (2, None), (5, ""), (4, "a<br>d<br>"), (6, "c<br>c")]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    tokens, dictionary = quality.compressed_in_order(df, "k", "t")
+    assert {r["piece"]: r["token"] for r in dictionary.collect()} == {"c": 0, "b": 1, "a": 2, "d": 3, "": 4}
+    assert {r["k"]: r["tokens"] for r in tokens.collect()} == {1: [0], 3: [1, 2, 1], 4: [2, 3, 4], 5: [4], 6: [0, 0]}
+    assert {r["k"]: r["t"] for r in quality.expanded(tokens, dictionary, "k", "t").collect()} == {k: t for k, t in rows if t is not None}
+    assert quality.compressed_in_order(df.limit(0), "k", "t")[1].count() == 0

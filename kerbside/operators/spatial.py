@@ -159,6 +159,17 @@ def nearest_by_class(points: DataFrame, targets: DataFrame, key: str, target: st
     return out
 
 
+def nearest_shape_by_class(
+    points: DataFrame, shapes: DataFrame, key: str, target: str, of: str, classes: Sequence, closed: bool = True, start: float | None = None, size: float | None = None
+) -> DataFrame:
+    """``key`` and a distance ``d_<class>`` to the nearest footprint of each class, 0 inside one; missing where a class has none."""
+    out = points.select(key)
+    for c in classes:
+        one = nearest_shape(points, shapes.filter(F.col(of) == F.lit(c)), key, target, closed, start, size)
+        out = out.join(one.select(key, F.col("d").alias(f"d_{c}")), key, "left")
+    return out
+
+
 def buffer_count(lines: DataFrame, points: DataFrame, key: str, radius: float, out: str, path: str = "path") -> DataFrame:
     """``lines`` with the number of points within ``radius`` of each path (inclusive); 0 if none.
 
@@ -225,6 +236,43 @@ def fitted_box(points: DataFrame, least: float, most: float) -> DataFrame:
     )
 
 
+def chosen_box(
+    areas: DataFrame, points: DataFrame, key: str, least: float, most: float, pad: float, step: float, size: float, good: float = 0.9, gain: float = 0.02, trim_from: int = 6
+) -> DataFrame:
+    """One row, ``variant, x0, y0, x1, y1, coverage``: the box of a dense cluster of ``areas`` (``x, y`` of the centre, ``rings``).
+
+    The cluster is what lies within a clamped multiple of the median distance of the median centre (see ``fitted_box``).
+    ``whole`` is the box of its shapes and ``pad`` around; ``core`` that of its centres between the 10% and 90% quantiles and
+    one ``step`` around (``trim_from`` areas at least, else as ``whole``); both widened to multiples of ``step``. Coverage is the part of the
+    ``points`` (``key, x, y``) in a box that an area holds. The core is taken if the whole covers less than ``good`` and the
+    core ``gain`` more. Boxes without a point cover nothing. Without areas the result is empty.
+    """
+    scratch = Scratch(areas.sparkSession, "box")
+    shaped = areas.withColumns({f"_{k}": v for k, v in bounds(F.col("rings")).items()})
+    centre = shaped.agg(F.median("x").alias("_mx"), F.median("y").alias("_my"))
+    d = shaped.crossJoin(F.broadcast(centre)).withColumn("_d", F.hypot(F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")))  # one row
+    reach = d.agg(F.least(F.lit(most), F.greatest(F.lit(least), 2.5 * F.median("_d"))).alias("_r"))
+    kept = d.crossJoin(F.broadcast(reach)).filter(F.col("_d") <= F.col("_r"))
+    q = lambda c: F.percentile(c, F.array(F.lit(0.1), F.lit(0.9)))
+    row = kept.agg(F.count("*").alias("n"), F.min("_x0"), F.min("_y0"), F.max("_x1"), F.max("_y1"), q("x").alias("qx"), q("y").alias("qy")).first()
+    boxes = "variant string, x0 double, y0 double, x1 double, y1 double"
+    if not row["n"]:
+        return areas.sparkSession.createDataFrame([], f"{boxes}, coverage double")
+    whole = (row[1] - pad, row[2] - pad, row[3] + pad, row[4] + pad)
+    core = (row["qx"][0] - step, row["qy"][0] - step, row["qx"][1] + step, row["qy"][1] + step) if row["n"] >= trim_from else whole
+    down, up = lambda v: math.floor(v / step + 1e-9) * step, lambda v: math.ceil(v / step - 1e-9) * step
+    best: tuple | None = None
+    for name, b in (("whole", whole), ("core", core)):
+        b = (down(b[0]), down(b[1]), up(b[2]), up(b[3]))
+        inside_ = scratch.table(points.select(key, "x", "y").filter(F.col("x").between(b[0], b[2]) & F.col("y").between(b[1], b[3])), name)
+        share = coverage(inside_, areas, key, size).first()["coverage"] or 0.0
+        if best is None or share > best[-1] + gain:
+            best = (name, *map(float, b), float(share))
+        if share >= good:
+            break
+    return areas.sparkSession.createDataFrame([best], f"{boxes}, coverage double")
+
+
 def opening_view(points: DataFrame, visible: str, least: int = 10) -> DataFrame:
     """One row: 5% and 95% quantiles of the visible points, of all if fewer than ``least`` are visible."""
     q = F.array(F.lit(0.05), F.lit(0.95))

@@ -38,6 +38,20 @@ def boundary_distance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("c_custkey", "d"), "d")
 
 
+def footprint_distance_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Distances to the nearest footprint of three classes, and of one that has none."""
+    shapes = _diamonds(spark, d).withColumn("kind", (F.col("n_nationkey") % 3).cast("int"))
+    out = spatial.nearest_shape_by_class(_customers(spark, d), shapes, "c_custkey", "n_nationkey", "kind", [0, 1, 2, 9], start=60.0)
+    return rounded(out, "d_0", "d_1", "d_2", "d_9")
+
+
+def chosen_box(spark: SparkSession, d: str) -> DataFrame:
+    """The box of the dense cluster of diamonds: whole or core, by what part of the places in it they hold."""
+    k = F.col("n_nationkey")
+    areas = _diamonds(spark, d).withColumns({"x": (k * 67 % 900).cast("double"), "y": (k * 113 % 900).cast("double")})
+    return rounded(spatial.chosen_box(areas, _customers(spark, d), "c_custkey", 100.0, 250.0, 20.0, 10.0, 100.0), "coverage")
+
+
 def _bent(spark: SparkSession, d: str) -> DataFrame:
     """``n_nationkey, path``: 80 to the right, then 60 up."""
     k = F.col("n_nationkey")
@@ -287,13 +301,26 @@ _RANKED = ", ".join(
 QUERIES = {
     f.__name__: f
     for f in (
-        boundary_distance, line_distance, buffer_density, buffer_areas, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, dissolved_overlaps, zonal_scanlines, rasterized_scanlines, nested_buffer_means, buffer_sensitivity_sampled, holed_measures,
+        boundary_distance, footprint_distance_by_class, chosen_box, line_distance, buffer_density, buffer_areas, zonal_polygon_mean, zonal_buffer_mean, rasterized_units, dissolved_outline, dissolved_overlaps, zonal_scanlines, rasterized_scanlines, nested_buffer_means, buffer_sensitivity_sampled, holed_measures,
         smallest_holed_polygon, utm_round_trip, resampled_nearest, resampled_bilinear, masked_density, buffer_sensitivity, buffer_sensitivity_types,
     )
 }
 
 SQL = {
     "boundary_distance": f"WITH {_C}, {_DIAMONDS} SELECT c_custkey, round(min(dist), 6) AS d FROM ds GROUP BY 1",
+    "footprint_distance_by_class": f"WITH {_C}, {_DIAMONDS} SELECT c_custkey, "
+    + ", ".join(f"round(min(dist) FILTER (n_nationkey % 3 = {i}), 6) AS d_{i}" for i in (0, 1, 2))
+    + ", CAST(NULL AS DOUBLE) AS d_9 FROM ds GROUP BY 1",
+    "chosen_box": f"""WITH {_C}, {_DIAMONDS}, m AS (SELECT median(cx) AS mx, median(cy) AS my FROM dm), e AS (SELECT dm.*, sqrt((cx - mx) ** 2 + (cy - my) ** 2) AS far FROM dm, m),
+k AS (SELECT * FROM e WHERE far <= (SELECT least(250.0, greatest(100.0, 2.5 * median(far))) FROM e)),
+w AS (SELECT 'whole' AS variant, min(cx - r) - 20 AS x0, min(cy - r) - 20 AS y0, max(cx + r) + 20 AS x1, max(cy + r) + 20 AS y1 FROM k UNION ALL
+  SELECT 'core', CASE WHEN count(*) >= 6 THEN quantile_cont(cx, 0.1) - 10 ELSE min(cx - r) - 20 END, CASE WHEN count(*) >= 6 THEN quantile_cont(cy, 0.1) - 10 ELSE min(cy - r) - 20 END,
+    CASE WHEN count(*) >= 6 THEN quantile_cont(cx, 0.9) + 10 ELSE max(cx + r) + 20 END, CASE WHEN count(*) >= 6 THEN quantile_cont(cy, 0.9) + 10 ELSE max(cy + r) + 20 END FROM k),
+b AS (SELECT variant, floor(x0 / 10 + 1e-9) * 10 AS x0, floor(y0 / 10 + 1e-9) * 10 AS y0, ceil(x1 / 10 - 1e-9) * 10 AS x1, ceil(y1 / 10 - 1e-9) * 10 AS y1 FROM w),
+h AS (SELECT c_custkey, x, y, EXISTS (SELECT 1 FROM dm WHERE abs(x - cx) + abs(y - cy) < r) AS held FROM c),
+v AS (SELECT b.*, coalesce((SELECT avg(CASE WHEN held THEN 1.0 ELSE 0.0 END) FROM h WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), 0.0) AS coverage FROM b)
+SELECT c.variant, c.x0, c.y0, c.x1, c.y1, round(c.coverage, 6) AS coverage FROM v c, v o
+WHERE c.variant <> o.variant AND (c.variant = 'core') = (SELECT max(coverage) FILTER (variant = 'whole') < 0.9 AND max(coverage) FILTER (variant = 'core') > max(coverage) FILTER (variant = 'whole') + 0.02 FROM v)""",
     "line_distance": f"WITH {_C}, {_BENT} SELECT c_custkey, round(min(dist), 6) AS d FROM bd GROUP BY 1",
     "buffer_density": f"WITH {_C}, {_BENT} SELECT n_nationkey, count(*) FILTER (dist <= 35.5) AS near, round(count(*) FILTER (dist <= 35.5) / {_AREA!r}::DOUBLE * 1000, 6) AS density FROM bd GROUP BY 1",
     "buffer_areas": """WITH p AS (SELECT s_suppkey, 100 + s_suppkey % 50 AS n FROM supplier)

@@ -187,3 +187,34 @@ def test_numbers_in_order_of_appearance(spark):
     assert {r["k"]: r["tokens"] for r in tokens.collect()} == {1: [0], 3: [1, 2, 1], 4: [2, 3, 4], 5: [4], 6: [0, 0]}
     assert {r["k"]: r["t"] for r in quality.expanded(tokens, dictionary, "k", "t").collect()} == {k: t for k, t in rows if t is not None}
     assert quality.compressed_in_order(df.limit(0), "k", "t")[1].count() == 0
+
+
+def test_footprints_by_class_and_boxes(spark):
+    shapes = [(1, "a", [box(0, 0, 2, 2)]), (2, "a", [box(10, 0, 12, 2)]), (3, "b", [box(5, 5, 6, 6), box(5.4, 5.4, 5.6, 5.6)]), (4, None, [box(0, 8, 1, 9)])]
+    df = spark.createDataFrame(shapes, f"t int, kind string, rings {RINGS}")
+    places = spark.createDataFrame([(1, 1.0, 1.0), (2, 6.0, 1.0), (3, 5.5, 5.5), (4, None, 1.0)], "k int, x double, y double")
+    got = {r["k"]: (r["d_a"], r["d_b"], r["d_c"]) for r in spatial.nearest_shape_by_class(places, df, "k", "t", "kind", ["a", "b", "c"], size=4.0).collect()}
+    far = math.hypot(4, 4)
+    assert got[1] == (0.0, pytest.approx(far), None) and got[2] == (pytest.approx(4.0), pytest.approx(4.0), None) and got[4] == (None, None, None)
+    assert got[3][1] == pytest.approx(0.1)  # in the hole
+    areas = df.withColumns({"x": F.col("rings")[0][0]["x"] + 1, "y": F.col("rings")[0][0]["y"] + 1})
+    b = spatial.chosen_box(areas, places, "k", 5.0, 50.0, 0.5, 1.0, 4.0).first()
+    assert (b["variant"], b["x0"], b["y0"], b["x1"], b["y1"]) == ("whole", -1.0, -1.0, 13.0, 10.0) and b["coverage"] == pytest.approx(1 / 3)
+    assert spatial.chosen_box(areas.limit(0), places, "k", 5.0, 50.0, 0.5, 1.0, 4.0).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_fine_breaks_are_those_of_all_values(spark, k):
+    from kerbside.operators import jenks
+
+    rng = np.random.default_rng(k)
+    cases = [rng.lognormal(0, 1, 4000), np.round(rng.normal(0, 2, 4000), 1), np.array([1.0, 2, 2, 7]), np.full(5, 3.0), np.concatenate([rng.random(2000), 100 + rng.random(2000)])]
+    for v in cases:
+        u, n = np.unique(v, return_counts=True)
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double").repartition(3)
+        got = jenks.natural_breaks(df, "v", k, most_distinct=0, cells=64)
+        assert got == jenks.optimal_breaks(u, n, k) and got[0] == v.min() and got[-1] == v.max()
+        if k > 1:
+            seen = df.filter("v is not null and not isnan(v)").select(jenks.classify(F.col("v"), got, list("abcde")).alias("c"))
+            assert seen.filter("c is null").count() == 0
+    assert jenks.natural_breaks(df.limit(0), "v", k) == [] == jenks.natural_breaks(df.filter("v is null"), "v", k, most_distinct=0)

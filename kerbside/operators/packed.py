@@ -218,13 +218,19 @@ def _chosen(places: dict[int, list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, seen = None, 0
         for b in batches:
+            if not b.num_rows:
+                continue
+            c, v, n = (b.column(k).to_numpy() for k in ("cell", "v", "n"))
+            starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             out = []
-            for c, v, n in zip(b.column("cell").to_pylist(), b.column("v").to_pylist(), b.column("n").to_pylist(), strict=True):
-                if c != cell:
-                    cell, seen = c, 0
-                out += [(c, p, v) for p in places[c] if seen <= p < seen + n]
-                seen += n
-            cols = list(zip(*out, strict=True)) or [[], [], []]
+            for lo, hi in zip(starts, [*starts[1:], len(c)], strict=True):
+                before = seen if c[lo] == cell else 0
+                ends = before + np.cumsum(n[lo:hi])
+                p = np.asarray(places[int(c[lo])])
+                p = p[(p >= before) & (p < ends[-1])]
+                out.append((np.full(len(p), c[lo]), p, v[lo + np.searchsorted(ends, p, side="right")]))
+                cell, seen = c[lo], int(ends[-1])
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["cell", "place", "v"])
 
     return run

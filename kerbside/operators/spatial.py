@@ -187,8 +187,8 @@ def within(points: DataFrame, polygons: DataFrame, poly_columns: Sequence[str],
     boxed = polygons.withColumns(bounds(F.col("rings")))
     xs = F.sequence(cell(F.col("x0"), size), cell(F.col("x1"), size))
     ys = F.sequence(cell(F.col("y0"), size), cell(F.col("y1"), size))
-    grid = F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda c: F.struct(a.alias("cx"), c.alias("cy")))))
-    dealt = boxed.withColumn("_c", F.explode(grid)).select("_c.cx", "_c.cy", "rings", "x0", "x1", "y0", "y1", *poly_columns)
+    # a column of cells at a time: no row holds all cells of a large polygon
+    dealt = boxed.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys)).select("cx", "cy", "rings", "x0", "x1", "y0", "y1", *poly_columns)
     p = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     box = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     return p.join(dealt, ["cx", "cy"]).filter(box & inside(F.col("x"), F.col("y"), F.col("rings"))).select(*points.columns, *poly_columns)
@@ -218,10 +218,11 @@ def nearest_grid_point(points: DataFrame, grid: DataFrame, key: str, grid_key: s
     if grid.limit(SMALL + 1).count() > SMALL:
         raise ValueError(f"a grid of more than {SMALL} points is no small side; use nearest()")
     mean = points.agg(F.cos(F.radians(F.avg("lat"))).alias("_k"))
-    g = grid.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), grid_key)
-    both = points.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(g))  # one row, and at most SMALL
-    d2 = F.pow((F.col("lon") - F.col("_lon")) * F.col("_k"), 2) + F.pow(F.col("lat") - F.col("_lat"), 2)
-    return both.groupBy(key).agg(F.min_by(grid_key, F.struct(d2, F.col(grid_key))).alias(grid_key))
+    g = grid.agg(F.collect_list(F.struct("lon", "lat", F.col(grid_key).alias("id"))).alias("_g"))
+    both = points.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(g))  # one row each, the second at most SMALL points
+    d2 = lambda p: F.pow((F.col("lon") - p["lon"]) * F.col("_k"), 2) + F.pow(F.col("lat") - p["lat"], 2)
+    near = F.array_min(F.transform("_g", lambda p: F.struct(d2(p).alias("d"), p["id"].alias("id"))))
+    return both.filter(F.size("_g") > 0).groupBy(key).agg(F.min(near)["id"].alias(grid_key))
 
 
 def fitted_box(points: DataFrame, least: float, most: float) -> DataFrame:

@@ -204,6 +204,41 @@ def src_osm_lines(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("id", "highway", "name", geometry.line_length(F.col("rings")[0]).alias("length")), "length")
 
 
+def _extract(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a map extract that Spark's tasks write: a tagged node each, and a rectangle of four nodes and a closed way."""
+    k = F.col("s_suppkey")
+    x, y = (k * 7 % 170).cast("double"), (k * 13 % 80).cast("double")
+    wide, high = 1 + (k % 5).cast("double"), 1 + (k % 3).cast("double")
+    tags = lambda *pairs: F.create_map(*[F.lit(v) if isinstance(v, str) else v for v in pairs])
+    kinds = F.element_at(F.array(*map(F.lit, ("clinic", "bank", "hospital", "school"))), (k % 4 + 1).cast("int"))
+    none = F.lit(None).cast("map<string,string>")
+    no_refs, no_names = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")
+    element = lambda kind, number, lon, lat, own, refs: F.struct(
+        F.lit(kind).alias("kind"), number.cast("long").alias("id"), lon.alias("lon"), lat.alias("lat"), own.alias("tags"), refs.alias("refs"), no_names.alias("roles"), no_names.alias("members")
+    )
+    corners = [(x, y), (x + wide, y), (x + wide, y + high), (x, y + high)]
+    nodes = [element("node", 10 * k + i, a, c, F.coalesce(none, F.create_map().cast("map<string,string>")), no_refs) for i, (a, c) in enumerate(corners, 1)]
+    ring = F.array(*[(10 * k + i).cast("long") for i in (1, 2, 3, 4, 1)])
+    way = element("way", k, F.lit(None).cast("double"), F.lit(None).cast("double"), tags(F.when(k % 3 == 0, "landuse").otherwise("leisure"), "park", "name", F.col("s_name")), ring)
+    tagged = element("node", 10 * k, x + 0.5, y + 0.25, tags("amenity", kinds, "name", F.col("s_name")), no_refs)
+    rows = b.table(spark, d, "supplier").select(F.explode(F.array(tagged, *nodes, way)).alias("e")).select("e.*")
+    folder = f"{_folder(spark, 'extracts')}/files"
+    osm.write_extracts(rows.repartition(4, "id"), folder)
+    return osm.elements(spark, folder)
+
+
+def src_osm_points(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged nodes of some kinds in a box."""
+    found = osm.points(_extract(spark, d), ["amenity", "name"], (20.0, 10.0, 120.0, 60.0))
+    return rounded(found.filter(F.col("amenity").isin("clinic", "hospital")).select("id", "amenity", "name", "x", "y"), "x", "y")
+
+
+def src_osm_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Closed ways with one of two tags that meet a box, by their areas."""
+    found = osm.polygons(_extract(spark, d), ["landuse", "leisure"], (20.0, 10.0, 120.0, 60.0))
+    return rounded(found.select("id", "landuse", "leisure", geometry.polygon_area(F.col("rings")).alias("area")), "area")
+
+
 def snk_publish(spark: SparkSession, d: str) -> DataFrame:
     """Published twice; the second is what is read, after a fault between the renames as well."""
     path = f"{_folder(spark, 'publish')}/t"
@@ -338,7 +373,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_districts, src_development, src_observations, src_stations, src_weather, src_scenes, src_area_tables, src_feature_lines, src_feature_collection,
-        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_band_blocks, src_ascii_grid, src_osm_lines, snk_publish, snk_cached_stage, snk_map_layers,
+        src_layer, src_geopackage, src_geotiff_window, src_population_grid, src_night_composite, src_band_blocks, src_ascii_grid, src_osm_lines, src_osm_points, src_osm_polygons, snk_publish, snk_cached_stage, snk_map_layers,
         snk_city_stats, snk_package, tidy_columns, column_descriptions, snk_manifest, five_quantiles, composite_name_join, coerced_scale, without_constants,
         tag_filters, formatted_texts, dense_core, registry_counts,
     )
@@ -376,6 +411,10 @@ WHERE 2 * least(col + 16, 50) > 20 AND 2 * col < 70 AND 1000 - least(row + 16, h
     "src_ascii_grid": f"WITH {_PIXELS} SELECT row, col, CAST(red AS BIGINT) AS value FROM px",
     "src_osm_lines": """SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'primary' AS highway, n_name AS name, CAST(7.0 AS DOUBLE) AS length FROM nation
   WHERE n_nationkey % 3 <> 0 AND n_nationkey * 1.5 <= 30 AND n_nationkey * 1.5 + 3 >= 5 AND n_nationkey * 2 <= 40 AND n_nationkey * 2 + 4 >= 5""",
+    "src_osm_points": """WITH s AS (SELECT s_suppkey AS k, s_name, ['clinic', 'bank', 'hospital', 'school'][s_suppkey % 4 + 1] AS amenity, s_suppkey * 7 % 170 + 0.5::DOUBLE AS x, s_suppkey * 13 % 80 + 0.25::DOUBLE AS y FROM supplier)
+SELECT CAST(10 * k AS BIGINT) AS id, amenity, s_name AS name, x, y FROM s WHERE amenity IN ('clinic', 'hospital') AND x BETWEEN 20 AND 120 AND y BETWEEN 10 AND 60""",
+    "src_osm_polygons": """WITH s AS (SELECT s_suppkey AS k, s_suppkey * 7 % 170 AS x, s_suppkey * 13 % 80 AS y, 1 + s_suppkey % 5 AS w, 1 + s_suppkey % 3 AS h FROM supplier)
+SELECT CAST(k AS BIGINT) AS id, CASE WHEN k % 3 = 0 THEN 'park' END AS landuse, CASE WHEN k % 3 <> 0 THEN 'park' END AS leisure, CAST(w * h AS DOUBLE) AS area FROM s WHERE x <= 120 AND x + w >= 20 AND y <= 60 AND y + h >= 10""",
     "snk_publish": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5",
     "snk_cached_stage": "SELECT count(*) AS n, 2 AS built FROM nation",
     "snk_map_layers": """SELECT c_custkey AS road_id, CAST(c_nationkey % 2 + 2020 AS INT) AS year, c_mktsegment AS category,

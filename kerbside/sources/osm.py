@@ -8,6 +8,7 @@ put together by joins: ways' node numbers with nodes, relations' members with wa
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,3 +284,30 @@ def encode(rows: Sequence[tuple]) -> bytes:
         head = _part(1, name.encode()) + _part(3, len(blob))
         out += struct.pack(">I", len(head)) + head + blob
     return out
+
+
+def write_extracts(rows: DataFrame, folder: str) -> DataFrame:
+    """Elements (``kind, id, lon, lat, tags, refs, roles, members``) as extracts below ``folder``, one for each task; ``path, elements``.
+
+    A task's file is one block, so partitions should hold some thousand elements. It is renamed when whole, and a repeated
+    task leaves the same file.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        if not some:
+            return
+        some = [(*r[:4], dict(r[4] or ()), *r[5:]) for r in some]
+        name = f"{TaskContext.get().partitionId():05d}.osm.pbf"
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        own = f"{base}/.{name}-{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
+            out.write(encode(some))
+        store.move(own, f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(some)])], ["path", "elements"])
+
+    named = rows.select("kind", "id", "lon", "lat", "tags", "refs", "roles", "members")
+    written = named.mapInArrow(run, "path string, elements long").collect()  # a row for each file
+    return rows.sparkSession.createDataFrame(sorted(tuple(r) for r in written), "path string, elements long")

@@ -54,3 +54,13 @@ def test_polygons(extract):
     got = {r["id"]: r for r in osm.polygons(extract, ["landuse", "leisure"]).withColumn("a", polygon_area(F.col("rings"))).collect()}
     assert {i: (r["a"], r["landuse"], r["leisure"]) for i, r in got.items()} == {4: (16.0, "forest", None), -8: (9.0 - 1.0, None, "park")}
     assert [r["id"] for r in osm.polygons(extract, ["landuse", "leisure"], (0, 5, 9, 9)).collect()] == [-8]
+
+
+def test_extracts_written_by_tasks(spark, tmp_path):
+    schema = "kind string, id long, lon double, lat double, tags map<string,string>, refs array<long>, roles array<string>, members array<string>"
+    rows = spark.createDataFrame([(*r[:4], {k: str(v) for k, v in r[4].items()}, *r[5:]) for r in ROWS], schema).repartition(5)
+    out = osm.write_extracts(rows, f"file://{tmp_path}/all")
+    assert sum(r["elements"] for r in out.collect()) == len(ROWS)
+    got = {(r["kind"], r["id"]): (dict(r["tags"]), r["refs"]) for r in osm.elements(spark, f"file://{tmp_path}/all").collect()}
+    assert got == {(r[0], r[1]): (r[4], r[5]) for r in ROWS}
+    assert osm.write_extracts(rows.limit(0), f"file://{tmp_path}/none").count() == 0

@@ -25,8 +25,8 @@ Every shard is bounded: of runs by ``shard_windows`` windows on average, of pass
 sampled (rows, by a hash of their key) only says which anchors are dealt by window.
 
 Defined results: null and empty texts have no words; documents of fewer words than a
-window lose nothing; repeats within one document count; rows without an id are left out;
-rows that share a ``doc_id`` have keys of their own and are compared with each other; words are
+window lose nothing; repeats within one document count; rows that share a ``doc_id``, or have none,
+have keys of their own and are compared like all others; words are
 joined by one space in what is left. An empty table gives an empty result.
 """
 
@@ -367,15 +367,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``texts`` with ``row``, a key of each row's own: its ``doc_id`` where no other row has it."""
-    shared = scratch.table(texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
-    once = texts.withColumn("row", F.col("doc_id"))
-    if shared.isEmpty():
+    once, none = texts.filter("doc_id is not null"), texts.filter("doc_id is null")
+    shared = scratch.table(once.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
+    many = once.join(shared.hint("merge"), "doc_id", "left_semi").unionByName(none)
+    once = once.withColumn("row", F.col("doc_id"))
+    if shared.isEmpty() and none.isEmpty():
         return once
     once = once.join(shared.hint("merge"), "doc_id", "left_anti")
-    many = texts.join(shared.hint("merge"), "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id())
-    many = scratch.table(many, "shared-rows")
+    many = scratch.table(many.withColumn("row", F.monotonically_increasing_id()), "shared-rows")
     # above or below all ids; ids that leave no room on either side can't be told from keys
-    ends, most = texts.agg(F.min("doc_id"), F.max("doc_id")).first(), many.agg(F.max("row")).first()[0]
+    zero = F.lit(0).cast("long")
+    ends = texts.agg(F.coalesce(F.min("doc_id"), zero), F.coalesce(F.max("doc_id"), zero)).first()
+    most = many.agg(F.max("row")).first()[0]
     if ends[1] < 2**63 - 1 - most:
         many = many.withColumn("row", F.lit(ends[1] + 1) + F.col("row"))
     elif ends[0] > most - 2**63:
@@ -396,7 +399,7 @@ def remove_repeats(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept``; ``kept`` is null where nothing is removed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(parts, math.ceil(size / 6 / shard_windows))
     texts = _keyed(texts, scratch)

@@ -59,3 +59,16 @@ def test_rows_that_share_an_id_are_compared(spark):
     out = phrase_automata.remove_repeats(docs, Scratch(spark, "t"), window=8, anchor=2).collect()
     assert sorted((r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out) == want
     assert want[-3][1][1] == want[-4][1][1] == 40
+
+
+def test_rows_without_an_id_are_compared(spark):
+    """Their text counts as anywhere else, and they lose what repeats."""
+    rng = random.Random(7)
+    words = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+    part, twice = words(12), " ".join(words(30))
+    for ids in ([None, 4, None, 8, 8, None], [None] * 6):
+        texts = [" ".join(words(5) + part), " ".join(part + words(9)), twice, twice, " ".join(words(20)), None]
+        want = sorted(zip(ids, brute([t or "" for t in texts], 8), strict=True), key=repr)
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        out = phrase_automata.remove_repeats(docs, Scratch(spark, "t"), window=8, anchor=2).collect()
+        assert sorted(((r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out), key=repr) == want

@@ -108,7 +108,7 @@ def percent_of_range(panel: DataFrame, column: str = "score", out: str = "percen
 
 
 def year_change(panel: DataFrame, value: str, years: Sequence[int], out: str = "delta", digits: int = 1, key: str = "road_id") -> DataFrame:
-    """``key`` and the rounded change of ``value`` from the first to the last year; missing where a year is."""
+    """``key`` and the change, rounded half-even, of ``value`` from the first to the last year; missing where a year is."""
     at = lambda y: F.max(F.when(F.col("year") == y, F.col(value)))
     wide = panel.groupBy(key).agg(at(years[0]).alias("_before"), at(years[-1]).alias("_after"))
-    return wide.select(key, F.round(F.col("_after") - F.col("_before"), digits).alias(out))
+    return wide.select(key, F.bround(F.col("_after") - F.col("_before"), digits).alias(out))

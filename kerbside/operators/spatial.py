@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators import nearest_tree
 from kerbside.operators.geometry import bounds, inside, line_length, polygon_area, ring_area, segment_distance, segments
 from kerbside.scratch import Scratch
 
@@ -96,10 +97,11 @@ def edge_join(points: DataFrame, edges: DataFrame, radius: float, columns: Seque
 
 
 def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, start: float | None, scratch: Scratch) -> DataFrame:
-    """A ring search: within ``start``, then twice that for rows still open, and so on; a hit within the radius is final.
-
-    The last radius reaches over both sides' whole extent, so the search ends.
+    """By tiles that follow the targets' density; or, from a first radius ``start``, a ring search: within it, then twice that for rows
+    still open, and so on. A hit within the radius is final, and the last radius reaches over both sides' whole extent.
     """
+    if start is None:
+        return nearest_tree.nearest_pieces(points, edges, key, target, scratch)
     edges = scratch.table(edges, "edges")
     ends = [(F.min(f"{e}{c}"), F.max(f"{e}{c}")) for c in "xy" for e in "pq"]
     n, *box = edges.agg(F.count("*"), *[x for pair in ends for x in pair]).first()
@@ -111,7 +113,7 @@ def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, st
     width = max(own[1], box[1], box[3]) - min(own[0], box[0], box[2])
     height = max(own[3], box[5], box[7]) - min(own[2], box[4], box[6])
     most = math.hypot(width, height) * 1.001 + 1e-9
-    radius = min(most, start or math.sqrt(max(width * height, most * most / n) / n))
+    radius = min(most, start)
     found = None
     while True:
         pairs = edge_join(open_, edges, radius, [target])
@@ -127,8 +129,8 @@ def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, st
 def nearest(left: DataFrame, right: DataFrame, key: str, target: str, start: float | None = None) -> DataFrame:
     """``key, target, d``: the nearest of ``right`` for each row of ``left``; equal distances go to the smaller target.
 
-    ``start``: the first radius looked at, by default what the targets' density suggests. Rows or targets with a missing
-    coordinate take no part. With no target the result is empty (missing, not 0).
+    ``start``: the first radius of a ring search, for targets spread evenly; without it tiles follow the targets' density, however
+    uneven (see ``nearest_tree``). Rows or targets with a missing coordinate take no part. With no target the result is empty (missing, not 0).
     """
     places = right.select(target, *[F.col(c).alias(f"{e}{c}") for e in "pq" for c in "xy"]).dropna(subset=["px", "py"])
     return _nearest_edge(left, places, key, target, start, Scratch(left.sparkSession, "nearest"))
@@ -137,7 +139,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, target: str, start: flo
 def nearest_shape(points: DataFrame, shapes: DataFrame, key: str, target: str, closed: bool, start: float | None = None, size: float | None = None) -> DataFrame:
     """``key, target, d``: the nearest shape (``rings``) of each point by its boundary; 0 inside a polygon (``closed``).
 
-    Equal distances go to the smaller target. ``size``: cells of the containment join, by default four radii.
+    Equal distances go to the smaller target. ``size``: cells of the containment join, by default four radii; ``start`` as in ``nearest``.
     """
     scratch = Scratch(points.sparkSession, "nearest")
     edges = _edges(shapes, [target], closed)

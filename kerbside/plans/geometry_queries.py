@@ -34,7 +34,7 @@ ds AS (SELECT c_custkey, n_nationkey, CASE WHEN u + v < r THEN 0.0 ELSE sqrt((u
 
 
 def boundary_distance(spark: SparkSession, d: str) -> DataFrame:
-    out = spatial.nearest_shape(_customers(spark, d), _diamonds(spark, d), "c_custkey", "n_nationkey", closed=True, start=60.0)
+    out = spatial.nearest_shape(_customers(spark, d), _diamonds(spark, d), "c_custkey", "n_nationkey", closed=True, size=240.0)
     return rounded(out.select("c_custkey", "d"), "d")
 
 

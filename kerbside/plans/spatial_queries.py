@@ -24,6 +24,8 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 _C = "c AS (SELECT c_custkey, CAST(c_custkey * 37 % 1009 AS DOUBLE) AS x, CAST(c_custkey * 91 % 997 AS DOUBLE) AS y FROM customer)"
 _S = "s AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 1009 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 997 AS DOUBLE) AS y, s_suppkey % 4 AS class FROM supplier)"
+_CROWD = f"{_C}, {_S}".replace("c AS", "c0 AS").replace("s AS", "s0 AS") + """, c AS (SELECT c_custkey, x * x * x / 1000 AS x, y * y * y / 1000 AS y FROM c0),
+s AS (SELECT s_suppkey, x * x * x / 1000 AS x, y * y * y / 1000 AS y FROM s0)"""
 _D = "sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))"
 
 
@@ -32,6 +34,26 @@ def nearest_facility(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("c_custkey", "d"), "d")
 
 
+def _crowded(df: DataFrame) -> DataFrame:
+    """Most places in one corner, the rest far apart."""
+    cube = lambda c: F.col(c) * F.col(c) * F.col(c) / 1000
+    return df.withColumns({"x": cube("x"), "y": cube("y")})
+
+
+def nearest_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest supplier where density differs by orders of magnitude."""
+    out = spatial.nearest(_crowded(_customers(spark, d)), _crowded(_suppliers(spark, d)), "c_custkey", "s_suppkey")
+    return rounded(out.select("c_custkey", "d"), "d", digits=4)
+
+
+def nearest_crowded_path(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of straight pieces from each supplier to the same corner: short and very long ones."""
+    s = _crowded(_suppliers(spark, d))
+    ends = F.array(*[F.struct((F.col("x") * k).alias("x"), (F.col("y") * k).alias("y")) for k in (1.0, 0.25)])
+    out = spatial.nearest_shape(_crowded(_customers(spark, d)), s.select("s_suppkey", F.array(ends).alias("rings")), "c_custkey", "s_suppkey", closed=False)
+    return rounded(out.select("c_custkey", "d"), "d", digits=4)
+
+
 def nearest_by_class(spark: SparkSession, d: str) -> DataFrame:
     out = spatial.nearest_by_class(_customers(spark, d), _suppliers(spark, d), "c_custkey", "s_suppkey", "class", range(4), 50.0)
     out = out.withColumnsRenamed({f"d_{k}": f"d{k}" for k in range(4)})
@@ -106,13 +128,17 @@ def dissolve_units(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nearest_facility, nearest_by_class, radius_count, point_in_polygon, smallest_polygon, coverage_share, nearest_grid_point,
+        nearest_facility, nearest_crowded, nearest_crowded_path, nearest_by_class, radius_count, point_in_polygon, smallest_polygon, coverage_share, nearest_grid_point,
         fitted_box, opening_view, polygon_measures, utm_zones, dissolve_units,
     )
 }
 
 SQL = {
     "nearest_facility": f"WITH {_C}, {_S} SELECT c_custkey, round(min({_D}), 6) AS d FROM c, s GROUP BY 1",
+    "nearest_crowded": f"WITH {_CROWD} SELECT c_custkey, round(min({_D}), 4) AS d FROM c, s GROUP BY 1",
+    "nearest_crowded_path": f"""WITH {_CROWD}, e AS (SELECT c_custkey, c.x AS x, c.y AS y, s.x AS px, s.y AS py, s.x * 0.25 - s.x AS dx, s.y * 0.25 - s.y AS dy FROM c, s),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x - px) * dx + (y - py) * dy) / (dx * dx + dy * dy))) END AS t FROM e)
+SELECT c_custkey, round(min(sqrt((x - (px + t * dx)) ** 2 + (y - (py + t * dy)) ** 2)), 4) AS d FROM t GROUP BY 1""",
     "nearest_by_class": f"WITH {_C}, {_S} SELECT c_custkey, "
     + ", ".join(f"round(min({_D}) FILTER (class = {k}), 6) AS d{k}" for k in range(4))
     + " FROM c, s GROUP BY 1",

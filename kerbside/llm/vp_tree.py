@@ -1,8 +1,8 @@
 """Approximate nearest neighbours with a vantage-point tree per shard.
 
 Vectors are ordered by a tree of half-spaces (fitted on a bounded sample, applied to all) and cut into
-shards of about ``shard_rows`` neighbours, so shards stay small as the table grows. A shard is described by its centre
-and radius. Blocks of queries, in the same order, are sent to the shards that can hold a neighbour: by the
+shards of about ``shard_rows`` neighbours, or of more where the table of their centres would outgrow ``MOST_CENTRES``. A shard is
+described by its centre and radius. Blocks of queries, in the same order, are sent to the shards that can hold a neighbour: by the
 triangle inequality one whose centre is further away than its radius and the k-th best can be holds
 none, and the k-th best is no further than the centre of any shard of more than k rows and that shard's
 radius. Each shard's tree is built where it is searched, and queries stream past it. A
@@ -33,7 +33,7 @@ from kerbside.llm.scratch import Scratch
 from kerbside.llm.vectors import grouped, packed, pieces, sampled_splits, unpacked, usable
 
 LEAF = 64
-#: Bytes of centres and radii up to which all tasks get them; beyond, every shard of its length is asked.
+#: Most bytes of centres, which all tasks get, but for one centre more of each length of vectors; shards grow with the table to keep to it.
 MOST_CENTRES = 32 << 20
 
 
@@ -225,10 +225,13 @@ def _search(k: int, relax: float):
     return run
 
 
-def _centres(shards: DataFrame, rows: int, dims: int) -> dict[int, tuple[np.ndarray, ...]] | None:
-    """By length: shards, centres, radii and numbers of other rows; None if they are beyond ``MOST_CENTRES``."""
-    if rows * dims * 8 > MOST_CENTRES:
-        return None
+def shard_size(total: int, dims: int, least: int) -> int:
+    """Rows of a shard: ``least``, or as many as keep the centres (at most two for as many rows) within ``MOST_CENTRES``."""
+    return max(least, -(-2 * total * dims * 8 // MOST_CENTRES))
+
+
+def _centres(shards: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
+    """By length: shards, centres, radii and numbers of other rows."""
     table = shards.select("shard", "dims", "others", "centre", "radius").toArrow().to_pylist()
     out = {}
     for d in {r["dims"] for r in table}:
@@ -252,7 +255,8 @@ def nearest(
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     same = lambda x: x
     rows, asked = usable(vectors), usable(queries)
-    total = rows.count()
+    total, dims = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shard_rows = shard_size(total, dims or 0, shard_rows)
     trees = sampled_splits(rows, total, sample, same)
     shards = scratch.table(
         grouped(rows, scratch, trees, same, total, shard_rows).mapInArrow(_shards(2 * shard_rows), SHARD), "shards"
@@ -260,12 +264,8 @@ def nearest(
     blocks = scratch.table(
         grouped(asked, scratch, trees, same, asked.count(), block).mapInArrow(_query_blocks(block), QUERIES), "queries"
     )
-    count, dims = shards.agg(F.count("*"), F.max("dims")).first()
-    centres = _centres(shards, count, dims or 0)
-    if centres is None:
-        sent = blocks.join(shards.select("shard", "dims"), "dims").select("shard", "ids", "vectors", F.lit(None).cast("binary").alias("most"))
-    else:
-        sent = blocks.repartition(max(1, min(count, parts)), "block").mapInArrow(_ask(centres, k, relax), ASKED)
+    count = shards.count()
+    sent = blocks.repartition(max(1, min(count, parts)), "block").mapInArrow(_ask(_centres(shards), k, relax), ASKED)
     trees_of = shards.select("shard", "ids", "vectors", F.lit(None).cast("binary").alias("most"), F.lit(0).alias("later"))
     found = (
         trees_of.unionByName(sent.withColumn("later", F.lit(1)))

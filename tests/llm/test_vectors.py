@@ -109,11 +109,13 @@ def test_shards_are_skipped_and_nothing_is_lost():
     assert (most >= np.sort(d, axis=1)[:, 10]).all()
 
 
-def test_without_centres(spark, monkeypatch):
+def test_shards_grow_where_centres_would_be_many(spark, monkeypatch):
     rng = np.random.default_rng(10)
     rows = [(i, rng.standard_normal(5)) for i in range(300)]
     df = table(spark, rows)
     run = lambda: [tuple(r) for r in vp_tree.nearest(df.filter("vec_id % 10 = 0"), df, Scratch(spark, "t"), shard_rows=30).orderBy("query_id", "rank").collect()]
-    one = run()
-    monkeypatch.setattr(vp_tree, "MOST_CENTRES", 0)
+    one, seen, own = run(), [], vp_tree._centres
+    monkeypatch.setattr(vp_tree, "_centres", lambda shards: seen.append(shards.count()) or own(shards))
     assert one == run() and len(one) == 300
+    monkeypatch.setattr(vp_tree, "MOST_CENTRES", 4 * 5 * 8)
+    assert one == run() and seen[0] >= 5 and seen[1] <= 4

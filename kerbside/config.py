@@ -128,6 +128,13 @@ def load_adapter(path: str) -> ModuleType:
     return module
 
 
+def layer_of(adapter: ModuleType | object, city: City, districts: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """The layer of neighbourhoods that a city's adapter makes; ``ValueError`` lists every function that the adapter lacks."""
+    if found := adapter_faults(adapter):
+        raise ValueError("; ".join(found))
+    return adapter.build_neighbourhood_layer(adapter.fetch_population_data(city), districts, boundaries)
+
+
 def csv_resource(package: Mapping[str, object]) -> str:
     """The address of the first CSV resource of an open-data package description; ``ValueError`` without one."""
     if not package.get("success"):
@@ -151,3 +158,54 @@ def registry(cities: Mapping[str, Mapping[str, object]], published: Mapping[str,
     """How many cities are known, valid, faulty and published."""
     bad = sum(bool(faults(c)) for c in cities.values())
     return {"cities": len(cities), "valid": len(cities) - bad, "faulty": bad, "published": sum(c in published for c in cities)}
+
+
+# ---- tables of settings and descriptions ----
+
+
+def settings_faults(settings: DataFrame) -> DataFrame:
+    """``settings`` with ``faults``, an array of what is wrong with each row; empty if nothing is.
+
+    Columns ``city_id, name, west, south, east, north, season_first, season_last, most_cloud, buffer_m``; a missing season, cloud or
+    buffer has its default. Unlike ``faults`` it sees all rows, so an id that several rows have is a fault of each.
+    """
+    c = F.col
+    box = [c(k) for k in ("west", "south", "east", "north")]
+    known = box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull()
+    right = (box[0] >= -180) & (box[0] < box[2]) & (box[2] <= 180) & (box[1] >= -90) & (box[1] < box[3]) & (box[3] <= 90)
+    whole = lambda v, pattern: F.coalesce(v.rlike(rf"\A(?:{pattern.pattern})\z"), F.lit(False))
+    tests = [
+        (whole(c("city_id"), _ID), F.lit("city_id: lower-case letters, digits and underscores")),
+        (F.coalesce(c("n_same"), F.lit(1)) == 1, F.lit("city_id: repeated")),
+        (F.coalesce(c("name").rlike(r"\S"), F.lit(False)), F.lit("name: missing")),
+        (known, F.lit("bbox: four numbers")),
+        (~known | right, F.lit("bbox: west < east and south < north")),
+    ]
+    for name, default in zip(("season_first", "season_last"), City.season, strict=True):
+        day = F.coalesce(c(name), F.lit(default))
+        tests.append((whole(day, _DAY), F.format_string("season: %s is no MM-DD", day)))
+    tests.append((F.coalesce(c("most_cloud"), F.lit(City.most_cloud)).between(0, 100), F.lit("most_cloud: 0 to 100")))
+    tests.append((F.coalesce(c("buffer_m"), F.lit(City.buffer_m)) > 0, F.lit("buffer_m: above 0")))
+    same = settings.groupBy("city_id").agg(F.count("*").alias("n_same")).filter("n_same > 1 and city_id is not null")
+    found = F.array_compact(F.array(*[F.when(~ok, text) for ok, text in tests]))
+    return settings.join(same, "city_id", "left").withColumn("faults", found).drop("n_same")
+
+
+def registry_table(settings: DataFrame, published: DataFrame) -> DataFrame:
+    """One row ``cities, valid, faulty, published``; ``published`` has the ids of cities whose results are out."""
+    out = published.select("city_id").distinct().withColumn("is_out", F.lit(True))
+    bad = F.size("faults") > 0
+    one = lambda test: F.coalesce(F.sum(F.coalesce(test, F.lit(False)).cast("long")), F.lit(0).cast("long"))
+    return settings_faults(settings).join(out, "city_id", "left").agg(
+        F.count("*").alias("cities"), one(~bad).alias("valid"), one(bad).alias("faulty"), one(F.col("is_out")).alias("published")
+    )
+
+
+def csv_resources(packages: DataFrame, package: str) -> DataFrame:
+    """``packages`` with ``url``, the first CSV resource of each open-data package description (JSON text), and ``fault`` where there is none."""
+    read = F.from_json(package, "success boolean, result struct<resources: array<struct<format: string, url: string>>>")
+    fits = lambda r: (F.upper(F.trim(r["format"])) == "CSV") & (F.length(r["url"]) > 0)
+    success = F.coalesce(F.col("_p.success"), F.lit(False))
+    url = F.when(success, F.get(F.filter(F.col("_p.result.resources"), fits), F.lit(0))["url"])
+    fault = F.when(~success, "the package description is no success").when(F.col("url").isNull(), "the package has no CSV resource")
+    return packages.withColumn("_p", read).withColumn("url", url).withColumn("fault", fault).drop("_p")

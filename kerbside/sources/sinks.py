@@ -126,8 +126,13 @@ def tidy(df: DataFrame, names: Mapping[str, str], digits: Mapping[str, int]) ->
 
 def column_dictionary(spark: SparkSession, columns: Sequence[str], known: Mapping[str, tuple[str, str]]) -> DataFrame:
     """``column, description, unit`` of the columns whose name without its year is known."""
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, column string").dropDuplicates(["column"])
-    base = spark.createDataFrame([(k, *v) for k, v in known.items()], "base string, description string, unit string")
+    return described(spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, column string"), known)
+
+
+def described(columns: DataFrame, known: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``column, description, unit`` of the known ones of ``columns`` (``i, column``), each once, by its smallest ``i``."""
+    rows = columns.groupBy("column").agg(F.min("i").alias("i"))
+    base = columns.sparkSession.createDataFrame([(k, *v) for k, v in known.items()], "base string, description string, unit string")
     named = rows.withColumn("base", F.regexp_replace("column", r"_(\d{4})$", "_{year}"))
     return named.join(F.broadcast(base), "base").orderBy("i").select("column", "description", "unit")  # a fixed dictionary
 

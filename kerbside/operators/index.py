@@ -60,42 +60,45 @@ def pooled_percent(panel: DataFrame, column: str, out: str, digits: int | None =
     return both.drop(f"{column}_lo", f"{column}_hi")
 
 
-def components(panel: DataFrame, key: str = "road_id") -> DataFrame:
-    """A long panel with a 0-1 column for each component.
+def components(panel: DataFrame, key: str = "road_id", raw: Mapping[str, tuple[str, bool]] = RAW, yearly: Sequence[str] = YEARLY) -> DataFrame:
+    """A long panel with a 0-1 column for each component of ``raw``: its column, and whether more of it means less risk.
 
-    Static components are scaled over roads (one row each), yearly ones over all rows.
+    Static components are scaled over roads (one row each), those of ``yearly`` over all rows.
     """
-    static = [c for c in GROUPS["exposure"] + GROUPS["vulnerability"] if c not in YEARLY]
-    raw = [RAW[c][0] for c in static]
-    roads = panel.groupBy(key).agg(*[F.max(r).alias(r) for r in raw])
-    roads = scaled(roads, raw, invert=[RAW[c][0] for c in static if RAW[c][1]])
-    roads = roads.select(key, *[F.col(f"{RAW[c][0]}_norm").alias(c) for c in static])
-    yearly = scaled(panel, [RAW[c][0] for c in YEARLY], invert=[RAW[c][0] for c in YEARLY if RAW[c][1]])
-    for c in YEARLY:
-        yearly = yearly.withColumnRenamed(f"{RAW[c][0]}_norm", c)
-    return yearly.join(roads, key)
-
-
-def group_columns(weights: Mapping[str, float] | None = None) -> dict[str, Column]:
+    static = [c for c in raw if c not in yearly]
+    columns = [raw[c][0] for c in static]
+    by_year = scaled(panel, [raw[c][0] for c in yearly], invert=[raw[c][0] for c in yearly if raw[c][1]]) if yearly else panel
+    for c in yearly:
+        by_year = by_year.withColumnRenamed(f"{raw[c][0]}_norm", c)
+    if not static:
+        return by_year
+    roads = panel.groupBy(key).agg(*[F.max(r).alias(r) for r in columns])
+    roads = scaled(roads, columns, invert=[raw[c][0] for c in static if raw[c][1]])
+    return by_year.join(roads.select(key, *[F.col(f"{raw[c][0]}_norm").alias(c) for c in static]), key)
+
+
+def group_columns(weights: Mapping[str, float] | None = None, groups: Mapping[str, Sequence[str]] = GROUPS) -> dict[str, Column]:
     """Each group's score from its members."""
     w = weights or {}
-    return {g: group_score([F.col(c) for c in m], [w.get(c, 1.0) for c in m]) for g, m in GROUPS.items()}
+    return {g: group_score([F.col(c) for c in m], [w.get(c, 1.0) for c in m]) for g, m in groups.items()}
 
 
-def group_weight(weights: Mapping[str, float] | None = None) -> list[float]:
+def group_weight(weights: Mapping[str, float] | None = None, groups: Mapping[str, Sequence[str]] = GROUPS) -> list[float]:
     """A group weighs the mean of its members."""
     w = weights or {}
-    return [sum(w.get(c, 1.0) for c in m) / len(m) for m in GROUPS.values()]
+    return [sum(w.get(c, 1.0) for c in m) / len(m) for m in groups.values()]
 
 
-def score(panel: DataFrame, weights: Mapping[str, float] | None = None, floor: float = FLOOR, out: str = "score") -> DataFrame:
-    """``panel`` (with component columns) with group scores rescaled by pooled bounds, and the score."""
-    grouped = panel.withColumns({f"raw_{g}": c for g, c in group_columns(weights).items()})
-    names = [f"raw_{g}" for g in GROUPS]
+def score(
+    panel: DataFrame, weights: Mapping[str, float] | None = None, floor: float = FLOOR, out: str = "score", groups: Mapping[str, Sequence[str]] = GROUPS
+) -> DataFrame:
+    """``panel`` (with component columns) with the scores of ``groups`` rescaled by pooled bounds, and the score."""
+    grouped = panel.withColumns({f"raw_{g}": c for g, c in group_columns(weights, groups).items()})
+    names = [f"raw_{g}" for g in groups]
     rescaled = scaled(grouped, names, suffix="_scaled")
-    for g in GROUPS:
+    for g in groups:
         rescaled = rescaled.withColumnRenamed(f"raw_{g}_scaled", f"group_{g}")
-    total = combine([F.col(f"group_{g}") for g in GROUPS], group_weight(weights), floor)
+    total = combine([F.col(f"group_{g}") for g in groups], group_weight(weights, groups), floor)
     return rescaled.withColumn(out, total)
 
 

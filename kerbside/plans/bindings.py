@@ -159,7 +159,7 @@ def component_panel(spark: SparkSession, sf_dir: str, years=YEARS) -> DataFrame:
     return scratch.table(components(scratch.table(panel(spark, sf_dir, years), "raw")), "components")
 
 
-def _bounds_sql(column: str, source: str, name: str) -> str:
+def bounds_sql(column: str, source: str, name: str) -> str:
     return f"""
 {name} AS (SELECT CASE WHEN q1 = q2 THEN mn ELSE q1 END AS lo, CASE WHEN q1 = q2 THEN mx ELSE q2 END AS hi
   FROM (SELECT quantile_cont({column}, 0.02) AS q1, quantile_cont({column}, 0.98) AS q2, min({column}) AS mn, max({column}) AS mx FROM {source}))"""
@@ -180,8 +180,8 @@ _COMPONENTS = {c: RAW[c][0] for c in (*GROUPS["exposure"], *GROUPS["vulnerabilit
 def components_sql(years=YEARS) -> str:
     """``comp``: the panel with its nine components."""
     parts = [f"{panel_sql(years)},\nper_road AS (SELECT DISTINCT road_id, {', '.join(STATIC)} FROM panel)"]
-    parts += [_bounds_sql("risk_score", "panel", "b_hazard"), _bounds_sql("ndvi", "panel", "b_trees")]
-    parts += [_bounds_sql(raw, "per_road", f"b_{c}") for c, raw in _COMPONENTS.items()]
+    parts += [bounds_sql("risk_score", "panel", "b_hazard"), bounds_sql("ndvi", "panel", "b_trees")]
+    parts += [bounds_sql(raw, "per_road", f"b_{c}") for c, raw in _COMPONENTS.items()]
     columns = [f"{scale_sql('risk_score', 'b_hazard')} AS hazard", f"1 - {scale_sql('ndvi', 'b_trees')} AS trees"]
     for c, raw in _COMPONENTS.items():
         minus = "1 - " if RAW[c][1] else ""
@@ -194,11 +194,11 @@ def components_sql(years=YEARS) -> str:
 _GROUPS = {g: list(members) for g, members in GROUPS.items()}
 
 
-def score_sql(weights: dict[str, float] | None = None, source: str = "comp", tag: str = "", floor: float = 0.05) -> str:
+def score_sql(weights: dict[str, float] | None = None, source: str = "comp", tag: str = "", floor: float = 0.05, groups: dict[str, list[str]] = _GROUPS) -> str:
     """``scored<tag>``: group scores, rescaled groups and the score over ``source``."""
     w = weights or {}
     raw, scaled, logs, total = [], [], [], 0.0
-    for g, members in _GROUPS.items():
+    for g, members in groups.items():
         mine = [w.get(c, 1.0) for c in members]
         weighed = " + ".join(f"{c} * {float(x)!r}" for c, x in zip(members, mine, strict=True))
         raw.append(f"({weighed}) / {float(sum(mine))!r} AS raw_{g}")
@@ -206,8 +206,8 @@ def score_sql(weights: dict[str, float] | None = None, source: str = "comp", tag
         share = sum(mine) / len(mine)
         total += share
         logs.append(f"{share!r} * ln({floor!r} + {1 - floor!r} * group_{g})")
-    bounds = ",".join(_bounds_sql(f"raw_{g}", f"raw{tag}", f"g_{g}{tag}") for g in _GROUPS)
-    names = ", ".join(f"g_{g}{tag}" for g in _GROUPS)
+    bounds = ",".join(bounds_sql(f"raw_{g}", f"raw{tag}", f"g_{g}{tag}") for g in groups)
+    names = ", ".join(f"g_{g}{tag}" for g in groups)
     return f"""
 raw{tag} AS (SELECT *, {', '.join(raw)} FROM {source}),{bounds},
 grouped{tag} AS (SELECT raw{tag}.*, {', '.join(scaled)} FROM raw{tag}, {names}),

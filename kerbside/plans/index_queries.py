@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import ranking, scaling
 from kerbside.operators import areas, index, jenks
 from kerbside.plans import bindings as b
+from kerbside.scratch import Scratch
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -77,6 +78,20 @@ def hvi_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(index.score(b.component_panel(spark, d)).select("road_id", "year", "score"), "score")
 
 
+#: A component more, in a group of its own and in one that there is.
+_WIDER = index.RAW | {"noise": ("noise_level", False), "shade": ("canopy", True)}
+_WIDER_GROUPS = index.GROUPS | {"exposure": (*index.GROUPS["exposure"], "noise"), "shelter": ("shade",)}
+
+
+def hvi_score_wider(spark: SparkSession, d: str) -> DataFrame:
+    """The index with two components and a group more than it has of itself."""
+    more = {"noise_level": (F.col("road_id") % 89).cast("double"), "canopy": (F.col("road_id") * 7 % 61).cast("double")}
+    scratch = Scratch(spark, "wider")
+    raw = scratch.table(b.panel(spark, d, b.YEARS).withColumns(more), "raw")
+    panel = scratch.table(index.components(raw, raw=_WIDER), "components")
+    return rounded(index.score(panel, {"noise": 2.0}, groups=_WIDER_GROUPS).select("road_id", "year", "score"), "score")
+
+
 def hvi_percent(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.scored(spark, d).select("road_id", "year", "percent"), "percent")
 
@@ -204,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_complete_case, pooled_minmax_risk, year_delta_class, robust_scale, robust_scale_degenerate, inverted_component,
-        informative_components, components_norm, group_scores, combine_groups, hvi_score, hvi_percent, hvi_category, hvi_category_fine,
+        informative_components, components_norm, group_scores, combine_groups, hvi_score, hvi_score_wider, hvi_percent, hvi_category, hvi_category_fine,
         percentile_rank, bucket5_labels, area_table_nation, area_table_region, category_counts_full, category_crosstab,
         priority_topk, top_share_flags, top_share_per_group, supported_groups, city_rollup, weighted_means,
     )
@@ -260,6 +275,10 @@ SELECT s_suppkey, round(1 - {b.scale_sql('s_acctbal', 'z')}, 6) AS s_acctbal_nor
     "group_scores": f"WITH {b.components_sql()},{b.score_sql()} SELECT road_id, year, {', '.join(f'round(raw_{g}, 6) AS raw_{g}' for g in index.GROUPS)} FROM raw",
     "combine_groups": f"WITH {b.components_sql()},{b.score_sql()} SELECT road_id, year, {', '.join(f'round(group_{g}, 6) AS group_{g}' for g in index.GROUPS)} FROM grouped",
     "hvi_score": f"WITH {b.components_sql()},{b.score_sql()} SELECT road_id, year, round(score, 6) AS score FROM scored",
+    "hvi_score_wider": f"""WITH {b.components_sql()}, more AS (SELECT DISTINCT road_id, CAST(road_id % 89 AS DOUBLE) AS noise_level, CAST(road_id * 7 % 61 AS DOUBLE) AS canopy FROM panel),
+{b.bounds_sql("noise_level", "more", "b_noise")},{b.bounds_sql("canopy", "more", "b_shade")},
+wide AS (SELECT comp.*, {b.scale_sql("noise_level", "b_noise")} AS noise, 1 - {b.scale_sql("canopy", "b_shade")} AS shade FROM comp JOIN more USING (road_id), b_noise, b_shade),
+{b.score_sql({"noise": 2.0}, "wide", groups={g: list(m) for g, m in _WIDER_GROUPS.items()})} SELECT road_id, year, round(score, 6) AS score FROM scored""",
     "hvi_percent": f"WITH {b.scored_sql()} SELECT road_id, year, round(percent, 6) AS percent FROM pct",
     "hvi_category": _JENKS_SQL,
     "hvi_category_fine": _JENKS_SQL,

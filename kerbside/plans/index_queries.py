@@ -261,12 +261,12 @@ SQL = {
 w AS (SELECT road_id, round(max(risk_score) FILTER (year = {b.YEARS[1]}) - max(risk_score) FILTER (year = {b.YEARS[0]}), 1) AS delta FROM panel0 GROUP BY 1)
 SELECT road_id, delta, CASE WHEN delta <= -100 THEN NULL WHEN delta <= -1 THEN 'Soğudu' WHEN delta <= 1 THEN 'Değişmedi'
   WHEN delta <= 3 THEN 'Hafif Isındı' WHEN delta <= 100 THEN 'Belirgin Isındı' END AS change FROM w""",
-    "robust_scale": f"""WITH {b._bounds_sql('l_extendedprice', 'lineitem', 'z').strip()}
+    "robust_scale": f"""WITH {b.bounds_sql('l_extendedprice', 'lineitem', 'z').strip()}
 SELECT l_orderkey, round(sum({b.scale_sql('l_extendedprice', 'z')}), 6) AS scaled FROM lineitem, z GROUP BY 1""",
     "robust_scale_degenerate": f"""WITH p AS (SELECT p_partkey, 7.0::DOUBLE AS same, CAST(nullif(p_size, 1) AS DOUBLE) AS holes,
-  CASE WHEN p_partkey = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS rare FROM part),{b._bounds_sql('same', 'p', 'x')},{b._bounds_sql('holes', 'p', 'y')},{b._bounds_sql('rare', 'p', 'z')}
+  CASE WHEN p_partkey = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS rare FROM part),{b.bounds_sql('same', 'p', 'x')},{b.bounds_sql('holes', 'p', 'y')},{b.bounds_sql('rare', 'p', 'z')}
 SELECT p_partkey, CAST({b.scale_sql('same', 'x')} AS DOUBLE) AS same_norm, round({b.scale_sql('holes', 'y')}, 6) AS holes_norm, round({b.scale_sql('rare', 'z')}, 6) AS rare_norm FROM p, x, y, z""",
-    "inverted_component": f"""WITH {b._bounds_sql('s_acctbal', 'supplier', 'z').strip()}
+    "inverted_component": f"""WITH {b.bounds_sql('s_acctbal', 'supplier', 'z').strip()}
 SELECT s_suppkey, round(1 - {b.scale_sql('s_acctbal', 'z')}, 6) AS s_acctbal_norm FROM supplier, z""",
     "informative_components": f"WITH {b.ROADS_SQL.strip()}, u AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS component, count(DISTINCT {c}) AS n FROM roads" for c in b.STATIC)

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kerbside.scratch import Scratch
 
@@ -239,27 +240,33 @@ def _chosen(places: dict[int, list[int]]):
 def series_quantiles(blocks: DataFrame, matrix: Matrix, series: int, q: Sequence[float]) -> np.ndarray:
     """Exact linearly interpolated quantiles of each series, whose elements lie in 0..1: ``series`` rows, a column for each q.
 
-    The first pass counts cells, so each order statistic's cell is known; the second sorts the elements of those
-    cells alone. Counts of ``series`` times ``CELLS`` cells, and the quantiles, reach the driver; no element does but those.
+    The first pass counts cells, and Spark finds those that hold a wanted order statistic: at most two a series and quantile reach
+    the driver. The second pass sorts the elements of those cells alone. No element reaches the driver but the quantiles.
     """
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = np.zeros(series * CELLS, np.int64)
-    for r in blocks.mapInArrow(_counted(matrix, series), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["cell"]] = r["n"]
-    counts = counts.reshape(series, CELLS)
-    below = np.cumsum(counts, axis=1) - counts
-    all_ = counts.sum(axis=1)
+    counted = blocks.mapInArrow(_counted(matrix, series), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("series", F.floor(F.col("cell") / CELLS))
+    own = Window.partitionBy("series")  # at most CELLS rows
+    below = F.sum("n").over(own.orderBy("cell")) - F.col("n")
+    counted = counted.withColumns({"below": below, "total": F.sum("n").over(own)})
+    holds = F.lit(False)
+    for x in q:
+        for end in (F.floor, F.ceil):
+            place = end(F.lit(float(x)) * (F.col("total") - 1))
+            holds = holds | ((place >= F.col("below")) & (place < F.col("below") + F.col("n")))
+    held = counted.filter(holds).select("series", "cell", "below", "n", "total").toArrow()
+    of, cells, below, n, total = (held.column(c).to_numpy() for c in ("series", "cell", "below", "n", "total"))
+    all_, before = np.zeros(series, np.int64), dict(zip(cells.tolist(), below.tolist(), strict=True))
+    all_[of] = total
     wanted, places = np.zeros((series, CELLS), bool), {}
+    wanted.ravel()[cells] = True
     at = np.asarray(q)[None, :] * (all_ - 1)[:, None]
     ends = np.stack([np.floor(at), np.ceil(at)]).astype(np.int64)
-    for j in np.flatnonzero(all_):
-        for p in np.unique(ends[:, j]).tolist():
-            c = int(np.searchsorted(np.cumsum(counts[j]), p, side="right"))
-            wanted[j, c] = True
-            places.setdefault(int(j * CELLS + c), []).append(int(p - below[j, c]))
+    for j, cell, lo, count in zip(of.tolist(), cells.tolist(), below.tolist(), n.tolist(), strict=True):
+        places[cell] = [p - lo for p in np.unique(ends[:, j]).tolist() if lo <= p < lo + count]
     rows = blocks.mapInArrow(_within(matrix, wanted), "cell long, v double").groupBy("cell", "v").agg(F.count("*").alias("n"))
     chosen = rows.repartition(parts, "cell").sortWithinPartitions("cell", "v").mapInArrow(_chosen(places), "cell long, place long, v double")
-    found = {(r["cell"] // CELLS, int(below.ravel()[r["cell"]] + r["place"])): r["v"] for r in chosen.collect()}
+    found = {(r["cell"] // CELLS, before[r["cell"]] + r["place"]): r["v"] for r in chosen.collect()}
     out = np.full((series, len(q)), np.nan)
     for j in np.flatnonzero(all_):
         for i in range(len(q)):

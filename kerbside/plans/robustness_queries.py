@@ -258,7 +258,7 @@ def _scenario_cte() -> str:
     h = lambda x: f"(CASE WHEN l0 = l1 THEN 0.0 ELSE greatest(0.0, least(1.0, ({x} - l0) / (l1 - l0))) END)"
     t = lambda x: f"(1 - CASE WHEN n0 = n1 THEN 0.0 ELSE greatest(0.0, least(1.0, ({x} - n0) / (n1 - n0))) END)"
     raws = ", ".join("(" + " + ".join({"hazard": "h0", "trees": "t0"}.get(c, c) for c in m) + f") / {float(len(m))!r} AS raw_{g}" for g, m in b._GROUPS.items())
-    bounds = ",".join(b._bounds_sql(f"raw_{g}", "sraw", f"g_{g}gb") for g in b._GROUPS)
+    bounds = ",".join(b.bounds_sql(f"raw_{g}", "sraw", f"g_{g}gb") for g in b._GROUPS)
     return f"""{b.components_sql()},
 sy AS (SELECT *, row_number() OVER (ORDER BY population_density DESC, road_id) <= ceil((SELECT count(*) FROM comp WHERE year = {Y}) * 0.2) AS target FROM comp WHERE year = {Y}),
 se AS (SELECT min(lst) AS l0, max(lst) AS l1, min(ndvi) AS n0, max(ndvi) AS n1 FROM sy),
@@ -272,7 +272,7 @@ def _shapley_sql() -> str:
     y0, y1 = b.YEARS
     wide = ", ".join(f"max({c}) FILTER (year = {y}) AS {c}_{y}" for c in ("hazard", "trees") for y in (y0, y1))
     raws = ", ".join("(" + " + ".join(m) + f") / {float(len(m))!r} AS raw_{g}" for g, m in b._GROUPS.items())
-    bounds = ",".join(b._bounds_sql(f"raw_{g}", "hraw", f"g_{g}gb") for g in b._GROUPS)
+    bounds = ",".join(b.bounds_sql(f"raw_{g}", "hraw", f"g_{g}gb") for g in b._GROUPS)
     s = lambda p, q: _fixed_sql(f"hazard_{p}", f"trees_{q}", "hw")
     return f"""WITH {b.components_sql()}, hraw AS (SELECT {raws} FROM comp),{bounds},
 hw AS (SELECT road_id, {wide}, {', '.join(f'max({c}) AS {c}' for c in static)} FROM comp GROUP BY 1),

@@ -17,7 +17,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     days = e.select(F.to_date("ts").alias("day")).distinct()
-    return e.select("station").distinct().crossJoin(F.broadcast(days)).withColumn("pass_at", temporal.overpass_time(F.col("day")))
+    return e.select("station").distinct().crossJoin(days).withColumn("pass_at", temporal.overpass_time(F.col("day")))
 
 
 _EVENTS = "ev AS (SELECT event_id, ts, user_id % 40 AS station, value, event_type, props FROM events)"

@@ -60,19 +60,22 @@ def _held(shingle: Column) -> Column:
     return F.when(F.octet_length(shingle) > _HELD, F.sha2(shingle, 256)).otherwise(shingle)
 
 
-def item_windows(items: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``window, length, words`` of each distinct window, and ``window, item_id`` of the items that hold it."""
+def item_windows(items: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """``window, length, words`` of each distinct window, ``window, item_id`` of the items that hold it, and the number
+    of windows of all items."""
     words = items.select("item_id", _words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
     places = F.explode(F.sequence(F.lit(1), F.size("words") - n + 1))
     each = words.select("item_id", "words", n.alias("length"), places.alias("at")).select(
         "item_id", "length", F.array_join(F.slice("words", F.col("at"), F.col("length")), " ").alias("text")
     )
-    each = scratch.table(each.distinct(), "item-windows")
+    count = words.agg(F.sum(F.size("words") - n + 1)).first()[0] or 0
+    each = scratch.table(each.distinct(), "item-windows", count)
     distinct = each.select("text", "length").distinct().withColumn("window", F.monotonically_increasing_id())
-    distinct = scratch.table(distinct, "windows")  # written, so that numbers stay
+    distinct = scratch.table(distinct, "windows", count)  # written, so that numbers stay
     members = each.filter(F.col("item_id").isNotNull()).join(distinct.drop("length"), "text").select("window", "item_id")
-    return distinct.select("window", "length", F.split("text", " ").alias("words")), scratch.table(members, "members")
+    members = scratch.table(members, "members", count)
+    return distinct.select("window", "length", F.split("text", " ").alias("words")), members, count
 
 
 def _window_shingles(windows: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
@@ -103,22 +106,26 @@ def shared_shingles(docs: DataFrame, shingles: DataFrame, sizes: list[int], most
     return scratch.table(reduce(DataFrame.unionByName, out).distinct(), "shared")
 
 
-def _hits(docs: DataFrame, windows: DataFrame, shingle: int, most_shingles: int, scratch: Scratch) -> DataFrame:
-    """``key, start, length, window`` of every occurrence of a window in a distinct text."""
+def _hits(
+    docs: DataFrame, windows: DataFrame, count: int, shingle: int, most_shingles: int, scratch: Scratch
+) -> tuple[DataFrame, int]:
+    """``key, start, length, window`` of every occurrence of one of ``count`` windows in a distinct text, and the number
+    of places looked at: each has one occurrence at most."""
     sizes = sorted({min(r["length"], shingle) for r in windows.select("length").distinct().collect()})  # one row a length
     if not sizes:
-        return scratch.spark.createDataFrame([], "key binary, start int, length int, window long")
+        return scratch.spark.createDataFrame([], "key binary, start int, length int, window long"), 0
     of = _window_shingles(windows, sizes, shingle).withColumn("held", _held(F.col("shingle"))).drop("shingle")
     of = scratch.table(of, "window-shingles")
+    rows = of.count()
     shingles = of.select("size", "held").distinct().withColumn("id", F.monotonically_increasing_id())
-    shingles = scratch.table(shingles, "shingles")
-    of = scratch.table(of.join(shingles, ["size", "held"]).select("window", "length", "at", "size", "id"), "numbered")
+    shingles = scratch.table(shingles, "shingles", rows)
+    of = scratch.table(of.join(shingles, ["size", "held"]).select("window", "length", "at", "size", "id"), "numbered", rows)
     shared = shared_shingles(docs, shingles, sizes, most_shingles, scratch)
 
     counts = shared.groupBy("id").agg(F.count("*").alias("count"))
     ranked = of.join(counts, "id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = ranked.groupBy("window", "length").agg(F.min(F.struct("count", "at", "id")).alias("first"))
-    alive = scratch.table(rarest.filter("first.count > 0").select("window", "length", "first.at", "first.id"), "prefixes")
+    alive = scratch.table(rarest.filter("first.count > 0").select("window", "length", "first.at", "first.id"), "prefixes", count)
     # several windows may have one prefix at one place: it is asked for once
     prefixes = alive.select("id", "length", F.col("at").alias("offset")).distinct()
     start = F.col("at") - F.col("offset")
@@ -129,7 +136,7 @@ def _hits(docs: DataFrame, windows: DataFrame, shingle: int, most_shingles: int,
         .select("key", start.alias("start"), "length")
         .distinct()
     )
-    places = scratch.table(places, "places")
+    places = scratch.table(places, "places", shared.count())
 
     size = F.least("length", F.lit(shingle))
     cover = F.array_distinct(  # places of shingles that have every word of a window among them
@@ -148,7 +155,7 @@ def _hits(docs: DataFrame, windows: DataFrame, shingle: int, most_shingles: int,
         .groupBy("window", "length")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("o"), "id"))).alias("cover"))
     )
-    return found.join(signed, ["length", "cover"]).select("key", "start", "length", "window")
+    return found.join(signed, ["length", "cover"]).select("key", "start", "length", "window"), places.count()
 
 
 def contamination(
@@ -159,8 +166,9 @@ def contamination(
     ``n_hit`` is the number of words inside any occurrence of an item's window, ``item_ids`` the sorted ids (as strings)
     of items with a window in the text.
     """
-    windows, members = item_windows(items, window, scratch)
-    hits = scratch.table(_hits(docs, windows, shingle, most_shingles, scratch), "hits")
+    windows, members, count = item_windows(items, window, scratch)
+    hits, places = _hits(docs, windows, count, shingle, most_shingles, scratch)
+    hits = scratch.table(hits, "hits", places)
     end = F.col("start") + F.col("length")
     before = Window.partitionBy("key").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("key", "start", "length").distinct()
@@ -169,7 +177,7 @@ def contamination(
     covered = fresh.groupBy("key").agg(F.sum("fresh").alias("n_hit"))
     held = hits.select("key", "window").distinct().join(members, "window").select("key", "item_id").distinct()
     named = held.groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = scratch.table(covered.join(named, "key", "left"), "found")
+    found = scratch.table(covered.join(named, "key", "left"), "found", places)
     n_words = F.size(_split(F.coalesce("text", F.lit(""))))
     rows = docs.select("doc_id", _text_key(F.col("text")).alias("key"), n_words.cast("long").alias("n_words"))
     return rows.join(found, "key", "left").select(

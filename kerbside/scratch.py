@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.ship import ship
 
+#: Rows of a file, and files, of a table whose number of rows is known beforehand: a store holds a few files rather
+#: than many of some rows each, and tasks make no file (a process each, on a local store) for next to nothing.
+FILE_ROWS, LEAST_FILES = 50_000, 12
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; set once per session where it is unset."""
@@ -55,8 +59,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: a cut in the lineage that survives lost executors."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: a cut in the lineage that survives lost executors.
+
+        Where it is known that ``df`` has about ``rows`` rows at most, it is written in a file for each
+        ``FILE_ROWS`` of them, ``LEAST_FILES`` at least, if that is fewer than the session's shuffles make.
+        """
+        if rows is not None:
+            files = max(LEAST_FILES, -(-rows // FILE_ROWS))
+            if files < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                df = df.coalesce(files)
         path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -274,6 +274,23 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def asked_for(texts: DataFrame, rows: DataFrame, most_words: int = 1 << 19) -> DataFrame:
+    """The rows of ``texts`` whose ``doc_id, text_key`` ``rows`` has, and few others, so that a join moves little.
+
+    ``rows`` become bits by a hash, 64 to a row of a broadcast table of at most ``most_words`` rows; beyond some
+    millions of ``rows`` it lets more of the others through, never fewer of those asked for.
+    """
+    n = rows.count()
+    bits = 64 * min(max(n // 2, 1), most_words)
+    place = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(64)), F.lit(bits))
+    held = rows.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
+    held = held.agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
+    met = texts.withColumn("place", place)
+    bit = F.getbit("bits", F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    there = (F.shiftright(met["place"], 6) == held["slot"]) & (bit == 1)
+    return met.join(F.broadcast(held), there, "left_semi").drop("place")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; ``settings`` are those of ``components_of_rows``."""
     return components_of_rows(docs, scratch, **settings).drop("text_key")
@@ -307,8 +324,7 @@ def components_of_rows(
     classes = profiles.filter("set_key is not null").groupBy("set_key").agg(F.min(first).alias("x"))
     classes = classes.select("set_key", "x.doc_id", "x.text_key", "x.sig", "x.n_shingles")
     classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    if not profiles.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        texts = texts.dropDuplicates(["doc_id", "text_key"])  # a class has one row to compare
+    repeated = not profiles.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     orders = classes.select("id", "sig").mapInArrow(
         _orders(trees, depth), "tree int, first long, rest long, id long"
     )
@@ -342,8 +358,12 @@ def components_of_rows(
     def compared(rows: DataFrame) -> DataFrame:
         """Links among the documents of each (block, x, y)."""
         own = rows.join(classes.select("id", F.col("doc_id").alias("of"), F.col("text_key").alias("key")).hint("merge"), "id")
-        same = texts["doc_id"].eqNullSafe(own["of"]) & (texts["text_key"] == own["key"])
-        of = texts.join(own.hint("merge"), same).select("id", "text", "block", "x", "y")
+        own = scratch.table(own, "compared")
+        some = asked_for(texts, own.select(F.col("of").alias("doc_id"), F.col("key").alias("text_key")))
+        if repeated:
+            some = some.dropDuplicates(["doc_id", "text_key"])  # a class has one row to compare
+        same = some["doc_id"].eqNullSafe(own["of"]) & (some["text_key"] == own["key"])
+        of = some.join(own.hint("merge"), same).select("id", "text", "block", "x", "y")
         return (
             of.repartition(parts, "block", "x", "y")
             .sortWithinPartitions("block", "x", "y")

@@ -6,7 +6,9 @@ import pytest
 
 pytest.importorskip("kerbside.llm")
 
-from kerbside.llm import decontaminate  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from kerbside.llm import decontaminate, minhash  # noqa: E402
 from kerbside.llm.scratch import Scratch  # noqa: E402
 
 
@@ -37,3 +39,16 @@ def test_decontamination_writes_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_minhash_moves_only_texts_asked_for(spark):
+    texts = spark.range(20_000).select(
+        F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("text_key"), F.lit("x").alias("text")
+    )
+    rows = texts.filter("doc_id is null or doc_id % 100 = 7").select("doc_id", "text_key")
+    got = {tuple(r) for r in minhash.asked_for(texts, rows).select("doc_id", "text_key").collect()}
+    assert {tuple(r) for r in rows.collect()} <= got and len(got) < 1500
+    assert minhash.asked_for(texts, rows.filter("false")).isEmpty()
+    # a table that is too small lets others through, and loses none
+    some = minhash.asked_for(texts, rows, most_words=1).select("doc_id", "text_key")
+    assert rows.count() == 201 and rows.exceptAll(some).isEmpty()

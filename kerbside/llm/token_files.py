@@ -19,6 +19,7 @@ their texts, and each comes back; texts of any length are whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -91,15 +92,16 @@ class LibraryEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Hold the ids of pieces: a word stands for itself after a space, a line end and a word for the two of them."""
-        held, old = self.words, self.words.old
+        held, old, size = self.words, self.words.old, self.words.size
         ask: dict[str, None] = {}
         made: list[tuple[str, str, str]] = []
         ids: dict[str, bytes] = {}
         skip = len(self.line)
         for w in new:
-            if w in old:
-                held[w] = old[w]
-                held.size += len(w) + len(old[w]) + ENTRY_BYTES
+            known = old.get(w)
+            if known is not None:
+                held[w] = known
+                size += len(w) + len(known) + ENTRY_BYTES
                 continue
             line = w[:1] == _CUT
             own = w[1:] if line else f" {w}"
@@ -122,11 +124,22 @@ class LibraryEncoder:
         ids.update(zip(rest, self._ids(rest), strict=True))
         for w, base, tail in made:
             known = ids[base] + ids[tail] if tail else ids[base]
-            held[w] = self.line + known if w[:1] == _CUT else known
-            held.size += len(w) + len(held[w]) + ENTRY_BYTES
+            held[w] = known = self.line + known if w[:1] == _CUT else known
+            size += len(w) + len(known) + ENTRY_BYTES
+        held.size = size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
+        # nothing made here is part of a cycle, and each search for cycles goes through all words that are held
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []

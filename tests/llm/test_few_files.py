@@ -1,5 +1,6 @@
 """What a step leaves in the store, moves between tasks or does beside its work."""
 
+import gc
 import random
 
 import pytest
@@ -8,7 +9,7 @@ pytest.importorskip("kerbside.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from kerbside.llm import decontaminate, minhash  # noqa: E402
+from kerbside.llm import decontaminate, minhash, token_files  # noqa: E402
 from kerbside.llm.scratch import Scratch  # noqa: E402
 
 
@@ -52,3 +53,20 @@ def test_minhash_moves_only_texts_asked_for(spark):
     # a table that is too small lets others through, and loses none
     some = minhash.asked_for(texts, rows, most_words=1).select("doc_id", "text_key")
     assert rows.count() == 201 and rows.exceptAll(some).isEmpty()
+
+
+def test_encoding_searches_no_cycles():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(6)
+    texts = [words(rng, 300) for _ in range(60)]
+    encoder = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    begun = []
+    note = lambda phase, info: begun.append(phase)
+    gc.collect()
+    gc.callbacks.append(note)
+    try:
+        got = encoder.encode(texts)
+    finally:
+        gc.callbacks.remove(note)
+    assert gc.isenabled() and not begun
+    assert got == encoder._ids(texts)

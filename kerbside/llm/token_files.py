@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,16 @@ MANIFEST = "part int, number int, path string, documents long, ids long"
 
 #: Ids read back at a time.
 MOST_IDS = 1 << 20
-#: What is put between words that are encoded together.
+#: A line end, and what it becomes before a text is cut at its spaces.
 _CUT, _SPACED = "\n", " \n"
+#: How the tokens of a byte-level vocabulary that begin with a space or a line end are spelled.
+_SPACE_TOKEN, _LINE_TOKEN = "\u0120", "\u010a"
 #: Marks that often end a word; none is a letter, a number or white space.
 _MARKS = ".,;:!?$&%*#)"
+#: Words that the library is asked for at a time; what it makes of so few stays in the processor's cache.
+_TOGETHER = 100
+#: Texts encoded at a time: the more, the fewer words are looked for twice. ``slices`` bounds their bytes besides.
+_ROWS = 2000
 
 
 class LibraryEncoder:
@@ -52,6 +59,7 @@ class LibraryEncoder:
     In a text whose spaces and line ends all stand between two words, no pre-token of a
     byte-level vocabulary reaches over the start of a space or over a line end, so words
     are encoded on their own and joined; any other text goes to the library whole.
+    Words are told apart and joined by Arrow, many texts at a time, and only distinct ones are looked for.
     """
 
     def __init__(self, path: str):
@@ -65,68 +73,80 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = Held(80 << 20)
         cut = self.library.encode(_CUT, add_special_tokens=False).ids
-        self.cut = cut[0] if len(cut) == 1 else None
         self.line = np.array(cut, self.kind).tobytes()
+        vocabulary = self.library.get_vocab()
+        #: Whether an id begins with a space or is a line end.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] == _SPACE_TOKEN or token == _LINE_TOKEN]] = True
+        # words that are asked for together must not become one of these
+        self.together = cut == [vocabulary.get(_LINE_TOKEN)] and not any(c.isspace() for s in self.specials for c in s)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of words that hold no line end, begin with one space or none, and do not end with white space.
+        """The ids of words as they follow others in a text, after a space or the line end they begin with.
 
-        A line end after such a word is always a pre-token of its own, whatever word
-        follows, so the library is asked for many at once and the answer is cut at that id.
+        They hold no other white space, so each begins with the only id of its own that begins with a space or is a
+        line end: the library is asked for many at once and the answer is cut before those ids.
         """
         out: list[bytes] = []
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            ids = np.array(self.library.encode_batch_fast([_CUT.join(some)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(ids == self.cut)
-            ends = ((np.append(cuts, len(ids))) * ids.itemsize).tolist()
-            data, lo = ids.tobytes(), 0
-            for hi in ends:
+        for at in range(0, len(words), _TOGETHER):
+            some = f" {' '.join(words[at : at + _TOGETHER])}".replace(_SPACED, _CUT)
+            ids = np.array(self.library.encode_batch_fast([some], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * ids.itemsize
+            data, (lo, *rest) = ids.tobytes(), ends.tolist()
+            for hi in rest:
                 out.append(data[lo:hi])
-                lo = hi + ids.itemsize
+                lo = hi
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Hold the ids of pieces: a word stands for itself after a space, a line end and a word for the two of them."""
-        held, old, size = self.words, self.words.old, self.words.size
-        ask: dict[str, None] = {}
-        made: list[tuple[str, str, str]] = []
-        ids: dict[str, bytes] = {}
-        skip = len(self.line)
-        for w in new:
-            known = old.get(w)
-            if known is not None:
-                held[w] = known
-                size += len(w) + len(known) + ENTRY_BYTES
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of any kind."""
+        # printable: no white space
+        plain = [w for w in pieces if w and (w[1:] if w[0] == _CUT else w).isprintable() and w != _CUT] if self.together else []
+        made = dict(zip(plain, self._word_ids(plain), strict=True))
+        rest = [w for w in pieces if w not in made]
+        own = self._ids([w[1:] if w[:1] == _CUT else f" {w}" for w in rest]) if rest else []
+        made.update((w, self.line + x if w[:1] == _CUT else x) for w, x in zip(rest, own, strict=True))
+        return [made[w] for w in pieces]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Hold and return the ids of distinct pieces: a word stands for itself after a space, a line end and a word for the two of them."""
+        held, old = self.words, self.words.old
+        found: list[bytes | None] = list(map(old.get, new)) if old else [None] * len(new)
+        held.update((w, x) for w, x in zip(new, found, strict=True) if x is not None)
+        letters = [k for k, x in enumerate(found) if x is None and new[k].isalpha()]
+        words = [new[k] for k in letters]
+        ids = self._word_ids(words) if self.together else self._piece_ids(words)
+        held.update(zip(words, ids, strict=True))
+        for k, x in zip(letters, ids, strict=True):
+            found[k] = x
+        ask: dict[str, bytes] = {}
+        tails: dict[str, bytes] = {}
+        marked: list[tuple[int, str, str]] = []
+        for k, x in enumerate(found):
+            if x is not None:
                 continue
-            line = w[:1] == _CUT
-            own = w[1:] if line else f" {w}"
             # marks after a letter or number are pre-tokens of their own
-            base = own.rstrip(_MARKS)
-            if len(base) == len(own) or not base or not base[-1].isalnum():
-                base = own
-            tail = own[len(base) :]
-            made.append((w, base, tail))
-            ask[tail] = None
-            key = _CUT + base if line else base[1:]
-            if key in held:
-                ids[base] = held[key][skip:] if line else held[key]
-            else:
-                ask[base] = None
-        # printable: no white space but a space, and that can only stand first
-        plain = [w for w in ask if w.isprintable() and w[-1:] not in ("", " ")] if self.cut is not None else []
-        ids.update(zip(plain, self._word_ids(plain), strict=True))
-        rest = [w for w in ask if w not in ids]
-        ids.update(zip(rest, self._ids(rest), strict=True))
-        for w, base, tail in made:
-            known = ids[base] + ids[tail] if tail else ids[base]
-            held[w] = known = self.line + known if w[:1] == _CUT else known
-            size += len(w) + len(known) + ENTRY_BYTES
-        held.size = size
+            w = new[k]
+            base = w.rstrip(_MARKS)
+            tail = w[len(base) :] if base[-1:].isalnum() else ""
+            if not tail:
+                base = w
+            marked.append((k, base, tail))
+            tails[tail] = b""
+            if not tail or base not in held:
+                ask[base] = b""
+        ask = dict(zip(ask, self._piece_ids(list(ask)), strict=True))
+        tails = dict(zip(tails, self._ids(list(tails)), strict=True))
+        for k, base, tail in marked:
+            known = ask.get(base)
+            x = held[base] if known is None else known
+            found[k] = held[new[k]] = x + tails[tail]
+        held.size += sum(map(len, new)) + sum(map(len, found)) + ENTRY_BYTES * len(new)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
@@ -141,38 +161,43 @@ class LibraryEncoder:
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        cut: list[int] = []
         whole: list[int] = []
-        new: set[str] = set()
+        for i, t in enumerate(texts):
+            if t:
+                (whole if _RUN.search(t) or _LINE_RUN.search(t) or any(s in t for s in self.specials) else cut).append(i)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = ids
+        if cut:
+            # the first word is asked for as if a line end stood before it
+            lines = pa.array([f"{_CUT}{texts[i].replace(_CUT, _SPACED)}" for i in cut], pa.large_string())
+            ids, ends = self._joined(pc.split_pattern(lines, " "))
+            skip, lo = len(self.line), 0
+            for i, hi in zip(cut, ends, strict=True):
+                out[i] = ids[lo + skip : hi]
+                lo = hi
+        return out
+
+    def _joined(self, pieces: pa.ListArray) -> tuple[bytes, list[int]]:
+        """The ids of all lists of pieces, one after another, and where each list ends in them."""
         held = self.words
         if held.size > held.most:
             held.old = dict(held)
             held.clear()
             held.size = 0
-        get, skip = held.get, len(self.line)
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if _RUN.search(t) or _LINE_RUN.search(t) or any(s in t for s in self.specials):
-                whole.append(i)
-                continue
-            # the first word is asked for as if a line end stood before it
-            pieces = f"{_CUT}{t.replace(_CUT, _SPACED)}".split(" ")
-            parts = list(map(get, pieces))
-            if None in parts:
-                at = [k for k, x in enumerate(parts) if x is None]
-                new.update([pieces[k] for k in at])
-                open_.append((i, pieces, parts, at))
-            else:
-                out[i] = b"".join(parts)[skip:]
-        self._learn(list(new))
-        for i, pieces, parts, at in open_:
-            for k in at:
-                parts[k] = held[pieces[k]]
-            out[i] = b"".join(parts)[skip:]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
-        return out
+        coded = pieces.flatten().dictionary_encode()
+        # pieces hold no space; one string to cut is made sooner than many
+        all_words = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary)
+        words = pc.binary_join(all_words, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        found = list(map(held.get, words))
+        if None in found:
+            at = [k for k, x in enumerate(found) if x is None]
+            for k, x in zip(at, self._learn([words[k] for k in at]), strict=True):
+                found[k] = x
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        ends = np.frombuffer(places, "<i8")[pieces.offsets.to_numpy()[1:]]
+        return (data.to_pybytes() if data else b""), ends.tolist()
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -202,7 +227,7 @@ def _writer(folder: str, path: str, end_id: int, file_bytes: int):
         encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
-        rows = slices(batches)
+        rows = slices(batches, rows=_ROWS)
         b = next(rows, None)
         while b is not None:
             docs, lengths = [], []

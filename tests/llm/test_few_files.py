@@ -70,3 +70,61 @@ def test_encoding_searches_no_cycles():
         gc.callbacks.remove(note)
     assert gc.isenabled() and not begun
     assert got == encoder._ids(texts)
+
+
+def test_token_files_look_for_distinct_words():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+
+    class Counting(token_files.Held):
+        asked = 0
+
+        def get(self, key, *default):
+            Counting.asked += 1
+            return super().get(key, *default)
+
+    rng = random.Random(7)
+    known = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(known, k=200)) for _ in range(100)]
+    encoder = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.words = Counting()
+    assert encoder.encode(texts) == encoder._ids(texts)
+    # 50 words, each after a space or at a text's start; 20,000 places
+    assert 0 < Counting.asked < 500, Counting.asked
+
+
+def test_token_files_words_make_no_other_ids():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library, asked = encoder.library, []
+
+    class Noting:
+        def encode_batch_fast(self, texts, **settings):
+            found = library.encode_batch_fast(texts, **settings)
+            asked.extend((len(t.split()), len(e.ids)) for t, e in zip(texts, found, strict=True))
+            return found
+
+    rng = random.Random(8)
+    new = sorted({"".join(rng.choices("abcdefgé", k=12)) for _ in range(3000)})
+    want = encoder._ids([f" {w}" for w in new])
+    encoder.library = Noting()
+    assert encoder._word_ids(new) == want
+    # nothing is encoded beside the words, and few words at a time
+    assert sum(n for _, n in asked) * len(encoder.line) == sum(map(len, want))
+    assert sum(n for n, _ in asked) == len(new) and max(n for n, _ in asked) <= 100
+
+
+def test_token_files_pieces_of_all_kinds():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.words.most = 20_000
+    rng = random.Random(9)
+    pieces = [
+        "a", "Then", "wörd", "你好", "don't", "'s", "it's.", "x.", "x.,", "..", "$$", "3.5", "3.", "½", "²!", "a-b", "a_b)", "́", "é́.",
+        "x\xa0y", "\xa0", "a\tb", "\t", "x\x1cy", "\x00", "a\x85b", "　", "﻿", "😀", "😀!", "<|endoftext|>", "x<|endoftext|>", "Ġ", "Ċ", "Ġx.", "​", "ﬁ,",
+    ]
+    for _ in range(60):
+        texts = [None, "", "\n", " ", "x "]
+        for _ in range(20):
+            some = [rng.choice(pieces) if rng.random() < 0.5 else "".join(rng.choices("abcé.,!", k=4)) for _ in range(rng.randrange(12))]
+            texts.append("".join(w + rng.choices([" ", "\n", "  ", " \n", "\n\n"], [80, 15, 1, 1, 1])[0] for w in some)[: rng.choice([-1, None])])
+        assert encoder.encode(texts) == encoder._ids([t or "" for t in texts])

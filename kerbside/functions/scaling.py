@@ -24,6 +24,17 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Doubles rounded half-even as arrays and SQL round them: the value times a power of ten, in double, decides what is a half.
+
+    ``bround`` looks at the decimal text instead, where 924.0500000000001 is above the half. What is not finite, or too large to be scaled, stays.
+    """
+    power = F.lit(10.0 ** abs(digits))
+    scaled = x * power if digits >= 0 else x / power
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled) < float("inf"), whole / power if digits >= 0 else whole * power).otherwise(x)
+
+
 def scale_between(x: Column, low: Column, high: Column) -> Column:
     """``(x - low) / (high - low)`` clipped to 0..1; 0 on missing or equal bounds; missing stays missing."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / F.nullif(high - low, F.lit(0.0))))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions.order import quantiles
+from kerbside.functions.scaling import round_even
 from kerbside.functions.text import escape_html, or_unknown, percent_text
 from kerbside.operators.geometry import bounds
 from kerbside.operators.quality import content_digest
@@ -117,9 +118,10 @@ def tidy(df: DataFrame, names: Mapping[str, str], digits: Mapping[str, int]) ->
         if old not in df.columns:
             continue
         c = F.col(old)
-        if df.schema[old].dataType.typeName() in ("double", "float"):
+        kind = df.schema[old].dataType.typeName()
+        if kind in ("double", "float"):
             match = max((p for p in digits if new.startswith(p)), key=len, default=None)
-            c = F.bround(c, digits[match] if match is not None else 1)
+            c = round_even(c.cast("double"), digits[match] if match is not None else 1).cast(kind)
         out.append(c.alias(new))
     return df.select(*out)
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.scratch import Scratch
@@ -202,6 +202,41 @@ def _solved(schema: pa.Schema):
     return solve
 
 
+def tiles_of(rows: DataFrame, x: Column, y: Column, own: list[str], tile_rows: int, scratch: Scratch) -> DataFrame:
+    """``rows`` (a table) with the ``tile`` that the place ``x, y`` is in; places of too many rows are cut by a hash of the columns ``own``."""
+    total = rows.count()
+    if total <= tile_rows:
+        return rows.withColumn("tile", F.lit(0).cast("long"))
+    wanted = min(MOST_TILES, -(-total // tile_rows))
+    placed = rows.withColumns({"_x": x, "_y": y})
+    seen = placed.select("_x", "_y").sample(min(1.0, SEEN * wanted / total), 7).toArrow()  # bounded by the tiles
+    halves = Halves(np.stack(_floats(seen, "_x _y"), axis=1), max(1, -(-seen.num_rows // wanted)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = halves.leaf_of(np.stack(_floats(b, "_x _y"), axis=1))
+            held = b.select(names)
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(leaf, pa.int64())], [*held.schema.names, "leaf"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+    rows = scratch.table(placed.mapInArrow(dealt, f"{columns}, leaf long"), "dealt")
+    # a leaf that is much larger than the sample told (equal middles) is cut by hash
+    most = 4 * max(tile_rows, -(-total // wanted))
+    subs = rows.groupBy("leaf").agg(F.ceil(F.count("*") / most).alias("subs"))
+    tiled = rows.join(F.broadcast(subs), "leaf")  # a row a leaf
+    return scratch.table(tiled.withColumn("tile", F.shiftleft("leaf", 32) + F.pmod(F.xxhash64(*own), F.col("subs"))).drop("leaf", "subs"), "tiles")
+
+
+def answered(tiled: DataFrame, asked: DataFrame, own: list[str], solve, ddl: str, scratch: Scratch, asking: int | None = None) -> DataFrame:
+    """Points at their tiles; a tile that many ask is copied, and its points are dealt over the copies by a hash of the columns ``own``."""
+    copies = asked.groupBy("tile").agg(F.ceil(F.count("*") / (asking or ASKING)).alias("copies"))
+    copies = scratch.table(copies, "copies")
+    left = tiled.join(F.broadcast(copies), "tile").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    right = asked.join(F.broadcast(copies), "tile").withColumn("copy", F.pmod(F.xxhash64(*own), F.col("copies"))).drop("copies")
+    return left.groupBy("tile", "copy").cogroup(right.groupBy("tile", "copy")).applyInArrow(solve, ddl)
+
+
 def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str, scratch: Scratch, tile_rows: int = 8192) -> DataFrame:
     """``key, target, d``: the nearest of ``pieces`` (``target, px, py, qx, qy``) for each of ``points`` (``key, x, y``).
 
@@ -229,25 +264,8 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
         F.col(f"p{c}") + (F.col(f"q{c}") - F.col(f"p{c}")) * ((F.col("i") + i) / F.col("of"))
     )
     parts = scratch.table(p.select(*ends, "target", along("x", 0).alias("ax"), along("y", 0).alias("ay"), along("x", 1).alias("bx"), along("y", 1).alias("by")), "parts")
-    total = parts.count()
-    wanted = min(MOST_TILES, max(1, -(-total // tile_rows)))
-    middle = parts.select(((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    seen = middle.sample(min(1.0, SEEN * wanted / total), 7).toArrow()  # bounded by the tiles
-    halves = Halves(np.stack(_floats(seen, "x y"), axis=1), max(1, -(-seen.num_rows // wanted)))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ax, ay, bx, by = _floats(b, "ax ay bx by")
-            leaf = halves.leaf_of(np.stack([(ax + bx) / 2, (ay + by) / 2], axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], [*b.schema.names, "leaf"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    parts = scratch.table(parts.mapInArrow(dealt, f"{columns}, leaf long"), "dealt")
-    # a leaf that is much larger than the sample told (equal middles) is cut by hash
-    most = 4 * max(tile_rows, -(-total // wanted))
-    subs = parts.groupBy("leaf").agg(F.ceil(F.count("*") / most).alias("subs"))
-    tiled = parts.join(F.broadcast(subs), "leaf")  # a row a leaf
-    tiled = scratch.table(tiled.withColumn("tile", F.shiftleft("leaf", 32) + F.pmod(F.xxhash64(*ends, "ax", "ay"), F.col("subs"))).drop("leaf", "subs"), "tiles")
+    middle = [((F.col(f"a{c}") + F.col(f"b{c}")) / 2) for c in "xy"]
+    tiled = tiles_of(parts, *middle, [*ends, "ax", "ay"], tile_rows, scratch)
     edge = lambda f, g, c: f(g(f"a{c}", f"b{c}")).alias(f"{'lo' if f is F.min else 'hi'}{c}")
     table = tiled.groupBy("tile").agg(*[edge(f, g, c) for f, g in ((F.min, F.least), (F.max, F.greatest)) for c in "xy"]).orderBy("tile").toArrow()
     boxes, names = tuple(_floats(table, "lox loy hix hiy")), table.column("tile").to_numpy()
@@ -255,19 +273,11 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
     point = f"key {kinds['key']}, x double, y double, tile long"
     arrow = lambda ddl: _arrow_schema(spark, ddl)
     solved = f"{point}, target {kinds['target']}, d double"
-
-    def answered(asked: DataFrame) -> DataFrame:
-        """Points at their tiles; a tile that many ask is copied, and its points are dealt over the copies."""
-        copies = asked.groupBy("tile").agg(F.ceil(F.count("*") / ASKING).alias("copies"))
-        copies = scratch.table(copies, "copies")
-        left = tiled.join(F.broadcast(copies), "tile").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
-        right = asked.join(F.broadcast(copies), "tile").withColumn("copy", F.pmod(F.xxhash64("key", "x", "y"), F.col("copies"))).drop("copies")
-        return left.groupBy("tile", "copy").cogroup(right.groupBy("tile", "copy")).applyInArrow(_solved(arrow(solved)), solved)
-
+    answer = lambda some: answered(tiled, some, ["key", "x", "y"], _solved(arrow(solved)), solved, scratch)
     asked = scratch.table(q.mapInArrow(_asked(names, boxes, True, arrow(point)), point), "asked")
-    first = scratch.table(answered(asked), "first")
+    first = scratch.table(answer(asked), "first")
     others = scratch.table(first.mapInArrow(_asked(names, boxes, False, arrow(point)), point), "others")
-    found = first.unionByName(answered(others)).groupBy("key").agg(F.min(F.struct("d", "target")).alias("m"))
+    found = first.unionByName(answer(others)).groupBy("key").agg(F.min(F.struct("d", "target")).alias("m"))
     return scratch.table(found.select(F.col("key").alias(key), F.col("m.target").alias(target), "m.d"), "found")
 
 

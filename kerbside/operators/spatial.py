@@ -8,14 +8,16 @@ are near nothing and in nothing.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators import nearest_tree
+from kerbside.operators import nearest_tree, radius_tree
 from kerbside.operators.geometry import bounds, inside, line_length, polygon_area, ring_area, segment_distance, segments
 from kerbside.scratch import Scratch
 
@@ -29,6 +31,11 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size)))
 
 
+def _finite(*names: str) -> Column:
+    """Of missing and NaN false too."""
+    return functools.reduce(operator.and_, [F.abs(F.col(c)) < float("inf") for c in names])
+
+
 def cells_around(x: Column, y: Column, reach: float, size: float) -> Column:
     """The cells that a square of half-width ``reach`` touches, as an array of (cx, cy)."""
     xs = F.sequence(cell(x - reach, size), cell(x + reach, size))
@@ -68,13 +75,16 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, right_columns:
 
 
 def radius_count(left: DataFrame, right: DataFrame, key: str, radius: float, out: str) -> DataFrame:
-    """How many of ``right`` lie within ``radius`` of each row; 0 if none.
+    """How many of ``right`` lie within ``radius`` (inclusive) of each row; 0 if none.
 
-    ``right`` is first counted by place, so equal places cost one row.
+    Equal places of either side are looked at once, and what lies well within a circle is counted by tiles (see ``radius_tree``).
     """
-    places = right.groupBy("x", "y").agg(F.count("*").alias("_n"))
-    found = radius_join(left.select(key, "x", "y"), places, radius, ["_n"]).groupBy(key).agg(F.sum("_n").alias(out))
-    return left.join(found, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    places = right.select(*[F.col(c).cast("double").alias(c) for c in "xy"]).filter(_finite("x", "y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    points = left.select(*[F.col(c).cast("double").alias(c) for c in "xy"]).filter(_finite("x", "y")).distinct()
+    found = radius_tree.count_within(points, places, radius, Scratch(left.sparkSession, "radius"))
+    found = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("n").alias(out))
+    same = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
+    return left.join(found, same, "left").drop("_x", "_y").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def _edges(shapes: DataFrame, columns: Sequence[str], closed: bool, rings: str = "rings") -> DataFrame:

@@ -126,7 +126,7 @@ def _asked(tiles: np.ndarray, boxes: Boxes, first: bool, schema: pa.Schema):
                 yield out(b, np.arange(len(x)), tile)
 
     def out(b: pa.RecordBatch, rows: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
-        held = b.select(["key", "x", "y"]).take(pa.array(rows))
+        held = b.select(["x", "y"]).take(pa.array(rows))
         return pa.RecordBatch.from_arrays([*held.columns, pa.array(tile, pa.int64())], schema=schema)
 
     return run
@@ -196,7 +196,7 @@ def _solved(schema: pa.Schema):
             return schema.empty_table()
         x, y = _floats(points, "x y")
         row, d = Packed(pieces).search(x, y)
-        held = [points.column(n).combine_chunks() for n in ("key", "x", "y", "tile")]
+        held = [points.column(n).combine_chunks() for n in ("x", "y", "tile")]
         return pa.Table.from_arrays([*held, pieces.column("target").combine_chunks().take(pa.array(row)), pa.array(d)], schema=schema)
 
     return solve
@@ -241,7 +241,7 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
     """``key, target, d``: the nearest of ``pieces`` (``target, px, py, qx, qy``) for each of ``points`` (``key, x, y``).
 
     Equal distances go to the smaller target; a missing target is the smallest. Rows that share a key are one point of several
-    places. Rows with a missing or infinite coordinate take no part; without pieces or points the result is empty.
+    places; points of one place are searched for once (``points`` is read twice). Rows with a missing or infinite coordinate take no part; without pieces or points the result is empty.
     Long pieces are indexed by parts of at most four times the mean extent, which are a quarter more rows at most.
     """
     spark = points.sparkSession
@@ -270,14 +270,16 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
     table = tiled.groupBy("tile").agg(*[edge(f, g, c) for f, g in ((F.min, F.least), (F.max, F.greatest)) for c in "xy"]).orderBy("tile").toArrow()
     boxes, names = tuple(_floats(table, "lox loy hix hiy")), table.column("tile").to_numpy()
 
-    point = f"key {kinds['key']}, x double, y double, tile long"
+    point = "x double, y double, tile long"
     arrow = lambda ddl: _arrow_schema(spark, ddl)
     solved = f"{point}, target {kinds['target']}, d double"
-    answer = lambda some: answered(tiled, some, ["key", "x", "y"], _solved(arrow(solved)), solved, scratch)
-    asked = scratch.table(q.mapInArrow(_asked(names, boxes, True, arrow(point)), point), "asked")
+    answer = lambda some: answered(tiled, some, ["x", "y"], _solved(arrow(solved)), solved, scratch)
+    places = q.select("x", "y").distinct()
+    asked = scratch.table(places.mapInArrow(_asked(names, boxes, True, arrow(point)), point), "asked")
     first = scratch.table(answer(asked), "first")
     others = scratch.table(first.mapInArrow(_asked(names, boxes, False, arrow(point)), point), "others")
-    found = first.unionByName(answer(others)).groupBy("key").agg(F.min(F.struct("d", "target")).alias("m"))
+    near = first.unionByName(answer(others)).groupBy("x", "y").agg(F.min(F.struct("d", "target")).alias("m"))
+    found = q.join(near, ["x", "y"]).groupBy("key").agg(F.min("m").alias("m"))
     return scratch.table(found.select(F.col("key").alias(key), F.col("m.target").alias(target), "m.d"), "found")
 
 

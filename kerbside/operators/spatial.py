@@ -25,6 +25,8 @@ __all__ = ["inside", "line_length", "ring_area"]
 
 #: Most rows of a side that is sent to all tasks.
 SMALL = 10_000
+#: Most pairs that a ring of a nearest search looks at, for each row of both sides.
+MOST_PAIRS = 64
 
 
 def cell(v: Column, size: float) -> Column:
@@ -98,24 +100,36 @@ def edge_join(points: DataFrame, edges: DataFrame, radius: float, columns: Seque
 
     A piece is dealt to the cells along it, a point has one cell.
     """
+    at, dealt = _celled(points, edges, radius, columns)
+    d = segment_distance(*[F.col(c) for c in ("x", "y", "px", "py", "qx", "qy")])
+    return at.join(dealt, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius).drop("cx", "cy", "px", "py", "qx", "qy")
+
+
+def _celled(points: DataFrame, edges: DataFrame, radius: float, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Points with their cell, and pieces with each cell that places within ``radius`` of them can be in."""
     size = max(2 * radius, 1e-9)
     grid = cells_along(*[F.col(c) for c in ("px", "py", "qx", "qy")], size, radius)
     dealt = edges.select(*columns, "px", "py", "qx", "qy", F.explode(grid).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
-    at = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
-    d = segment_distance(*[F.col(c) for c in ("x", "y", "px", "py", "qx", "qy")])
-    return at.join(dealt, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius).drop("cx", "cy", "px", "py", "qx", "qy")
+    return points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size)), dealt
+
+
+def _meetings(points: DataFrame, edges: DataFrame, radius: float) -> float:
+    """How many pairs ``edge_join`` would look at."""
+    a, b = (t.groupBy("cx", "cy").agg(F.count("*").cast("double").alias(n)) for t, n in zip(_celled(points, edges, radius, []), "ab", strict=True))
+    return a.join(b, ["cx", "cy"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
 
 
 def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, start: float | None, scratch: Scratch) -> DataFrame:
     """By tiles that follow the targets' density; or, from a first radius ``start``, a ring search: within it, then twice that for rows
-    still open, and so on. A hit within the radius is final, and the last radius reaches over both sides' whole extent.
+    still open, and so on. A hit within the radius is final, and the last radius reaches over both sides' whole extent. A ring that would look at
+    more than ``MOST_PAIRS`` pairs a row is left to the tiles, with what is still open.
     """
+    open_ = scratch.table(points.select(key, "x", "y").filter(_finite("x", "y")), "open")
     if start is None:
-        return nearest_tree.nearest_pieces(points, edges, key, target, scratch)
-    edges = scratch.table(edges, "edges")
+        return nearest_tree.nearest_pieces(open_, edges, key, target, scratch)
+    edges = scratch.table(edges.filter(_finite("px", "py", "qx", "qy")), "edges")
     ends = [(F.min(f"{e}{c}"), F.max(f"{e}{c}")) for c in "xy" for e in "pq"]
     n, *box = edges.agg(F.count("*"), *[x for pair in ends for x in pair]).first()
-    open_ = scratch.table(points.select(key, "x", "y").filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "open")
     own = open_.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     kinds = f"{edges.schema[target].dataType.simpleString()}"
     if not n or own[0] is None:
@@ -126,6 +140,9 @@ def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, st
     radius = min(most, start)
     found = None
     while True:
+        if _meetings(open_, edges, radius) > MOST_PAIRS * (open_.count() + n):
+            rest = nearest_tree.nearest_pieces(open_, edges, key, target, scratch)
+            return rest if found is None else found.unionByName(rest)
         pairs = edge_join(open_, edges, radius, [target])
         got = pairs.groupBy(key).agg(F.min(F.struct("d", target)).alias("m")).select(key, f"m.{target}", "m.d")
         got = scratch.table(got, "found")
@@ -139,8 +156,8 @@ def _nearest_edge(points: DataFrame, edges: DataFrame, key: str, target: str, st
 def nearest(left: DataFrame, right: DataFrame, key: str, target: str, start: float | None = None) -> DataFrame:
     """``key, target, d``: the nearest of ``right`` for each row of ``left``; equal distances go to the smaller target.
 
-    ``start``: the first radius of a ring search, for targets spread evenly; without it tiles follow the targets' density, however
-    uneven (see ``nearest_tree``). Rows or targets with a missing coordinate take no part. With no target the result is empty (missing, not 0).
+    ``start``: the first radius of a ring search, for targets spread evenly and so thinly that few lie within it; without it, and where
+    many do, tiles follow the targets' density, however uneven (see ``nearest_tree``). Rows or targets with a missing coordinate take no part. With no target the result is empty (missing, not 0).
     """
     places = right.select(target, *[F.col(c).alias(f"{e}{c}") for e in "pq" for c in "xy"]).dropna(subset=["px", "py"])
     return _nearest_edge(left, places, key, target, start, Scratch(left.sparkSession, "nearest"))

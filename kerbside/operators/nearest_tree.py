@@ -10,6 +10,8 @@ very many points ask are held by several tasks, each with a share of the points.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from kerbside.scratch import Scratch
 MOST_TILES, SEEN, NODE, ASKING = 32_768, 16, 16, 500_000
 #: Most parts a long piece is indexed by; tiles whose boxes are looked at together.
 MOST_PARTS, TOGETHER = 4096, 64
+#: Bits of a tile's number below that of its group of targets.
+GROUP = 50
 
 Boxes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -89,41 +93,51 @@ def _floats(b, names: str) -> list[np.ndarray]:
 
 
 def _asked(tiles: np.ndarray, boxes: Boxes, first: bool, schema: pa.Schema):
-    """Rows for the tile that each point asks first, or for the others that its distance so far leaves open."""
-    whole = _joined(boxes, TOGETHER)
+    """Rows for the tile that each point asks first, or for the others that its distance so far leaves open; each group of tiles apart."""
+    groups = []
+    for own in np.split(np.arange(len(tiles)), np.flatnonzero(np.diff(tiles >> GROUP)) + 1):
+        part = tuple(v[own] for v in boxes)
+        whole = _joined(part, TOGETHER)
+        groups.append((tiles[own], part, [tuple(v[c] for v in whole) for c in range(len(whole[0]))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = _floats(b, "x y")
-            coarse = [tuple(v[c] for v in whole) for c in range(len(whole[0]))]
-            if first:
-                bound = np.full(len(x), np.inf)
-                for c in coarse:
-                    np.minimum(bound, _most(x, y, c), out=bound)
-                best, tile = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-            else:
-                bound, own = _floats(b, "d")[0], b.column("tile").to_numpy()
-            for c, box in enumerate(coarse):
-                near = np.flatnonzero(_least(x, y, box) <= bound * (1 + 1e-12))
-                if not len(near):
-                    continue
-                lo = c * TOGETHER
-                some = tuple(v[None, lo : lo + TOGETHER] for v in boxes)
+            for names, part, coarse in groups:
                 if first:
-                    d = _most(x[near, None], y[near, None], some)
-                    at = d.argmin(axis=1)
-                    d = d[np.arange(len(near)), at]
-                    better = d < best[near]
-                    best[near[better]], tile[near[better]] = d[better], tiles[lo + at[better]]
+                    yield out(b, np.arange(len(x)), nearest(x, y, names, part, coarse))
                 else:
-                    d = _least(x[near, None], y[near, None], some)
-                    q, t = np.nonzero(d <= bound[near, None] * (1 + 1e-12))
-                    q, t = near[q], tiles[lo + t]
-                    other = t != own[q]
-                    if other.any():
-                        yield out(b, q[other], t[other])
-            if first:
-                yield out(b, np.arange(len(x)), tile)
+                    own = b.column("tile").to_numpy()
+                    rows = np.flatnonzero(own >> GROUP == names[0] >> GROUP)
+                    for q, tile in open_(x[rows], y[rows], _floats(b, "d")[0][rows], names, part, coarse):
+                        other = tile != own[rows[q]]
+                        if other.any():
+                            yield out(b, rows[q[other]], tile[other])
+
+    def nearest(x, y, names, part, coarse) -> np.ndarray:
+        bound = np.full(len(x), np.inf)
+        for box in coarse:
+            np.minimum(bound, _most(x, y, box), out=bound)
+        best, tile = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for near, lo, some in met(x, y, bound, part, coarse):
+            d = _most(x[near, None], y[near, None], some)
+            at = d.argmin(axis=1)
+            d = d[np.arange(len(near)), at]
+            better = d < best[near]
+            best[near[better]], tile[near[better]] = d[better], names[lo + at[better]]
+        return tile
+
+    def open_(x, y, bound, names, part, coarse) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for near, lo, some in met(x, y, bound, part, coarse):
+            q, t = np.nonzero(_least(x[near, None], y[near, None], some) <= bound[near, None] * (1 + 1e-12))
+            yield near[q], names[lo + t]
+
+    def met(x, y, bound, part, coarse) -> Iterator[tuple[np.ndarray, int, Boxes]]:
+        for c, box in enumerate(coarse):
+            near = np.flatnonzero(_least(x, y, box) <= bound * (1 + 1e-12))
+            if len(near):
+                lo = c * TOGETHER
+                yield near, lo, tuple(v[None, lo : lo + TOGETHER] for v in part)
 
     def out(b: pa.RecordBatch, rows: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
         held = b.select(["x", "y"]).take(pa.array(rows))
@@ -202,12 +216,12 @@ def _solved(schema: pa.Schema):
     return solve
 
 
-def tiles_of(rows: DataFrame, x: Column, y: Column, own: list[str], tile_rows: int, scratch: Scratch) -> DataFrame:
+def tiles_of(rows: DataFrame, x: Column, y: Column, own: list[str], tile_rows: int, scratch: Scratch, most_tiles: int = MOST_TILES) -> DataFrame:
     """``rows`` (a table) with the ``tile`` that the place ``x, y`` is in; places of too many rows are cut by a hash of the columns ``own``."""
     total = rows.count()
     if total <= tile_rows:
         return rows.withColumn("tile", F.lit(0).cast("long"))
-    wanted = min(MOST_TILES, -(-total // tile_rows))
+    wanted = min(most_tiles, -(-total // tile_rows))
     placed = rows.withColumns({"_x": x, "_y": y})
     seen = placed.select("_x", "_y").sample(min(1.0, SEEN * wanted / total), 7).toArrow()  # bounded by the tiles
     halves = Halves(np.stack(_floats(seen, "_x _y"), axis=1), max(1, -(-seen.num_rows // wanted)))
@@ -241,21 +255,35 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
     """``key, target, d``: the nearest of ``pieces`` (``target, px, py, qx, qy``) for each of ``points`` (``key, x, y``).
 
     Equal distances go to the smaller target; a missing target is the smallest. Rows that share a key are one point of several
-    places; points of one place are searched for once (``points`` is read twice). Rows with a missing or infinite coordinate take no part; without pieces or points the result is empty.
+    places; points of one place are searched for once (``points`` is read twice). Rows with a missing or infinite coordinate take no part;
+    without pieces or points the result is empty.
     Long pieces are indexed by parts of at most four times the mean extent, which are a quarter more rows at most.
     """
-    spark = points.sparkSession
-    finite = lambda names: [F.abs(F.col(c)) < float("inf") for c in names.split()]  # noqa: E731  # of NaN and null false too
-    both = lambda tests: tests[0] if len(tests) == 1 else tests[0] & both(tests[1:])
+    q = points.select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(_finite("x y"))
+    near = nearest_of_groups(q.select("x", "y").distinct(), pieces.withColumn("grp", F.lit(0)), target, 1, scratch, tile_rows)
+    found = q.join(near, ["x", "y"]).groupBy("key").agg(F.min(F.struct("d", "target")).alias("m"))
+    return scratch.table(found.select(F.col("key").alias(key), F.col("m.target").alias(target), "m.d"), "found")
+
+
+def _finite(names: str) -> Column:
+    """Of NaN and null false too."""
+    return functools.reduce(operator.and_, [F.abs(F.col(c)) < float("inf") for c in names.split()])
+
+
+def nearest_of_groups(places: DataFrame, pieces: DataFrame, target: str, groups: int, scratch: Scratch, tile_rows: int = 8192) -> DataFrame:
+    """``x, y, grp, target, d``: the nearest piece of each group (``grp``, from 0 to below ``groups``) for each of ``places`` (``x, y``, finite, each once).
+
+    All groups are searched in the same two rounds. A group without pieces has no rows; the groups share the tiles' bound.
+    """
+    spark = places.sparkSession
     ends = ["px", "py", "qx", "qy"]
-    p = pieces.select(F.col(target).alias("target"), *[F.col(c).cast("double").alias(c) for c in ends]).filter(both(finite("px py qx qy")))
-    p = p.groupBy(*ends).agg(F.min(F.struct("target")).alias("t")).select(*ends, "t.target")
+    p = pieces.select(F.col("grp").cast("int").alias("grp"), F.col(target).alias("target"), *[F.col(c).cast("double").alias(c) for c in ends]).filter(_finite("px py qx qy"))
+    p = p.groupBy("grp", *ends).agg(F.min(F.struct("target")).alias("t")).select("grp", *ends, "t.target")
     p = scratch.table(p.withColumn("extent", F.greatest(F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy")))), "pieces")
     n, mean = p.agg(F.count("*"), F.avg("extent")).first()
-    q = points.select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(both(finite("x y")))
-    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *p.schema.fields]}
+    kind = p.schema["target"].dataType.simpleString()
     if not n:
-        return q.select(F.col("key").alias(key), F.lit(None).cast(kinds["target"]).alias(target), F.lit(None).cast("double").alias("d")).limit(0)
+        return p.limit(0).select(F.col("px").alias("x"), F.col("py").alias("y"), "grp", "target", F.col("qx").alias("d"))
 
     # parts of pieces: a tile is that of a part's middle, its box is that of its parts
     cut = F.least(F.lit(MOST_PARTS), F.greatest(F.lit(1), F.ceil(F.col("extent") / (4 * mean)))) if mean else F.lit(1)
@@ -263,24 +291,24 @@ def nearest_pieces(points: DataFrame, pieces: DataFrame, key: str, target: str,
     along = lambda c, i: F.when(F.col("of") == 1, F.col(f"{'q' if i else 'p'}{c}")).otherwise(
         F.col(f"p{c}") + (F.col(f"q{c}") - F.col(f"p{c}")) * ((F.col("i") + i) / F.col("of"))
     )
-    parts = scratch.table(p.select(*ends, "target", along("x", 0).alias("ax"), along("y", 0).alias("ay"), along("x", 1).alias("bx"), along("y", 1).alias("by")), "parts")
+    parts = p.select("grp", *ends, "target", along("x", 0).alias("ax"), along("y", 0).alias("ay"), along("x", 1).alias("bx"), along("y", 1).alias("by"))
+    parts = scratch.table(parts, "parts") if mean else parts  # without an extent, parts are the pieces
     middle = [((F.col(f"a{c}") + F.col(f"b{c}")) / 2) for c in "xy"]
-    tiled = tiles_of(parts, *middle, [*ends, "ax", "ay"], tile_rows, scratch)
+    tiled = tiles_of(parts, *middle, [*ends, "ax", "ay"], tile_rows * groups, scratch, max(1, MOST_TILES // groups))
+    tiled = tiled.withColumn("tile", F.col("tile") + F.shiftleft(F.col("grp").cast("long"), GROUP)).drop("grp")
     edge = lambda f, g, c: f(g(f"a{c}", f"b{c}")).alias(f"{'lo' if f is F.min else 'hi'}{c}")
     table = tiled.groupBy("tile").agg(*[edge(f, g, c) for f, g in ((F.min, F.least), (F.max, F.greatest)) for c in "xy"]).orderBy("tile").toArrow()
     boxes, names = tuple(_floats(table, "lox loy hix hiy")), table.column("tile").to_numpy()
 
     point = "x double, y double, tile long"
     arrow = lambda ddl: _arrow_schema(spark, ddl)
-    solved = f"{point}, target {kinds['target']}, d double"
+    solved = f"{point}, target {kind}, d double"
     answer = lambda some: answered(tiled, some, ["x", "y"], _solved(arrow(solved)), solved, scratch)
-    places = q.select("x", "y").distinct()
     asked = scratch.table(places.mapInArrow(_asked(names, boxes, True, arrow(point)), point), "asked")
     first = scratch.table(answer(asked), "first")
     others = scratch.table(first.mapInArrow(_asked(names, boxes, False, arrow(point)), point), "others")
-    near = first.unionByName(answer(others)).groupBy("x", "y").agg(F.min(F.struct("d", "target")).alias("m"))
-    found = q.join(near, ["x", "y"]).groupBy("key").agg(F.min("m").alias("m"))
-    return scratch.table(found.select(F.col("key").alias(key), F.col("m.target").alias(target), "m.d"), "found")
+    all_ = first.unionByName(answer(others)).groupBy("x", "y", F.shiftright("tile", GROUP).cast("int").alias("grp"))
+    return all_.agg(F.min(F.struct("d", "target")).alias("m")).select("x", "y", "grp", "m.target", "m.d")
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:

@@ -180,12 +180,21 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, key: str, target: str, c
 
 
 def nearest_by_class(points: DataFrame, targets: DataFrame, key: str, target: str, of: str, classes: Sequence, start: float | None = None) -> DataFrame:
-    """``key`` and a distance ``d_<class>`` to the nearest target of each class; missing where a class has none."""
-    out = points.select(key)
-    for c in classes:
-        one = nearest(points, targets.filter(F.col(of) == F.lit(c)), key, target, start).select(key, F.col("d").alias(f"d_{c}"))
-        out = out.join(one, key, "left")
-    return out
+    """``key`` and a distance ``d_<class>`` to the nearest target of each class; missing where a class has none.
+
+    All classes are searched together and by tiles (``nearest_tree``), whatever the first radius ``start``. Points of one place are searched for once;
+    rows that share a key are one point of several places.
+    """
+    at = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    own = list(dict.fromkeys(classes))
+    if not own:
+        return at.select(key).distinct()
+    number = F.coalesce(*[F.when(F.col(of) == F.lit(c), i) for i, c in enumerate(own)])
+    pieces = targets.select(target, number.alias("grp"), *[F.col(c).alias(f"{e}{c}") for e in "pq" for c in "xy"]).filter("grp is not null")
+    places = at.select("x", "y").filter(_finite("x", "y")).distinct()
+    found = nearest_tree.nearest_of_groups(places, pieces, target, len(own), Scratch(points.sparkSession, "classes"))
+    found = found.groupBy("x", "y").agg(*[F.min(F.when(F.col("grp") == i, F.col("d"))).alias(f"_{i}") for i in range(len(own))])
+    return at.join(found, ["x", "y"], "left").groupBy(key).agg(*[F.min(f"_{own.index(c)}").alias(f"d_{c}") for c in classes])
 
 
 def nearest_shape_by_class(
